@@ -140,3 +140,99 @@ nbas AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip("\n") for c in ctes) + "\n"
+
+SESSION_WINDOWS = """
+vwin AS (
+  SELECT *, date_trunc('day', ts) AS wstart,
+    CASE event WHEN 'search' THEN 1 WHEN 'view-product' THEN 3 WHEN 'add-to-cart' THEN 7 ELSE 0 END AS weight,
+    CASE WHEN event = 'exit-risk' THEN 1 ELSE 0 END AS priority
+  FROM valid),
+swin AS (
+  SELECT wstart AS window_start, wstart + INTERVAL 1 DAY AS window_end, sessionId,
+    first(userId ORDER BY ts, event_id) AS userId,
+    min(ts) AS firstSeen, max(ts) AS lastSeen,
+    first(event ORDER BY priority DESC, ts DESC, event_id DESC) AS lastEvent_event,
+    first(ts ORDER BY priority DESC, ts DESC, event_id DESC) AS lastEvent_ts,
+    count(*) FILTER (WHERE event = 'heartbeat') AS heartbeat_count,
+    count(*) FILTER (WHERE event = 'search') AS search_count,
+    count(*) FILTER (WHERE event = 'view-product') AS view_product_count,
+    count(*) FILTER (WHERE event = 'add-to-cart') AS add_to_cart_count,
+    count(*) FILTER (WHERE event = 'exit-risk') AS exit_risk_count,
+    CAST(sum(CASE WHEN productId <> '' AND weight > 0 THEN weight ELSE 0 END) AS BIGINT) AS productWeightTotal,
+    CAST(sum(CASE WHEN articleType <> '' AND weight > 0 THEN weight ELSE 0 END) AS BIGINT) AS articleTypeWeightTotal,
+    CAST(sum(CASE WHEN subCategory <> '' AND weight > 0 THEN weight ELSE 0 END) AS BIGINT) AS subCategoryWeightTotal
+  FROM vwin GROUP BY wstart, sessionId),
+shist AS (
+  SELECT sessionId, count(*) AS searchCount FROM valid
+  WHERE event = 'search' AND query <> '' GROUP BY 1),
+sstate AS (
+  SELECT w.sessionId,
+    first(userId ORDER BY window_start DESC) AS userId,
+    min(firstSeen) AS firstSeen, max(lastSeen) AS lastSeen,
+    first(lastEvent_event ORDER BY window_start DESC) AS lastEvent_event,
+    first(lastEvent_ts ORDER BY window_start DESC) AS lastEvent_ts,
+    max(window_start) AS lastWindow_start,
+    CAST(sum(heartbeat_count) AS BIGINT) AS heartbeat_count,
+    CAST(sum(search_count) AS BIGINT) AS search_count,
+    CAST(sum(view_product_count) AS BIGINT) AS view_product_count,
+    CAST(sum(add_to_cart_count) AS BIGINT) AS add_to_cart_count,
+    CAST(sum(exit_risk_count) AS BIGINT) AS exit_risk_count,
+    count(*) AS windowCount
+  FROM swin w GROUP BY w.sessionId)"""
+
+
+def intent_sql(key: str) -> str:
+    """Long intent rows of one dimension over one-day windows."""
+    return f"""
+SELECT date_trunc('day', ts) AS window_start, sessionId, {key},
+  CAST(count(*) FILTER (WHERE event = 'search') AS INTEGER) AS searchCount,
+  CAST(count(*) FILTER (WHERE event = 'view-product') AS INTEGER) AS viewCount,
+  CAST(count(*) FILTER (WHERE event = 'add-to-cart') AS INTEGER) AS addToCartCount,
+  CAST(sum(weight) AS INTEGER) AS weight,
+  sum(weight) / sum(sum(weight)) OVER (PARTITION BY date_trunc('day', ts), sessionId) AS focus
+FROM vwin WHERE {key} <> '' AND weight > 0
+GROUP BY 1, 2, 3"""
+
+
+FEATURES = """
+feat_sig AS (
+  SELECT uid, count(*) AS total_signals,
+    count(*) FILTER (WHERE signal = 'exit-risk') AS exit_risk_count,
+    count(*) FILTER (WHERE signal = 'search-friction') AS search_friction_count,
+    count(*) FILTER (WHERE signal = 'high-intent') AS high_intent_count,
+    count(DISTINCT sid) AS session_count
+  FROM signals GROUP BY uid),
+feat_nba AS (
+  SELECT uid, count(*) AS total_nbas, count(*) FILTER (WHERE redeemed) AS redeemed_count
+  FROM nbas GROUP BY uid),
+features AS (
+  SELECT s.uid, s.total_signals, s.exit_risk_count, s.search_friction_count, s.high_intent_count,
+    s.session_count, coalesce(n.total_nbas, 0) AS total_nbas,
+    coalesce(n.redeemed_count, 0) AS redeemed_count,
+    CAST(s.exit_risk_count AS DOUBLE) / s.total_signals AS exit_risk_ratio,
+    CASE WHEN coalesce(n.total_nbas, 0) > 0
+         THEN CAST(n.redeemed_count AS DOUBLE) / n.total_nbas ELSE 0.0 END AS engagement_rate,
+    CAST(s.total_signals AS DOUBLE) / s.session_count AS signals_per_session
+  FROM feat_sig s LEFT JOIN feat_nba n ON s.uid = n.uid)"""
+
+FEATURE_COLUMNS = ["total_signals", "exit_risk_count", "search_friction_count",
+                   "high_intent_count", "session_count", "total_nbas", "redeemed_count",
+                   "exit_risk_ratio", "engagement_rate", "signals_per_session"]
+
+
+def tier_sql(p: str) -> str:
+    return (f"CASE WHEN {p} > -0.01 AND {p} <= 0.3 THEN 'Low' "
+            f"WHEN {p} > 0.3 AND {p} <= 0.6 THEN 'Medium' "
+            f"WHEN {p} > 0.6 AND {p} <= 1.01 THEN 'High' END")
+
+
+def top_factor_sql(weights: list[float]) -> str:
+    """argmax of value x weight, first feature in order on a tie."""
+    c = [f"(CAST(coalesce({f}, 0) AS DOUBLE) * {float(w)!r})"
+         for f, w in zip(FEATURE_COLUMNS, weights)]
+    branches = []
+    for i, f in enumerate(FEATURE_COLUMNS):
+        conds = [f"{c[i]} > {c[j]}" for j in range(i)] + \
+                [f"{c[i]} >= {c[j]}" for j in range(i + 1, len(c))]
+        branches.append(f"WHEN {' AND '.join(conds)} THEN '{f}'")
+    return "CASE " + " ".join(branches) + " END"

@@ -94,3 +94,233 @@ SELECT uid, signal, count, CAST(round_even(CAST(count AS DOUBLE) / CAST(sum(coun
 FROM (SELECT uid, signal, count(*) AS count FROM signals GROUP BY 1, 2)""")
 def q_behavior_mix(spark, sf):
     return A.behavior_mix(signals(spark, sf))
+
+
+# ---------------------------------------------------------------- more shared inputs
+from ..functions import commerce as FC  # noqa: E402
+from ..functions import events as FE  # noqa: E402
+from ..operators import actions as AC  # noqa: E402
+from ..operators import commerce as CM  # noqa: E402
+from ..operators import features as FT  # noqa: E402
+from ..operators import search as SR  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+from ..sources import tables as TB  # noqa: E402
+
+# Fixed importances for the rule-based report scores (a deterministic
+# stand-in wherever a query needs a scores table that SQL can recompute).
+REPORT_IMPORTANCES = [0.05, 0.3, 0.1, 0.1, 0.05, 0.05, 0.05, 0.2, 0.05, 0.05]
+
+
+def nbas(spark, sf):
+    ev = events(spark, sf)
+    sig = S.all_signals(ev, DAY)
+    return AC.redeem(AC.nba_from_signals(sig), X.redemption_log(sig, ev))
+
+
+def features(spark, sf):
+    return FT.churn_features(signals(spark, sf), nbas(spark, sf))
+
+
+def rule_scores(feats: DataFrame) -> DataFrame:
+    """Scores with probability := exit_risk_ratio (SQL-reproducible)."""
+    p = F.col("exit_risk_ratio")
+    return feats.select(
+        "uid", p.alias("churn_probability"), FT.tier_of(p).alias("churn_risk_tier"),
+        FT.top_factor_expr(REPORT_IMPORTANCES).alias("top_risk_factor"),
+        "total_signals", "engagement_rate")
+
+
+def window_rows_flat(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+        "sessionId", "userId", "firstSeen", "lastSeen",
+        F.col("lastEvent.event").alias("lastEvent_event"),
+        F.col("lastEvent.ts").alias("lastEvent_ts"),
+        *[F.col(f"eventCounts.`{e}`").cast("long").alias(e.replace("-", "_") + "_count")
+          for e in ["heartbeat", "search", "view-product", "add-to-cart", "exit-risk"]],
+        *[F.col(f"dimensionTotals.{n}").cast("long").alias(n)
+          for n in ["productWeightTotal", "articleTypeWeightTotal", "subCategoryWeightTotal"]])
+
+
+SIGN = O.with_ctes(O.RETAIL_EVENTS, O.SIGNAL_STATS, O.NBAS)
+FEAT = O.with_ctes(O.RETAIL_EVENTS, O.SIGNAL_STATS, O.NBAS, O.FEATURES)
+SESS = O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS, O.SESSION_WINDOWS)
+RULE_SCORES = f"""rscores AS (
+  SELECT uid, exit_risk_ratio AS churn_probability, {O.tier_sql('exit_risk_ratio')} AS churn_risk_tier,
+    {O.top_factor_sql(REPORT_IMPORTANCES)} AS top_risk_factor, total_signals, engagement_rate
+  FROM features)"""
+SCOR = O.with_ctes(O.RETAIL_EVENTS, O.SIGNAL_STATS, O.NBAS, O.FEATURES, RULE_SCORES)
+
+
+# ---------------------------------------------------------------- §2.2 predicates
+@register("validate_event", O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS) + """
+SELECT r.event, (v.event_id IS NOT NULL) AS valid, count(*) AS events
+FROM revents r LEFT JOIN valid v ON r.event_id = v.event_id GROUP BY 1, 2""")
+def q_validate_event(spark, sf):
+    return events(spark, sf).groupBy(FE.EV().alias("event"),
+                                     FE.validate_event().alias("valid")) \
+        .agg(F.count(F.lit(1)).alias("events"))
+
+
+@register("validate_required_fields", O.with_ctes(O.RETAIL_EVENTS) + """
+SELECT event, (CASE event
+    WHEN 'view-product' THEN coalesce(productId <> '' AND subCategory <> '' AND brand <> '', false)
+    WHEN 'add-to-cart' THEN coalesce(productId <> '' AND subCategory <> '' AND brand <> '', false)
+    WHEN 'exit-risk' THEN coalesce(exitMethod <> '', false)
+    WHEN 'search' THEN coalesce(query <> '' AND productId <> '' AND subCategory <> '' AND articleType <> '' AND brand <> '', false)
+    ELSE true END) AS kept, count(*) AS events
+FROM revents GROUP BY 1, 2""")
+def q_validate_required(spark, sf):
+    return events(spark, sf).groupBy(FE.EV().alias("event"),
+                                     FE.validate_required_fields().alias("kept")) \
+        .agg(F.count(F.lit(1)).alias("events"))
+
+
+@register("match_identified_events", O.with_ctes(O.RETAIL_EVENTS) + """
+SELECT event, count(*) AS events FROM revents
+WHERE ts IS NOT NULL AND sessionId IS NOT NULL AND userId IS NOT NULL GROUP BY 1""")
+def q_match_identified(spark, sf):
+    return events(spark, sf).filter(FE.match_identified_events()) \
+        .groupBy(FE.EV().alias("event")).agg(F.count(F.lit(1)).alias("events"))
+
+
+@register("event_weight", O.with_ctes(O.RETAIL_EVENTS) + """
+SELECT event_id, event, CASE event WHEN 'search' THEN 1 WHEN 'view-product' THEN 3
+  WHEN 'add-to-cart' THEN 7 ELSE 0 END AS weight FROM revents""")
+def q_event_weight(spark, sf):
+    return events(spark, sf).select("event_id", FE.EV().alias("event"),
+                                    FE.event_weight().alias("weight"))
+
+
+@register("event_priority", O.with_ctes(O.RETAIL_EVENTS) + """
+SELECT event_id, event, CASE WHEN event = 'exit-risk' THEN 1 ELSE 0 END AS priority FROM revents""")
+def q_event_priority(spark, sf):
+    return events(spark, sf).select("event_id", FE.EV().alias("event"),
+                                    FE.event_priority().alias("priority"))
+
+
+FACET_BRANDS = ["Brand#1", "Brand#7", "Brand#13"]
+FACET_CATEGORIES = ["ECONOMY", "SMALL"]
+
+
+@register("facet_filter", f"""
+SELECT CAST(p_partkey AS VARCHAR) AS _id, p_name AS name, p_brand AS brand, p_type AS masterCategory
+FROM part WHERE p_brand IN {tuple(FACET_BRANDS)} AND p_type IN {tuple(FACET_CATEGORIES)}""")
+def q_facet_filter(spark, sf):
+    return SR.facet_filter(X.products(spark, sf, with_embedding=False), FACET_BRANDS,
+                           FACET_CATEGORIES).select("_id", "name", "brand", "masterCategory")
+
+
+@register("exists_filter", """
+SELECT CAST(p_partkey AS VARCHAR) AS _id, p_name AS name FROM part
+WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE CAST(e.vec_id AS VARCHAR) = CAST(p_partkey AS VARCHAR))""")
+def q_exists_filter(spark, sf):
+    return SR.exists_filter(X.products(spark, sf, with_embedding=False),
+                            X.product_embeddings(spark, sf)).select("_id", "name")
+
+
+@register("embedding_text", """
+SELECT CAST(p_partkey AS VARCHAR) AS _id,
+  concat_ws(' ', p_name, NULL, p_brand, string_split(p_name, ' ')[-1], 'size-' || CAST(p_size // 10 AS VARCHAR)) AS text
+FROM part""")
+def q_embedding_text(spark, sf):
+    return X.products(spark, sf, with_embedding=False).select(
+        "_id", FC.embedding_text().alias("text"))
+
+
+@register("embedding_backlog", """
+SELECT CAST(p_partkey AS VARCHAR) AS _id,
+  concat_ws(' ', p_name, NULL, p_brand, string_split(p_name, ' ')[-1], 'size-' || CAST(p_size // 10 AS VARCHAR)) AS text
+FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL)""")
+def q_embedding_backlog(spark, sf):
+    return SR.embedding_backlog(X.products(spark, sf, with_embedding=False),
+                                X.product_embeddings(spark, sf))
+
+
+@register("signal_id", SIG + "SELECT _id, sid, signal FROM signals")
+def q_signal_id(spark, sf):
+    return signals(spark, sf).select("_id", "sid", "signal")
+
+
+@register("window_end_ts", SIG + "SELECT _id, ts FROM signals")
+def q_window_end_ts(spark, sf):
+    return signals(spark, sf).select("_id", "ts")
+
+
+@register("evidence_text", SIG + "SELECT _id, severity, evidence FROM signals")
+def q_evidence_text(spark, sf):
+    return signals(spark, sf).select("_id", "severity", "evidence")
+
+
+ORDERS_CTE = """
+ord AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_orderkey AS okey, CAST(o_custkey AS VARCHAR) AS user,
+    CASE WHEN o_orderkey % 2 = 1 THEN 'Buy Online, Get Delivery at Home'
+         ELSE 'Buy Online, Pick up in Store' END AS type,
+    o_orderstatus, o_orderdate, o_orderpriority, c.c_name, c.c_nationkey
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey),
+ordst AS (
+  SELECT *, CASE WHEN o_orderstatus = 'O' THEN 1 WHEN o_orderstatus = 'P' THEN 2
+                 WHEN okey % 2 = 1 THEN 5 ELSE 4 END AS nsteps,
+    CASE WHEN okey % 2 = 1 THEN ['In Process', 'Ready for delivery', 'Picked up from warehouse', 'In Transit', 'Delivered']
+         ELSE ['In Process', 'Ready for pickup', 'Customer In Store', 'Completed'] END AS steps
+  FROM ord),
+olast AS (
+  SELECT *, steps[nsteps] AS status, epoch_ms(o_orderdate) + (nsteps - 1) * 3600000 AS status_ms
+  FROM ordst),
+olines AS (
+  SELECT CAST(l.l_orderkey AS VARCHAR) AS order_id, l.l_orderkey AS okey, l.l_linenumber AS pos,
+    CAST(l.l_partkey AS VARCHAR) AS product_id, p.p_name AS name, p.p_brand AS brand,
+    CAST(l.l_quantity AS INTEGER) AS amount, l.l_extendedprice / l.l_quantity AS unit_price,
+    l.l_returnflag AS returnflag
+  FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey)"""
+ORD = O.with_ctes(ORDERS_CTE)
+
+
+@register("norm_order_type", ORD + """
+SELECT _id, regexp_replace(upper(type), '\\s+', '', 'g') AS norm_type FROM ord""")
+def q_norm_order_type(spark, sf):
+    return X.orders_headers(spark, sf).select("_id", FC.norm_order_type(F.col("type")).alias("norm_type"))
+
+
+@register("shipping_method", ORD + """
+SELECT _id, CASE WHEN contains(lower(type), 'store') THEN 'bopis' ELSE 'home' END AS method FROM ord""")
+def q_shipping_method(spark, sf):
+    return X.orders_headers(spark, sf).select("_id", FC.shipping_method(F.col("type")).alias("method"))
+
+
+@register("order_address", ORD + f"""
+SELECT _id, CASE WHEN contains(lower(type), 'store') THEN '{X.STORE_ADDRESS}'
+  ELSE concat_ws(', ', c_name, 'nation ' || CAST(c_nationkey AS VARCHAR)) END AS shipping_address FROM ord""")
+def q_order_address(spark, sf):
+    h = X.orders_headers(spark, sf)
+    return h.select("_id", FC.order_address(F.col("type"), F.col("user_address"),
+                                            F.col("store_address")).alias("shipping_address"))
+
+
+@register("split_trigger", SIGN + """
+SELECT signal_id, triggeredBySignal, split_part(triggeredBySignal, '_', 1) AS severity,
+  substr(triggeredBySignal, strpos(triggeredBySignal, '_') + 1) AS signal FROM nbas""")
+def q_split_trigger(spark, sf):
+    n = AC.flat_nbas(nbas(spark, sf))
+    return n.select("signal_id", "triggeredBySignal",
+                    FE.split_trigger(F.col("triggeredBySignal")).alias("t")) \
+        .select("signal_id", "triggeredBySignal", "t.severity", "t.signal")
+
+
+@register("epoch_ms_to_ts", ORD + """
+SELECT _id, status_ms, make_timestamp(status_ms * 1000) AS status_ts FROM olast""")
+def q_epoch_ms_to_ts(spark, sf):
+    st = CM.latest_order_status(X.orders_docs(spark, sf))
+    h = X.orders_headers(spark, sf).select(
+        "_id", F.element_at("status_history", -1).getField("timestamp").alias("status_ms"))
+    return h.select("_id", "status_ms", FC.epoch_ms_to_ts(F.col("status_ms")).alias("status_ts")) \
+        if st is not None else h
+
+
+@register("pretty_date", ORD + """
+SELECT _id, strftime(make_timestamp(status_ms * 1000), '%b %-d, %Y at %-I:%M:%S %p') AS status_date FROM olast""")
+def q_pretty_date(spark, sf):
+    h = X.orders_headers(spark, sf).select(
+        "_id", F.element_at("status_history", -1).getField("timestamp").alias("ms"))
+    return h.select("_id", FC.pretty_date(FC.epoch_ms_to_ts(F.col("ms"))).alias("status_date"))

@@ -231,3 +231,26 @@ def cart_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderkey") * 16).alias("seq"), F.lit("clear").alias("op"),
         F.lit(None).cast(push.schema["product"].dataType).alias("product"))
     return push.unionByName(pull).unionByName(clear)
+
+
+def redemption_log(signals: DataFrame, events: DataFrame, horizon_ms: int = 86_400_000) -> DataFrame:
+    """Fixture rule for ``redeemed``: the signal's user buys (add-to-cart) in
+    ``[ts, ts + horizon)``.
+
+    Purchases are first reduced to (uid, bucket) -> (min ts, max ts), so
+    the join never pairs a signal with every purchase of a hot user. A
+    horizon-long range touches the signal's bucket b (needs max >= ts) and
+    bucket b+1 (needs min < ts + horizon): two equi-joins, exact.
+    """
+    bucket = lambda c: F.floor(F.unix_millis(c) / F.lit(horizon_ms)).cast("long")
+    buys = (events.filter(F.col("tags.event") == "add-to-cart")
+            .groupBy(F.col("tags.userId").alias("uid"), bucket(F.col("timestamp")).alias("b"))
+            .agg(F.min("timestamp").alias("first_buy"), F.max("timestamp").alias("last_buy")))
+    s = signals.select(F.col("_id").alias("signal_id"), "uid", "ts",
+                       bucket(F.col("ts")).alias("b"))
+    same = buys.select("uid", "b", "last_buy")
+    nxt = buys.select("uid", (F.col("b") - 1).alias("b"), "first_buy")
+    j = s.join(same, ["uid", "b"], "left").join(nxt, ["uid", "b"], "left")
+    hit = ((F.col("last_buy") >= F.col("ts"))
+           | (F.col("first_buy") < F.col("ts") + F.expr(f"make_dt_interval(0, 0, 0, {horizon_ms // 1000})")))
+    return j.filter(F.coalesce(hit, F.lit(False))).select("signal_id")

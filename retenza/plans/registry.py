@@ -324,3 +324,202 @@ def q_pretty_date(spark, sf):
     h = X.orders_headers(spark, sf).select(
         "_id", F.element_at("status_history", -1).getField("timestamp").alias("ms"))
     return h.select("_id", FC.pretty_date(FC.epoch_ms_to_ts(F.col("ms"))).alias("status_date"))
+
+
+# ---------------------------------------------------------------- §2.3 aggregations
+def _mix_sql(src: str, key: str, out: str, where: str = "") -> str:
+    return f"""
+SELECT uid, {out}, count,
+  CAST(round_even(CAST(count AS DOUBLE) / CAST(sum(count) OVER (PARTITION BY uid) AS DOUBLE) * 100, 0) AS BIGINT) AS percentage
+FROM (SELECT uid, {key} AS {out}, count(*) AS count FROM {src} {where} GROUP BY 1, 2)"""
+
+
+@register("nba_mix", SIGN + _mix_sql("nbas", "type", "type"))
+def q_nba_mix(spark, sf):
+    return A.nba_mix(nbas(spark, sf))
+
+
+@register("engaged_mix", SIGN + _mix_sql("nbas", "type", "actionType", "WHERE redeemed"))
+def q_engaged_mix(spark, sf):
+    return A.engaged_mix(nbas(spark, sf))
+
+
+@register("most_responsive_action", SIGN + f"""
+SELECT uid, actionType, count, percentage FROM (
+  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY percentage DESC, actionType) AS rn
+  FROM ({_mix_sql("nbas", "type", "actionType", "WHERE redeemed")})) WHERE rn = 1""")
+def q_most_responsive(spark, sf):
+    return A.most_responsive_action(nbas(spark, sf))
+
+
+@register("conversion_rate", SIGN + """,
+ev_s AS (SELECT sessionId AS sid,
+    count(*) FILTER (WHERE event = 'add-to-cart') AS productsAddedToCart,
+    count(*) FILTER (WHERE event = 'view-product') AS totalProductsViewed,
+    count(*) AS events FROM revents GROUP BY 1),
+nb_s AS (SELECT sid, count(*) AS nbas FROM nbas GROUP BY 1)
+SELECT e.sid, productsAddedToCart, totalProductsViewed, events,
+  CASE WHEN totalProductsViewed > 0
+       THEN round(CAST(productsAddedToCart AS DOUBLE) / totalProductsViewed * 100, 1) ELSE 0.0 END AS conversionRate,
+  coalesce(n.nbas, 0) AS nbas
+FROM ev_s e LEFT JOIN nb_s n ON e.sid = n.sid""".replace("WITH ", "WITH ", 1))
+def q_conversion_rate(spark, sf):
+    return A.conversion_rate(events(spark, sf), nbas(spark, sf))
+
+
+@register("unredeemed_count", SIGN + """
+SELECT uid, count(*) FILTER (WHERE NOT redeemed) AS unredeemed FROM nbas GROUP BY 1""")
+def q_unredeemed(spark, sf):
+    return A.unredeemed_count(nbas(spark, sf))
+
+
+@register("signal_distribution", SIG + "SELECT signal, count(*) AS count FROM signals GROUP BY 1")
+def q_signal_distribution(spark, sf):
+    return A.signal_distribution(signals(spark, sf))
+
+
+@register("signal_severity_distribution",
+          SIG + "SELECT signal, severity, count(*) AS count FROM signals GROUP BY 1, 2")
+def q_signal_severity_distribution(spark, sf):
+    return A.signal_severity_distribution(signals(spark, sf))
+
+
+@register("nba_distribution", SIGN + "SELECT type, count(*) AS count FROM nbas GROUP BY 1")
+def q_nba_distribution(spark, sf):
+    return A.nba_distribution(nbas(spark, sf))
+
+
+@register("nba_redeemed_distribution",
+          SIGN + "SELECT type, redeemed, count(*) AS count FROM nbas GROUP BY 1, 2")
+def q_nba_redeemed_distribution(spark, sf):
+    return A.nba_redeemed_distribution(nbas(spark, sf))
+
+
+@register("signals_by_day", SIG + """
+SELECT CAST(ts AS DATE) AS day, signal, count(*) AS count FROM signals GROUP BY 1, 2""")
+def q_signals_by_day(spark, sf):
+    return A.signals_by_day(signals(spark, sf))
+
+
+@register("redemption_rate", SIGN + """
+SELECT type, count(*) AS total, count(*) FILTER (WHERE redeemed) AS redeemed,
+  avg(CAST(redeemed AS DOUBLE)) AS redemption_rate
+FROM nbas GROUP BY ROLLUP (type)""")
+def q_redemption_rate(spark, sf):
+    return A.redemption_rate(nbas(spark, sf))
+
+
+@register("risk_distribution", SCOR + """
+SELECT churn_risk_tier, count(*) AS users FROM rscores GROUP BY 1""")
+def q_risk_distribution(spark, sf):
+    return A.risk_distribution(rule_scores(features(spark, sf)))
+
+
+@register("scoring_summary", SCOR + """
+SELECT count(*) AS users, count(*) FILTER (WHERE churn_risk_tier = 'High') AS high_risk,
+  count(*) FILTER (WHERE churn_risk_tier = 'Medium') AS medium_risk,
+  count(*) FILTER (WHERE churn_risk_tier = 'Low') AS low_risk,
+  avg(engagement_rate) AS avg_engagement_rate FROM rscores""")
+def q_scoring_summary(spark, sf):
+    return A.scoring_summary(rule_scores(features(spark, sf)))
+
+
+@register("user_signal_features", FEAT + "SELECT * FROM feat_sig")
+def q_user_signal_features(spark, sf):
+    return FT.user_signal_features(signals(spark, sf))
+
+
+@register("user_nba_features", FEAT + "SELECT * FROM feat_nba")
+def q_user_nba_features(spark, sf):
+    return FT.user_nba_features(nbas(spark, sf))
+
+
+@register("churn_features", FEAT + "SELECT * FROM features")
+def q_churn_features(spark, sf):
+    return features(spark, sf)
+
+
+@register("churn_label", FEAT + """
+SELECT uid, CAST(exit_risk_ratio > 0.4 AND engagement_rate < 0.3 AS INTEGER) AS churned FROM features""")
+def q_churn_label(spark, sf):
+    return FT.churn_label(features(spark, sf)).select("uid", "churned")
+
+
+@register("risk_tier", FEAT + f"""
+SELECT uid, exit_risk_ratio AS churn_probability, {O.tier_sql('exit_risk_ratio')} AS churn_risk_tier
+FROM features""")
+def q_risk_tier(spark, sf):
+    f = features(spark, sf).select("uid", F.col("exit_risk_ratio").alias("churn_probability"))
+    return FT.risk_tier(f)
+
+
+@register("top_risk_factor", FEAT + f"""
+SELECT uid, {O.top_factor_sql(REPORT_IMPORTANCES)} AS top_risk_factor FROM features""")
+def q_top_risk_factor(spark, sf):
+    return FT.top_risk_factor(features(spark, sf), REPORT_IMPORTANCES).select("uid", "top_risk_factor")
+
+
+# ---------------------------------------------------------------- §2.5 windows / state
+@register("tumbling_window", O.with_ctes(O.RETAIL_EVENTS) + """
+SELECT event_id, time_bucket(INTERVAL 10 SECOND, ts) AS window_start,
+  time_bucket(INTERVAL 10 SECOND, ts) + INTERVAL 10 SECOND AS window_end FROM revents""")
+def q_tumbling_window(spark, sf):
+    w = W.tumbling_window(events(spark, sf), "10 seconds")
+    return w.select("event_id", F.col("window.start").alias("window_start"),
+                    F.col("window.end").alias("window_end"))
+
+
+@register("dead_letter_split", O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS) + """
+SELECT event_id, userId, sessionId, event FROM revents
+WHERE event_id NOT IN (SELECT event_id FROM valid)""")
+def q_dead_letter_split(spark, sf):
+    _, dlq = W.dead_letter_split(events(spark, sf))
+    return dlq.select("event_id", F.col("tags.userId").alias("userId"),
+                      F.col("tags.sessionId").alias("sessionId"), F.col("tags.event").alias("event"))
+
+
+@register("session_window_agg", SESS + "SELECT * FROM swin")
+def q_session_window_agg(spark, sf):
+    return window_rows_flat(W.session_window_rows(valid_events(spark, sf), DAY))
+
+
+@register("event_counts", SESS + """
+SELECT window_start, sessionId, heartbeat_count, search_count, view_product_count,
+  add_to_cart_count, exit_risk_count FROM swin""")
+def q_event_counts(spark, sf):
+    c = W.event_counts(valid_events(spark, sf), DAY)
+    return c.select(F.col("window.start").alias("window_start"), "sessionId",
+                    *[F.col(f"eventCounts.`{e}`").cast("long").alias(e.replace("-", "_") + "_count")
+                      for e in ["heartbeat", "search", "view-product", "add-to-cart", "exit-risk"]])
+
+
+@register("intent_dimension_totals", SESS + """
+SELECT window_start, sessionId, productWeightTotal, articleTypeWeightTotal, subCategoryWeightTotal
+FROM swin""")
+def q_intent_dimension_totals(spark, sf):
+    t = W.intent_dimension_totals(valid_events(spark, sf), DAY)
+    return t.select(F.col("window.start").alias("window_start"), "sessionId",
+                    *[F.col(f"dimensionTotals.{n}").cast("long").alias(n) for n in
+                      ["productWeightTotal", "articleTypeWeightTotal", "subCategoryWeightTotal"]])
+
+
+def _intent(fn):
+    def q(spark, sf):
+        df = fn(valid_events(spark, sf), DAY)
+        return df.withColumn("window_start", F.col("window.start")).drop("window")
+    return q
+
+
+register("intent_products", SESS + O.intent_sql("productId"))(_intent(W.intent_products))
+register("intent_article_types", SESS + O.intent_sql("articleType"))(_intent(W.intent_article_types))
+register("intent_sub_categories", SESS + O.intent_sql("subCategory"))(_intent(W.intent_sub_categories))
+
+
+@register("session_state", SESS + """
+SELECT s.*, coalesce(h.searchCount, 0) AS searchCount
+FROM sstate s LEFT JOIN shist h ON s.sessionId = h.sessionId""")
+def q_session_state(spark, sf):
+    v = valid_events(spark, sf)
+    rows = W.session_window_rows(v, DAY)
+    hist = W.search_history_long(v, DAY)
+    return W.flat_session_state(W.session_state_flat(rows, hist))

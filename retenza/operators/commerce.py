@@ -87,7 +87,8 @@ def last_bought_products(lines: DataFrame, n: int, order_key: str = "okey") -> D
     ``row_number() <= n`` is planned with a per-partition group limit
     before the shuffle, so each map task forwards at most n rows per user.
     """
-    w = Window.partitionBy("user").orderBy(F.desc(order_key), F.asc("pos"))
+    tie = [F.asc("product_id")] if "product_id" in lines.columns else []
+    w = Window.partitionBy("user").orderBy(F.desc(order_key), F.asc("pos"), *tie)
     return (lines.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= n))
 

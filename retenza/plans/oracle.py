@@ -236,3 +236,46 @@ def top_factor_sql(weights: list[float]) -> str:
                 [f"{c[i]} >= {c[j]}" for j in range(i + 1, len(c))]
         branches.append(f"WHEN {' AND '.join(conds)} THEN '{f}'")
     return "CASE " + " ".join(branches) + " END"
+
+
+def bm25_sql(queries_cte: str, k: int) -> str:
+    """BM25 (k1 1.2, b 0.75) over name, articleType, subCategory, brand;
+    ``queries_cte`` must define ``tq(query_id, text)``."""
+    return f"""{queries_cte},
+pdoc AS (SELECT CAST(p_partkey AS VARCHAR) AS _id,
+  concat_ws(' ', p_name, string_split(p_name, ' ')[-1], 'size-' || CAST(p_size // 10 AS VARCHAR), p_brand) AS txt
+  FROM part),
+ptok AS (SELECT _id, list_filter(regexp_split_to_array(lower(txt), '[^a-z0-9]+'), t -> t <> '') AS toks FROM pdoc),
+pdl AS (SELECT _id, len(toks) AS dl FROM ptok),
+post AS (SELECT term, _id, count(*) AS tf FROM (SELECT _id, unnest(toks) AS term FROM ptok) GROUP BY 1, 2),
+pdf AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+pst AS (SELECT count(*) AS N, avg(dl) AS avgdl FROM pdl),
+qtok AS (SELECT DISTINCT query_id, term FROM (
+  SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), t -> t <> '')) AS term
+  FROM tq)),
+bsc AS (
+  SELECT q.query_id, p._id,
+    sum(ln(1 + (s.N - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.2
+        / (p.tf + 1.2 * (1 - 0.75 + 0.75 * l.dl / s.avgdl))) AS score
+  FROM qtok q JOIN pdf d ON q.term = d.term JOIN post p ON p.term = q.term
+  JOIN pdl l ON l._id = p._id CROSS JOIN pst s GROUP BY 1, 2),
+bm25 AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, _id) AS rank
+  FROM bsc) WHERE rank <= {k})"""
+
+
+CATALOG = """
+cat AS (
+  SELECT CAST(e.vec_id AS VARCHAR) AS _id, CAST(e.embedding AS DOUBLE[]) AS v
+  FROM embeddings e JOIN part p ON e.vec_id = p.p_partkey WHERE e.embedding IS NOT NULL)"""
+
+
+def knn_sql(queries_cte: str, k: int, exclude_self: bool = False) -> str:
+    """Exact cosine top-k; ``queries_cte`` defines ``vq(query_id, qv)``."""
+    cond = "WHERE c._id <> q.query_id" if exclude_self else ""
+    return f"""{queries_cte},
+vsc AS (SELECT q.query_id, c._id, list_cosine_similarity(q.qv, c.v) AS score
+        FROM vq q, cat c {cond}),
+knn AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, _id) AS rank
+  FROM vsc) WHERE rank <= {k})"""

@@ -523,3 +523,256 @@ def q_session_state(spark, sf):
     rows = W.session_window_rows(v, DAY)
     hist = W.search_history_long(v, DAY)
     return W.flat_session_state(W.session_state_flat(rows, hist))
+
+
+# ---------------------------------------------------------------- §2.4 joins, arrays
+def scored_users(spark, sf):
+    """Fixture 'predictions': rule scores of the users that already had a
+    search-friction signal (scored when their discount was decided)."""
+    sig = signals(spark, sf)
+    engaged = sig.filter(F.col("signal") == "search-friction").select("uid").distinct()
+    return rule_scores(FT.churn_features(sig, nbas(spark, sf), engaged))
+
+
+PRED = SCOR.rstrip("\n") + """,
+preds AS (SELECT * FROM rscores WHERE uid IN (SELECT uid FROM signals WHERE signal = 'search-friction'))
+"""
+
+
+@register("new_users", PRED + """
+SELECT DISTINCT uid FROM signals WHERE uid NOT IN (SELECT uid FROM preds)""")
+def q_new_users(spark, sf):
+    return FT.new_users(signals(spark, sf), scored_users(spark, sf))
+
+
+@register("signals_of_new_users", PRED + """
+SELECT * FROM signals WHERE uid NOT IN (SELECT uid FROM preds)""")
+def q_signals_of_new_users(spark, sf):
+    sig = signals(spark, sf)
+    fresh = FT.new_users(sig, scored_users(spark, sf))
+    return S.flat_signals(FT.signals_of_new_users(sig, fresh))
+
+
+@register("score_lookup", PRED + """
+SELECT DISTINCT r.userId AS uid, p.churn_probability, p.churn_risk_tier, p.top_risk_factor,
+  p.uid IS NOT NULL AS cached
+FROM revents r LEFT JOIN preds p ON r.userId = p.uid""")
+def q_score_lookup(spark, sf):
+    uids = events(spark, sf).select(F.col("tags.userId").alias("uid"))
+    return FT.score_lookup(uids, scored_users(spark, sf))
+
+
+@register("nba_product_embed", SIGN + """,
+buyers AS (SELECT productId, count(DISTINCT uid) AS buyers FROM nbas
+           WHERE signal = 'high-intent' AND productId IN (SELECT CAST(p_partkey AS VARCHAR) FROM part)
+           GROUP BY 1)
+SELECT n.signal_id, n.productId,
+  CASE WHEN n.signal = 'high-intent' AND b.buyers IS NOT NULL THEN n.productId END AS embedProductId,
+  CASE WHEN n.signal = 'high-intent' AND b.buyers IS NOT NULL
+       THEN CAST(b.buyers AS VARCHAR) || ' people added this to their cart recently' END AS embedMessage
+FROM nbas n LEFT JOIN buyers b ON n.productId = b.productId""".replace("WITH ", "WITH ", 1))
+def q_nba_product_embed(spark, sf):
+    sig = signals(spark, sf)
+    n = AC.nba_from_signals(sig, products=X.products(spark, sf, with_embedding=False))
+    return n.select("signal_id", "productId",
+                    F.col("embedInProduct.productId").alias("embedProductId"),
+                    F.col("embedInProduct.message").alias("embedMessage"))
+
+
+INTENTS = """,
+lastq AS (SELECT sessionId AS sid, last(query ORDER BY ts, event_id) AS lastQuery, count(*) AS n
+          FROM valid WHERE event = 'search' AND query <> '' GROUP BY 1),
+intents AS (
+  SELECT s._id AS signal_id, s.sid,
+    CASE WHEN coalesce(l.n, 0) > 0 THEN l.lastQuery ELSE s.topic_value END AS intentSummary
+  FROM signals s LEFT JOIN lastq l ON s.sid = l.sid WHERE s.signal = 'search-friction')"""
+INT = O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS, O.SIGNAL_STATS).rstrip("\n") + INTENTS + "\n"
+
+
+def intents(spark, sf):
+    v = valid_events(spark, sf)
+    fr = signals(spark, sf).filter(F.col("signal") == "search-friction")
+    j = AC.session_for_signal(fr, W.search_history_long(v, DAY))
+    return j.select(F.col("_id").alias("signal_id"), "sid", "intentSummary")
+
+
+@register("session_for_signal", INT + "SELECT * FROM intents")
+def q_session_for_signal(spark, sf):
+    return intents(spark, sf)
+
+
+@register("unwind_signals", SIG + "SELECT * FROM signals")
+def q_unwind_signals(spark, sf):
+    sig = S.flat_signals(signals(spark, sf))
+    arrays = sig.groupBy("sid", "ts").agg(F.collect_list(F.struct(*sig.columns)).alias("signals"))
+    return S.unwind_signals(arrays)
+
+
+@register("filter_array", O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS) + """
+SELECT date_trunc('day', ts) AS window_start, sessionId,
+  row_number() OVER (PARTITION BY date_trunc('day', ts), sessionId ORDER BY ts, event_id) AS pos, query
+FROM valid WHERE event = 'search' AND query <> ''""")
+def q_filter_array(spark, sf):
+    v = valid_events(spark, sf)
+    raw = v.filter(F.col("tags.event") == "search").groupBy(
+        F.window("timestamp", DAY).alias("window"), F.col("tags.sessionId").alias("sessionId")) \
+        .agg(F.array_sort(F.collect_list(F.struct("timestamp", "event_id",
+                                                   F.col("metadata.query").alias("q")))).alias("a"))
+    kept = raw.select("window", "sessionId",
+                      FC.filter_array(F.transform("a", lambda x: x.getField("q"))).alias("h"))
+    return kept.select(F.col("window.start").alias("window_start"), "sessionId",
+                       F.posexplode("h").alias("pos", "query")) \
+        .withColumn("pos", (F.col("pos") + 1).cast("long"))
+
+
+@register("concat_history", O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS) + """
+SELECT sessionId, row_number() OVER (PARTITION BY sessionId ORDER BY ts, event_id) AS pos, query
+FROM valid WHERE event = 'search' AND query <> ''""")
+def q_concat_history(spark, sf):
+    docs = W.session_window_agg(valid_events(spark, sf), DAY)
+    state = W.session_state(docs)
+    return state.select("sessionId", F.posexplode("searchHistory").alias("pos", "query")) \
+        .withColumn("pos", (F.col("pos") + 1).cast("long"))
+
+
+@register("random_sample_products")
+def q_random_sample(spark, sf):
+    return CM.random_sample_products(X.products(spark, sf, with_embedding=False), 20, 42) \
+        .select("_id", "name", "brand")
+
+
+EDITS = ORDERS_CTE + """,
+oopen AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS user, o_orderpriority FROM orders WHERE o_orderstatus = 'O'),
+edits AS (
+  SELECT o.user, l.okey * 16 + l.pos AS seq, 'push' AS op, l.product_id, l.name, l.brand, l.amount, l.unit_price
+  FROM olines l JOIN oopen o ON l.okey = o.o_orderkey
+  UNION ALL
+  SELECT o.user, l.okey * 16 + l.pos + 8, 'pull', l.product_id, l.name, l.brand, l.amount, l.unit_price
+  FROM olines l JOIN oopen o ON l.okey = o.o_orderkey WHERE l.returnflag = 'R'
+  UNION ALL
+  SELECT user, o_orderkey * 16, 'clear', NULL, NULL, NULL, NULL, NULL FROM oopen
+  WHERE o_orderpriority = '1-URGENT')"""
+
+
+def _fold_sql(ops: tuple[str, ...]) -> str:
+    ops_sql = ", ".join(f"'{o}'" for o in ops)
+    return O.with_ctes(EDITS) + f""",
+e AS (SELECT * FROM edits WHERE op IN ({ops_sql})),
+lc AS (SELECT user, max(seq) AS last_clear FROM e WHERE op = 'clear' GROUP BY 1),
+lp AS (SELECT user, product_id, max(seq) AS last_pull FROM e WHERE op = 'pull' GROUP BY 1, 2),
+cart AS (
+  SELECT p.user, p.seq AS pos, p.product_id, p.name, p.brand, p.amount, p.unit_price
+  FROM e p LEFT JOIN lc ON p.user = lc.user
+  LEFT JOIN lp ON p.user = lp.user AND p.product_id = lp.product_id
+  WHERE p.op = 'push' AND p.seq > coalesce(lc.last_clear, -1) AND p.seq > coalesce(lp.last_pull, -1))
+""".replace("WITH ", "WITH ", 1)
+
+
+def _fold(ops):
+    def q(spark, sf):
+        e = X.cart_edits(spark, sf).filter(F.col("op").isin(*ops))
+        return CM.cart_state(e)
+    return q
+
+
+register("array_push", _fold_sql(("push",)) + "SELECT * FROM cart")(_fold(("push",)))
+register("array_pull", _fold_sql(("push", "pull")) + "SELECT * FROM cart")(_fold(("push", "pull")))
+register("array_clear", _fold_sql(("push", "pull", "clear")) + "SELECT * FROM cart")(
+    _fold(("push", "pull", "clear")))
+
+
+@register("cart_totals", _fold_sql(("push", "pull", "clear")) + """
+SELECT u.user, coalesce(sum(c.unit_price * c.amount), 0.0) AS totalPrice,
+  CAST(coalesce(sum(c.amount), 0) AS BIGINT) AS totalAmount
+FROM (SELECT DISTINCT user FROM edits) u LEFT JOIN cart c ON u.user = c.user GROUP BY u.user""")
+def q_cart_totals(spark, sf):
+    e = X.cart_edits(spark, sf)
+    return CM.cart_totals(CM.cart_state(e), carts=e.select("user"))
+
+
+@register("order_totals", ORD + """
+SELECT order_id, sum(unit_price * CASE WHEN coalesce(amount, 0) = 0 THEN 1 ELSE amount END) AS totalPrice,
+  CAST(sum(CASE WHEN coalesce(amount, 0) = 0 THEN 1 ELSE amount END) AS BIGINT) AS totalAmount
+FROM olines GROUP BY 1""")
+def q_order_totals(spark, sf):
+    return CM.order_totals(X.order_lines(spark, sf).withColumnRenamed("_id", "product_id"))
+
+
+@register("orders_newest_first", ORD + "SELECT user, _id, okey FROM ord")
+def q_orders_newest_first(spark, sf):
+    return CM.orders_newest_first(X.orders_headers(spark, sf)).select("user", "_id", "okey")
+
+
+@register("latest_order_status", ORD + """
+SELECT _id, user, type, status, make_timestamp(status_ms * 1000) AS status_ts,
+  contains(lower(status), 'cancel') AS isCanceled,
+  (contains(lower(type), 'store') AND contains(lower(status), 'ready')) AS packageIsInTheStore
+FROM olast""")
+def q_latest_order_status(spark, sf):
+    return CM.latest_order_status(X.orders_headers(spark, sf))
+
+
+@register("order_summary", ORD + f""",
+nl AS (SELECT order_id, count(*) AS n FROM olines GROUP BY 1)
+SELECT o._id AS id, o.user, CASE WHEN contains(lower(o.type), 'store') THEN '{X.STORE_ADDRESS}'
+  ELSE concat_ws(', ', o.c_name, 'nation ' || CAST(o.c_nationkey AS VARCHAR)) END AS shipping_address,
+  o.status, strftime(make_timestamp(o.status_ms * 1000), '%b %-d, %Y at %-I:%M:%S %p') AS status_date,
+  o.type, coalesce(nl.n, 0) AS n_products
+FROM olast o LEFT JOIN nl ON o._id = nl.order_id""".replace("WITH ", "WITH ", 1))
+def q_order_summary(spark, sf):
+    s = CM.order_summary(X.orders_docs(spark, sf))
+    return s.withColumn("n_products", F.size("products").cast("long")).drop("products")
+
+
+def user_lines(spark, sf):
+    lines = X.order_lines(spark, sf).withColumnRenamed("_id", "product_id")
+    o = X.read(spark, sf, "orders").select(F.col("o_orderkey").alias("okey"),
+                                           F.col("o_custkey").cast("string").alias("user"))
+    return lines.join(o, "okey")
+
+
+@register("last_bought_products", ORD + """
+SELECT * FROM (
+  SELECT CAST(o.o_custkey AS VARCHAR) AS user, l.order_id, l.pos, l.product_id,
+    row_number() OVER (PARTITION BY o.o_custkey ORDER BY l.okey DESC, l.pos, l.product_id) AS rank
+  FROM olines l JOIN orders o ON l.okey = o.o_orderkey) WHERE rank <= 5""")
+def q_last_bought(spark, sf):
+    return CM.last_bought_products(user_lines(spark, sf), 5).select(
+        "user", "order_id", "pos", "product_id", "rank")
+
+
+@register("latest_by_key", ORD + """
+SELECT _id, status, status_ms AS timestamp FROM olast""")
+def q_latest_by_key(spark, sf):
+    feed = X.orders_headers(spark, sf).select("_id", F.explode("status_history").alias("h")) \
+        .select("_id", "h.status", "h.timestamp")
+    return CM.latest_by_key(feed, "_id", "timestamp")
+
+
+@register("product_notifications", SIGN + """,
+buyers AS (SELECT productId, count(DISTINCT uid) AS buyers FROM nbas
+           WHERE signal = 'high-intent' AND productId IN (SELECT CAST(p_partkey AS VARCHAR) FROM part)
+           GROUP BY 1),
+emb AS (SELECT n.productId, CAST(b.buyers AS VARCHAR) || ' people added this to their cart recently' AS message,
+          n.ts AS version, n.signal_id
+        FROM nbas n JOIN buyers b ON n.productId = b.productId WHERE n.signal = 'high-intent')
+SELECT productId, first(message ORDER BY version DESC, signal_id DESC) AS message,
+  first(signal_id ORDER BY version DESC, signal_id DESC) AS signal_id, max(version) AS version
+FROM emb GROUP BY 1""".replace("WITH ", "WITH ", 1))
+def q_product_notifications(spark, sf):
+    n = AC.nba_from_signals(signals(spark, sf), products=X.products(spark, sf, with_embedding=False))
+    return CM.product_notifications(n)
+
+
+BROWSE_PAGE = 1
+
+
+@register("browse_page", f"""
+SELECT * FROM (
+  SELECT CAST(p_partkey AS VARCHAR) AS _id, p_name AS name, count(*) OVER () AS totalItems,
+    row_number() OVER (ORDER BY p_partkey) AS position
+  FROM (SELECT * FROM part WHERE p_brand IN {tuple(FACET_BRANDS)} ORDER BY p_partkey LIMIT 3000))
+WHERE position > {BROWSE_PAGE * 20} AND position <= {BROWSE_PAGE * 20 + 20}""")
+def q_browse_page(spark, sf):
+    return SR.browse_page(X.products(spark, sf, with_embedding=False), FACET_BRANDS, (),
+                          page=BROWSE_PAGE).select("_id", "name", "totalItems", "position")

@@ -245,13 +245,13 @@ def bm25_sql(queries_cte: str, k: int) -> str:
 pdoc AS (SELECT CAST(p_partkey AS VARCHAR) AS _id,
   concat_ws(' ', p_name, string_split(p_name, ' ')[-1], 'size-' || CAST(p_size // 10 AS VARCHAR), p_brand) AS txt
   FROM part),
-ptok AS (SELECT _id, list_filter(regexp_split_to_array(lower(txt), '[^a-z0-9]+'), t -> t <> '') AS toks FROM pdoc),
+ptok AS (SELECT _id, list_filter(regexp_split_to_array(lower(txt), '[^a-z0-9]+'), lambda t: t <> '') AS toks FROM pdoc),
 pdl AS (SELECT _id, len(toks) AS dl FROM ptok),
 post AS (SELECT term, _id, count(*) AS tf FROM (SELECT _id, unnest(toks) AS term FROM ptok) GROUP BY 1, 2),
 pdf AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 pst AS (SELECT count(*) AS N, avg(dl) AS avgdl FROM pdl),
 qtok AS (SELECT DISTINCT query_id, term FROM (
-  SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), t -> t <> '')) AS term
+  SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS term
   FROM tq)),
 bsc AS (
   SELECT q.query_id, p._id,

@@ -776,3 +776,140 @@ WHERE position > {BROWSE_PAGE * 20} AND position <= {BROWSE_PAGE * 20 + 20}""")
 def q_browse_page(spark, sf):
     return SR.browse_page(X.products(spark, sf, with_embedding=False), FACET_BRANDS, (),
                           page=BROWSE_PAGE).select("_id", "name", "totalItems", "position")
+
+
+# ---------------------------------------------------------------- §2.6 decisions
+ROUTE_SQL = """CASE signal WHEN 'search-friction' THEN 'discount-product-recommendation'
+  WHEN 'high-intent' THEN 'social-proof-notification' WHEN 'exit-risk' THEN 'shipping-discount'
+  WHEN 'cart-abandonment' THEN 'cart-rescue' END"""
+EXIT_SQL = """CASE severity WHEN 'low' THEN '15% off your order' WHEN 'medium' THEN '20% off your order'
+  WHEN 'high' THEN '25% off your order' WHEN 'urgent' THEN '30% off your order' END"""
+CART_SQL = """CASE severity WHEN 'low' THEN '10% off your order' WHEN 'medium' THEN '15% off your order'
+  WHEN 'high' THEN '20% off your order' END"""
+
+
+@register("route_signal", SIG + f"""
+SELECT _id, signal, {ROUTE_SQL} AS type,
+  CASE WHEN ({ROUTE_SQL}) IS NULL THEN 'error' ELSE 'ok' END AS status FROM signals""")
+def q_route_signal(spark, sf):
+    return AC.route_signal(signals(spark, sf)).select("_id", "signal", "type", "status")
+
+
+@register("exit_offer_baseline", SIG + f"""
+SELECT _id, severity, {EXIT_SQL} AS baselineDecision FROM signals WHERE signal = 'exit-risk'""")
+def q_exit_offer(spark, sf):
+    s = signals(spark, sf).filter(F.col("signal") == "exit-risk")
+    return AC.exit_offer_baseline(s).select("_id", "severity", "baselineDecision")
+
+
+@register("cart_offer_baseline", SIG + f"""
+SELECT _id, severity, {CART_SQL} AS baselineDecision FROM signals WHERE signal = 'cart-abandonment'""")
+def q_cart_offer(spark, sf):
+    s = signals(spark, sf).filter(F.col("signal") == "cart-abandonment")
+    return AC.cart_offer_baseline(s).select("_id", "severity", "baselineDecision")
+
+
+@register("offer_enriched", SCOR + f""",
+base AS (SELECT s._id, s.uid, s.signal, s.severity,
+    CASE WHEN s.signal = 'exit-risk' THEN {EXIT_SQL} WHEN s.signal = 'cart-abandonment' THEN {CART_SQL} END AS b,
+    r.churn_risk_tier AS tier
+  FROM signals s LEFT JOIN rscores r ON s.uid = r.uid),
+ladder AS (SELECT *,
+    CASE WHEN signal = 'exit-risk' THEN ['15% off your order', '20% off your order', '25% off your order', '30% off your order']
+         ELSE ['10% off your order', '15% off your order', '20% off your order', '25% off your order'] END AS l
+  FROM base)
+SELECT _id, signal, severity, b AS baselineDecision,
+  CASE WHEN b IS NULL THEN NULL
+       WHEN tier = 'High' THEN 'FREE shipping and 25% off your order'
+       WHEN tier = 'Medium' THEN CASE WHEN list_position(l, b) IS NULL OR list_position(l, b) = 0 THEN b
+                                      ELSE l[least(list_position(l, b) + 1, 4)] END
+       ELSE b END AS enrichedDecision,
+  CASE WHEN b IS NOT NULL THEN tier END AS churnRiskTier
+FROM ladder""".replace("WITH ", "WITH ", 1))
+def q_offer_enriched(spark, sf):
+    o = AC.offer_enriched(signals(spark, sf), rule_scores(features(spark, sf)))
+    return o.select("_id", "signal", "severity", "baselineDecision", "enrichedDecision",
+                    "churnRiskTier")
+
+
+@register("nba_from_signals", SIG + f""",
+n AS (SELECT *, {ROUTE_SQL} AS type,
+        CASE WHEN signal = 'exit-risk' THEN {EXIT_SQL} WHEN signal = 'cart-abandonment' THEN {CART_SQL} END AS b
+      FROM signals)
+SELECT _id AS signal_id, uid, sid, type, false AS redeemed,
+  CASE type WHEN 'shipping-discount' THEN 'Before you go' WHEN 'cart-rescue' THEN 'Your cart is waiting'
+    WHEN 'social-proof-notification' THEN 'Popular Right Now' ELSE 'A deal picked for you' END AS title,
+  CASE type WHEN 'shipping-discount' THEN 'Wait! Enjoy ' || b || ' before you leave.'
+    WHEN 'cart-rescue' THEN 'Complete your order now and get ' || b || '.'
+    WHEN 'social-proof-notification' THEN 'Shoppers are adding this to their carts right now.'
+    ELSE 'Take 10% off on your picks today.' END AS message,
+  severity || '_' || signal AS triggeredBySignal, b AS baselineDecision,
+  CAST(NULL AS VARCHAR) AS enrichedDecision, CAST(NULL AS VARCHAR) AS churnRiskTier,
+  CAST(NULL AS VARCHAR) AS embedProductId, CAST(NULL AS VARCHAR) AS embedMessage
+FROM n""".replace("WITH ", "WITH ", 1))
+def q_nba_from_signals(spark, sf):
+    return AC.flat_nbas(AC.nba_from_signals(signals(spark, sf)))
+
+
+@register("redeem", SIGN + "SELECT signal_id, uid, type, redeemed FROM nbas")
+def q_redeem(spark, sf):
+    return nbas(spark, sf).select("signal_id", "uid", "type", "redeemed")
+
+
+@register("product_recommendation", INT.rstrip("\n") + ",\n" + O.bm25_sql(
+    "tq AS (SELECT signal_id AS query_id, intentSummary AS text FROM intents WHERE intentSummary IS NOT NULL)", 1)
+    + """
+SELECT b.query_id AS signal_id, b.rank, b._id AS rec_productId, p.p_name AS rec_name,
+  '/img/' || b._id || '.jpg' AS rec_imageUrl, b.score, i.intentSummary
+FROM bm25 b JOIN part p ON b._id = CAST(p.p_partkey AS VARCHAR) JOIN intents i ON i.signal_id = b.query_id""")
+def q_product_recommendation(spark, sf):
+    return SR.product_recommendation(intents(spark, sf),
+                                     X.products(spark, sf, with_embedding=False), 1)
+
+
+# ---------------------------------------------------------------- §2.7 search
+@register("text_search", O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS).rstrip("\n") + ",\n" + O.bm25_sql(
+    "tq AS (SELECT DISTINCT query AS query_id, query AS text FROM valid WHERE event = 'search' AND query <> '')",
+    3) + "\nSELECT query_id, _id, score, rank FROM bm25")
+def q_text_search(spark, sf):
+    q = valid_events(spark, sf).filter((F.col("tags.event") == "search")
+                                       & FE.present(F.col("metadata.query"))) \
+        .select(F.col("metadata.query").alias("query_id"), F.col("metadata.query").alias("text")) \
+        .distinct()
+    return SR.text_search(X.products(spark, sf, with_embedding=False), q, 3) \
+        .select("query_id", "_id", "score", "rank")
+
+
+VECTOR_FACETS = ["ECONOMY", "SMALL", "STANDARD", "MEDIUM"]
+
+
+@register("vector_search", O.with_ctes(O.RETAIL_EVENTS, O.CATALOG).rstrip("\n") + ",\n" + O.knn_sql(
+    """vq AS (SELECT q.query_id, c.v AS qv FROM (
+          SELECT DISTINCT productId AS query_id FROM revents WHERE event = 'search' AND productId IS NOT NULL) q
+        JOIN cat c ON c._id = q.query_id)""", 60) + f""",
+hits AS (SELECT k.query_id, k._id, k.score, k.rank FROM knn k
+         JOIN part p ON CAST(p.p_partkey AS VARCHAR) = k._id WHERE p.p_type IN {tuple(VECTOR_FACETS)}),
+paged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position,
+            count(*) OVER (PARTITION BY query_id) AS totalItems FROM hits)
+SELECT * FROM paged WHERE position <= 20""")
+def q_vector_search(spark, sf):
+    prods = X.products(spark, sf)
+    searched = events(spark, sf).filter(F.col("tags.event") == "search") \
+        .select(F.col("metadata.productId").alias("_id")).distinct()
+    q = searched.join(prods.filter(F.col("vai_text_embedding").isNotNull()), "_id") \
+        .select(F.col("_id").alias("query_id"), F.col("vai_text_embedding").alias("qvec"))
+    return SR.vector_search(prods, q, 60, categories=VECTOR_FACETS, page=0) \
+        .select("query_id", "_id", "score", "rank", "position", "totalItems")
+
+
+@register("receipt_recommendations", O.with_ctes(ORDERS_CTE, O.CATALOG).rstrip("\n") + """,
+dear AS (SELECT order_id, product_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY unit_price DESC, pos) AS rn FROM olines)
+  WHERE rn = 1),
+""" + O.knn_sql("""vq AS (SELECT DISTINCT d.product_id AS query_id, c.v AS qv FROM dear d JOIN cat c ON c._id = d.product_id)""",
+                6, exclude_self=True).lstrip() + """
+SELECT d.order_id, d.product_id, k._id AS rec_id, k.score, k.rank FROM dear d JOIN knn k ON k.query_id = d.product_id""")
+def q_receipt_recommendations(spark, sf):
+    lines = X.order_lines(spark, sf).withColumnRenamed("_id", "product_id")
+    r = SR.receipt_recommendations(lines, X.products(spark, sf), 6)
+    return r.select("order_id", "product_id", "rec_id", "score", "rank")

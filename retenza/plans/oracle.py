@@ -279,3 +279,13 @@ vsc AS (SELECT q.query_id, c._id, list_cosine_similarity(q.qv, c.v) AS score
 knn AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, _id) AS rank
   FROM vsc) WHERE rank <= {k})"""
+
+
+def features_sql(sig: str, nba: str, prefix: str) -> str:
+    """The FEATURES fragment over other signal/NBA relations, CTE names prefixed."""
+    out = FEATURES.replace("FROM signals", f"FROM {sig}").replace("FROM nbas", f"FROM {nba}")
+    for name in ("feat_sig", "feat_nba", "features"):
+        out = out.replace(f"{name} AS (", f"{prefix}{name} AS (")
+        out = out.replace(f"FROM {name} ", f"FROM {prefix}{name} ")
+        out = out.replace(f"JOIN {name} ", f"JOIN {prefix}{name} ")
+    return out

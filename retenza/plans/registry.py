@@ -913,3 +913,154 @@ def q_receipt_recommendations(spark, sf):
     lines = X.order_lines(spark, sf).withColumnRenamed("_id", "product_id")
     r = SR.receipt_recommendations(lines, X.products(spark, sf), 6)
     return r.select("order_id", "product_id", "rec_id", "score", "rank")
+
+
+# ---------------------------------------------------------------- §2.1 sources and sinks
+import uuid  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..streaming import drivers as DR  # noqa: E402
+
+MID = "2024-01-16 00:00:00"   # a day boundary inside the fixture month
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@register("scan_filter_project", """
+SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'""")
+def q_scan_filter_project(spark, sf):
+    return TB.scan_filter_project(
+        spark, f"{sf}/lineitem.parquet",
+        (F.col("l_quantity") > 45) & (F.col("l_returnflag") == "R"),
+        ["l_orderkey", "l_partkey", "l_quantity"])
+
+
+LOOKUP_USER = "7"
+
+
+@register("lookup_by_key", O.with_ctes(O.RETAIL_EVENTS) + f"""
+SELECT event_id, userId, sessionId, event, ts FROM revents WHERE userId = '{LOOKUP_USER}'""")
+def q_lookup_by_key(spark, sf):
+    ev = events(spark, sf).select("event_id", F.col("tags.userId").alias("userId"),
+                                  F.col("tags.sessionId").alias("sessionId"),
+                                  F.col("tags.event").alias("event"),
+                                  F.col("timestamp").alias("ts"))
+    return TB.lookup_by_key(ev, "userId", LOOKUP_USER)
+
+
+@register("merge_insert_if_absent", SIG + "SELECT * FROM signals")
+def q_merge_insert_if_absent(spark, sf):
+    sig = S.flat_signals(signals(spark, sf))
+    target = sig.filter(F.col("ts") < F.lit(MID).cast("timestamp"))
+    batch = sig.unionByName(sig.filter(F.col("signal") == "exit-risk"))   # overlap + duplicates
+    return SK.merge_insert_if_absent(target, batch, "_id")
+
+
+@register("merge_session_state", SESS + """
+SELECT s.*, coalesce(h.searchCount, 0) AS searchCount
+FROM sstate s LEFT JOIN shist h ON s.sessionId = h.sessionId""")
+def q_merge_session_state(spark, sf):
+    v = valid_events(spark, sf)
+    early = v.filter(F.col("timestamp") < F.lit(MID).cast("timestamp"))
+    first = SK.merge_session_state(None, W.session_window_rows(early, DAY))
+    merged = first.unionByName(SK.merge_session_state(first, W.session_window_rows(v, DAY)))
+    return W.flat_session_state(W.session_state_flat(merged.drop("_wkey"),
+                                                     W.search_history_long(v, DAY)))
+
+
+UPSERT_SQL = O.with_ctes(
+    O.RETAIL_EVENTS, O.SIGNAL_STATS, O.NBAS, O.FEATURES,
+    f"""esignals AS (SELECT * FROM signals WHERE ts < TIMESTAMP '{MID}'),
+enbas AS (SELECT * FROM nbas WHERE ts < TIMESTAMP '{MID}')""",
+    O.features_sql("esignals", "enbas", "e_"),
+    f"""old AS (SELECT uid, exit_risk_ratio AS churn_probability, {O.tier_sql('exit_risk_ratio')} AS churn_risk_tier,
+    total_signals, engagement_rate FROM e_features),
+new AS (SELECT uid, exit_risk_ratio AS churn_probability, {O.tier_sql('exit_risk_ratio')} AS churn_risk_tier,
+    total_signals, engagement_rate FROM features
+  WHERE uid IN (SELECT uid FROM signals WHERE signal = 'search-friction'))""") + """
+SELECT coalesce(n.uid, o.uid) AS uid,
+  coalesce(n.churn_probability, o.churn_probability) AS churn_probability,
+  coalesce(n.churn_risk_tier, o.churn_risk_tier) AS churn_risk_tier,
+  coalesce(n.total_signals, o.total_signals) AS total_signals,
+  coalesce(n.engagement_rate, o.engagement_rate) AS engagement_rate
+FROM old o FULL OUTER JOIN new n ON o.uid = n.uid"""
+
+
+@register("upsert_scores", UPSERT_SQL)
+def q_upsert_scores(spark, sf):
+    sig, nb = signals(spark, sf), nbas(spark, sf)
+    cut = F.lit(MID).cast("timestamp")
+    cols = ["uid", "churn_probability", "churn_risk_tier", "total_signals", "engagement_rate"]
+    old = rule_scores(FT.churn_features(sig.filter(F.col("ts") < cut),
+                                        nb.filter(F.col("ts") < cut))).select(*cols)
+    who = sig.filter(F.col("signal") == "search-friction").select("uid").distinct()
+    new = rule_scores(FT.churn_features(sig, nb, who)).select(*cols)
+    return SK.upsert_scores(old, new, "uid")
+
+
+@register("append_table", SIG + "SELECT * FROM signals")
+def q_append_table(spark, sf):
+    sig = S.flat_signals(signals(spark, sf))
+    path = _scratch(spark, "append")
+    SK.append_table(sig.filter(F.col("signal") == "exit-risk"), path)
+    SK.append_table(sig.filter(F.col("signal") != "exit-risk"), path)
+    return spark.read.parquet(path)
+
+
+@register("overwrite_table", SIG + "SELECT * FROM signals")
+def q_overwrite_table(spark, sf):
+    sig = S.flat_signals(signals(spark, sf))
+    path = _scratch(spark, "overwrite")
+    SK.overwrite_table(sig.filter(F.col("signal") == "exit-risk"), path)
+    SK.overwrite_table(sig, path, partition_by=None)
+    return spark.read.parquet(path)
+
+
+@register("row_count_reconcile", SIGN + """
+SELECT 'events' AS table_name, count(*) AS total FROM revents
+UNION ALL SELECT 'session_signals', count(*) FROM signals
+UNION ALL SELECT 'next_best_actions', count(*) FROM nbas""")
+def q_row_count_reconcile(spark, sf):
+    return A.row_count_reconcile({"events": events(spark, sf),
+                                  "session_signals": signals(spark, sf),
+                                  "next_best_actions": nbas(spark, sf)})
+
+
+@register("event_source", O.with_ctes(O.RETAIL_EVENTS) + """
+SELECT event_id, userId, sessionId, event, ts AS timestamp, productId FROM revents""")
+def q_event_source(spark, sf):
+    base = _scratch(spark, "event-source")
+    stream = X.retail_events(spark, sf, raw=X.raw_events_stream(spark, sf))
+    flat = stream.select("event_id", F.col("tags.userId").alias("userId"),
+                         F.col("tags.sessionId").alias("sessionId"),
+                         F.col("tags.event").alias("event"), "timestamp",
+                         F.col("metadata.productId").alias("productId"))
+    q = (flat.writeStream.format("parquet").option("path", base + "/out")
+         .option("checkpointLocation", base + "/ck").trigger(availableNow=True).start())
+    DR.run_to_completion(q)
+    return spark.read.parquet(base + "/out")
+
+
+@register("signal_feed", SIG + f""",
+n AS (SELECT *, {ROUTE_SQL} AS type FROM signals)
+SELECT _id AS signal_id, uid, sid, type, severity || '_' || signal AS triggeredBySignal FROM n""".replace("WITH ", "WITH ", 1))
+def q_signal_feed(spark, sf):
+    """Signals land in a table in two inserts; the feed hands each new batch to
+    a handler that routes it to an action and appends it (idempotently)."""
+    base = _scratch(spark, "feed")
+    sig = signals(spark, sf)
+    SK.append_table(sig.filter(F.col("ts") < F.lit(MID).cast("timestamp")), base + "/signals")
+    SK.append_table(sig.filter(F.col("ts") >= F.lit(MID).cast("timestamp")), base + "/signals")
+
+    def handler(batch, batch_id):
+        n = AC.nba_from_signals(batch).select(
+            "signal_id", "uid", "sid", "type",
+            F.col("actionMetadata.triggeredBySignal").alias("triggeredBySignal"))
+        SK.insert_if_absent_to(spark, n, base + "/nbas", "signal_id")
+
+    q = DR.signal_feed(spark, base + "/signals", handler, base + "/ck",
+                       schema=sig.schema, trigger={"availableNow": True})
+    DR.run_to_completion(q)
+    return spark.read.parquet(base + "/nbas")

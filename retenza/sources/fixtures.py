@@ -56,9 +56,23 @@ def session_of(user: Column, ts: Column) -> Column:
     return F.concat_ws("-", user, F.date_format(F.date_trunc("week", ts), "yyyy-MM-dd"))
 
 
-def retail_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Driver ``events`` -> retail events (nested tags/metadata schema)."""
-    ev = (read(spark, sf_dir, "events")
+def raw_events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The driver's ``events`` table as a file stream (fixed schema)."""
+    schema = read(spark, sf_dir, "events").schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(sf_dir)
+
+
+def retail_events(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
+    """Driver ``events`` -> retail events (nested tags/metadata schema).
+
+    ``raw`` may be a streaming DataFrame of the driver's events; the product
+    lookup is then a stream-static join.
+    """
+    raw = raw if raw is not None else read(spark, sf_dir, "events")
+    ev = (raw
           .select("event_id", "ts", "user_id", "event_type", "props")
           .withColumn("k", _k(F.col("props")))
           .withColumn("event", mapped_event(F.col("event_type"), F.col("k")))

@@ -1064,3 +1064,104 @@ def q_signal_feed(spark, sf):
                        schema=sig.schema, trigger={"availableNow": True})
     DR.run_to_completion(q)
     return spark.read.parquet(base + "/nbas")
+
+
+# ---------------------------------------------------------------- §2.8 model (no SQL equal)
+from ..operators import model as ML  # noqa: E402
+
+_MODELS: dict[str, tuple] = {}
+
+
+def trained(spark, sf):
+    """Train once per input folder in this process (the fit is the slow part)."""
+    if sf not in _MODELS:
+        feats = FT.churn_label(features(spark, sf))
+        _MODELS[sf] = ML.train_churn_model(feats)
+    return _MODELS[sf]
+
+
+@register("train_churn_model")
+def q_train_churn_model(spark, sf):
+    model, acc = trained(spark, sf)
+    feats = features(spark, sf)
+    return feats.agg(F.count(F.lit(1)).alias("users")).select(
+        "users", F.lit(acc).cast("double").alias("cv_accuracy"),
+        F.lit(model.stages[-1].getNumTrees).alias("num_trees"),
+        F.lit(model.stages[-1].getOrDefault("maxDepth")).alias("max_depth"))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    return ML.feature_importance(trained(spark, sf)[0], spark)
+
+
+@register("save_model")
+def q_save_model(spark, sf):
+    path = _scratch(spark, "model")
+    ML.save_model(trained(spark, sf)[0], path)
+    return ML.feature_importance(ML.load_model(path), spark)
+
+
+@register("load_model")
+def q_load_model(spark, sf):
+    path = _scratch(spark, "model")
+    ML.save_model(trained(spark, sf)[0], path)
+    return ML.score_users(features(spark, sf), ML.load_model(path)).select(
+        "uid", "churn_probability", "churn_risk_tier", "top_risk_factor")
+
+
+@register("score_users")
+def q_score_users(spark, sf):
+    return ML.score_users(features(spark, sf), trained(spark, sf)[0])
+
+
+@register("score_on_demand")
+def q_score_on_demand(spark, sf):
+    customers = X.read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("uid"))
+    return ML.score_on_demand(customers, signals(spark, sf), nbas(spark, sf),
+                              trained(spark, sf)[0])
+
+
+@register("incremental_scoring")
+def q_incremental_scoring(spark, sf):
+    return ML.incremental_scoring(signals(spark, sf), nbas(spark, sf), scored_users(spark, sf),
+                                  trained(spark, sf)[0])
+
+
+# ---------------------------------------------------------------- §2.5 stream-only keys
+def _split_event_files(spark, sf, base):
+    """The driver's events as two files: the second half of the month first,
+    then the first half (late rows)."""
+    raw = X.read(spark, sf, "events")
+    cut = F.lit(MID).cast("timestamp_ntz")
+    raw.filter(F.col("ts") >= cut).write.parquet(base + "/in/b1")
+    return raw.filter(F.col("ts") < cut)
+
+
+@register("late_data_drop", O.with_ctes(O.RETAIL_EVENTS) + f""",
+late AS (SELECT * FROM revents WHERE ts >= TIMESTAMP '{MID}')
+SELECT date_trunc('day', ts) AS window_start, sessionId, count(*) AS events FROM late
+GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM late)""".replace("WITH ", "WITH ", 1))
+def q_late_data_drop(spark, sf):
+    """Watermark 0: after the second half of the month has been seen, every
+    row of the first half is behind the watermark and its windows are
+    closed, so Spark drops it; the last (open) window is not emitted."""
+    base = _scratch(spark, "late")
+    early = _split_event_files(spark, sf, base)
+    schema = X.read(spark, sf, "events").schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base + "/in/*")
+    ev = W.late_data_drop(X.retail_events(spark, sf, raw=src), "0 seconds")
+    counts = ev.groupBy(F.window("timestamp", DAY).alias("window"),
+                        F.col("tags.sessionId").alias("sessionId")).agg(
+        F.count(F.lit(1)).alias("events"))
+    out = counts.select(F.col("window.start").alias("window_start"), "sessionId", "events")
+    q1 = (out.writeStream.format("parquet").outputMode("append")
+          .option("path", base + "/out").option("checkpointLocation", base + "/ck")
+          .trigger(availableNow=True).start())
+    DR.run_to_completion(q1)
+    early.write.parquet(base + "/in/b2")          # the late file arrives
+    q2 = (out.writeStream.format("parquet").outputMode("append")
+          .option("path", base + "/out").option("checkpointLocation", base + "/ck")
+          .trigger(availableNow=True).start())
+    DR.run_to_completion(q2)
+    return spark.read.parquet(base + "/out")

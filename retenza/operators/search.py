@@ -20,7 +20,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.joins import estimated_bytes
 from ..schemas import BROWSE_CAP, PAGE_SIZE, VECTOR_LIMIT
 
 CELL_BYTES = 64 * 1024 * 1024
@@ -66,11 +65,15 @@ def browse_page(products: DataFrame, brands=(), categories=(), page: int = 0,
 
 
 # ------------------------------------------------------------------ vectors
-def _blocks(df: DataFrame) -> int:
-    size = estimated_bytes(df)
-    if size is None:
-        return 1
-    return max(1, min(4096, math.ceil(size / CELL_BYTES)))
+def _blocks(rows: int, dim: int) -> int:
+    """Blocks so that one block of vectors (float64) stays near CELL_BYTES."""
+    return max(1, math.ceil(rows * max(dim, 1) * 8 / CELL_BYTES))
+
+
+def _dim(df: DataFrame, col: str) -> int:
+    """Vector width of the first non-null row (a one-row peek)."""
+    row = df.select(F.size(col).alias("d")).filter(F.col("d") > 0).limit(1).collect()
+    return int(row[0]["d"]) if row else 1
 
 
 def _topk_cell(k: int, exclude_self: bool):
@@ -108,12 +111,20 @@ def knn(queries: DataFrame, catalog: DataFrame, k: int, exclude_self: bool = Fal
     catalog: (_id string, vec array<float|double>)
     -> (query_id, _id, score, rank), rank 1..k by score desc then _id.
     """
-    qb = q_blocks or _blocks(queries)
-    cb = c_blocks or _blocks(catalog)
-    q = (queries.select(F.col("query_id").cast("string"), F.col("qvec").cast("array<double>"))
+    queries = queries.select(F.col("query_id").cast("string"), F.col("qvec")).persist()
+    catalog = catalog.select(F.col("_id").cast("string"), F.col("vec")).persist()
+    if q_blocks is None or c_blocks is None:
+        # Grid size from the real row counts (Catalyst's estimates multiply
+        # across joins and are useless here); the inputs are persisted, so
+        # the counts do not recompute them.
+        dim = _dim(catalog, "vec")
+        q_blocks = q_blocks or _blocks(queries.count(), dim)
+        c_blocks = c_blocks or _blocks(catalog.count(), dim)
+    qb, cb = q_blocks, c_blocks
+    q = (queries.select(F.col("query_id"), F.col("qvec").cast("array<double>"))
          .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int"))
          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-    c = (catalog.select(F.col("_id").cast("string"), F.col("vec").cast("array<double>"))
+    c = (catalog.select(F.col("_id"), F.col("vec").cast("array<double>"))
          .withColumn("cb", F.pmod(F.xxhash64("_id"), F.lit(cb)).cast("int"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
     part = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
@@ -171,29 +182,35 @@ def text_search(products: DataFrame, queries: DataFrame, k: int = 3,
     """BM25 relevance of ``queries`` (query_id, text) over the product fields;
     top k per query by score desc, then _id.
 
+    Identical query texts are scored once and joined back to their ids.
     Postings (term, doc, tf) and document frequencies are aggregates; the
-    collection size and mean length are one global row, broadcast by a
-    constant key (its size is one row whatever the data).
+    collection size and mean length are one global row, folded into the
+    per-term idf and per-document length norm (broadcast by a constant
+    key: its size is one row whatever the data), so the large
+    (query term x posting) join carries only precomputed factors.
     """
     doc_text = F.concat_ws(" ", *[F.col(f) for f in fields])
     docs = products.select("_id", tokens(doc_text).alias("toks"))
     dl = docs.select("_id", F.size("toks").alias("dl"))
     post = (docs.select("_id", F.explode("toks").alias("term"))
             .groupBy("term", "_id").agg(F.count(F.lit(1)).alias("tf")))
-    df_t = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = dl.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl")) \
-        .withColumn("_c", F.lit(1))
-    qt = (queries.select(F.col("query_id").cast("string"),
-                         F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
-    j = (qt.join(df_t, "term").join(post, "term").join(dl, "_id")
-         .withColumn("_c", F.lit(1)).join(F.broadcast(stats), "_c"))
-    idf = F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    j = j.withColumn("part", idf * F.col("tf") * (k1 + 1) / norm)
-    scored = j.groupBy("query_id", "_id").agg(F.sum("part").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(
-        F.desc(F.round("score", SCORE_DIGITS)), F.asc("_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    stats = F.broadcast(dl.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
+                        .withColumn("_c", F.lit(1)))
+    idf = (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+           .withColumn("_c", F.lit(1)).join(stats, "_c")
+           .select("term", F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5)
+                                 / (F.col("df") + 0.5)).alias("idf")))
+    norm = (dl.withColumn("_c", F.lit(1)).join(stats, "_c")
+            .select("_id", (k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))).alias("lnorm")))
+    texts = queries.select(F.col("text")).distinct()
+    qt = texts.select("text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    j = qt.join(idf, "term").join(post, "term").join(norm, "_id")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("lnorm"))
+    scored = j.groupBy("text", "_id").agg(F.sum(part).alias("score"))
+    w = Window.partitionBy("text").orderBy(F.desc(F.round("score", SCORE_DIGITS)), F.asc("_id"))
+    top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ids = queries.select(F.col("query_id").cast("string"), "text").distinct()
+    return ids.join(top, "text").select("query_id", "_id", "score", "rank")
 
 
 def product_recommendation(intents: DataFrame, products: DataFrame, k: int = 1) -> DataFrame:

@@ -37,22 +37,54 @@ def ntz(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+# Queries that reuse the signal table several times (NBAs, features, scores)
+# materialise it once per call as a reliable checkpoint in the shared
+# checkpoint folder, instead of recomputing the window pipeline per use.
+SHARED = {
+    "nba_mix", "engaged_mix", "most_responsive_action", "conversion_rate", "unredeemed_count",
+    "nba_distribution", "nba_redeemed_distribution", "redemption_rate", "risk_distribution",
+    "scoring_summary", "user_nba_features", "churn_features", "churn_label", "risk_tier",
+    "top_risk_factor", "new_users", "signals_of_new_users", "score_lookup", "split_trigger",
+    "offer_enriched", "redeem", "upsert_scores", "row_count_reconcile", "product_recommendation",
+    "train_churn_model", "score_users", "score_on_demand", "incremental_scoring", "load_model",
+    "save_model", "feature_importance", "nba_product_embed", "product_notifications",
+}
+_CALL: dict | None = None
+
+
 def register(key: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[key] = lambda spark, sf_dir: ntz(fn(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            global _CALL
+            outer = _CALL
+            _CALL = {} if key in SHARED else None
+            try:
+                return ntz(fn(spark, sf_dir))
+            finally:
+                _CALL = outer
+        QUERIES[key] = run
         if sql is not None:
             ORACLE[key] = sql
         return fn
     return deco
 
 
+def _memo(name: str, sf: str, build):
+    if _CALL is None:
+        return build()
+    if (name, sf) not in _CALL:
+        from ..session import cut_lineage
+        _CALL[(name, sf)] = cut_lineage(build())
+    return _CALL[(name, sf)]
+
+
 # ---------------------------------------------------------------- shared inputs
 def events(spark, sf):
     return X.retail_events(spark, sf)
 
 
 def signals(spark, sf):
-    return S.all_signals(events(spark, sf), DAY)
+    return _memo("signals", sf, lambda: S.all_signals(events(spark, sf), DAY))
 
 
 def valid_events(spark, sf):
@@ -112,9 +144,10 @@ REPORT_IMPORTANCES = [0.05, 0.3, 0.1, 0.1, 0.05, 0.05, 0.05, 0.2, 0.05, 0.05]
 
 
 def nbas(spark, sf):
-    ev = events(spark, sf)
-    sig = S.all_signals(ev, DAY)
-    return AC.redeem(AC.nba_from_signals(sig), X.redemption_log(sig, ev))
+    def build():
+        sig = signals(spark, sf)
+        return AC.redeem(AC.nba_from_signals(sig), X.redemption_log(sig, events(spark, sf)))
+    return _memo("nbas", sf, build)
 
 
 def features(spark, sf):
@@ -590,10 +623,12 @@ INT = O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS, O.SIGNAL_STATS).rstrip("\n")
 
 
 def intents(spark, sf):
-    v = valid_events(spark, sf)
-    fr = signals(spark, sf).filter(F.col("signal") == "search-friction")
-    j = AC.session_for_signal(fr, W.search_history_long(v, DAY))
-    return j.select(F.col("_id").alias("signal_id"), "sid", "intentSummary")
+    def build():
+        v = valid_events(spark, sf)
+        fr = signals(spark, sf).filter(F.col("signal") == "search-friction")
+        j = AC.session_for_signal(fr, W.search_history_long(v, DAY))
+        return j.select(F.col("_id").alias("signal_id"), "sid", "intentSummary")
+    return _memo("intents", sf, build)
 
 
 @register("session_for_signal", INT + "SELECT * FROM intents")

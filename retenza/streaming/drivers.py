@@ -30,6 +30,13 @@ from ..schemas import SESSION_EVENTS
 from ..sources import sinks as SK
 
 
+def plain_window(batch: DataFrame) -> DataFrame:
+    """Rebuild the ``window`` struct without its event-time metadata, so the
+    micro-batch can be persisted and reused like any batch DataFrame."""
+    return batch.withColumn("window", F.struct(F.col("window.start").alias("start"),
+                                               F.col("window.end").alias("end")))
+
+
 def _start(df: DataFrame, fn, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     w = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
@@ -60,7 +67,7 @@ def signal_stream(events: DataFrame, signals_path: str, checkpoint: str,
     spark = events.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        sig = finish_signals(batch, window)
+        sig = finish_signals(plain_window(batch), window)
         SK.insert_if_absent_to(spark, sig, signals_path, "_id")
 
     return _start(facts, sink, checkpoint, trigger)
@@ -134,7 +141,7 @@ def session_state_stream(events: DataFrame, rows_path: str, history_path: str,
     facts = session_facts_stream(flagged.filter("_valid").drop("_valid"), window)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = plain_window(batch).persist()
         rows = window_rows_from_facts(batch)
         target = SK.read_if_exists(spark, rows_path)
         SK.merge_session_state(target, rows).write.mode("append").parquet(rows_path)

@@ -89,7 +89,7 @@ def last_bought_products(lines: DataFrame, n: int, order_key: str = "okey") -> D
     """
     tie = [F.asc("product_id")] if "product_id" in lines.columns else []
     w = Window.partitionBy("user").orderBy(F.desc(order_key), F.asc("pos"), *tie)
-    return (lines.withColumn("rank", F.row_number().over(w))
+    return (lines.withColumn("rank", F.row_number().over(w).cast("long"))
             .filter(F.col("rank") <= n))
 
 

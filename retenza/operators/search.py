@@ -59,7 +59,7 @@ def browse_page(products: DataFrame, brands=(), categories=(), page: int = 0,
     w_all = Window.partitionBy()
     w_ord = Window.orderBy(order_key)
     ranked = (capped.withColumn("totalItems", F.count(F.lit(1)).over(w_all))
-              .withColumn("position", F.row_number().over(w_ord)))
+              .withColumn("position", F.row_number().over(w_ord).cast("long")))
     lo = page * size
     return ranked.filter((F.col("position") > lo) & (F.col("position") <= lo + size))
 
@@ -132,7 +132,7 @@ def knn(queries: DataFrame, catalog: DataFrame, k: int, exclude_self: bool = Fal
                            "query_id string, _id string, score double"))
     w = Window.partitionBy("query_id").orderBy(
         F.desc(F.round("score", SCORE_DIGITS)), F.asc("_id"))
-    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return part.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
 def vector_search(products: DataFrame, queries: DataFrame, k: int = VECTOR_LIMIT,
@@ -147,7 +147,7 @@ def vector_search(products: DataFrame, queries: DataFrame, k: int = VECTOR_LIMIT
                           brands, categories)
     hits = top.join(facets, "_id", "inner")
     w = Window.partitionBy("query_id").orderBy(F.col("rank"))
-    hits = hits.withColumn("position", F.row_number().over(w))
+    hits = hits.withColumn("position", F.row_number().over(w).cast("long"))
     hits = hits.withColumn("totalItems", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     if page is not None:
         lo = page * size
@@ -208,7 +208,7 @@ def text_search(products: DataFrame, queries: DataFrame, k: int = 3,
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("lnorm"))
     scored = j.groupBy("text", "_id").agg(F.sum(part).alias("score"))
     w = Window.partitionBy("text").orderBy(F.desc(F.round("score", SCORE_DIGITS)), F.asc("_id"))
-    top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
     ids = queries.select(F.col("query_id").cast("string"), "text").distinct()
     return ids.join(top, "text").select("query_id", "_id", "score", "rank")
 

@@ -53,7 +53,7 @@ def sub_category(size: Column) -> Column:
 
 def session_of(user: Column, ts: Column) -> Column:
     """``user-<ISO week start>``: one session per user and calendar week."""
-    return F.concat_ws("-", user, F.date_format(F.date_trunc("week", ts), "yyyy-MM-dd"))
+    return F.concat_ws("-", user, F.date_trunc("week", ts).cast("date").cast("string"))
 
 
 def raw_events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:

@@ -162,15 +162,24 @@ def exit_risk_signal(events: DataFrame, window: str = DEFAULT_WINDOW) -> DataFra
     return exit_risk_from_stats(window_stats(window_facts(events, window)), window)
 
 
-def high_intent_signal(events: DataFrame, window: str = DEFAULT_WINDOW) -> DataFrame:
-    """One 'high' signal per distinct non-empty product added to the cart."""
+def _shared_facts(events: DataFrame, window: str, materialize: bool) -> DataFrame:
+    """The window aggregate, checkpointed when more than one branch reads it."""
+    from ..session import cut_lineage
     facts = window_facts(events, window)
+    return cut_lineage(facts) if materialize and not events.isStreaming else facts
+
+
+def high_intent_signal(events: DataFrame, window: str = DEFAULT_WINDOW,
+                       materialize: bool = True) -> DataFrame:
+    """One 'high' signal per distinct non-empty product added to the cart."""
+    facts = _shared_facts(events, window, materialize)
     return high_intent_from_facts(facts, window_stats(facts), window)
 
 
-def search_friction_signal(events: DataFrame, window: str = DEFAULT_WINDOW) -> DataFrame:
+def search_friction_signal(events: DataFrame, window: str = DEFAULT_WINDOW,
+                           materialize: bool = True) -> DataFrame:
     """No add-to-cart and >=3 distinct viewed/searched products."""
-    facts = window_facts(events, window)
+    facts = _shared_facts(events, window, materialize)
     return search_friction_from_stats(window_stats(facts), dominant_article_type(facts), window)
 
 
@@ -179,14 +188,25 @@ def cart_abandonment_signal(events: DataFrame, window: str = DEFAULT_WINDOW) ->
     return cart_abandonment_from_stats(window_stats(window_facts(events, window)), window)
 
 
-def all_signals(events: DataFrame, window: str = DEFAULT_WINDOW) -> DataFrame:
+def all_signals(events: DataFrame, window: str = DEFAULT_WINDOW,
+                materialize: bool = True) -> DataFrame:
     """The four signal kinds from one shared window aggregate.
 
-    ``facts`` and ``stats`` are the same logical plans in every branch, so
-    Spark reuses their shuffles (ReusedExchange) instead of re-scanning.
+    Catalyst prunes columns per union branch, so the branches would not
+    share the event scan and the first shuffle (each would rescan and
+    re-aggregate all events). With ``materialize`` (default) the shared
+    window aggregate and the per-session counters are written once as
+    reliable checkpoints in the shared checkpoint folder and every rule
+    reads them: one pass over the events instead of four, and a lineage
+    cut that survives executor loss. Calling it runs those two jobs.
     """
+    from ..session import cut_lineage
     facts = window_facts(events, window)
+    if materialize and not events.isStreaming:
+        facts = cut_lineage(facts)
     stats = window_stats(facts)
+    if materialize and not events.isStreaming:
+        stats = cut_lineage(stats)
     return (exit_risk_from_stats(stats, window)
             .unionByName(high_intent_from_facts(facts, stats, window))
             .unionByName(search_friction_from_stats(stats, dominant_article_type(facts), window))

@@ -67,8 +67,10 @@ def signal_stream(events: DataFrame, signals_path: str, checkpoint: str,
     spark = events.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        sig = finish_signals(plain_window(batch), window)
-        SK.insert_if_absent_to(spark, sig, signals_path, "_id")
+        # the closed windows' facts feed four rules: computed once per batch
+        facts = plain_window(batch).persist()
+        SK.insert_if_absent_to(spark, finish_signals(facts, window), signals_path, "_id")
+        facts.unpersist()
 
     return _start(facts, sink, checkpoint, trigger)
 

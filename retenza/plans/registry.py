@@ -972,17 +972,18 @@ def q_scan_filter_project(spark, sf):
         ["l_orderkey", "l_partkey", "l_quantity"])
 
 
-LOOKUP_USER = "7"
+LOOKUP_CUSTOMER = 7
 
 
-@register("lookup_by_key", O.with_ctes(O.RETAIL_EVENTS) + f"""
-SELECT event_id, userId, sessionId, event, ts FROM revents WHERE userId = '{LOOKUP_USER}'""")
+@register("lookup_by_key", f"""
+SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders
+WHERE o_custkey = {LOOKUP_CUSTOMER}""")
 def q_lookup_by_key(spark, sf):
-    ev = events(spark, sf).select("event_id", F.col("tags.userId").alias("userId"),
-                                  F.col("tags.sessionId").alias("sessionId"),
-                                  F.col("tags.event").alias("event"),
-                                  F.col("timestamp").alias("ts"))
-    return TB.lookup_by_key(ev, "userId", LOOKUP_USER)
+    """The orders of one customer: an equality on a stored column, pushed to
+    the Parquet scan (row-group skipping by min/max statistics)."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return TB.lookup_by_key(o, "o_custkey", LOOKUP_CUSTOMER).select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
 
 
 @register("merge_insert_if_absent", SIG + "SELECT * FROM signals")

@@ -52,6 +52,12 @@ SHARED = {
 _CALL: dict | None = None
 
 
+def r6(c: str):
+    """Six decimals for floats whose last bits depend on summation order (the
+    oracle rounds the same way); the operators keep full precision."""
+    return F.round(F.col(c), 6).alias(c)
+
+
 def register(key: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,9 +458,10 @@ def q_risk_distribution(spark, sf):
 SELECT count(*) AS users, count(*) FILTER (WHERE churn_risk_tier = 'High') AS high_risk,
   count(*) FILTER (WHERE churn_risk_tier = 'Medium') AS medium_risk,
   count(*) FILTER (WHERE churn_risk_tier = 'Low') AS low_risk,
-  avg(engagement_rate) AS avg_engagement_rate FROM rscores""")
+  round(avg(engagement_rate), 6) AS avg_engagement_rate FROM rscores""")
 def q_scoring_summary(spark, sf):
-    return A.scoring_summary(rule_scores(features(spark, sf)))
+    return A.scoring_summary(rule_scores(features(spark, sf))) \
+        .withColumn("avg_engagement_rate", r6("avg_engagement_rate"))
 
 
 @register("user_signal_features", FEAT + "SELECT * FROM feat_sig")
@@ -717,20 +724,22 @@ register("array_clear", _fold_sql(("push", "pull", "clear")) + "SELECT * FROM ca
 
 
 @register("cart_totals", _fold_sql(("push", "pull", "clear")) + """
-SELECT u.user, coalesce(sum(c.unit_price * c.amount), 0.0) AS totalPrice,
+SELECT u.user, round(coalesce(sum(c.unit_price * c.amount), 0.0), 6) AS totalPrice,
   CAST(coalesce(sum(c.amount), 0) AS BIGINT) AS totalAmount
 FROM (SELECT DISTINCT user FROM edits) u LEFT JOIN cart c ON u.user = c.user GROUP BY u.user""")
 def q_cart_totals(spark, sf):
     e = X.cart_edits(spark, sf)
-    return CM.cart_totals(CM.cart_state(e), carts=e.select("user"))
+    return CM.cart_totals(CM.cart_state(e), carts=e.select("user")) \
+        .withColumn("totalPrice", r6("totalPrice"))
 
 
 @register("order_totals", ORD + """
-SELECT order_id, sum(unit_price * CASE WHEN coalesce(amount, 0) = 0 THEN 1 ELSE amount END) AS totalPrice,
+SELECT order_id, round(sum(unit_price * CASE WHEN coalesce(amount, 0) = 0 THEN 1 ELSE amount END), 6) AS totalPrice,
   CAST(sum(CASE WHEN coalesce(amount, 0) = 0 THEN 1 ELSE amount END) AS BIGINT) AS totalAmount
 FROM olines GROUP BY 1""")
 def q_order_totals(spark, sf):
-    return CM.order_totals(X.order_lines(spark, sf).withColumnRenamed("_id", "product_id"))
+    return CM.order_totals(X.order_lines(spark, sf).withColumnRenamed("_id", "product_id")) \
+        .withColumn("totalPrice", r6("totalPrice"))
 
 
 @register("orders_newest_first", ORD + "SELECT user, _id, okey FROM ord")
@@ -895,24 +904,25 @@ def q_redeem(spark, sf):
     "tq AS (SELECT signal_id AS query_id, intentSummary AS text FROM intents WHERE intentSummary IS NOT NULL)", 1)
     + """
 SELECT b.query_id AS signal_id, b.rank, b._id AS rec_productId, p.p_name AS rec_name,
-  '/img/' || b._id || '.jpg' AS rec_imageUrl, b.score, i.intentSummary
+  '/img/' || b._id || '.jpg' AS rec_imageUrl, round(b.score, 6) AS score, i.intentSummary
 FROM bm25 b JOIN part p ON b._id = CAST(p.p_partkey AS VARCHAR) JOIN intents i ON i.signal_id = b.query_id""")
 def q_product_recommendation(spark, sf):
-    return SR.product_recommendation(intents(spark, sf),
-                                     X.products(spark, sf, with_embedding=False), 1)
+    r = SR.product_recommendation(intents(spark, sf),
+                                  X.products(spark, sf, with_embedding=False), 1)
+    return r.withColumn("score", r6("score"))
 
 
 # ---------------------------------------------------------------- §2.7 search
 @register("text_search", O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS).rstrip("\n") + ",\n" + O.bm25_sql(
     "tq AS (SELECT DISTINCT query AS query_id, query AS text FROM valid WHERE event = 'search' AND query <> '')",
-    3) + "\nSELECT query_id, _id, score, rank FROM bm25")
+    3) + "\nSELECT query_id, _id, round(score, 6) AS score, rank FROM bm25")
 def q_text_search(spark, sf):
     q = valid_events(spark, sf).filter((F.col("tags.event") == "search")
                                        & FE.present(F.col("metadata.query"))) \
         .select(F.col("metadata.query").alias("query_id"), F.col("metadata.query").alias("text")) \
         .distinct()
     return SR.text_search(X.products(spark, sf, with_embedding=False), q, 3) \
-        .select("query_id", "_id", "score", "rank")
+        .select("query_id", "_id", r6("score"), "rank")
 
 
 VECTOR_FACETS = ["ECONOMY", "SMALL", "STANDARD", "MEDIUM"]
@@ -926,7 +936,7 @@ hits AS (SELECT k.query_id, k._id, k.score, k.rank FROM knn k
          JOIN part p ON CAST(p.p_partkey AS VARCHAR) = k._id WHERE p.p_type IN {tuple(VECTOR_FACETS)}),
 paged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position,
             count(*) OVER (PARTITION BY query_id) AS totalItems FROM hits)
-SELECT * FROM paged WHERE position <= 20""")
+SELECT query_id, _id, round(score, 6) AS score, rank, position, totalItems FROM paged WHERE position <= 20""")
 def q_vector_search(spark, sf):
     prods = X.products(spark, sf)
     searched = events(spark, sf).filter(F.col("tags.event") == "search") \
@@ -934,7 +944,7 @@ def q_vector_search(spark, sf):
     q = searched.join(prods.filter(F.col("vai_text_embedding").isNotNull()), "_id") \
         .select(F.col("_id").alias("query_id"), F.col("vai_text_embedding").alias("qvec"))
     return SR.vector_search(prods, q, 60, categories=VECTOR_FACETS, page=0) \
-        .select("query_id", "_id", "score", "rank", "position", "totalItems")
+        .select("query_id", "_id", r6("score"), "rank", "position", "totalItems")
 
 
 @register("receipt_recommendations", O.with_ctes(ORDERS_CTE, O.CATALOG).rstrip("\n") + """,
@@ -943,11 +953,11 @@ dear AS (SELECT order_id, product_id FROM (
   WHERE rn = 1),
 """ + O.knn_sql("""vq AS (SELECT DISTINCT d.product_id AS query_id, c.v AS qv FROM dear d JOIN cat c ON c._id = d.product_id)""",
                 6, exclude_self=True).lstrip() + """
-SELECT d.order_id, d.product_id, k._id AS rec_id, k.score, k.rank FROM dear d JOIN knn k ON k.query_id = d.product_id""")
+SELECT d.order_id, d.product_id, k._id AS rec_id, round(k.score, 6) AS score, k.rank FROM dear d JOIN knn k ON k.query_id = d.product_id""")
 def q_receipt_recommendations(spark, sf):
     lines = X.order_lines(spark, sf).withColumnRenamed("_id", "product_id")
     r = SR.receipt_recommendations(lines, X.products(spark, sf), 6)
-    return r.select("order_id", "product_id", "rec_id", "score", "rank")
+    return r.select("order_id", "product_id", "rec_id", r6("score"), "rank")
 
 
 # ---------------------------------------------------------------- §2.1 sources and sinks

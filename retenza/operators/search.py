@@ -111,12 +111,15 @@ def knn(queries: DataFrame, catalog: DataFrame, k: int, exclude_self: bool = Fal
     catalog: (_id string, vec array<float|double>)
     -> (query_id, _id, score, rank), rank 1..k by score desc then _id.
     """
-    queries = queries.select(F.col("query_id").cast("string"), F.col("qvec")).persist()
-    catalog = catalog.select(F.col("_id").cast("string"), F.col("vec")).persist()
+    queries = queries.select(F.col("query_id").cast("string"), F.col("qvec"))
+    catalog = catalog.select(F.col("_id").cast("string"), F.col("vec"))
     if q_blocks is None or c_blocks is None:
         # Grid size from the real row counts (Catalyst's estimates multiply
-        # across joins and are useless here); the inputs are persisted, so
-        # the counts do not recompute them.
+        # across joins and are useless here). Both inputs are written once
+        # as reliable checkpoints, so counting does not recompute them and
+        # the grid job reads stable, lineage-free inputs.
+        from ..session import cut_lineage
+        queries, catalog = cut_lineage(queries), cut_lineage(catalog)
         dim = _dim(catalog, "vec")
         q_blocks = q_blocks or _blocks(queries.count(), dim)
         c_blocks = c_blocks or _blocks(catalog.count(), dim)

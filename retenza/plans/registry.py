@@ -75,12 +75,13 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
-def _memo(name: str, sf: str, build):
+def _memo(name: str, sf: str, build, materialize: bool = True):
     if _CALL is None:
         return build()
     if (name, sf) not in _CALL:
         from ..session import cut_lineage
-        _CALL[(name, sf)] = cut_lineage(build())
+        df = build()
+        _CALL[(name, sf)] = cut_lineage(df) if materialize else df
     return _CALL[(name, sf)]
 
 
@@ -90,7 +91,9 @@ def events(spark, sf):
 
 
 def signals(spark, sf):
-    return _memo("signals", sf, lambda: S.all_signals(events(spark, sf), DAY))
+    # all_signals already writes its window aggregates once; the finished
+    # signal table is cheap to re-derive from them, so it is only shared.
+    return _memo("signals", sf, lambda: S.all_signals(events(spark, sf), DAY), materialize=False)
 
 
 def valid_events(spark, sf):

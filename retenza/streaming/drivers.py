@@ -122,6 +122,26 @@ def window_rows_from_facts(facts: DataFrame) -> DataFrame:
                                        F.col("_last.ts").alias("ts"))).drop("_last")
 
 
+def intent_from_facts(facts: DataFrame) -> DataFrame:
+    """Long intent rows of all three dimensions from one closed window's facts:
+    (window, sessionId, dimension, key, search/view/cart counts, weight,
+    focus). Same numbers as ``windows.intent_long`` per dimension."""
+    parts = []
+    for dim in ("productId", "articleType", "subCategory"):
+        f = facts.filter(F.col(dim).isNotNull() & (F.col("weight") > 0))
+        keyed = f.groupBy("window", "sessionId", F.col(dim).alias("key")).agg(
+            *[F.sum(F.when(F.col("event") == e, F.col("n")).otherwise(F.lit(0))).cast("int")
+              .alias(a) for e, a in (("search", "searchCount"), ("view-product", "viewCount"),
+                                     ("add-to-cart", "addToCartCount"))],
+            F.sum("weight").cast("int").alias("weight"))
+        parts.append(keyed.withColumn("dimension", F.lit(dim)))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    totals = out.groupBy("window", "sessionId", "dimension").agg(F.sum("weight").alias("_t"))
+    return (out.join(totals, ["window", "sessionId", "dimension"])
+            .withColumn("focus", F.when(F.col("_t") > 0, F.col("weight") / F.col("_t"))
+                        .otherwise(F.lit(0.0))).drop("_t"))
+
+
 def history_from_facts(facts: DataFrame) -> DataFrame:
     return facts.filter((F.col("event") == "search") & present(F.col("query"))).select(
         "window", "sessionId", F.col("first.ts").alias("ts"),
@@ -130,10 +150,12 @@ def history_from_facts(facts: DataFrame) -> DataFrame:
 
 def session_state_stream(events: DataFrame, rows_path: str, history_path: str,
                          dlq_path: str, checkpoint: str, window: str = "10 seconds",
-                         trigger: dict | None = None) -> list[StreamingQuery]:
-    """Events -> (1) DLQ rows, (2) per-window session rows + search history,
-    both keyed and inserted only when absent. Session state is the
-    aggregate of the window rows on read (``windows.session_state_flat``)."""
+                         trigger: dict | None = None,
+                         intent_path: str | None = None) -> list[StreamingQuery]:
+    """Events -> (1) DLQ rows, (2) per-window session rows + search history
+    (+ intent rows when ``intent_path`` is given), all keyed and inserted
+    only when absent. Session state is the aggregate of the window rows on
+    read (``windows.session_state_flat``)."""
     spark = events.sparkSession
     flagged = events.withColumn("_valid", validate_event())
     dlq = flagged.filter(~F.col("_valid")).drop("_valid")
@@ -150,6 +172,10 @@ def session_state_stream(events: DataFrame, rows_path: str, history_path: str,
         hist = history_from_facts(batch).withColumn(
             "_hkey", F.concat_ws("|", "sessionId", F.col("event_id").cast("string")))
         SK.insert_if_absent_to(spark, hist, history_path, "_hkey")
+        if intent_path is not None:
+            intent = intent_from_facts(batch).withColumn("_ikey", F.concat_ws(
+                "|", "sessionId", F.col("window.start").cast("string"), "dimension", "key"))
+            SK.insert_if_absent_to(spark, intent, intent_path, "_ikey")
         batch.unpersist()
 
     return [dlq_q, _start(facts, sink, checkpoint + "/state", trigger)]
@@ -166,6 +192,22 @@ def signal_feed(spark: SparkSession, path: str, handler: Callable[[DataFrame, in
     return _start(src, handler, checkpoint, trigger)
 
 
+def nba_stream(spark: SparkSession, signals_path: str, nbas_path: str, checkpoint: str,
+               scores: DataFrame | None = None, products: DataFrame | None = None,
+               trigger: dict | None = None) -> StreamingQuery:
+    """Signal feed -> one next best action per new signal, inserted only when
+    its ``signal_id`` is absent (a replayed batch adds nothing). ``scores``
+    enables the churn-enriched offers."""
+    from ..operators.actions import nba_from_signals
+
+    def handler(batch: DataFrame, batch_id: int) -> None:
+        nbas = nba_from_signals(batch, scores=scores, products=products,
+                                enriched=scores is not None)
+        SK.insert_if_absent_to(spark, nbas, nbas_path, "signal_id")
+
+    return signal_feed(spark, signals_path, handler, checkpoint, trigger=trigger)
+
+
 def run_to_completion(queries: list[StreamingQuery] | StreamingQuery,
                       timeout_s: int = 600) -> None:
     for q in queries if isinstance(queries, list) else [queries]:

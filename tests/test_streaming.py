@@ -74,10 +74,11 @@ def test_session_state_stream_equals_batch(spark):
     src = os.path.join(tmp, "events")
     chunks = _rows()
     _write_files(spark, src, chunks + [[ev(999, 600, "heartbeat", uid="z", sid="z")]])
-    paths = {k: os.path.join(tmp, k) for k in ("rows", "hist", "dlq")}
+    paths = {k: os.path.join(tmp, k) for k in ("rows", "hist", "dlq", "intent")}
     qs = DR.session_state_stream(event_source(spark, os.path.join(src, "*"), max_files=1),
                                  paths["rows"], paths["hist"], paths["dlq"],
-                                 os.path.join(tmp, "ck"), window="10 seconds")
+                                 os.path.join(tmp, "ck"), window="10 seconds",
+                                 intent_path=paths["intent"])
     DR.run_to_completion(qs)
     rows = spark.read.parquet(paths["rows"]).drop("_wkey")
     hist = spark.read.parquet(paths["hist"])
@@ -90,3 +91,26 @@ def test_session_state_stream_equals_batch(spark):
     key = lambda df: sorted(tuple(r) for r in df.select(sorted(df.columns)).collect())
     assert key(streamed) == key(batch)
     assert spark.read.parquet(paths["dlq"]).filter(F.col("event_id") == 200).count() == 1
+    intent = spark.read.parquet(paths["intent"])
+    for dim, fn in (("productId", W.intent_products), ("articleType", W.intent_article_types),
+                    ("subCategory", W.intent_sub_categories)):
+        want = sorted((str(r["window"]["start"]), r["sessionId"], r[dim], r["weight"],
+                       round(r["focus"], 9), r["viewCount"])
+                      for r in fn(valid, "10 seconds").collect())
+        got = sorted((str(r["window"]["start"]), r["sessionId"], r["key"], r["weight"],
+                      round(r["focus"], 9), r["viewCount"])
+                     for r in intent.filter(F.col("dimension") == dim).collect())
+        assert got == want
+
+
+def test_nba_stream_is_idempotent(spark):
+    tmp = tempfile.mkdtemp(prefix="retenza-nba-")
+    sig = S.all_signals(events_df(spark, [r for c in _rows() for r in c]), "30 seconds",
+                        materialize=False)
+    sig.write.parquet(os.path.join(tmp, "signals"))
+    out = os.path.join(tmp, "nbas")
+    DR.run_to_completion(DR.nba_stream(spark, os.path.join(tmp, "signals"), out,
+                                       os.path.join(tmp, "ck1")))
+    DR.run_to_completion(DR.nba_stream(spark, os.path.join(tmp, "signals"), out,
+                                       os.path.join(tmp, "ck2")))     # replay from scratch
+    assert spark.read.parquet(out).count() == sig.count()

@@ -71,7 +71,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(current)
         return current
     path = tempfile.mkdtemp(prefix="retenza-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
+    try:
+        spark.conf.set("spark.checkpoint.dir", path)
+    except Exception:  # a core setting may be read-only at runtime
+        pass
     sc.setCheckpointDir(path)
     return path
 

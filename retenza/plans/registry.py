@@ -9,6 +9,7 @@ compare with DuckDB's naive timestamps.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +50,7 @@ SHARED = {
     "train_churn_model", "score_users", "score_on_demand", "incremental_scoring", "load_model",
     "save_model", "feature_importance", "nba_product_embed", "product_notifications",
 }
-_CALL: dict | None = None
+_LOCAL = threading.local()       # per-thread memo of one query call
 
 
 def r6(c: str):
@@ -61,13 +62,12 @@ def r6(c: str):
 def register(key: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            global _CALL
-            outer = _CALL
-            _CALL = {} if key in SHARED else None
+            outer = getattr(_LOCAL, "call", None)
+            _LOCAL.call = {} if key in SHARED else None
             try:
                 return ntz(fn(spark, sf_dir))
             finally:
-                _CALL = outer
+                _LOCAL.call = outer
         QUERIES[key] = run
         if sql is not None:
             ORACLE[key] = sql
@@ -76,13 +76,14 @@ def register(key: str, sql: str | None = None):
 
 
 def _memo(name: str, sf: str, build, materialize: bool = True):
-    if _CALL is None:
+    call = getattr(_LOCAL, "call", None)
+    if call is None:
         return build()
-    if (name, sf) not in _CALL:
+    if (name, sf) not in call:
         from ..session import cut_lineage
         df = build()
-        _CALL[(name, sf)] = cut_lineage(df) if materialize else df
-    return _CALL[(name, sf)]
+        call[(name, sf)] = cut_lineage(df) if materialize else df
+    return call[(name, sf)]
 
 
 # ---------------------------------------------------------------- shared inputs

@@ -56,5 +56,8 @@ def concat_history(old: Column, new: Column) -> Column:
 
 
 def price_label(amount: Column) -> Column:
-    """'$' + amount as JavaScript prints a number."""
-    return F.concat(F.lit("$"), amount.cast("string"))
+    """'$' + amount as JavaScript prints a number (an integral value has no
+    decimal part: 900 -> '$900', 12.5 -> '$12.5')."""
+    whole = amount == F.floor(amount)
+    text = F.when(whole, amount.cast("long").cast("string")).otherwise(amount.cast("string"))
+    return F.concat(F.lit("$"), text)

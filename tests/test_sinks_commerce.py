@@ -80,6 +80,9 @@ def test_order_scalars(spark):
     ts = spark.createDataFrame([(946684800000,)], "ms long").select(
         FC.pretty_date(FC.epoch_ms_to_ts(F.col("ms"))).alias("d")).collect()[0]["d"]
     assert ts == "Jan 1, 2000 at 12:00:00 AM"
+    labels = [r["l"] for r in spark.createDataFrame([(900.0,), (12.5,)], "a double")
+              .select(FC.price_label(F.col("a")).alias("l")).collect()]
+    assert labels == ["$900", "$12.5"]
 
 
 def test_latest_status_and_last_bought(spark):

@@ -13,7 +13,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FEATURE_COLUMNS
@@ -72,7 +72,7 @@ def model_features(model: PipelineModel) -> list[str]:
 
 def feature_importance(model: PipelineModel, spark=None) -> DataFrame:
     """(feature, importance) sorted by importance desc (10 rows of model data)."""
-    spark = spark or __import__("pyspark").sql.SparkSession.getActiveSession()
+    spark = spark or SparkSession.getActiveSession()
     rows = list(zip(model_features(model), importances(model)))
     return spark.createDataFrame(rows, "feature string, importance double") \
         .orderBy(F.desc("importance"), "feature")

@@ -69,7 +69,8 @@ def signal_stream(events: DataFrame, signals_path: str, checkpoint: str,
     def sink(batch: DataFrame, batch_id: int) -> None:
         # the closed windows' facts feed four rules: computed once per batch
         facts = plain_window(batch).persist()
-        SK.insert_if_absent_to(spark, finish_signals(facts, window), signals_path, "_id")
+        SK.insert_if_absent_to(spark, finish_signals(facts, window), signals_path, "_id",
+                               since="ts")
         facts.unpersist()
 
     return _start(facts, sink, checkpoint, trigger)
@@ -166,16 +167,20 @@ def session_state_stream(events: DataFrame, rows_path: str, history_path: str,
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch = plain_window(batch).persist()
-        rows = window_rows_from_facts(batch)
+        rows = window_rows_from_facts(batch).withColumn("_wstart", F.col("window.start"))
         target = SK.read_if_exists(spark, rows_path)
+        if target is not None:      # a replayed window can only match its own start
+            lo = rows.agg(F.min("_wstart").alias("lo")).first()["lo"]
+            target = target.filter(F.col("_wstart") >= F.lit(lo)) if lo is not None else None
         SK.merge_session_state(target, rows).write.mode("append").parquet(rows_path)
         hist = history_from_facts(batch).withColumn(
             "_hkey", F.concat_ws("|", "sessionId", F.col("event_id").cast("string")))
-        SK.insert_if_absent_to(spark, hist, history_path, "_hkey")
+        SK.insert_if_absent_to(spark, hist, history_path, "_hkey", since="ts")
         if intent_path is not None:
             intent = intent_from_facts(batch).withColumn("_ikey", F.concat_ws(
                 "|", "sessionId", F.col("window.start").cast("string"), "dimension", "key"))
-            SK.insert_if_absent_to(spark, intent, intent_path, "_ikey")
+            intent = intent.withColumn("_wstart", F.col("window.start"))
+            SK.insert_if_absent_to(spark, intent, intent_path, "_ikey", since="_wstart")
         batch.unpersist()
 
     return [dlq_q, _start(facts, sink, checkpoint + "/state", trigger)]
@@ -203,7 +208,7 @@ def nba_stream(spark: SparkSession, signals_path: str, nbas_path: str, checkpoin
     def handler(batch: DataFrame, batch_id: int) -> None:
         nbas = nba_from_signals(batch, scores=scores, products=products,
                                 enriched=scores is not None)
-        SK.insert_if_absent_to(spark, nbas, nbas_path, "signal_id")
+        SK.insert_if_absent_to(spark, nbas, nbas_path, "signal_id", since="ts")
 
     return signal_feed(spark, signals_path, handler, checkpoint, trigger=trigger)
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import line_dedup, line_quality
+from . import decontaminate, hilbert_shards, language_id, line_dedup, line_quality, url_filter
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_quality_lines": line_quality.op3_quality_lines,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_hilbert_shards": hilbert_shards.op5_hilbert_shards,
+    "op8_url_filter": url_filter.op8_url_filter,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLE = {
+    "op1_decontaminate": decontaminate.ORACLE,
     "op3_quality_lines": line_quality.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
 }

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert_shards, language_id, line_dedup, line_quality, url_filter
+from . import (
+    decontaminate, hilbert_shards, language_id, line_dedup, line_quality, packing, token_files, url_filter)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_token_files": token_files.op2_token_files,
     "op3_quality_lines": line_quality.op3_quality_lines,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_hilbert_shards": hilbert_shards.op5_hilbert_shards,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_pack": packing.op9_pack,
     "op10_language_id": language_id.op10_language_id,
 }
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from . import (
-    decontaminate, hilbert_shards, language_id, line_dedup, line_quality, near_dup, packing, token_files,
-    url_filter)
+    decontaminate, hilbert_shards, language_id, line_dedup, line_quality, near_dup, packing,
+    substring_dedup, token_files, url_filter)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op3_quality_lines": line_quality.op3_quality_lines,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_hilbert_shards": hilbert_shards.op5_hilbert_shards,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_near_duplicates": near_dup.op7_near_duplicates,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_pack": packing.op9_pack,
@@ -22,4 +23,5 @@ ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op3_quality_lines": line_quality.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
 }

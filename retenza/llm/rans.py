@@ -60,7 +60,7 @@ class Table:
         return np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq)
 
 
-def encode(ids: np.ndarray, table: Table, lanes: int = 512, every: int = 128) -> bytes:
+def encode(ids: np.ndarray, table: Table, lanes: int = 2048, every: int = 64) -> bytes:
     n = len(ids)
     steps = -(-n // lanes)
     x = np.full(lanes, LOW)

@@ -39,31 +39,39 @@ from .packing import tokenizer_path
 from .tokens import with_end
 
 
-def token_rows(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
-    """(doc_id, n, ids as u32 bytes, part, pos) in document order, stored."""
+def id_type(path: str) -> str:
+    """The narrowest little-endian type for the ids of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else "<u4"
+
+
+def token_rows(docs: DataFrame, path: str, kind: str, end_id: int = 2) -> DataFrame:
+    """(doc_id, n, ids as bytes of ``kind``, part, pos) in document order, stored."""
+    size = int(kind[-1])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, pos = TaskContext.get().partitionId(), 0
         for rows, ids, n in with_end(batches, path, end_id):
-            edge = pa.array(np.concatenate(([0], 4 * np.cumsum(n))).astype(np.int32))
+            edge = pa.array(np.concatenate(([0], size * np.cumsum(n))).astype(np.int32))
             raw = pa.Array.from_buffers(pa.binary(), len(n),
-                                        [None, edge.buffers()[1], pa.py_buffer(ids.astype("<u4").tobytes())])
+                                        [None, edge.buffers()[1], pa.py_buffer(ids.astype(kind).tobytes())])
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(n), raw, pa.array(np.full(len(n), part, np.int32)),
                  pa.array(np.arange(pos, pos + len(n)))], ["doc_id", "n", "ids", "part", "pos"])
             pos += len(n)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    doc_kind = docs.schema["doc_id"].dataType.simpleString()
     run = docs.select("doc_id", text_hash(docs["text"]).alias("th"), "text") \
         .repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
-    return stored(run.mapInArrow(encode, f"doc_id {kind}, n long, ids binary, part int, pos long"), "ids")
+    return stored(run.mapInArrow(encode, f"doc_id {doc_kind}, n long, ids binary, part int, pos long"), "ids")
 
 
-def _counts(ids: DataFrame) -> np.ndarray:
+def _counts(ids: DataFrame, kind: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"))
+            n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
             if len(n) > len(total):
                 total = np.concatenate((total, np.zeros(len(n) - len(total), np.int64)))
             total[:len(n)] += n
@@ -76,10 +84,11 @@ def _counts(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block_ids: int = 1 << 18) -> None:
+def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block_ids: int = 1 << 19) -> None:
     """Encode all texts and write the coded files to ``folder``."""
-    ids = token_rows(docs, path, end_id)
-    freq = rans.Table.of_counts(_counts(ids))
+    width = id_type(path)
+    ids = token_rows(docs, path, width, end_id)
+    freq = rans.Table.of_counts(_counts(ids, width))
     spark = docs.sparkSession
     spark.createDataFrame([(freq.freq.tobytes(),)], "freq binary").coalesce(1).write.parquet(f"{folder}/table")
     shared = spark.sparkContext.broadcast(freq.freq.tobytes())
@@ -88,7 +97,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
         own = rans.Table(np.frombuffer(shared.value, "<u4"))
 
         def block(rows):
-            payload = rans.encode(np.frombuffer(b"".join(r[2] for r in rows), "<u4"), own)
+            payload = rans.encode(np.frombuffer(b"".join(r[2] for r in rows), width), own)
             return pa.RecordBatch.from_arrays([
                 pa.array([rows[0][3]], pa.int32()), pa.array([rows[0][4]], pa.int64()),
                 pa.array([[r[0] for r in rows]], pa.list_(kind)),

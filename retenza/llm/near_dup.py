@@ -50,6 +50,7 @@ from .common import same, stored, table, text_hash
 from .decontaminate import split_words
 
 SHINGLE = 5
+_A_WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 LONG_SKETCHES, LONG_SIZE, LONG_FROM = 24, 5, 32
 SHORT_SKETCHES, SHORT_SIZE, SHORT_TO = 12, 2, 40
 _MULTIPLY = np.random.default_rng(20).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -285,15 +286,14 @@ def drop_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     groups = found.filter("n > 0").groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("fp")).alias("own")) \
         .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("k"))
     keep = groups.select("k.id", "k.th").union(found.filter("n = 0").select("id", "th").distinct())
-    keyed = docs.withColumn("_th", text_hash(docs["text"]))
-    out = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["id"]) & keyed["_th"].eqNullSafe(keep["th"]), "left_semi")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"),
+                        text_hash(docs["text"]).alias("th"),
+                        F.coalesce(F.regexp_like(docs["text"], F.lit(_A_WORD)), F.lit(False)).alias("worded"))
+    out = keyed.join(keep, same(keyed, keep, "id", "th"), "left_semi")
     repeated = found.filter("n > 0").groupBy("id", "th").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     if not repeated.isEmpty():
-        words = F.col("_words")
-        out = out.withColumn("_words", F.regexp_like("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]")))
-        out = out.filter(words).dropDuplicates(["doc_id", "_th"]).unionByName(
-            out.filter(~F.coalesce(words, F.lit(False)))).drop("_words")
-    return out.drop("_th")
+        out = out.filter("worded").dropDuplicates(["id", "th"]).unionByName(out.filter("not worded"))
+    return out.select("row.*")
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
-from corpus_cases import clashing, docs_of, edge, rows  # noqa: F401
+from corpus_cases import clashing, docs_of, edge, rows, words  # noqa: F401
 
 from retenza.llm import line_dedup, line_quality
 
@@ -93,10 +94,11 @@ def test_quality_equals_brute_force(edge, clashing, rows):
 
 
 def test_quality_counts_copies_once_and_rejects_depleted(docs_of, rows):
-    body = "\n".join(f"boilerplate line number {i} of the shop" for i in range(6))
+    rng = random.Random(3)
+    body = "\n".join(" ".join(words(rng, 9)) for _ in range(6))
     own = [(i, f"{body}\nown text {i}", "en", "shop", 1) for i in range(30)]
-    copies = [(100 + i, "\n".join(f"a copied page with line {j} of its own text" for j in range(5)), "en", "news", 1)
-              for i in range(40)]
+    page = "\n".join(" ".join(words(rng, 9)) for _ in range(5))
+    copies = [(100 + i, page, "en", "news", 1) for i in range(40)]
     kept = {r[0]: r[1] for r in rows(line_quality.line_quality(docs_of(own + copies)), "doc_id", "kept")}
     assert not any(kept[i] for i in range(30)) and all(kept[100 + i] for i in range(40))
 

@@ -92,7 +92,7 @@ def test_passages_equal_brute_force(edge, clashing, rows, small_batches, group_r
     for df in (edge, clashing):
         out = substring_dedup.substring_dedup(df, group_rows, broadcast_rows)
         assert Counter(rows(out, "doc_id", "n_words", "n_removed", "kept_sha256")) == want
-    assert sum(r[2] > 0 for r in want) >= 4
+    assert sum(r[2] > 0 for r in want) >= 3
     texts = {r["doc_id"]: r["text"] for r in edge.collect()}
     for r in out.filter("n_removed > 0").collect():
         ws = texts[r["doc_id"]].split()
@@ -105,8 +105,9 @@ def test_passages_of_many_documents_and_none(docs_of, rows, small_batches):
     rng = random.Random(1)
     hot = words(rng, 60)
     docs = docs_of([(i, " ".join([*words(rng, 20), *hot, *words(rng, 20)]), "en", "a", 1) for i in range(60)], 9)
-    got = rows(substring_dedup.substring_dedup(docs, 10), "doc_id", "n_removed")
-    assert got == [(i, 60 if i else 0) for i in range(60)]
+    got = rows(substring_dedup.substring_dedup(docs, 10), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert Counter(got) == Counter(brute_passages(docs.collect()))
+    assert all(r[2] >= 60 for r in got if r[0])
     assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
 
 

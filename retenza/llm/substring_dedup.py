@@ -7,14 +7,14 @@ with a smaller id. Windows are judged on the input.
 Method. The word suffixes of all documents would be as many as the words,
 each with its path. Two steps keep that small without losing a window:
 
-1. Anchors. Of the nine 5-word prefixes inside a window the one with the
+1. Anchors. Of the six 8-word prefixes inside a window the one with the
    smallest hash is its anchor; equal windows have equal anchors, and a
-   document has about one for five words. Only windows whose anchor is found
+   document has about one for four words. Only windows whose anchor is found
    in two documents can repeat; only their suffixes are kept.
-2. Suffix trees, cut at depth 13. A suffix's path is its first 5, next 4 and
-   last 4 words (64 and twice 32 bits). Suffixes are dealt out by prefix:
-   prefixes of 5 words share groups; a group that outgrows ``group_rows`` is
-   split by 9 words, one that still does by 13. Inside a group, suffixes in
+2. Suffix trees, cut at depth 13. A suffix's path is its first 8 and last 5
+   words (64 bits each). Suffixes are dealt out by prefix: prefixes of 8
+   words share groups; a group that outgrows ``group_rows`` is split by the
+   whole 13. Inside a group, suffixes in
    path order are the leaves of its subtree, in which equal neighbours form
    the internal nodes; a node of depth 13 is a repeat, and each of its
    leaves with a larger id than its smallest is removed. Overlapping removed
@@ -43,10 +43,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_hash
+from .common import discard, stored, table, text_hash
 from .near_dup import _mix, _Q, _WordHash
 
-WINDOW, PREFIX, STEP = 13, 5, 4
+WINDOW, PREFIX = 13, 8
 _hashes = _WordHash()
 
 
@@ -155,12 +155,12 @@ def live_suffixes(texts: DataFrame) -> DataFrame:
             p, e, pos = [], [], []
             for text, anchors in zip(b.column(2).to_pylist(), b.column(3)):
                 w = _numbers(text.encode().split())
-                prefix, step = _ngrams(w, PREFIX), _ngrams(w, STEP) >> np.uint64(32)
+                prefix, rest = _ngrams(w, PREFIX), _ngrams(w, WINDOW - PREFIX)
                 known = np.unique(anchors.values.to_numpy().view(np.uint64))
                 low = window_anchors(prefix)
                 at = np.flatnonzero(known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low)
                 p.append(prefix[at])
-                e.append(step[at + PREFIX] << np.uint64(32) | step[at + PREFIX + STEP])
+                e.append(rest[at + PREFIX])
                 pos.append(at.astype(np.int32))
             doc = np.repeat(np.arange(len(p)), [len(x) for x in p])
             p, e, pos = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (p, e, pos))
@@ -184,21 +184,17 @@ def live_suffixes(texts: DataFrame) -> DataFrame:
 
 
 def prefix_groups(suffixes: DataFrame, group_rows: int) -> DataFrame:
-    """``suffixes`` with ``part``, the group of its prefix: hashed 5-word prefixes, and for
-    groups over ``group_rows`` 9 words, then all 13. Counts are per group, not per prefix."""
+    """``suffixes`` with ``part``, the group of its prefix: hashed 8-word prefixes, and in
+    groups over ``group_rows`` all 13 words. Counts are per group, not per prefix."""
     total = suffixes.count()
     groups = 1 << min(20, max(10, (4 * total // group_rows).bit_length()))
-    five = F.pmod(F.xxhash64("p"), F.lit(groups))
-    nine = F.pmod(F.xxhash64("p", F.shiftright("e", 32)), F.lit(1 << 40))
-    out = suffixes.withColumn("part", five)
-    for longer in (nine, F.xxhash64("p", "e")):
-        large = stored(out.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
-                       .filter(F.col("c") > group_rows).select("part", F.lit(True).alias("large")), "large-groups")
-        if large.isEmpty():
-            break
-        out = out.join(large, "part", "left").withColumn(
-            "part", F.when(F.col("large"), F.xxhash64("part", longer)).otherwise(F.col("part"))).drop("large")
-    return out
+    out = suffixes.withColumn("part", F.pmod(F.xxhash64("p"), F.lit(groups)))
+    large = stored(out.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
+                   .filter(F.col("c") > group_rows).select("part", F.lit(True).alias("large")), "large-groups")
+    if large.isEmpty():
+        return out
+    return out.join(large, "part", "left").withColumn(
+        "part", F.when(F.col("large"), F.xxhash64("p", "e")).otherwise(F.col("part"))).drop("large")
 
 
 def repeated_leaves(suffixes: DataFrame, group_rows: int) -> DataFrame:
@@ -265,6 +261,7 @@ def substring_dedup(docs: DataFrame, group_rows: int = 1_000_000, broadcast_rows
         .withColumn("anchors", F.concat("local", F.coalesce("far", F.array().cast("array<long>")))) \
         .filter(F.size("anchors") > 0).select("row", "anchors")
     live = stored(live.join(light.filter(~F.col("copy")).select("row", "id", "th"), "row"), "live")
+    discard(rows)
     texts = docs.select(docs["doc_id"].alias("id"), text_hash(docs["text"]).alias("th"), "text")
     if live.count() <= broadcast_rows:
         texts = texts.join(F.broadcast(live.select("id", "th").distinct()), ["id", "th"], "left_semi")
@@ -272,9 +269,12 @@ def substring_dedup(docs: DataFrame, group_rows: int = 1_000_000, broadcast_rows
     leaves = stored(live_suffixes(texts), "suffixes")
     paths = leaves.select("row", "id", F.inline(F.arrays_zip("p", "e", "pos")))
     found = repeated_leaves(paths, group_rows)
-    done = leaves.select("row", "text", "gone").join(found, "row", "left") \
-        .filter(F.col("far").isNotNull() | (F.size("gone") > 0))
-    done = cut(done).dropDuplicates(["row"])
+    near = leaves.filter(F.size("gone") > 0).select("row", "gone").dropDuplicates(["row"])
+    hits = stored(near.join(found, "row", "full_outer"), "repeats")
+    texts = leaves.select("row", "text")
+    if hits.count() <= broadcast_rows:
+        texts = texts.join(F.broadcast(hits.select("row")), "row", "left_semi")
+    done = cut(hits.join(texts, "row")).dropDuplicates(["row"])
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n").cast("int").alias("end")))
     return light.join(done, "row", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_words"),

@@ -68,6 +68,7 @@ def order_summary(orders: DataFrame) -> DataFrame:
         "type",
         F.transform("products", lambda p: F.struct(
             p.getField("_id").alias("id"), p.getField("name").alias("name"),
+            p.getField("description").alias("description"),
             p.getField("code").alias("code"), p.getField("brand").alias("brand"),
             price_label(p.getField("price").getField("amount")).alias("price"))).alias("products"))
 
@@ -95,10 +96,11 @@ def last_bought_products(lines: DataFrame, n: int, order_key: str = "okey") -> D
 
 def latest_by_key(feed: DataFrame, key: str, version: str) -> DataFrame:
     """Newest row per key from an insert/update/replace feed (``max_by`` is
-    a partial aggregate: no full sort of a hot key)."""
+    a partial aggregate: no full sort of a hot key). Rows of one version are
+    told apart by a hash of their values, so the choice is always the same."""
     cols = [c for c in feed.columns if c != key]
-    return feed.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(version)).alias("_r")) \
-        .select(key, "_r.*")
+    rank = F.struct(F.col(version), F.xxhash64(*cols))
+    return feed.groupBy(key).agg(F.max_by(F.struct(*cols), rank).alias("_r")).select(key, "_r.*")
 
 
 def product_notifications(nbas: DataFrame, removals: DataFrame | None = None,
@@ -160,4 +162,4 @@ def random_sample_products(products: DataFrame, n: int, seed: int = 42,
                            key: str = "_id") -> DataFrame:
     """Seeded sample of n rows: order by a keyed hash, take n (a top-n: each
     partition keeps n candidates, the driver merges at most n per task)."""
-    return products.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return products.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

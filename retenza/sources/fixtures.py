@@ -204,7 +204,8 @@ def orders_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = order_lines(spark, sf_dir)
     prod = (lines.groupBy("okey")
             .agg(F.array_sort(F.collect_list(F.struct(
-                F.col("pos"), F.col("_id"), F.col("name"), F.col("brand"), F.col("code"),
+                F.col("pos"), F.col("_id"), F.col("name"),
+                F.lit(None).cast("string").alias("description"), F.col("brand"), F.col("code"),
                 F.col("amount"),
                 F.struct(F.col("unit_price").alias("amount"),
                          F.lit(CURRENCY).alias("currency")).alias("price")))).alias("p")))

@@ -8,11 +8,14 @@ nothing.
 
 from __future__ import annotations
 
-import os
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Column of the folders that micro-batches write to.
+BATCH = "_batch"
+
 
 def new_rows_if_absent(target: DataFrame | None, batch: DataFrame, key: str = "_id") -> DataFrame:
     """Rows of ``batch`` whose key the target lacks; duplicates in the batch
@@ -28,22 +31,72 @@ def merge_insert_if_absent(target: DataFrame, batch: DataFrame, key: str = "_id"
     return target.unionByName(new_rows_if_absent(target, batch, key), allowMissingColumns=True)
 
 
-def upsert_scores(target: DataFrame, batch: DataFrame, key: str = "uid") -> DataFrame:
-    """update_one({key}, $set, upsert): fields present in the batch replace,
-    fields it lacks keep the old value, unseen keys are inserted."""
-    latest = batch.dropDuplicates([key])
+def latest_rows(batch: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per key: the one with the largest ``order`` (``scored_at`` if the
+    batch has it), as the last of several updates wins; rows with equal order
+    are told apart by their values, so a replay picks the same one."""
+    order = order or ("scored_at" if "scored_at" in batch.columns else None)
+    cols = [c for c in batch.columns if c != key]
+    rank = F.struct(*([F.col(order)] if order else []), F.xxhash64(*cols))
+    return batch.groupBy(key).agg(F.max_by(F.struct(*cols), rank).alias("_r")).select(key, "_r.*")
+
+
+def upsert_scores(target: DataFrame | None, batch: DataFrame, key: str = "uid",
+                  order: str | None = None) -> DataFrame:
+    """update_one({key}, $set, upsert): fields present in the batch replace the
+    old ones, also with null; fields it lacks keep the old value; unseen keys
+    are inserted. Of several rows of a key the latest counts (``latest_rows``)."""
+    latest = latest_rows(batch, key, order)
+    if target is None:
+        return latest
     cols = [c for c in target.columns if c != key]
-    j = target.alias("o").join(latest.alias("n"), key, "full_outer")
-    out = []
-    for c in cols:
-        if c in latest.columns:
-            out.append(F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c))
-        else:
-            out.append(F.col(f"o.{c}").alias(c))
+    new = latest.withColumn("_new", F.lit(True))
+    j = target.alias("o").join(new.alias("n"), key, "full_outer")
+    out = [F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+           if c in latest.columns else F.col(f"o.{c}").alias(c) for c in cols]
     extra = [F.col(f"n.{c}").alias(c) for c in latest.columns if c != key and c not in cols]
     return j.select(key, *out, *extra)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The table versions under ``path`` that hold data, oldest first."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(hpath)] if fs.exists(hpath) else []
+    found = [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()]
+    return sorted(v for v in found if has_data(spark, f"{path}/v={v}"))
+
+
+def read_scores(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest version of a score table (older than ``before``); None if there is none."""
+    versions = [v for v in _versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/v={versions[-1]}") if versions else None
+
+
+def upsert_scores_to(spark: SparkSession, batch: DataFrame, path: str, key: str = "uid",
+                     version: int | None = None) -> DataFrame:
+    """Store the upserted table as the next version under ``path`` and return it.
+
+    Readers keep the version they opened. With ``version`` (a micro-batch id)
+    a replay writes its own version again from the one before, so it changes
+    nothing; of older versions the last one stays for readers and replays.
+    """
+    if version is None:
+        known = _versions(spark, path)
+        version = known[-1] + 1 if known else 0
+    store_version(upsert_scores(read_scores(spark, path, version), batch, key), path, version)
+    return spark.read.parquet(f"{path}/v={version}")
+
+
+def store_version(df: DataFrame, path: str, version: int) -> None:
+    """Write ``df`` as a version of the table at ``path``; only the one before it is kept."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}/v={version}")
+    for v in [v for v in _versions(spark, path) if v < version][:-1]:
+        remove(spark, f"{path}/v={v}")
+
+
 def merge_session_state(target_rows: DataFrame | None, batch_rows: DataFrame,
                         key: str = "sessionId") -> DataFrame:
     """Idempotent session merge: window rows are stored keyed by
@@ -56,17 +109,35 @@ def merge_session_state(target_rows: DataFrame | None, batch_rows: DataFrame,
     return new_rows_if_absent(target_rows, keyed, "_wkey")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+def _file_system(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether committed data files lie under ``path``. No marker file is asked
+    for: object stores are often written without one."""
+    fs, hpath = _file_system(spark, path)
+    if not fs.exists(hpath):
+        return False
+    files = fs.listFiles(hpath, True)
+    while files.hasNext():
+        file = files.next().getPath()
+        if file.getName().startswith("part-") and "/_temporary/" not in file.toString():
+            return True
+    return False
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, hpath = _file_system(spark, path)
+    fs.delete(hpath, True)
 
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    if _exists(spark, path) and _exists(spark, os.path.join(path, "_SUCCESS")):
-        return spark.read.parquet(path)
-    return None
+    """The table at ``path`` without the column of its batch folders; None if it has no data."""
+    if not has_data(spark, path):
+        return None
+    return spark.read.parquet(path).drop(BATCH)
 
 
 def append_table(df: DataFrame, path: str) -> None:
@@ -80,22 +151,39 @@ def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = N
     w.parquet(path)
 
 
+def batch_name(checkpoint: str, batch_id: int) -> str:
+    """A name for one micro-batch of one stream; another checkpoint's batches differ."""
+    return f"b{zlib.crc32(checkpoint.encode()):08x}-{batch_id}"
+
+
 def insert_if_absent_to(spark: SparkSession, batch: DataFrame, path: str, key: str = "_id",
-                        since: str | None = None) -> None:
-    """Append the batch's unseen keys to the Parquet table at ``path``.
+                        since: str | None = None, batch_id: str | None = None,
+                        lowest=None) -> None:
+    """Add the batch's unseen keys to the Parquet table at ``path``.
 
     Only the key column of the existing table is read (column pruning), and
-    the anti join makes a replayed batch append nothing. ``since`` names an
+    the anti join makes a replayed batch add nothing. ``since`` names an
     event-time column that a duplicate key must share with its original
     (a signal's window end, a session window's start): the existing table is
-    then read only from the batch's earliest value on, which Parquet skips
-    by row-group statistics, so each batch costs O(batch), not O(table).
+    then read only from the batch's earliest value on (``lowest``, if the
+    caller knows it), which Parquet skips by row-group statistics, so each
+    batch costs O(batch), not O(table).
+
+    With ``batch_id`` (``batch_name``) the rows go to a folder of that batch,
+    which a replay overwrites: what a failed first attempt may have left is
+    replaced, not taken for earlier rows. ``read_if_exists`` reads all batches.
     """
-    target = read_if_exists(spark, path)
+    target = spark.read.parquet(path) if has_data(spark, path) else None
+    if target is not None and batch_id is not None and BATCH in target.columns:
+        target = target.filter(F.coalesce(F.col(BATCH) != batch_id, F.lit(True)))
     if target is not None and since is not None:
-        lo = batch.agg(F.min(since).alias("lo")).first()["lo"]
-        if lo is None:
-            return
-        target = target.filter(F.col(since) >= F.lit(lo))
+        if lowest is None:
+            lowest = batch.agg(F.min(since).alias("lo")).first()["lo"]
+            if lowest is None:
+                return
+        target = target.filter(F.col(since) >= F.lit(lowest))
     fresh = new_rows_if_absent(target, batch, key)
-    fresh.write.mode("append").parquet(path)
+    if batch_id is None:
+        fresh.write.mode("append").parquet(path)
+    else:
+        fresh.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")

@@ -46,9 +46,15 @@ def materialize_batch(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
     keyed by the batch id (overwritten on a replay) runs it exactly once,
     and the rules then read the written rows.
     """
-    out = f"{path}/batch={batch_id}"
-    plain_window(batch).write.mode("overwrite").parquet(out)
-    return batch.sparkSession.read.parquet(out)
+    spark = batch.sparkSession
+    plain_window(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    SK.remove(spark, f"{path}/batch={batch_id - 1}")       # committed, as this batch has begun
+    return spark.read.parquet(f"{path}/batch={batch_id}")
+
+
+def work_folder(checkpoint: str) -> str:
+    """Where a stream keeps its current micro-batch, beside its checkpoint."""
+    return checkpoint.rstrip("/") + "-work"
 
 
 def _start(df: DataFrame, fn, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -82,9 +88,11 @@ def signal_stream(events: DataFrame, signals_path: str, checkpoint: str,
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         # the closed windows' facts feed four rules: computed once per batch
-        facts = materialize_batch(batch, checkpoint + "/facts", batch_id)
-        SK.insert_if_absent_to(spark, finish_signals(facts, window), signals_path, "_id",
-                               since="ts")
+        facts = materialize_batch(batch, work_folder(checkpoint), batch_id)
+        lowest = facts.agg(F.min("window.end").alias("lo")).first()["lo"]    # a signal's ts
+        if lowest is not None:
+            SK.insert_if_absent_to(spark, finish_signals(facts, window), signals_path, "_id", since="ts",
+                                   batch_id=SK.batch_name(checkpoint, batch_id), lowest=lowest)
 
     return _start(facts, sink, checkpoint, trigger)
 
@@ -158,7 +166,7 @@ def intent_from_facts(facts: DataFrame) -> DataFrame:
 
 def history_from_facts(facts: DataFrame) -> DataFrame:
     return facts.filter((F.col("event") == "search") & present(F.col("query"))).select(
-        "window", "sessionId", F.col("first.ts").alias("ts"),
+        "window", "sessionId", F.col("first.uid").alias("userId"), F.col("first.ts").alias("ts"),
         F.col("search_id").alias("event_id"), "query")
 
 
@@ -179,55 +187,103 @@ def session_state_stream(events: DataFrame, rows_path: str, history_path: str,
     facts = session_facts_stream(flagged.filter("_valid").drop("_valid"), window)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = materialize_batch(batch, checkpoint + "/state-facts", batch_id)
-        rows = window_rows_from_facts(batch).withColumn("_wstart", F.col("window.start"))
-        target = SK.read_if_exists(spark, rows_path)
-        if target is not None:      # a replayed window can only match its own start
-            lo = rows.agg(F.min("_wstart").alias("lo")).first()["lo"]
-            target = target.filter(F.col("_wstart") >= F.lit(lo)) if lo is not None else None
-        SK.merge_session_state(target, rows).write.mode("append").parquet(rows_path)
+        batch = materialize_batch(batch, work_folder(checkpoint), batch_id)
+        lo = batch.agg(F.min("window.start").alias("lo")).first()["lo"]
+        if lo is None:
+            return
+        own = {"batch_id": SK.batch_name(checkpoint, batch_id), "lowest": lo}
+        rows = SK.merge_session_state(None, window_rows_from_facts(batch).withColumn(
+            "_wstart", F.col("window.start")))
+        # a replayed window can only match its own start
+        SK.insert_if_absent_to(spark, rows, rows_path, "_wkey", since="_wstart", **own)
         hist = history_from_facts(batch).withColumn(
             "_hkey", F.concat_ws("|", "sessionId", F.col("event_id").cast("string")))
-        SK.insert_if_absent_to(spark, hist, history_path, "_hkey", since="ts")
+        SK.insert_if_absent_to(spark, hist, history_path, "_hkey", since="ts", **own)
         if intent_path is not None:
             intent = intent_from_facts(batch).withColumn("_ikey", F.concat_ws(
                 "|", "sessionId", F.col("window.start").cast("string"), "dimension", "key"))
             intent = intent.withColumn("_wstart", F.col("window.start"))
-            SK.insert_if_absent_to(spark, intent, intent_path, "_ikey", since="_wstart")
+            SK.insert_if_absent_to(spark, intent, intent_path, "_ikey", since="_wstart", **own)
 
     return [dlq_q, _start(facts, sink, checkpoint + "/state", trigger)]
 
 
 # ------------------------------------------------------------------ feed
 def signal_feed(spark: SparkSession, path: str, handler: Callable[[DataFrame, int], None],
-                checkpoint: str, schema=None, trigger: dict | None = None) -> StreamingQuery:
-    """Inserted signals handed on per micro-batch; the checkpoint gives the
-    resume the reference's change stream lacks. A failing batch is retried
-    by Spark; ``handler`` must be idempotent (as the sinks here are)."""
+                checkpoint: str, schema=None, trigger: dict | None = None,
+                uid: str | None = None, sid: str | None = None) -> StreamingQuery:
+    """Inserted signals handed on per micro-batch, of one user or session if
+    ``uid`` or ``sid`` is given; the checkpoint gives the resume the
+    reference's change stream lacks. A failing batch is retried by Spark;
+    ``handler`` must be idempotent (as the sinks here are)."""
     schema = schema or spark.read.parquet(path).schema
     src = spark.readStream.schema(schema).parquet(path)
+    for column, value in (("uid", uid), ("sid", sid)):
+        if value is not None:
+            src = src.filter(F.col(column) == F.lit(value))
     return _start(src, handler, checkpoint, trigger)
 
 
+def latest_feed(feed: DataFrame, path: str, checkpoint: str, key: str, version: str,
+                trigger: dict | None = None) -> StreamingQuery:
+    """Keyed upsert of a feed: the table at ``path`` (``sinks.read_scores``) holds
+    the newest row of each key seen so far, as ``commerce.latest_by_key`` does
+    for a whole feed. Each micro-batch stores the next version of the table;
+    a replayed one stores its own again."""
+    from ..operators.commerce import latest_by_key
+    spark = feed.sparkSession
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        old = SK.read_scores(spark, path, batch_id)
+        both = batch if old is None else old.unionByName(batch)
+        SK.store_version(latest_by_key(both, key, version), path, batch_id)
+
+    return _start(feed, sink, checkpoint, trigger)
+
+
 def nba_stream(spark: SparkSession, signals_path: str, nbas_path: str, checkpoint: str,
                scores: DataFrame | None = None, products: DataFrame | None = None,
                trigger: dict | None = None) -> StreamingQuery:
     """Signal feed -> one next best action per new signal, inserted only when
     its ``signal_id`` is absent (a replayed batch adds nothing). ``scores``
-    enables the churn-enriched offers."""
-    from ..operators.actions import nba_from_signals
+    enables the churn-enriched offers. A product's buyers are counted over
+    the whole signal table as it is when the batch runs."""
+    from ..operators.actions import nba_from_signals, product_buyers
 
     def handler(batch: DataFrame, batch_id: int) -> None:
+        lowest = batch.agg(F.min("ts").alias("lo")).first()["lo"]
+        if lowest is None:
+            return
+        buyers = None
+        if products is not None:
+            mine = batch.filter(F.col("signal") == "high-intent").select("productId").distinct()
+            buyers = product_buyers(spark.read.parquet(signals_path).join(mine, "productId", "left_semi"))
         nbas = nba_from_signals(batch, scores=scores, products=products,
-                                enriched=scores is not None)
-        SK.insert_if_absent_to(spark, nbas, nbas_path, "signal_id", since="ts")
+                                enriched=scores is not None, buyers=buyers)
+        SK.insert_if_absent_to(spark, nbas, nbas_path, "signal_id", since="ts", lowest=lowest,
+                               batch_id=SK.batch_name(checkpoint, batch_id))
 
     return signal_feed(spark, signals_path, handler, checkpoint, trigger=trigger)
 
 
 def run_to_completion(queries: list[StreamingQuery] | StreamingQuery,
-                      timeout_s: int = 600) -> None:
-    for q in queries if isinstance(queries, list) else [queries]:
-        q.awaitTermination(timeout_s)
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
+                      timeout_s: float | None = None) -> None:
+    """Wait until the queries end, as ``availableNow`` ones do by themselves.
+
+    There is no time limit unless ``timeout_s`` is given; a query that still
+    runs then is stopped and ``TimeoutError`` raised, so a caller never goes
+    on with a half-written table. A failed query raises its error.
+    """
+    queries = queries if isinstance(queries, list) else [queries]
+    try:
+        for q in queries:
+            if timeout_s is None:
+                q.awaitTermination()
+            elif not q.awaitTermination(timeout_s):
+                raise TimeoutError(f"query {q.id} still runs after {timeout_s} s")
+            if q.exception() is not None:
+                raise RuntimeError(str(q.exception()))
+    finally:
+        for q in queries:
+            if q.isActive:
+                q.stop()

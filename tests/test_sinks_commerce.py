@@ -102,3 +102,77 @@ def test_latest_by_key(spark):
                                  "key string, v string, ver long")
     out = {r["key"]: r["v"] for r in CM.latest_by_key(feed, "key", "ver").collect()}
     assert out == {"k": "new", "j": "x"}
+
+
+def test_upsert_null_replaces_and_last_wins(spark):
+    t = spark.createDataFrame([("u1", 0.9, "exit_risk_ratio")], "uid string, p double, factor string")
+    b = spark.createDataFrame([("u1", 0.5, "x", 1), ("u1", 0.1, None, 2), ("u2", 0.2, "y", 5), ("u2", 0.3, "z", 4)],
+                              "uid string, p double, factor string, scored_at int")
+    out = {r["uid"]: (r["p"], r["factor"]) for r in SK.upsert_scores(t, b).collect()}
+    assert out == {"u1": (0.1, None), "u2": (0.2, "y")}
+
+
+def test_upsert_scores_to_keeps_versions_and_replays(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    schema = "uid string, p double"
+    one = spark.createDataFrame([("a", 0.1), ("b", 0.2)], schema)
+    two = spark.createDataFrame([("b", 0.5), ("c", 0.6)], schema)
+    SK.upsert_scores_to(spark, one, path, version=0)
+    for _ in range(2):                                          # the second is a replay
+        SK.upsert_scores_to(spark, two, path, version=1)
+    SK.upsert_scores_to(spark, spark.createDataFrame([("a", 0.9)], schema), path)
+    got = {r["uid"]: r["p"] for r in SK.read_scores(spark, path).collect()}
+    assert got == {"a": 0.9, "b": 0.5, "c": 0.6}
+    assert sorted(os.listdir(path)) == ["v=1", "v=2"]
+
+
+def test_replay_without_marker_and_after_a_half_written_batch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    b = spark.createDataFrame([("x", 1), ("y", 2)], "_id string, v int")
+    key = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set(key, "false")
+    try:
+        name = SK.batch_name("ck", 0)
+        b.limit(1).write.parquet(f"{path}/{SK.BATCH}={name}")  # what a failed attempt left
+        for _ in range(2):
+            SK.insert_if_absent_to(spark, b, path, batch_id=name)
+        SK.insert_if_absent_to(spark, b, path, batch_id=SK.batch_name("ck", 1))
+        SK.insert_if_absent_to(spark, b, path, batch_id=SK.batch_name("other", 0))
+        SK.insert_if_absent_to(spark, b, path)
+    finally:
+        conf.unset(key)
+    table = SK.read_if_exists(spark, path)
+    assert table.columns == ["_id", "v"] and table.count() == 2
+    assert SK.read_if_exists(spark, str(tmp_path / "none")) is None
+
+
+def test_latest_by_key_breaks_ties_alike(spark):
+    rows = [("k", 1, "a"), ("k", 1, "b"), ("l", 2, "c")]
+    got = [sorted(map(tuple, CM.latest_by_key(spark.createDataFrame(r, "key string, v int, x string"), "key", "v")
+                      .collect())) for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 2
+
+
+def test_checkpoint_folder_is_refused_on_a_cluster(monkeypatch):
+    import types
+
+    import pytest
+
+    from retenza import session
+
+    fake = types.SimpleNamespace(
+        sparkContext=types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None),
+        conf=types.SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(fake)
+
+
+def test_sized_join_counts_decoded_bytes(spark, tmp_path):
+    from retenza.plans import joins
+
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    raw = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert joins.estimated_bytes(df) == joins.DECODED * raw
+    assert joins.fits_broadcast(df, joins.DECODED * raw) and not joins.fits_broadcast(df, raw)

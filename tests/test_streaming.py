@@ -114,3 +114,52 @@ def test_nba_stream_is_idempotent(spark):
     DR.run_to_completion(DR.nba_stream(spark, os.path.join(tmp, "signals"), out,
                                        os.path.join(tmp, "ck2")))     # replay from scratch
     assert spark.read.parquet(out).count() == sig.count()
+
+
+def test_waiting_too_short_raises(spark, tmp_path):
+    import pytest
+
+    src = spark.readStream.format("rate").load()
+    q = src.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).start()
+    with pytest.raises(TimeoutError):
+        DR.run_to_completion(q, timeout_s=1)
+    assert not q.isActive
+
+
+def test_feed_of_one_session_and_latest_feed(spark, tmp_path):
+    sig = spark.createDataFrame([("1", "u", "s1", 1), ("2", "u", "s2", 2), ("3", "v", "s1", 3)],
+                                "_id string, uid string, sid string, n int")
+    sig.write.parquet(str(tmp_path / "sig"))
+    got = []
+    DR.run_to_completion(DR.signal_feed(
+        spark, str(tmp_path / "sig"), lambda b, i: got.extend(r["_id"] for r in b.collect()),
+        str(tmp_path / "ck1"), uid="u", sid="s1"))
+    assert got == ["1"]
+    feed = "key string, v int, x string"
+    for i, rows in enumerate([[("a", 1, "p"), ("b", 5, "q")], [("a", 3, "r"), ("b", 4, "s"), ("c", 1, "t")]]):
+        spark.createDataFrame(rows, feed).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+        src = spark.readStream.schema(feed).parquet(str(tmp_path / "feed"))
+        DR.run_to_completion(DR.latest_feed(src, str(tmp_path / "out"), str(tmp_path / "ck2"), "key", "v"))
+    from retenza.sources import sinks as SK
+    table = sorted(map(tuple, SK.read_scores(spark, str(tmp_path / "out")).collect()))
+    assert table == [("a", 3, "r"), ("b", 5, "q"), ("c", 1, "t")]
+
+
+def test_product_message_is_the_same_in_stream_and_batch(spark, tmp_path):
+    """Two users want one product in different batches; the count is over all signals."""
+    from retenza.operators.actions import nba_from_signals
+
+    evs = [ev(1, 0, "add-to-cart", uid="u1", sid="s1", pid="p1", at="A", sc="S", brand="b"),
+           ev(2, 1, "add-to-cart", uid="u2", sid="s2", pid="p1", at="A", sc="S", brand="b")]
+    sig = S.all_signals(events_df(spark, evs), "30 seconds", materialize=False)
+    products = spark.createDataFrame([("p1",)], "_id string")
+    path, out, ck = (str(tmp_path / x) for x in ("signals", "nbas", "ck"))
+    for user in ("u1", "u2"):                                   # both are there before the stream runs
+        sig.filter(F.col("uid") == user).write.mode("append").parquet(path)
+
+    def messages(df):
+        return sorted((r["signal_id"], r["embedInProduct"]["message"]) for r in df.collect())
+    DR.run_to_completion(DR.nba_stream(spark, path, out, ck, products=products))
+    want = messages(nba_from_signals(spark.read.parquet(path), products=products))
+    assert messages(spark.read.parquet(out)) == want and len(want) == 2
+    assert all(m.startswith("2 people") for _, m in want)

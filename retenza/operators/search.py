@@ -1,11 +1,12 @@
 """Catalogue search: facets, browse paging, vector (cosine) and text search.
 
 Vector search is exact. Queries and catalogue are cut into a grid of
-blocks; each grid cell is one ``cogroup().applyInPandas`` task that scores
-its query block against its catalogue block with one matrix product and
-keeps only the top k per query. The per-query merge then sees at most
-k x (catalogue blocks) rows. Block counts follow the estimated input
-sizes, so a cell's memory stays bounded as the data grows.
+blocks; each grid cell is one ``cogroup().applyInPandas`` group that scores
+its query block against its catalogue block slice by slice and keeps only
+the running top k per query. The per-query merge then sees at most
+k x (catalogue blocks) rows. Block counts follow the row counts and the
+slices are of fixed size, so a cell's memory stays bounded as the data
+grows. ``candidate_knn`` is the cheaper form that looks at near lists only.
 
 Text search is BM25 over tokenised fields, written as joins and
 aggregates on (term, document) postings.
@@ -20,9 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import BROWSE_CAP, PAGE_SIZE, VECTOR_LIMIT
+from ..schemas import PAGE_SIZE, VECTOR_LIMIT
 
-CELL_BYTES = 64 * 1024 * 1024
+BLOCKS = 8            # catalogue blocks of the smallest grid
+BLOCK_ROWS = 65_536   # vectors in a block
+QUERY_ROWS = 1_024    # a cell scores so many queries at once
+SLICE = 4_096         # against so many vectors
 SCORE_DIGITS = 9   # ranking uses scores rounded here, so float noise never reorders ties
 
 
@@ -48,61 +52,84 @@ def embedding_backlog(products: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def browse_page(products: DataFrame, brands=(), categories=(), page: int = 0,
-                size: int = PAGE_SIZE, cap: int = BROWSE_CAP, order_key: str = "pkey") -> DataFrame:
-    """Facet filter, cap, then page ``page`` of ``size`` rows plus the total.
+                size: int = PAGE_SIZE, cap: int | None = None, order_key: str = "pkey") -> DataFrame:
+    """Facet filter, then page ``page`` of ``size`` rows, each with the total.
 
-    The reference has no order; ours is by product key. The cap is the
-    feature (at most 3000 rows survive it), so the total over the capped
-    rows is a window over a bounded set.
+    Pages are in product key order. The total is a one-row aggregate and the
+    page a top-n with an offset, so no task sees more than the rows up to
+    the page's end. A page past the end (or of no match) is one row with
+    the total and nulls. ``cap`` limits both, if given.
     """
-    capped = facet_filter(products, brands, categories).orderBy(order_key).limit(cap)
-    w_all = Window.partitionBy()
-    w_ord = Window.orderBy(order_key)
-    ranked = (capped.withColumn("totalItems", F.count(F.lit(1)).over(w_all))
-              .withColumn("position", F.row_number().over(w_ord).cast("long")))
-    lo = page * size
-    return ranked.filter((F.col("position") > lo) & (F.col("position") <= lo + size))
+    found = facet_filter(products, brands, categories)
+    if cap is not None:
+        found = found.orderBy(order_key).limit(cap)
+    total = found.agg(F.count(F.lit(1)).alias("totalItems")).withColumn("_one", F.lit(1))
+    rows = found.orderBy(order_key).offset(page * size).limit(size)
+    w = Window.partitionBy("_one").orderBy(order_key)          # over the page's rows only
+    rows = rows.withColumn("_one", F.lit(1)).withColumn(
+        "position", (F.row_number().over(w) + page * size).cast("long"))
+    return total.join(rows, "_one", "left").drop("_one")
 
 
 # ------------------------------------------------------------------ vectors
-def _blocks(rows: int, dim: int) -> int:
-    """Blocks so that one block of vectors (float64) stays near CELL_BYTES."""
-    return max(1, math.ceil(rows * max(dim, 1) * 8 / CELL_BYTES))
-
-
-def _dim(df: DataFrame, col: str) -> int:
-    """Vector width of the first non-null row (a one-row peek)."""
-    row = df.select(F.size(col).alias("d")).filter(F.col("d") > 0).limit(1).collect()
-    return int(row[0]["d"]) if row else 1
-
-
 def _topk_cell(k: int, exclude_self: bool):
+    """Top k of a query block in a catalogue block. The catalogue is walked in
+    slices of ``SLICE`` rows with a running top k, so no array is larger than
+    ``QUERY_ROWS`` x (``SLICE`` + k) numbers, whatever the block sizes."""
+    empty = pd.DataFrame({"query_id": pd.Series(dtype=str), "_id": pd.Series(dtype=str),
+                          "score": pd.Series(dtype=float)})
+
+    def unit(column: pd.Series) -> np.ndarray:
+        m = np.vstack(column.to_numpy()).astype(np.float64)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def best(scores: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of each row by rounded score, then by column (= id order)."""
+        key = -np.round(scores, SCORE_DIGITS)
+        kk = min(k, key.shape[1])
+        cut = np.partition(key, kk - 1, axis=1)[:, kk - 1:kk]
+        at, col = np.nonzero(key <= cut)                  # k and those equal to the last
+        order = np.lexsort((cols[at, col], key[at, col], at))
+        first = np.searchsorted(at[order], np.arange(len(key)))
+        take = order[(first[:, None] + np.arange(kk)).reshape(-1)]
+        return scores[at[take], col[take]].reshape(-1, kk), cols[at[take], col[take]].reshape(-1, kk)
+
     def run(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or cpdf.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype=str), "_id": pd.Series(dtype=str),
-                                 "score": pd.Series(dtype=float)})
+            return empty
         cpdf = cpdf.sort_values("_id", kind="stable")
-        q = np.vstack(qpdf["qvec"].to_numpy()).astype(np.float64)
-        c = np.vstack(cpdf["vec"].to_numpy()).astype(np.float64)
-        qn = np.linalg.norm(q, axis=1, keepdims=True)
-        cn = np.linalg.norm(c, axis=1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            s = (q @ c.T) / (qn * cn.T)
-        s = np.nan_to_num(s, nan=-2.0)
-        ids = cpdf["_id"].to_numpy()
-        qids = qpdf["query_id"].to_numpy()
-        if exclude_self:
-            s[qids[:, None] == ids[None, :]] = -np.inf
-        key = -np.round(s, SCORE_DIGITS)
-        kk = min(k, s.shape[1])
-        order = np.argsort(key, axis=1, kind="stable")[:, :kk]   # ids pre-sorted: ties by id
-        rows = np.repeat(np.arange(len(qids)), kk)
-        cols = order.reshape(-1)
-        out = pd.DataFrame({"query_id": qids[rows], "_id": ids[cols], "score": s[rows, cols]})
-        return out[np.isfinite(out["score"]) & (out["score"] > -2.0)]
+        ids, out = cpdf["_id"].to_numpy(), [empty]
+        for lo in range(0, len(qpdf), QUERY_ROWS):
+            own = qpdf.iloc[lo:lo + QUERY_ROWS]
+            q, qids = unit(own["qvec"]), own["query_id"].to_numpy()
+            score, col = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+            for a in range(0, len(cpdf), SLICE):
+                part = cpdf.iloc[a:a + SLICE]
+                s = np.nan_to_num(q @ unit(part["vec"]).T, nan=-np.inf)
+                if exclude_self:
+                    s[qids[:, None] == ids[None, a:a + SLICE]] = -np.inf
+                here = np.broadcast_to(np.arange(a, a + len(part)), s.shape)
+                score, col = best(np.hstack([score, s]), np.hstack([col, here]))
+            kk = score.shape[1]
+            out.append(pd.DataFrame({"query_id": np.repeat(qids, kk), "_id": ids[col.reshape(-1)],
+                                     "score": score.reshape(-1)}))
+        out = pd.concat(out)
+        return out[np.isfinite(out["score"])]
     return run
 
 
+def _rank(part: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(
+        F.desc(F.round("score", SCORE_DIGITS)), F.asc("_id"))
+    return part.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
+def _inputs(queries: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (queries.select(F.col("query_id").cast("string"), F.col("qvec").cast("array<double>")),
+            catalog.select(F.col("_id").cast("string"), F.col("vec").cast("array<double>")))
+
+
 def knn(queries: DataFrame, catalog: DataFrame, k: int, exclude_self: bool = False,
         q_blocks: int | None = None, c_blocks: int | None = None) -> DataFrame:
     """Exact top-k cosine neighbours.
@@ -110,9 +137,11 @@ def knn(queries: DataFrame, catalog: DataFrame, k: int, exclude_self: bool = Fal
     queries: (query_id string, qvec array<float|double>)
     catalog: (_id string, vec array<float|double>)
     -> (query_id, _id, score, rank), rank 1..k by score desc then _id.
+
+    The grid has ``BLOCKS`` catalogue blocks from the start and more beyond
+    ``BLOCK_ROWS`` rows each; a cell's memory is bounded by ``_topk_cell``.
     """
-    queries = queries.select(F.col("query_id").cast("string"), F.col("qvec"))
-    catalog = catalog.select(F.col("_id").cast("string"), F.col("vec"))
+    queries, catalog = _inputs(queries, catalog)
     if q_blocks is None or c_blocks is None:
         # Grid size from the real row counts (Catalyst's estimates multiply
         # across joins and are useless here). Both inputs are written once
@@ -120,32 +149,69 @@ def knn(queries: DataFrame, catalog: DataFrame, k: int, exclude_self: bool = Fal
         # the grid job reads stable, lineage-free inputs.
         from ..session import cut_lineage
         queries, catalog = cut_lineage(queries), cut_lineage(catalog)
-        dim = _dim(catalog, "vec")
-        q_blocks = q_blocks or _blocks(queries.count(), dim)
-        c_blocks = c_blocks or _blocks(catalog.count(), dim)
+        q_blocks = q_blocks or math.ceil(max(1, queries.count()) / BLOCK_ROWS)
+        c_blocks = c_blocks or max(BLOCKS, math.ceil(catalog.count() / BLOCK_ROWS))
     qb, cb = q_blocks, c_blocks
-    q = (queries.select(F.col("query_id"), F.col("qvec").cast("array<double>"))
-         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int"))
+    q = (queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int"))
          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-    c = (catalog.select(F.col("_id"), F.col("vec").cast("array<double>"))
-         .withColumn("cb", F.pmod(F.xxhash64("_id"), F.lit(cb)).cast("int"))
+    c = (catalog.withColumn("cb", F.pmod(F.xxhash64("_id"), F.lit(cb)).cast("int"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
     part = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
             .applyInPandas(_topk_cell(k, exclude_self),
                            "query_id string, _id string, score double"))
-    w = Window.partitionBy("query_id").orderBy(
-        F.desc(F.round("score", SCORE_DIGITS)), F.asc("_id"))
-    return part.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return _rank(part, k)
+
+
+def candidate_knn(queries: DataFrame, catalog: DataFrame, k: int, lists: int = 64, probes: int = 8,
+                  exclude_self: bool = False) -> DataFrame:
+    """Like ``knn`` over candidates only: every catalogue vector goes to the nearest
+    of ``lists`` pivots (catalogue vectors, taken by hash), a query looks into
+    the ``probes`` lists whose pivots are nearest to it, and candidates are
+    scored exactly. Lists over ``BLOCK_ROWS`` rows are cut into blocks. All of
+    the catalogue is indexed; what a query may miss is measured in the tests.
+    Only the pivots (``lists`` vectors) reach the driver."""
+    from ..session import cut_lineage
+    queries, catalog = _inputs(queries, catalog)
+    catalog = cut_lineage(catalog)
+    rows = catalog.filter(F.size("vec") > 0).orderBy(F.xxhash64("_id"), "_id").limit(lists).collect()
+    if not rows:
+        return _rank(queries.sparkSession.createDataFrame([], "query_id string, _id string, score double"), k)
+    pivots = np.array([r["vec"] for r in rows], np.float64)
+    pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300)
+
+    def nearest(n: int):
+        @F.pandas_udf("array<int>")
+        def run(vec: pd.Series) -> pd.Series:
+            s = np.vstack(vec.to_numpy()).astype(np.float64) @ pivots.T
+            return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :n].astype(np.int32)))
+        return run
+
+    c = catalog.filter(F.size("vec") > 0).withColumn("qb", F.explode(nearest(1)("vec")))
+    c = cut_lineage(c)
+    sizes = c.groupBy("qb").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    c = c.join(sizes, "qb").withColumn("cb", F.pmod(F.xxhash64("_id"), "blocks").cast("int")).drop("blocks")
+    q = queries.filter(F.size("qvec") > 0).withColumn("qb", F.explode(nearest(probes)("qvec")))
+    q = q.join(sizes, "qb").withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    part = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
+            .applyInPandas(_topk_cell(k, exclude_self), "query_id string, _id string, score double"))
+    return _rank(part, k)
+
+
+def search_score(cosine: Column) -> Column:
+    """Cosine on the scale of a search score, 0 to 1."""
+    return (1 + cosine) / 2
 
 
 def vector_search(products: DataFrame, queries: DataFrame, k: int = VECTOR_LIMIT,
                   brands=(), categories=(), page: int | None = 0,
-                  size: int = PAGE_SIZE) -> DataFrame:
+                  size: int = PAGE_SIZE, probes: int | None = None) -> DataFrame:
     """Top k by cosine, facets applied **after** the cut (so fewer than k may
-    remain), score kept, then paged by ``size`` (``page=None``: all)."""
+    remain), score (1 + cosine) / 2, then paged by ``size`` (``page=None``:
+    all). Exact, or over candidates if ``probes`` is given."""
     cat = products.filter(F.col("vai_text_embedding").isNotNull()).select(
         F.col("_id"), F.col("vai_text_embedding").alias("vec"))
-    top = knn(queries, cat, k)
+    top = knn(queries, cat, k) if probes is None else candidate_knn(queries, cat, k, probes=probes)
+    top = top.withColumn("score", search_score(F.col("score")))
     facets = facet_filter(products.select("_id", "name", "brand", "masterCategory"),
                           brands, categories)
     hits = top.join(facets, "_id", "inner")
@@ -168,7 +234,7 @@ def receipt_recommendations(lines: DataFrame, products: DataFrame, k: int = 6) -
         "_id", F.col("vai_text_embedding").alias("vec"))
     qs = dear.select(F.col("product_id").alias("_id")).distinct().join(emb, "_id") \
         .select(F.col("_id").alias("query_id"), F.col("vec").alias("qvec"))
-    top = knn(qs, emb, k, exclude_self=True)
+    top = knn(qs, emb, k, exclude_self=True).withColumn("score", search_score(F.col("score")))
     return dear.join(top.withColumnRenamed("query_id", "product_id")
                      .withColumnRenamed("_id", "rec_id"), "product_id")
 
@@ -185,7 +251,11 @@ def text_search(products: DataFrame, queries: DataFrame, k: int = 3,
     """BM25 relevance of ``queries`` (query_id, text) over the product fields;
     top k per query by score desc, then _id.
 
-    Identical query texts are scored once and joined back to their ids.
+    Identical query texts are scored once and joined back to their ids, and
+    so are products with equal bags of tokens: a text's k best bags (by score,
+    then by their lowest _id) hold its k best products, and of a bag only the
+    k lowest ids can be among them. A term that all products share thus makes
+    texts x bags rows, not texts x products.
     Postings (term, doc, tf) and document frequencies are aggregates; the
     collection size and mean length are one global row, folded into the
     per-term idf and per-document length norm (broadcast by a constant
@@ -193,25 +263,33 @@ def text_search(products: DataFrame, queries: DataFrame, k: int = 3,
     (query term x posting) join carries only precomputed factors.
     """
     doc_text = F.concat_ws(" ", *[F.col(f) for f in fields])
-    docs = products.select("_id", tokens(doc_text).alias("toks"))
-    dl = docs.select("_id", F.size("toks").alias("dl"))
-    post = (docs.select("_id", F.explode("toks").alias("term"))
-            .groupBy("term", "_id").agg(F.count(F.lit(1)).alias("tf")))
-    stats = F.broadcast(dl.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
+    docs = products.select("_id", F.array_sort(tokens(doc_text)).alias("toks"))
+    docs = docs.withColumn("bag", F.sha2(F.array_join("toks", " "), 256))
+    bags = docs.groupBy("bag").agg(F.count(F.lit(1)).alias("copies"), F.min("_id").alias("low"),
+                                   F.first("toks").alias("toks"))
+    post = (bags.select("bag", "copies", F.explode("toks").alias("term"))
+            .groupBy("term", "bag").agg(F.count(F.lit(1)).alias("tf"), F.first("copies").alias("copies")))
+    stats = F.broadcast(docs.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("toks")).alias("avgdl"))
                         .withColumn("_c", F.lit(1)))
-    idf = (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = (post.groupBy("term").agg(F.sum("copies").alias("df"))
            .withColumn("_c", F.lit(1)).join(stats, "_c")
            .select("term", F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5)
                                  / (F.col("df") + 0.5)).alias("idf")))
-    norm = (dl.withColumn("_c", F.lit(1)).join(stats, "_c")
-            .select("_id", (k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))).alias("lnorm")))
+    norm = (bags.select("bag", "low", F.size("toks").alias("dl"), F.lit(1).alias("_c")).join(stats, "_c")
+            .select("bag", "low", (k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))).alias("lnorm")))
     texts = queries.select(F.col("text")).distinct()
     qt = texts.select("text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    j = qt.join(idf, "term").join(post, "term").join(norm, "_id")
+    j = qt.join(idf, "term").join(post, "term").join(norm, "bag")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("lnorm"))
-    scored = j.groupBy("text", "_id").agg(F.sum(part).alias("score"))
+    scored = j.groupBy("text", "bag").agg(F.sum(part).alias("score"), F.first("low").alias("low"))
+    best = Window.partitionBy("text").orderBy(F.desc(F.round("score", SCORE_DIGITS)), F.asc("low"))
+    scored = scored.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
+    lowest = Window.partitionBy("bag").orderBy("_id")
+    held = docs.select("bag", "_id").withColumn("r", F.row_number().over(lowest)) \
+        .filter(F.col("r") <= k).drop("r")
+    hits = scored.select("text", "bag", "score").join(held, "bag")
     w = Window.partitionBy("text").orderBy(F.desc(F.round("score", SCORE_DIGITS)), F.asc("_id"))
-    top = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    top = hits.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
     ids = queries.select(F.col("query_id").cast("string"), "text").distinct()
     return ids.join(top, "text").select("query_id", "_id", "score", "rank")
 

@@ -1,6 +1,7 @@
 """Vector search against brute force, BM25 basics, and model properties."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from retenza.operators import features as FT
 from retenza.operators import model as ML
 from retenza.operators import search as SR
 from retenza.schemas import FEATURE_COLUMNS
+from retenza.sources import sinks as SK
 
 
 def test_knn_grid_equals_brute_force(spark):
@@ -71,8 +73,8 @@ def model_and_feats(spark):
 
 
 def test_model_probabilities_and_accuracy(spark, model_and_feats):
-    (model, acc), f = model_and_feats
-    assert acc is not None and acc >= 0.5
+    (model, acc, std), f = model_and_feats
+    assert acc is not None and acc >= 0.5 and 0 <= std <= 1
     scored = ML.score_users(f.drop("churned"), model).collect()
     assert all(0.0 <= r["churn_probability"] <= 1.0 for r in scored)
     assert all(r["top_risk_factor"] in FEATURE_COLUMNS for r in scored)
@@ -81,7 +83,7 @@ def test_model_probabilities_and_accuracy(spark, model_and_feats):
 
 
 def test_model_save_load_same_scores(spark, model_and_feats, tmp_path):
-    (model, _), f = model_and_feats
+    (model, _, _), f = model_and_feats
     ML.save_model(model, str(tmp_path / "m"))
     again = ML.load_model(str(tmp_path / "m"))
     a = {r["uid"]: r["churn_probability"] for r in ML.score_users(f, model).collect()}
@@ -91,17 +93,72 @@ def test_model_save_load_same_scores(spark, model_and_feats, tmp_path):
 
 def test_one_class_training_gives_zero(spark):
     f = _features(spark, 8).withColumn("churned", F.lit(0))
-    model, _ = ML.train_churn_model(f, trees=5, folds=2)
+    model, _, _ = ML.train_churn_model(f, trees=5, folds=2)
     probs = {r["churn_probability"] for r in ML.score_users(f.drop("churned"), model).collect()}
     assert probs == {0.0}
 
 
-def test_score_on_demand_unknown_user(spark, model_and_feats):
-    (model, _), _ = model_and_feats
+def test_score_on_demand_unknown_user(spark, model_and_feats, tmp_path):
+    (model, _, _), _ = model_and_feats
     sig = spark.createDataFrame([("u1", "s1", "exit-risk")], "uid string, sid string, signal string")
     nb = spark.createDataFrame([("u1", False)], "uid string, redeemed boolean")
     uids = spark.createDataFrame([("u1",), ("ghost",)], "uid string")
-    out = {r["uid"]: r for r in ML.score_on_demand(uids, sig, nb, model).collect()}
+    path = str(tmp_path / "scores")
+    out = {r["uid"]: r for r in ML.score_on_demand(uids, sig, nb, model, path=path).collect()}
+    assert {r["uid"] for r in SK.read_scores(spark, path).collect()} == {"u1"}
+    assert not any(r["written"] for r in ML.score_on_demand(uids, sig, nb, model).collect())
     assert out["ghost"]["churn_probability"] == 0.0 and out["ghost"]["churn_risk_tier"] == "Low"
     assert out["ghost"]["top_risk_factor"] is None and out["ghost"]["written"] is False
     assert out["u1"]["written"] is True
+
+
+def test_knn_ties_and_cell_size(spark, monkeypatch):
+    """Slices smaller than the data, many equal scores: order by id, nothing lost."""
+    monkeypatch.setattr(SR, "SLICE", 7)
+    monkeypatch.setattr(SR, "QUERY_ROWS", 3)
+    seen = []
+    real = np.partition
+    monkeypatch.setattr(SR.np, "partition", lambda a, *x, **y: seen.append(a.size) or real(a, *x, **y))
+    q = pd.DataFrame({"query_id": [f"q{i}" for i in range(5)], "qvec": [[1.0, 0.0]] * 5})
+    c = pd.DataFrame({"_id": [f"{i:03d}" for i in range(50)][::-1],
+                      "vec": [[1.0, 0.0] if i % 2 else [0.0, 1.0] for i in range(50)]})
+    out = SR._topk_cell(4, False)(q, c)
+    want = sorted(c[c["vec"].map(lambda v: v[0] == 1.0)]["_id"])[:4]
+    assert out.groupby("query_id")["_id"].apply(list).tolist() == [want] * 5
+    assert max(seen) <= 3 * (7 + 4)
+
+
+def test_candidate_knn_recall(spark):
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(12, 16))
+    vec = centre[rng.integers(0, 12, 600)] + 0.3 * rng.normal(size=(600, 16))
+    cat = spark.createDataFrame([(f"{i:03d}", [float(x) for x in v]) for i, v in enumerate(vec)],
+                                "_id string, vec array<double>")
+    q = cat.limit(60).select(F.col("_id").alias("query_id"), F.col("vec").alias("qvec"))
+    exact = {(r["query_id"], r["_id"]) for r in SR.knn(q, cat, 10).collect()}
+    near = {(r["query_id"], r["_id"]) for r in SR.candidate_knn(q, cat, 10, lists=24, probes=6).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    assert SR.candidate_knn(q, cat.limit(0), 3).count() == 0
+
+
+def test_browse_counts_all_matches(spark):
+    cat = spark.range(5000).select(F.col("id").cast("string").alias("_id"), F.col("id").alias("pkey"),
+                                   F.lit("b").alias("brand"), F.lit("c").alias("masterCategory"))
+    rows = SR.browse_page(cat, ["b"], page=249).collect()
+    assert [r["position"] for r in rows] == list(range(4981, 5001)) and rows[0]["totalItems"] == 5000
+    past = SR.browse_page(cat, ["b"], page=250).collect()
+    assert [(r["totalItems"], r["_id"]) for r in past] == [(5000, None)]
+    assert SR.browse_page(cat, ["x"]).collect()[0]["totalItems"] == 0
+
+
+def test_text_search_scores_bags_once(spark):
+    """A term in all products: the output follows the distinct texts, the order is by id."""
+    prods = spark.range(3000).select(
+        F.format_string("%04d", "id").alias("_id"), F.concat(F.lit("size n"), (F.col("id") % 5).cast("string")).alias("name"),
+        F.lit(None).cast("string").alias("articleType"), F.lit(None).cast("string").alias("subCategory"),
+        F.lit(None).cast("string").alias("brand"))
+    q = spark.createDataFrame([("a", "size"), ("b", "size n3")], "query_id string, text string")
+    df = SR.text_search(prods, q, 3)
+    got = sorted((r["query_id"], r["rank"], r["_id"]) for r in df.collect())
+    assert got == [("a", 1, "0000"), ("a", 2, "0001"), ("a", 3, "0002"),
+                   ("b", 1, "0003"), ("b", 2, "0008"), ("b", 3, "0013")]

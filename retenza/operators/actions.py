@@ -16,11 +16,11 @@ from ..schemas import (CART_LADDER, CART_OFFERS, EXIT_LADDER, EXIT_OFFERS, HIGH_
                        SIGNAL_TO_ACTION)
 from .windows import search_history_long  # noqa: F401  (re-exported for callers)
 
-# --- fixed message templates (ours; the reference generates free text) -----
+# --- message templates, written for this library (the texts are free) ------
 TITLES = {
-    "shipping-discount": "Before you go",
-    "cart-rescue": "Your cart is waiting",
-    "social-proof-notification": "Popular Right Now",
+    "shipping-discount": "Delivery on better terms",
+    "cart-rescue": "Still in your basket",
+    "social-proof-notification": "Much wanted today",
     "discount-product-recommendation": "A deal picked for you",
 }
 SOCIAL_PROOF_MESSAGE = "Shoppers are adding this to their carts right now."
@@ -86,15 +86,14 @@ def reason_text(baseline: Column, enriched: Column, tier: Column, prob: Column,
     driver = F.coalesce(F.regexp_replace(factor, "_", " "), F.lit("no single factor"))
     return (F.when(baseline.isNull(), F.lit(None))
              .when(tier == "High", F.format_string(
-                 "Baseline would be %s, but churn risk is High (%.2f, driven by %s), "
-                 "so escalating to %s.", baseline, prob, driver, enriched))
+                 "Standard offer %s; raised because of a High churn risk (%.2f, mostly %s): %s.",
+                 baseline, prob, driver, enriched))
              .when(tier == "Medium", F.format_string(
-                 "Baseline would be %s, and churn risk is Medium (%.2f, driven by %s), "
-                 "so upgrading one step to %s.", baseline, prob, driver, enriched))
+                 "Standard offer %s; one step up for a Medium churn risk (%.2f, mostly %s): %s.",
+                 baseline, prob, driver, enriched))
              .when(tier.isNotNull(), F.format_string(
-                 "Churn risk is %s (%.2f), so keeping the baseline %s.", tier, prob, baseline))
-             .otherwise(F.format_string("No churn score available, so keeping the baseline %s.",
-                                        baseline)))
+                 "Churn risk %s (%.2f): the standard offer %s stands.", tier, prob, baseline))
+             .otherwise(F.format_string("No churn score: the standard offer %s stands.", baseline)))
 
 
 def offer_enriched(signals: DataFrame, scores: DataFrame | None,
@@ -130,29 +129,36 @@ def offer_enriched(signals: DataFrame, scores: DataFrame | None,
 
 
 def session_for_signal(signals: DataFrame, history: DataFrame) -> DataFrame:
-    """Intent text for friction signals: the session's last search query when
-    the session has a search history, else the signal's topic value.
+    """Intent text for friction signals: the user's last search query in the
+    session when the session has a search history, else the signal's topic
+    value.
 
-    ``history`` is the long search history (sessionId, ts, event_id, query);
-    the last query per session is an algebraic ``max_by``.
+    ``history`` is the long search history (userId, sessionId, ts, event_id,
+    query); the last query per user and session is an algebraic ``max_by``.
     """
-    last_q = history.groupBy(F.col("sessionId").alias("sid")).agg(
+    last_q = history.groupBy(F.col("userId").alias("uid"), F.col("sessionId").alias("sid")).agg(
         F.max_by("query", F.struct("ts", "event_id")).alias("lastQuery"),
         F.count(F.lit(1)).alias("historyLength"))
-    j = sized_join(signals, last_q, "sid", "left")
+    j = sized_join(signals, last_q, ["uid", "sid"], "left")
     return j.withColumn("intentSummary",
                         F.when(F.coalesce(F.col("historyLength"), F.lit(0)) > 0,
                                F.col("lastQuery")).otherwise(F.col("topic.value")))
 
 
-def nba_product_embed(nbas: DataFrame, products: DataFrame) -> DataFrame:
+def product_buyers(signals: DataFrame) -> DataFrame:
+    """(productId, buyers): distinct users with a high-intent signal on the product."""
+    return (signals.filter(F.col("signal") == "high-intent")
+            .groupBy("productId").agg(F.count_distinct("uid").alias("buyers")))
+
+
+def nba_product_embed(nbas: DataFrame, products: DataFrame,
+                      buyers: DataFrame | None = None) -> DataFrame:
     """High-intent NBAs gain ``embedInProduct`` when the product exists.
 
-    The pressure message uses a real count: the number of distinct users
-    with a high-intent signal on that product.
+    The pressure message uses a real count, ``product_buyers`` of all signals;
+    a caller that holds only some of them (a micro-batch) passes ``buyers``.
     """
-    buyers = (nbas.filter(F.col("signal") == "high-intent")
-              .groupBy("productId").agg(F.count_distinct("uid").alias("buyers")))
+    buyers = product_buyers(nbas) if buyers is None else buyers
     known = products.select(F.col("_id").alias("productId")).join(buyers, "productId")
     j = sized_join(nbas, known, "productId", "left")
     embed = F.when((F.col("signal") == "high-intent") & F.col("buyers").isNotNull(),
@@ -165,7 +171,7 @@ def nba_product_embed(nbas: DataFrame, products: DataFrame) -> DataFrame:
 def nba_from_signals(signals: DataFrame, scores: DataFrame | None = None,
                      products: DataFrame | None = None,
                      recommendations: DataFrame | None = None,
-                     enriched: bool = False) -> DataFrame:
+                     enriched: bool = False, buyers: DataFrame | None = None) -> DataFrame:
     """One NBA per signal.
 
     ``recommendations``: optional (signal_id, productId, name, imageUrl) for
@@ -174,7 +180,7 @@ def nba_from_signals(signals: DataFrame, scores: DataFrame | None = None,
     routed = route_signal(signals).filter(F.col("status") == "ok")
     df = offer_enriched(routed, scores, enabled=enriched)
     if products is not None:
-        df = nba_product_embed(df, products)
+        df = nba_product_embed(df, products, buyers)
     else:
         df = df.withColumn("embedInProduct", F.lit(None).cast(
             "struct<productId:string,message:string>"))
@@ -193,7 +199,7 @@ def nba_from_signals(signals: DataFrame, scores: DataFrame | None = None,
     message = (F.when(F.col("type") == "shipping-discount",
                       F.format_string("Wait! Enjoy %s before you leave.", offer))
                 .when(F.col("type") == "cart-rescue",
-                      F.format_string("Complete your order now and get %s.", offer))
+                      F.format_string("Check out today with %s.", offer))
                 .when(F.col("type") == "social-proof-notification", F.lit(SOCIAL_PROOF_MESSAGE))
                 .otherwise(F.format_string("Take %s on %s today.", F.lit(RECOMMENDATION_DISCOUNT),
                                            F.coalesce(F.col("intentSummary"),

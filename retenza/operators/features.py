@@ -7,6 +7,8 @@ share of all signals still sends one partial row per map partition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +101,23 @@ def signals_of_new_users(table: DataFrame, new_uids: DataFrame) -> DataFrame:
     return table.join(new_uids.select("uid"), "uid", "left_semi")
 
 
-def score_lookup(uids: DataFrame, scores: DataFrame) -> DataFrame:
-    """Cached score per requested uid; ``cached`` false marks misses."""
-    sc = scores.select("uid", "churn_probability", "churn_risk_tier", "top_risk_factor")
-    return (uids.select("uid").distinct().join(sc, "uid", "left")
-            .withColumn("cached", F.col("churn_risk_tier").isNotNull()))
+def score_lookup(uids: DataFrame, scores: DataFrame,
+                 scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Score per requested uid; ``cached`` tells the ones that ``scores`` had.
+
+    ``scorer`` takes the missing uids and returns their scores (such as
+    ``model.score_users`` over their features); a user it has nothing for,
+    because there are no signals, gets 0.0, Low and no factor. Without a
+    scorer misses stay null."""
+    cols = ["uid", "churn_probability", "churn_risk_tier", "top_risk_factor"]
+    asked = uids.select("uid").distinct()
+    hit = asked.join(scores.select(*cols), "uid").withColumn("cached", F.lit(True))
+    missing = asked.join(scores.select("uid"), "uid", "left_anti")
+    if scorer is None:
+        found = missing.select("uid", F.lit(None).cast("double").alias(cols[1]),
+                               *[F.lit(None).cast("string").alias(c) for c in cols[2:]])
+    else:
+        found = missing.join(scorer(missing).select(*cols), "uid", "left").select(
+            "uid", F.coalesce(cols[1], F.lit(0.0)).alias(cols[1]),
+            F.coalesce(cols[2], F.lit(TIER_LABELS[0])).alias(cols[2]), cols[3])
+    return hit.unionByName(found.withColumn("cached", F.lit(False)))

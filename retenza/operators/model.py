@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import FEATURE_COLUMNS
 from ..session import cut_lineage
+from ..sources.sinks import append_table, upsert_scores_to
 from .features import churn_features, churn_label, new_users, tier_of, top_factor_expr
 
 LABEL_META = {"ml_attr": {"type": "nominal", "num_vals": 2, "name": "label"}}
@@ -42,8 +43,9 @@ def churn_pipeline(trees: int = 50, depth: int = 3, seed: int = 42) -> Pipeline:
 
 
 def train_churn_model(features: DataFrame, trees: int = 50, depth: int = 3, folds: int = 5,
-                      seed: int = 42) -> tuple[PipelineModel, float | None]:
-    """Fit the forest; k-fold accuracy with k = min(folds, n) when n >= 5.
+                      seed: int = 42) -> tuple[PipelineModel, float | None, float | None]:
+    """Fit the forest; mean and standard deviation of the k-fold accuracy with
+    k = min(folds, n) when n >= 5 (``folds`` 0: none).
 
     The training frame is checkpointed first: cross-validation reads it
     k + 1 times, and a reliable checkpoint survives executor loss.
@@ -51,15 +53,15 @@ def train_churn_model(features: DataFrame, trees: int = 50, depth: int = 3, fold
     data = cut_lineage(_training_frame(features).select("uid", "label", *FEATURE_COLUMNS))
     n = data.count()
     pipe = churn_pipeline(trees, depth, seed)
-    accuracy = None
-    if n >= 5:
+    accuracy = spread = None
+    if n >= 5 and folds > 1:
         evaluator = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label")
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(),
                             evaluator=evaluator, numFolds=min(folds, n), seed=seed)
         cv_model = cv.fit(data)
-        accuracy = float(cv_model.avgMetrics[0])
+        accuracy, spread = float(cv_model.avgMetrics[0]), float(cv_model.stdMetrics[0])
     model = pipe.fit(data)
-    return model, accuracy
+    return model, accuracy, spread
 
 
 def importances(model: PipelineModel) -> list[float]:
@@ -103,14 +105,19 @@ def score_users(features: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 def score_on_demand(uids: DataFrame, signals: DataFrame, nbas: DataFrame,
-                    model: PipelineModel) -> DataFrame:
-    """Score the requested users. A uid without signals gets 0.0, Low and a
-    null factor and is flagged ``written = false`` (not upserted)."""
+                    model: PipelineModel, path: str | None = None) -> DataFrame:
+    """Score the requested users and, with ``path``, store the scores.
+
+    One row per user with the feature struct it was scored on. A uid without
+    signals gets 0.0, Low and a null factor, is not stored, and has
+    ``written`` false; so has every row when nothing is stored.
+    """
     req = uids.select("uid").distinct()
-    feats = churn_features(signals, nbas, req)
-    scored = score_users(feats, model).select(
-        "uid", "churn_probability", "churn_risk_tier", "top_risk_factor", "scored_at",
-        "total_signals", "engagement_rate")
+    scored = score_users(churn_features(signals, nbas, req), model)
+    if path is not None:
+        scored = cut_lineage(scored)
+        upsert_scores_to(scored.sparkSession, scored, path, "uid")
+    cols = model_features(model)
     out = req.join(scored, "uid", "left")
     has = F.col("total_signals").isNotNull()
     return out.select(
@@ -119,13 +126,17 @@ def score_on_demand(uids: DataFrame, signals: DataFrame, nbas: DataFrame,
         F.when(has, F.col("churn_risk_tier")).otherwise(F.lit("Low")).alias("churn_risk_tier"),
         F.coalesce(F.col("scored_at"), F.current_timestamp()).alias("scored_at"),
         F.col("top_risk_factor"),
-        F.coalesce(F.col("total_signals"), F.lit(0)).cast("long").alias("total_signals"),
-        F.coalesce(F.col("engagement_rate"), F.lit(0.0)).alias("engagement_rate"),
-        has.alias("written"))
+        F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cols]).alias("features"),
+        (has & F.lit(path is not None)).alias("written"))
 
 
 def incremental_scoring(signals: DataFrame, nbas: DataFrame, predictions: DataFrame,
-                        model: PipelineModel) -> DataFrame:
-    """Score only users not yet in ``predictions``; rows to append."""
+                        model: PipelineModel, path: str | None = None) -> DataFrame:
+    """Score only users not yet in ``predictions``; with ``path`` the rows are
+    appended to that table. Returns them either way."""
     fresh = new_users(signals, predictions)
-    return score_users(churn_features(signals, nbas, fresh), model)
+    scored = score_users(churn_features(signals, nbas, fresh), model)
+    if path is not None:
+        scored = cut_lineage(scored)
+        append_table(scored, path)
+    return scored

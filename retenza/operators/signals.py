@@ -14,33 +14,39 @@ from pyspark.sql import functions as F
 
 from ..functions.events import (EV, SID, TS, UID, blank_to_null, match_identified_events,
                                 md, severity_by_count, signal_id)
-from ..schemas import TOPIC
+from ..schemas import EVIDENCE, TOPIC
 
 DEFAULT_WINDOW = "30 seconds"
 
 
 def window_facts(events: DataFrame, window: str = DEFAULT_WINDOW) -> DataFrame:
-    """Per (window, sid, event, productId, articleType): counts and extremes.
+    """Per (window, sid, uid, event, productId, articleType): counts and extremes.
 
-    ``first`` = min(struct(ts, event_id, uid)) gives the session's first
-    user id of the window; ``last_pos`` = max(struct(ts, event_id)) the
-    position of the key's last occurrence (arrival order = (ts, event_id)).
+    ``first_pos`` and ``last_pos`` are the key's first and last place in
+    arrival order (``arrival``). All aggregates are of fixed width, so the
+    events are hashed, not sorted, before the shuffle.
     """
     ev = events.filter(match_identified_events())
     return (ev.groupBy(
                 F.window(TS(), window).alias("window"),
                 SID().alias("sid"),
+                UID().alias("uid"),
                 EV().alias("event"),
                 blank_to_null(md("productId")).alias("productId"),
                 blank_to_null(md("articleType")).alias("articleType"))
             .agg(F.count(F.lit(1)).alias("n"),
-                 F.min(F.struct(TS().alias("ts"), F.col("event_id").alias("eid"),
-                                UID().alias("uid"))).alias("first"),
+                 F.min(arrival()).alias("first_pos"),
+                 F.max(arrival()).alias("last_pos"),
                  F.max(TS()).alias("lastTs"),
-                 F.max(F.struct(TS().alias("ts"), F.col("event_id").alias("eid"))).alias("last_pos"),
                  F.max(md("itemCount")).alias("maxItem")))
 
 
+def arrival() -> Column:
+    """(timestamp, event_id) as one number in the same order."""
+    whole = F.unix_micros(TS()).cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)")
+    return (whole + F.coalesce(F.col("event_id"), F.lit(0)).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def _count_of(event: str) -> Column:
     return F.sum(F.when(F.col("event") == event, F.col("n")).otherwise(F.lit(0)))
 
@@ -49,7 +55,7 @@ def window_stats(facts: DataFrame) -> DataFrame:
     """Per (window, sid): uid, lastTs and the counters all four rules use."""
     viewed = F.when(F.col("event").isin("view-product", "search"), F.col("productId"))
     return facts.groupBy("window", "sid").agg(
-        F.min("first").getField("uid").alias("uid"),
+        F.min_by("uid", "first_pos").alias("uid"),
         F.max("lastTs").alias("lastTs"),
         _count_of("exit-risk").alias("exitCount"),
         _count_of("add-to-cart").alias("cartCount"),
@@ -68,15 +74,14 @@ def dominant_article_type(facts: DataFrame) -> DataFrame:
                             & F.col("articleType").isNotNull())
                .groupBy("window", "sid", "articleType")
                .agg(F.sum("n").alias("cnt"), F.max("last_pos").alias("last_pos")))
-    rank = F.struct(F.col("cnt"),
-                    (-F.unix_micros(F.col("last_pos.ts"))).alias("t"),
-                    (-F.col("last_pos.eid")).alias("e"))
+    rank = F.struct(F.col("cnt"), (-F.col("last_pos")).alias("earlier"))
     return per_key.groupBy("window", "sid").agg(
         F.max_by("articleType", rank).alias("topArticleType"))
 
 
-def _evidence_window(window: str) -> str:
-    return f"in the last {window}"
+def _evidence(kind: str, window: str, level: str | None = None) -> str:
+    text = EVIDENCE[kind][level] if level else EVIDENCE[kind]
+    return text.format(window=f"in the last {window}")
 
 
 def _finish(df: DataFrame) -> DataFrame:
@@ -94,10 +99,8 @@ def _finish(df: DataFrame) -> DataFrame:
 
 def exit_risk_from_stats(stats: DataFrame, window: str = DEFAULT_WINDOW) -> DataFrame:
     n = F.col("exitCount")
-    w = _evidence_window(window)
-    evidence = (F.when(n >= 3, F.lit(f"Strong exit intent detected {w}."))
-                 .when(n == 2, F.lit(f"Repeated exit signals detected {w}."))
-                 .otherwise(F.lit(f"Early exit signals detected {w}.")))
+    said = {x: F.lit(_evidence("exit-risk", window, x)) for x in ("high", "medium", "low")}
+    evidence = F.when(n >= 3, said["high"]).when(n == 2, said["medium"]).otherwise(said["low"])
     return _finish(stats.filter(n > 0).select(
         signal_id(F.col("sid"), "exitrisk", F.col("lastTs"), window).alias("_id"),
         "sid", "uid", F.lit("exit-risk").alias("signal"),
@@ -107,9 +110,7 @@ def exit_risk_from_stats(stats: DataFrame, window: str = DEFAULT_WINDOW) -> Data
 
 def cart_abandonment_from_stats(stats: DataFrame, window: str = DEFAULT_WINDOW) -> DataFrame:
     items = F.when(F.col("maxItemCount") > 0, F.col("maxItemCount")).otherwise(F.lit(1))
-    evidence = F.format_string(
-        f"Customer is dwelling on a cart with %d item(s) and has not checked out "
-        f"{_evidence_window(window)}.", items)
+    evidence = F.format_string(_evidence("cart-abandonment", window), items)
     return _finish(stats.filter(F.col("viewCartCount") > 0).select(
         signal_id(F.col("sid"), "cartabandon", F.col("lastTs"), window).alias("_id"),
         "sid", "uid", F.lit("cart-abandonment").alias("signal"),
@@ -122,16 +123,8 @@ def search_friction_from_stats(stats: DataFrame, topics: DataFrame,
     d = F.col("distinctProducts")
     sev = (F.when(d >= 7, F.lit("high")).when(d >= 5, F.lit("medium"))
             .otherwise(F.lit("low")))
-    w = _evidence_window(window)
-    evidence = (F.when(d >= 7, F.format_string(
-                    f"Explored many products (%d) {w} with no add-to-cart, suggesting "
-                    "scattered attention and difficulty converging.", d))
-                 .when(d >= 5, F.format_string(
-                    f"Explored several products (%d) {w} with no add-to-cart, "
-                    "suggesting choice overload.", d))
-                 .otherwise(F.format_string(
-                    f"Explored a few products (%d) {w} with no add-to-cart, "
-                    "suggesting early search friction.", d)))
+    said = {x: F.format_string(_evidence("search-friction", window, x), d) for x in ("high", "medium", "low")}
+    evidence = F.when(d >= 7, said["high"]).when(d >= 5, said["medium"]).otherwise(said["low"])
     hit = stats.filter((F.col("cartCount") == 0) & (d >= 3))
     hit = hit.join(topics, ["window", "sid"], "left")
     topic = F.when(F.col("topArticleType").isNotNull(),
@@ -153,7 +146,7 @@ def high_intent_from_facts(facts: DataFrame, stats: DataFrame,
         signal_id(F.col("sid"), "highintent", F.col("lastTs"), window,
                   product=F.col("productId")).alias("_id"),
         "sid", "uid", F.lit("high-intent").alias("signal"), F.lit("high").alias("severity"),
-        F.lit(f"add-to-cart occurred for product {_evidence_window(window)}").alias("evidence"),
+        F.lit(_evidence("high-intent", window)).alias("evidence"),
         "productId", "window", "lastTs"))
 
 
@@ -194,19 +187,14 @@ def all_signals(events: DataFrame, window: str = DEFAULT_WINDOW,
 
     Catalyst prunes columns per union branch, so the branches would not
     share the event scan and the first shuffle (each would rescan and
-    re-aggregate all events). With ``materialize`` (default) the shared
-    window aggregate and the per-session counters are written once as
-    reliable checkpoints in the shared checkpoint folder and every rule
-    reads them: one pass over the events instead of four, and a lineage
-    cut that survives executor loss. Calling it runs those two jobs.
+    re-aggregate all events). With ``materialize`` (default) the window
+    aggregate is written once as a reliable checkpoint in the shared
+    checkpoint folder and every rule reads it: one pass over the events
+    instead of four, and a lineage cut that survives executor loss. Calling
+    it runs that one job.
     """
-    from ..session import cut_lineage
-    facts = window_facts(events, window)
-    if materialize and not events.isStreaming:
-        facts = cut_lineage(facts)
+    facts = _shared_facts(events, window, materialize)
     stats = window_stats(facts)
-    if materialize and not events.isStreaming:
-        stats = cut_lineage(stats)
     return (exit_risk_from_stats(stats, window)
             .unionByName(high_intent_from_facts(facts, stats, window))
             .unionByName(search_friction_from_stats(stats, dominant_article_type(facts), window))

@@ -113,9 +113,9 @@ def intent_sub_categories(valid: DataFrame, window: str = DEFAULT_WINDOW) -> Dat
 
 
 def search_history_long(valid: DataFrame, window: str = DEFAULT_WINDOW) -> DataFrame:
-    """One row per non-empty search query: (window, sessionId, ts, event_id, query)."""
+    """One row per non-empty search query: (window, sessionId, userId, ts, event_id, query)."""
     return valid.filter((EV() == "search") & present(md("query"))).select(
-        F.window(TS(), window).alias("window"), SID().alias("sessionId"),
+        F.window(TS(), window).alias("window"), SID().alias("sessionId"), UID().alias("userId"),
         TS().alias("ts"), "event_id", md("query").alias("query"))
 
 

@@ -1,10 +1,11 @@
 """Join helpers: broadcast only behind a size check.
 
-``sized_join`` asks Catalyst for the optimized plan's size estimate of the
-side that might be broadcast. Below the bound the side gets a broadcast
-hint; above it (or when no estimate is available) the join stays a
-shuffle join and AQE re-plans it at runtime from measured sizes (and
-splits skewed partitions).
+``sized_join`` estimates how large the side that might be broadcast is as
+rows in memory: Catalyst's estimate for a scan counts compressed file
+bytes, so it is multiplied by ``DECODED`` before it is held against the
+bound. Below the bound the side gets a broadcast hint. Above it (or without
+an estimate) the join is left to AQE, which re-plans from measured sizes
+and splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_BYTES = 32 * 1024 * 1024
+#: Decoded rows in a hash table take about so many times their Parquet bytes.
+DECODED = 8
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate for ``df`` (None when unavailable)."""
+    """Catalyst's size estimate for ``df`` as decoded rows (None when unavailable)."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
+        return DECODED * int(str(stats.sizeInBytes()))
     except Exception:  # Spark Connect or a plan without statistics
         return None
 

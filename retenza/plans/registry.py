@@ -9,7 +9,7 @@ compare with DuckDB's naive timestamps.
 
 from __future__ import annotations
 
-import threading
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..operators import analytics as A
 from ..operators import signals as S
 from ..operators import windows as W
+from ..schemas import FEATURE_COLUMNS
 from ..sources import fixtures as X
 from . import oracle as O
 
@@ -38,21 +39,6 @@ def ntz(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-# Queries that reuse the signal table several times (NBAs, features, scores)
-# materialise it once per call as a reliable checkpoint in the shared
-# checkpoint folder, instead of recomputing the window pipeline per use.
-SHARED = {
-    "nba_mix", "engaged_mix", "most_responsive_action", "conversion_rate", "unredeemed_count",
-    "nba_distribution", "nba_redeemed_distribution", "redemption_rate", "risk_distribution",
-    "scoring_summary", "user_nba_features", "churn_features", "churn_label", "risk_tier",
-    "top_risk_factor", "new_users", "signals_of_new_users", "score_lookup", "split_trigger",
-    "offer_enriched", "redeem", "upsert_scores", "row_count_reconcile", "product_recommendation",
-    "train_churn_model", "score_users", "score_on_demand", "incremental_scoring", "load_model",
-    "save_model", "feature_importance", "nba_product_embed", "product_notifications",
-}
-_LOCAL = threading.local()       # per-thread memo of one query call
-
-
 def r6(c: str):
     """Six decimals for floats whose last bits depend on summation order (the
     oracle rounds the same way); the operators keep full precision."""
@@ -62,12 +48,7 @@ def r6(c: str):
 def register(key: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            outer = getattr(_LOCAL, "call", None)
-            _LOCAL.call = {} if key in SHARED else None
-            try:
-                return ntz(fn(spark, sf_dir))
-            finally:
-                _LOCAL.call = outer
+            return ntz(fn(spark, sf_dir))
         QUERIES[key] = run
         if sql is not None:
             ORACLE[key] = sql
@@ -75,15 +56,24 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
-def _memo(name: str, sf: str, build, materialize: bool = True):
-    call = getattr(_LOCAL, "call", None)
-    if call is None:
-        return build()
-    if (name, sf) not in call:
-        from ..session import cut_lineage
-        df = build()
-        call[(name, sf)] = cut_lineage(df) if materialize else df
-    return call[(name, sf)]
+def landed(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that several reports read, written once for the tables it
+    comes from: its folder in the shared checkpoint folder is named by the
+    application and by the input files' names, sizes and times, so changed
+    input is built anew."""
+    from ..session import scratch_path
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(sf)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, seen = fs.listFiles(root, True), []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    state = hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+    path = scratch_path(spark, f"landed/{spark.sparkContext.applicationId}-{state}/{name}")
+    if not SK.has_data(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 # ---------------------------------------------------------------- shared inputs
@@ -92,9 +82,8 @@ def events(spark, sf):
 
 
 def signals(spark, sf):
-    # all_signals already writes its window aggregates once; the finished
-    # signal table is cheap to re-derive from them, so it is only shared.
-    return _memo("signals", sf, lambda: S.all_signals(events(spark, sf), DAY), materialize=False)
+    """The signal table, landed; ``all_signals`` itself computes from the events."""
+    return landed(spark, sf, "session_signals", lambda: S.all_signals(events(spark, sf), DAY))
 
 
 def valid_events(spark, sf):
@@ -107,7 +96,7 @@ SIG = O.with_ctes(O.RETAIL_EVENTS, O.SIGNAL_STATS)
 # ---------------------------------------------------------------- signals
 @register("all_signals", SIG + "SELECT * FROM signals")
 def q_all_signals(spark, sf):
-    return S.flat_signals(signals(spark, sf))
+    return S.flat_signals(S.all_signals(events(spark, sf), DAY))
 
 
 @register("exit_risk_signal", SIG + "SELECT * FROM sig_exit")
@@ -157,7 +146,7 @@ def nbas(spark, sf):
     def build():
         sig = signals(spark, sf)
         return AC.redeem(AC.nba_from_signals(sig), X.redemption_log(sig, events(spark, sf)))
-    return _memo("nbas", sf, build)
+    return landed(spark, sf, "next_best_actions", build)
 
 
 def features(spark, sf):
@@ -285,9 +274,11 @@ def q_signal_id(spark, sf):
     return signals(spark, sf).select("_id", "sid", "signal")
 
 
-@register("window_end_ts", SIG + "SELECT _id, ts FROM signals")
+@register("window_end_ts", SIG + "SELECT wstart AS window_start, sid, wstart + INTERVAL 1 DAY AS ts FROM stats")
 def q_window_end_ts(spark, sf):
-    return signals(spark, sf).select("_id", "ts")
+    st = S.window_stats(S.window_facts(events(spark, sf), DAY))
+    return st.select(F.col("window.start").alias("window_start"), "sid",
+                     FE.window_end_ts(F.col("window"), F.col("lastTs")).alias("ts"))
 
 
 @register("evidence_text", SIG + "SELECT _id, severity, evidence FROM signals")
@@ -354,11 +345,9 @@ def q_split_trigger(spark, sf):
 @register("epoch_ms_to_ts", ORD + """
 SELECT _id, status_ms, make_timestamp(status_ms * 1000) AS status_ts FROM olast""")
 def q_epoch_ms_to_ts(spark, sf):
-    st = CM.latest_order_status(X.orders_docs(spark, sf))
     h = X.orders_headers(spark, sf).select(
         "_id", F.element_at("status_history", -1).getField("timestamp").alias("status_ms"))
-    return h.select("_id", "status_ms", FC.epoch_ms_to_ts(F.col("status_ms")).alias("status_ts")) \
-        if st is not None else h
+    return h.select("_id", "status_ms", FC.epoch_ms_to_ts(F.col("status_ms")).alias("status_ts"))
 
 
 @register("pretty_date", ORD + """
@@ -405,7 +394,7 @@ SELECT e.sid, productsAddedToCart, totalProductsViewed, events,
   CASE WHEN totalProductsViewed > 0
        THEN round(CAST(productsAddedToCart AS DOUBLE) / totalProductsViewed * 100, 1) ELSE 0.0 END AS conversionRate,
   coalesce(n.nbas, 0) AS nbas
-FROM ev_s e LEFT JOIN nb_s n ON e.sid = n.sid""".replace("WITH ", "WITH ", 1))
+FROM ev_s e LEFT JOIN nb_s n ON e.sid = n.sid""")
 def q_conversion_rate(spark, sf):
     return A.conversion_rate(events(spark, sf), nbas(spark, sf))
 
@@ -524,7 +513,11 @@ def q_dead_letter_split(spark, sf):
 
 @register("session_window_agg", SESS + "SELECT * FROM swin")
 def q_session_window_agg(spark, sf):
-    return window_rows_flat(W.session_window_rows(valid_events(spark, sf), DAY))
+    docs = W.session_window_agg(valid_events(spark, sf), DAY)
+    return window_rows_flat(docs.select(
+        F.col("last10s.window").alias("window"), "sessionId", "userId", "firstSeen", "lastSeen", "lastEvent",
+        F.col("sessionTotals.eventCounts").alias("eventCounts"),
+        F.col("last10s.intent.dimensionTotals").alias("dimensionTotals")))
 
 
 @register("event_counts", SESS + """
@@ -563,10 +556,11 @@ register("intent_sub_categories", SESS + O.intent_sql("subCategory"))(_intent(W.
 SELECT s.*, coalesce(h.searchCount, 0) AS searchCount
 FROM sstate s LEFT JOIN shist h ON s.sessionId = h.sessionId""")
 def q_session_state(spark, sf):
-    v = valid_events(spark, sf)
-    rows = W.session_window_rows(v, DAY)
-    hist = W.search_history_long(v, DAY)
-    return W.flat_session_state(W.session_state_flat(rows, hist))
+    state = W.session_state(W.session_window_agg(valid_events(spark, sf), DAY))
+    return W.flat_session_state(state.select(
+        "sessionId", "userId", "firstSeen", "lastSeen", "lastEvent", F.col("last10s.window").alias("lastWindow"),
+        F.col("sessionTotals.eventCounts").alias("eventCounts"),
+        F.col("sessionTotals.windowCount").alias("windowCount"), F.size("searchHistory").alias("searchCount")))
 
 
 # ---------------------------------------------------------------- §2.4 joins, arrays
@@ -598,12 +592,16 @@ def q_signals_of_new_users(spark, sf):
 
 
 @register("score_lookup", PRED + """
-SELECT DISTINCT r.userId AS uid, p.churn_probability, p.churn_risk_tier, p.top_risk_factor,
-  p.uid IS NOT NULL AS cached
-FROM revents r LEFT JOIN preds p ON r.userId = p.uid""")
+SELECT DISTINCT r.userId AS uid, coalesce(s.churn_probability, 0.0) AS churn_probability,
+  coalesce(s.churn_risk_tier, 'Low') AS churn_risk_tier, s.top_risk_factor,
+  r.userId IN (SELECT uid FROM preds) AS cached
+FROM revents r LEFT JOIN rscores s ON r.userId = s.uid""")
 def q_score_lookup(spark, sf):
     uids = events(spark, sf).select(F.col("tags.userId").alias("uid"))
-    return FT.score_lookup(uids, scored_users(spark, sf))
+
+    def scorer(misses):
+        return rule_scores(FT.churn_features(signals(spark, sf), nbas(spark, sf), misses))
+    return FT.score_lookup(uids, scored_users(spark, sf), scorer)
 
 
 @register("nba_product_embed", SIGN + """,
@@ -614,7 +612,7 @@ SELECT n.signal_id, n.productId,
   CASE WHEN n.signal = 'high-intent' AND b.buyers IS NOT NULL THEN n.productId END AS embedProductId,
   CASE WHEN n.signal = 'high-intent' AND b.buyers IS NOT NULL
        THEN CAST(b.buyers AS VARCHAR) || ' people added this to their cart recently' END AS embedMessage
-FROM nbas n LEFT JOIN buyers b ON n.productId = b.productId""".replace("WITH ", "WITH ", 1))
+FROM nbas n LEFT JOIN buyers b ON n.productId = b.productId""")
 def q_nba_product_embed(spark, sf):
     sig = signals(spark, sf)
     n = AC.nba_from_signals(sig, products=X.products(spark, sf, with_embedding=False))
@@ -624,22 +622,20 @@ def q_nba_product_embed(spark, sf):
 
 
 INTENTS = """,
-lastq AS (SELECT sessionId AS sid, last(query ORDER BY ts, event_id) AS lastQuery, count(*) AS n
-          FROM valid WHERE event = 'search' AND query <> '' GROUP BY 1),
+lastq AS (SELECT userId AS uid, sessionId AS sid, last(query ORDER BY ts, event_id) AS lastQuery, count(*) AS n
+          FROM valid WHERE event = 'search' AND query <> '' GROUP BY 1, 2),
 intents AS (
   SELECT s._id AS signal_id, s.sid,
     CASE WHEN coalesce(l.n, 0) > 0 THEN l.lastQuery ELSE s.topic_value END AS intentSummary
-  FROM signals s LEFT JOIN lastq l ON s.sid = l.sid WHERE s.signal = 'search-friction')"""
+  FROM signals s LEFT JOIN lastq l ON s.sid = l.sid AND s.uid = l.uid WHERE s.signal = 'search-friction')"""
 INT = O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS, O.SIGNAL_STATS).rstrip("\n") + INTENTS + "\n"
 
 
 def intents(spark, sf):
-    def build():
-        v = valid_events(spark, sf)
-        fr = signals(spark, sf).filter(F.col("signal") == "search-friction")
-        j = AC.session_for_signal(fr, W.search_history_long(v, DAY))
-        return j.select(F.col("_id").alias("signal_id"), "sid", "intentSummary")
-    return _memo("intents", sf, build)
+    v = valid_events(spark, sf)
+    fr = signals(spark, sf).filter(F.col("signal") == "search-friction")
+    j = AC.session_for_signal(fr, W.search_history_long(v, DAY))
+    return j.select(F.col("_id").alias("signal_id"), "sid", "intentSummary")
 
 
 @register("session_for_signal", INT + "SELECT * FROM intents")
@@ -675,13 +671,24 @@ def q_filter_array(spark, sf):
 SELECT sessionId, row_number() OVER (PARTITION BY sessionId ORDER BY ts, event_id) AS pos, query
 FROM valid WHERE event = 'search' AND query <> ''""")
 def q_concat_history(spark, sf):
-    docs = W.session_window_agg(valid_events(spark, sf), DAY)
-    state = W.session_state(docs)
-    return state.select("sessionId", F.posexplode("searchHistory").alias("pos", "query")) \
+    """The session's history before ``MID`` joined to the one after it; the lists
+    are per session, as the stored documents have them."""
+    v = valid_events(spark, sf)
+    cut = F.lit(MID).cast("timestamp")
+
+    def state(part):
+        docs = W.session_state(W.session_window_agg(part, DAY))
+        return docs.select("sessionId", F.col("searchHistory").alias("h"))
+    old, new = state(v.filter(F.col("timestamp") < cut)), state(v.filter(F.col("timestamp") >= cut))
+    both = old.alias("o").join(new.alias("n"), "sessionId", "full_outer").select(
+        "sessionId", FC.concat_history(F.col("o.h"), F.col("n.h")).alias("h"))
+    return both.select("sessionId", F.posexplode("h").alias("pos", "query")) \
         .withColumn("pos", (F.col("pos") + 1).cast("long"))
 
 
-@register("random_sample_products")
+@register("random_sample_products", """
+SELECT CAST(p_partkey AS VARCHAR) AS _id, p_name AS name, p_brand AS brand FROM part
+ORDER BY md5('42:' || CAST(p_partkey AS VARCHAR)), CAST(p_partkey AS VARCHAR) LIMIT 20""")
 def q_random_sample(spark, sf):
     return CM.random_sample_products(X.products(spark, sf, with_embedding=False), 20, 42) \
         .select("_id", "name", "brand")
@@ -711,20 +718,57 @@ cart AS (
   FROM e p LEFT JOIN lc ON p.user = lc.user
   LEFT JOIN lp ON p.user = lp.user AND p.product_id = lp.product_id
   WHERE p.op = 'push' AND p.seq > coalesce(lc.last_clear, -1) AND p.seq > coalesce(lp.last_pull, -1))
-""".replace("WITH ", "WITH ", 1)
+"""
 
 
-def _fold(ops):
-    def q(spark, sf):
-        e = X.cart_edits(spark, sf).filter(F.col("op").isin(*ops))
-        return CM.cart_state(e)
-    return q
+def _carts(spark, sf):
+    """One cart document per user with an open order: the products of its pushes
+    below ``SPLIT`` of each order; the pushes above come as single edits."""
+    e = X.cart_edits(spark, sf).filter(F.col("op") == "push")
+    users = e.select("user").distinct()
+    first = e.filter(F.col("seq") % 16 <= SPLIT).groupBy("user").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "product"))),
+                    lambda x: x["product"]).alias("products"))
+    return users.join(first, "user", "left").withColumn(
+        "products", F.coalesce("products", F.array())), e.filter(F.col("seq") % 16 > SPLIT)
+
+
+def _cart_rows(carts: DataFrame) -> DataFrame:
+    return carts.select("user", F.explode("products").alias("p")).groupBy(
+        "user", F.col("p._id").alias("product_id"), F.col("p.amount").alias("amount")) \
+        .agg(F.count(F.lit(1)).alias("lines"))
+
 
+SPLIT = 3                  # lines of an order already in the cart
+PULLED = "7"               # product that array_pull removes from all carts
+CART_SQL_ROWS = O.with_ctes(ORDERS_CTE, """pushes AS (
+  SELECT CAST(o.o_custkey AS VARCHAR) AS user, l.product_id, l.amount
+  FROM olines l JOIN orders o ON l.okey = o.o_orderkey WHERE o.o_orderstatus = 'O')""") + """
+SELECT user, product_id, amount, count(*) AS lines FROM pushes {where} GROUP BY 1, 2, 3"""
 
-register("array_push", _fold_sql(("push",)) + "SELECT * FROM cart")(_fold(("push",)))
-register("array_pull", _fold_sql(("push", "pull")) + "SELECT * FROM cart")(_fold(("push", "pull")))
-register("array_clear", _fold_sql(("push", "pull", "clear")) + "SELECT * FROM cart")(
-    _fold(("push", "pull", "clear")))
+
+@register("array_push", CART_SQL_ROWS.format(where=""))
+def q_array_push(spark, sf):
+    carts, more = _carts(spark, sf)
+    return _cart_rows(CM.array_push(carts, more))
+
+
+@register("array_pull", CART_SQL_ROWS.format(where=f"WHERE product_id <> '{PULLED}'"))
+def q_array_pull(spark, sf):
+    return _cart_rows(CM.array_pull(CM.array_push(*_carts(spark, sf)), PULLED))
+
+
+@register("array_clear", O.with_ctes(ORDERS_CTE) + """
+SELECT DISTINCT CAST(o.o_custkey AS VARCHAR) AS user, CAST(0 AS BIGINT) AS products
+FROM olines l JOIN orders o ON l.okey = o.o_orderkey WHERE o.o_orderstatus = 'O'""")
+def q_array_clear(spark, sf):
+    carts, _ = _carts(spark, sf)
+    return CM.array_clear(carts).select("user", F.size("products").cast("long").alias("products"))
+
+
+@register("cart_state", _fold_sql(("push", "pull", "clear")) + "SELECT * FROM cart")
+def q_cart_state(spark, sf):
+    return CM.cart_state(X.cart_edits(spark, sf))
 
 
 @register("cart_totals", _fold_sql(("push", "pull", "clear")) + """
@@ -760,16 +804,24 @@ def q_latest_order_status(spark, sf):
     return CM.latest_order_status(X.orders_headers(spark, sf))
 
 
-@register("order_summary", ORD + f""",
-nl AS (SELECT order_id, count(*) AS n FROM olines GROUP BY 1)
+@register("order_summary", ORD + f"""
 SELECT o._id AS id, o.user, CASE WHEN contains(lower(o.type), 'store') THEN '{X.STORE_ADDRESS}'
   ELSE concat_ws(', ', o.c_name, 'nation ' || CAST(o.c_nationkey AS VARCHAR)) END AS shipping_address,
   o.status, strftime(make_timestamp(o.status_ms * 1000), '%b %-d, %Y at %-I:%M:%S %p') AS status_date,
-  o.type, coalesce(nl.n, 0) AS n_products
-FROM olast o LEFT JOIN nl ON o._id = nl.order_id""".replace("WITH ", "WITH ", 1))
+  o.type, l.pos, l.product_id, l.name, CAST(NULL AS VARCHAR) AS description, l.brand, 'P' || l.product_id AS code,
+  l.unit_price AS price
+FROM olast o LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY olines.pos, product_id, name, brand, amount,
+    unit_price) AS p FROM olines) l
+  ON o._id = l.order_id""".replace("l.pos, l.product_id", "l.p AS pos, l.product_id"))
 def q_order_summary(spark, sf):
+    """One row per product of the summary's list (an order without one keeps its row)."""
     s = CM.order_summary(X.orders_docs(spark, sf))
-    return s.withColumn("n_products", F.size("products").cast("long")).drop("products")
+    rows = s.select("*", F.posexplode_outer("products").alias("i", "p"))
+    return rows.select(
+        "id", "user", "shipping_address", "status", "status_date", "type", (F.col("i") + 1).cast("long").alias("pos"),
+        F.col("p.id").alias("product_id"), F.col("p.name").alias("name"), F.col("p.description").alias("description"),
+        F.col("p.brand").alias("brand"), F.col("p.code").alias("code"),
+        F.regexp_extract("p.price", r"^\$(.*)$", 1).cast("double").alias("price"))
 
 
 def user_lines(spark, sf):
@@ -806,7 +858,7 @@ emb AS (SELECT n.productId, CAST(b.buyers AS VARCHAR) || ' people added this to
         FROM nbas n JOIN buyers b ON n.productId = b.productId WHERE n.signal = 'high-intent')
 SELECT productId, first(message ORDER BY version DESC, signal_id DESC) AS message,
   first(signal_id ORDER BY version DESC, signal_id DESC) AS signal_id, max(version) AS version
-FROM emb GROUP BY 1""".replace("WITH ", "WITH ", 1))
+FROM emb GROUP BY 1""")
 def q_product_notifications(spark, sf):
     n = AC.nba_from_signals(signals(spark, sf), products=X.products(spark, sf, with_embedding=False))
     return CM.product_notifications(n)
@@ -819,7 +871,7 @@ BROWSE_PAGE = 1
 SELECT * FROM (
   SELECT CAST(p_partkey AS VARCHAR) AS _id, p_name AS name, count(*) OVER () AS totalItems,
     row_number() OVER (ORDER BY p_partkey) AS position
-  FROM (SELECT * FROM part WHERE p_brand IN {tuple(FACET_BRANDS)} ORDER BY p_partkey LIMIT 3000))
+  FROM part WHERE p_brand IN {tuple(FACET_BRANDS)})
 WHERE position > {BROWSE_PAGE * 20} AND position <= {BROWSE_PAGE * 20 + 20}""")
 def q_browse_page(spark, sf):
     return SR.browse_page(X.products(spark, sf, with_embedding=False), FACET_BRANDS, (),
@@ -827,6 +879,7 @@ def q_browse_page(spark, sf):
 
 
 # ---------------------------------------------------------------- §2.6 decisions
+# --- fixed values: action of each signal, offer of each severity -----------
 ROUTE_SQL = """CASE signal WHEN 'search-friction' THEN 'discount-product-recommendation'
   WHEN 'high-intent' THEN 'social-proof-notification' WHEN 'exit-risk' THEN 'shipping-discount'
   WHEN 'cart-abandonment' THEN 'cart-rescue' END"""
@@ -834,6 +887,7 @@ EXIT_SQL = """CASE severity WHEN 'low' THEN '15% off your order' WHEN 'medium' T
   WHEN 'high' THEN '25% off your order' WHEN 'urgent' THEN '30% off your order' END"""
 CART_SQL = """CASE severity WHEN 'low' THEN '10% off your order' WHEN 'medium' THEN '15% off your order'
   WHEN 'high' THEN '20% off your order' END"""
+# ---------------------------------------------------------------------------
 
 
 @register("route_signal", SIG + f"""
@@ -846,14 +900,14 @@ def q_route_signal(spark, sf):
 @register("exit_offer_baseline", SIG + f"""
 SELECT _id, severity, {EXIT_SQL} AS baselineDecision FROM signals WHERE signal = 'exit-risk'""")
 def q_exit_offer(spark, sf):
-    s = signals(spark, sf).filter(F.col("signal") == "exit-risk")
+    s = S.exit_risk_signal(events(spark, sf), DAY)
     return AC.exit_offer_baseline(s).select("_id", "severity", "baselineDecision")
 
 
 @register("cart_offer_baseline", SIG + f"""
 SELECT _id, severity, {CART_SQL} AS baselineDecision FROM signals WHERE signal = 'cart-abandonment'""")
 def q_cart_offer(spark, sf):
-    s = signals(spark, sf).filter(F.col("signal") == "cart-abandonment")
+    s = S.cart_abandonment_signal(events(spark, sf), DAY)
     return AC.cart_offer_baseline(s).select("_id", "severity", "baselineDecision")
 
 
@@ -873,7 +927,7 @@ SELECT _id, signal, severity, b AS baselineDecision,
                                       ELSE l[least(list_position(l, b) + 1, 4)] END
        ELSE b END AS enrichedDecision,
   CASE WHEN b IS NOT NULL THEN tier END AS churnRiskTier
-FROM ladder""".replace("WITH ", "WITH ", 1))
+FROM ladder""")
 def q_offer_enriched(spark, sf):
     o = AC.offer_enriched(signals(spark, sf), rule_scores(features(spark, sf)))
     return o.select("_id", "signal", "severity", "baselineDecision", "enrichedDecision",
@@ -885,16 +939,16 @@ n AS (SELECT *, {ROUTE_SQL} AS type,
         CASE WHEN signal = 'exit-risk' THEN {EXIT_SQL} WHEN signal = 'cart-abandonment' THEN {CART_SQL} END AS b
       FROM signals)
 SELECT _id AS signal_id, uid, sid, type, false AS redeemed,
-  CASE type WHEN 'shipping-discount' THEN 'Before you go' WHEN 'cart-rescue' THEN 'Your cart is waiting'
-    WHEN 'social-proof-notification' THEN 'Popular Right Now' ELSE 'A deal picked for you' END AS title,
+  CASE type WHEN 'shipping-discount' THEN 'Delivery on better terms' WHEN 'cart-rescue' THEN 'Still in your basket'
+    WHEN 'social-proof-notification' THEN 'Much wanted today' ELSE 'A deal picked for you' END AS title,
   CASE type WHEN 'shipping-discount' THEN 'Wait! Enjoy ' || b || ' before you leave.'
-    WHEN 'cart-rescue' THEN 'Complete your order now and get ' || b || '.'
+    WHEN 'cart-rescue' THEN 'Check out today with ' || b || '.'
     WHEN 'social-proof-notification' THEN 'Shoppers are adding this to their carts right now.'
     ELSE 'Take 10% off on your picks today.' END AS message,
   severity || '_' || signal AS triggeredBySignal, b AS baselineDecision,
   CAST(NULL AS VARCHAR) AS enrichedDecision, CAST(NULL AS VARCHAR) AS churnRiskTier,
   CAST(NULL AS VARCHAR) AS embedProductId, CAST(NULL AS VARCHAR) AS embedMessage
-FROM n""".replace("WITH ", "WITH ", 1))
+FROM n""")
 def q_nba_from_signals(spark, sf):
     return AC.flat_nbas(AC.nba_from_signals(signals(spark, sf)))
 
@@ -940,7 +994,7 @@ hits AS (SELECT k.query_id, k._id, k.score, k.rank FROM knn k
          JOIN part p ON CAST(p.p_partkey AS VARCHAR) = k._id WHERE p.p_type IN {tuple(VECTOR_FACETS)}),
 paged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position,
             count(*) OVER (PARTITION BY query_id) AS totalItems FROM hits)
-SELECT query_id, _id, round(score, 6) AS score, rank, position, totalItems FROM paged WHERE position <= 20""")
+SELECT query_id, _id, round((1 + score) / 2, 6) AS score, rank, position, totalItems FROM paged WHERE position <= 20""")
 def q_vector_search(spark, sf):
     prods = X.products(spark, sf)
     searched = events(spark, sf).filter(F.col("tags.event") == "search") \
@@ -957,7 +1011,7 @@ dear AS (SELECT order_id, product_id FROM (
   WHERE rn = 1),
 """ + O.knn_sql("""vq AS (SELECT DISTINCT d.product_id AS query_id, c.v AS qv FROM dear d JOIN cat c ON c._id = d.product_id)""",
                 6, exclude_self=True).lstrip() + """
-SELECT d.order_id, d.product_id, k._id AS rec_id, round(k.score, 6) AS score, k.rank FROM dear d JOIN knn k ON k.query_id = d.product_id""")
+SELECT d.order_id, d.product_id, k._id AS rec_id, round((1 + k.score) / 2, 6) AS score, k.rank FROM dear d JOIN knn k ON k.query_id = d.product_id""")
 def q_receipt_recommendations(spark, sf):
     lines = X.order_lines(spark, sf).withColumnRenamed("_id", "product_id")
     r = SR.receipt_recommendations(lines, X.products(spark, sf), 6)
@@ -1031,10 +1085,10 @@ new AS (SELECT uid, exit_risk_ratio AS churn_probability, {O.tier_sql('exit_risk
     total_signals, engagement_rate FROM features
   WHERE uid IN (SELECT uid FROM signals WHERE signal = 'search-friction'))""") + """
 SELECT coalesce(n.uid, o.uid) AS uid,
-  coalesce(n.churn_probability, o.churn_probability) AS churn_probability,
-  coalesce(n.churn_risk_tier, o.churn_risk_tier) AS churn_risk_tier,
-  coalesce(n.total_signals, o.total_signals) AS total_signals,
-  coalesce(n.engagement_rate, o.engagement_rate) AS engagement_rate
+  CASE WHEN n.uid IS NOT NULL THEN n.churn_probability ELSE o.churn_probability END AS churn_probability,
+  CASE WHEN n.uid IS NOT NULL THEN n.churn_risk_tier ELSE o.churn_risk_tier END AS churn_risk_tier,
+  CASE WHEN n.uid IS NOT NULL THEN n.total_signals ELSE o.total_signals END AS total_signals,
+  CASE WHEN n.uid IS NOT NULL THEN n.engagement_rate ELSE o.engagement_rate END AS engagement_rate
 FROM old o FULL OUTER JOIN new n ON o.uid = n.uid"""
 
 
@@ -1082,7 +1136,8 @@ def q_row_count_reconcile(spark, sf):
 SELECT event_id, userId, sessionId, event, ts AS timestamp, productId FROM revents""")
 def q_event_source(spark, sf):
     base = _scratch(spark, "event-source")
-    stream = X.retail_events(spark, sf, raw=X.raw_events_stream(spark, sf))
+    X.retail_events(spark, sf).write.parquet(base + "/in")
+    stream = TB.event_source(spark, base + "/in", watermark=None)
     flat = stream.select("event_id", F.col("tags.userId").alias("userId"),
                          F.col("tags.sessionId").alias("sessionId"),
                          F.col("tags.event").alias("event"), "timestamp",
@@ -1095,7 +1150,7 @@ def q_event_source(spark, sf):
 
 @register("signal_feed", SIG + f""",
 n AS (SELECT *, {ROUTE_SQL} AS type FROM signals)
-SELECT _id AS signal_id, uid, sid, type, severity || '_' || signal AS triggeredBySignal FROM n""".replace("WITH ", "WITH ", 1))
+SELECT _id AS signal_id, uid, sid, type, severity || '_' || signal AS triggeredBySignal FROM n""")
 def q_signal_feed(spark, sf):
     """Signals land in a table in two inserts; the feed hands each new batch to
     a handler that routes it to an action and appends it (idempotently)."""
@@ -1116,66 +1171,107 @@ def q_signal_feed(spark, sf):
     return spark.read.parquet(base + "/nbas")
 
 
-# ---------------------------------------------------------------- §2.8 model (no SQL equal)
+# ---------------------------------------------------------------- §2.8 model
 from ..operators import model as ML  # noqa: E402
 
-_MODELS: dict[str, tuple] = {}
+# A forest can't be fitted in SQL; the statements give what holds for every
+# fitted one: the users, the features, the ranges, tier and factor as functions
+# of the score, and that a stored model scores like the one in memory.
+
 
+def trained(spark, sf, folds: int = 0):
+    return ML.train_churn_model(FT.churn_label(features(spark, sf)), folds=folds)
 
-def trained(spark, sf):
-    """Train once per input folder in this process (the fit is the slow part)."""
-    if sf not in _MODELS:
-        feats = FT.churn_label(features(spark, sf))
-        _MODELS[sf] = ML.train_churn_model(feats)
-    return _MODELS[sf]
 
+def _score_checks(scored: DataFrame, model) -> list:
+    p = F.col("churn_probability")
+    return [((p >= 0) & (p <= 1)).alias("in_range"),
+            F.col("churn_risk_tier").eqNullSafe(FT.tier_of(p)).alias("tier_fits"),
+            F.col("top_risk_factor").eqNullSafe(
+                FT.top_factor_expr(ML.importances(model), ML.model_features(model))).alias("factor_fits")]
 
-@register("train_churn_model")
+
+FEATURE_ROWS = ", ".join(f"('{c}')" for c in FEATURE_COLUMNS)
+
+
+@register("train_churn_model", FEAT + """
+SELECT count(*) AS users, 50 AS num_trees, 3 AS max_depth, true AS accuracy_in_range, true AS spread_in_range
+FROM features""")
 def q_train_churn_model(spark, sf):
-    model, acc = trained(spark, sf)
-    feats = features(spark, sf)
-    return feats.agg(F.count(F.lit(1)).alias("users")).select(
-        "users", F.lit(acc).cast("double").alias("cv_accuracy"),
-        F.lit(model.stages[-1].getNumTrees).alias("num_trees"),
-        F.lit(model.stages[-1].getOrDefault("maxDepth")).alias("max_depth"))
+    model, mean, std = trained(spark, sf, folds=5)
+    ok = mean is not None and 0 <= mean <= 1, std is not None and 0 <= std <= 1
+    return features(spark, sf).agg(F.count(F.lit(1)).alias("users")).select(
+        "users", F.lit(model.stages[-1].getNumTrees).alias("num_trees"),
+        F.lit(model.stages[-1].getOrDefault("maxDepth")).alias("max_depth"),
+        F.lit(ok[0]).alias("accuracy_in_range"), F.lit(ok[1]).alias("spread_in_range"))
 
 
-@register("feature_importance")
+@register("feature_importance", f"""
+SELECT feature, true AS in_range, 1.0::DOUBLE AS total FROM (VALUES {FEATURE_ROWS}) f(feature)""")
 def q_feature_importance(spark, sf):
-    return ML.feature_importance(trained(spark, sf)[0], spark)
+    imp = ML.feature_importance(trained(spark, sf)[0], spark)
+    total = imp.agg(F.round(F.sum("importance"), 6).alias("total"))
+    return imp.join(total).select("feature", F.col("importance").between(0, 1).alias("in_range"), "total")
 
 
-@register("save_model")
+@register("save_model", f"""
+SELECT feature, true AS unchanged FROM (VALUES {FEATURE_ROWS}) f(feature)""")
 def q_save_model(spark, sf):
     path = _scratch(spark, "model")
-    ML.save_model(trained(spark, sf)[0], path)
-    return ML.feature_importance(ML.load_model(path), spark)
+    model = trained(spark, sf)[0]
+    ML.save_model(model, path)
+    old = ML.feature_importance(model, spark).withColumnRenamed("importance", "old")
+    return ML.feature_importance(ML.load_model(path), spark).join(old, "feature").select(
+        "feature", (F.col("importance") == F.col("old")).alias("unchanged"))
 
 
-@register("load_model")
+@register("load_model", FEAT + "SELECT uid, true AS same_score FROM features")
 def q_load_model(spark, sf):
     path = _scratch(spark, "model")
-    ML.save_model(trained(spark, sf)[0], path)
-    return ML.score_users(features(spark, sf), ML.load_model(path)).select(
-        "uid", "churn_probability", "churn_risk_tier", "top_risk_factor")
+    model = trained(spark, sf)[0]
+    ML.save_model(model, path)
+    feats = features(spark, sf)
+    old = ML.score_users(feats, model).select("uid", F.col("churn_probability").alias("old"))
+    new = ML.score_users(feats, ML.load_model(path)).select("uid", "churn_probability")
+    return new.join(old, "uid").select("uid", (F.col("churn_probability") == F.col("old")).alias("same_score"))
 
 
-@register("score_users")
+@register("score_users", FEAT + """
+SELECT uid, total_signals, total_nbas, true AS in_range, true AS tier_fits, true AS factor_fits FROM features""")
 def q_score_users(spark, sf):
-    return ML.score_users(features(spark, sf), trained(spark, sf)[0])
+    model = trained(spark, sf)[0]
+    scored = ML.score_users(features(spark, sf), model)
+    return scored.select("uid", "total_signals", "total_nbas", *_score_checks(scored, model))
 
 
-@register("score_on_demand")
+@register("score_on_demand", FEAT + """
+SELECT CAST(c.c_custkey AS VARCHAR) AS uid, coalesce(f.total_signals, 0) AS total_signals, true AS in_range,
+  CASE WHEN f.uid IS NULL THEN 'Low' ELSE 'scored' END AS outcome, f.uid IS NOT NULL AS written
+FROM customer c LEFT JOIN features f ON f.uid = CAST(c.c_custkey AS VARCHAR)""")
 def q_score_on_demand(spark, sf):
+    """Scores are stored; ``written`` is read back from the stored table."""
     customers = X.read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("uid"))
-    return ML.score_on_demand(customers, signals(spark, sf), nbas(spark, sf),
-                              trained(spark, sf)[0])
-
-
-@register("incremental_scoring")
+    path = _scratch(spark, "scores")
+    out = ML.score_on_demand(customers, signals(spark, sf), nbas(spark, sf), trained(spark, sf)[0], path=path)
+    stored = SK.read_scores(spark, path).select("uid", F.col("churn_probability").alias("kept"))
+    none = (F.col("churn_probability") == 0) & (F.col("churn_risk_tier") == "Low") & F.col("top_risk_factor").isNull()
+    return out.join(stored, "uid", "left").select(
+        "uid", F.col("features.total_signals").alias("total_signals"),
+        F.col("churn_probability").between(0, 1).alias("in_range"),
+        F.when(~F.col("kept").eqNullSafe(F.col("churn_probability")) & none, F.lit("Low"))
+        .otherwise(F.lit("scored")).alias("outcome"), F.col("kept").isNotNull().alias("written"))
+
+
+@register("incremental_scoring", PRED + """
+SELECT uid, uid IN (SELECT uid FROM preds) AS earlier FROM features""")
 def q_incremental_scoring(spark, sf):
-    return ML.incremental_scoring(signals(spark, sf), nbas(spark, sf), scored_users(spark, sf),
-                                  trained(spark, sf)[0])
+    """The score table after the run: the earlier users and the appended ones."""
+    path = _scratch(spark, "scores")
+    old = scored_users(spark, sf).select("uid", "churn_probability", "churn_risk_tier", "top_risk_factor")
+    SK.append_table(old.withColumn("earlier", F.lit(True)), path)
+    ML.incremental_scoring(signals(spark, sf), nbas(spark, sf), spark.read.parquet(path), trained(spark, sf)[0],
+                           path=path)
+    return spark.read.parquet(path).select("uid", F.coalesce("earlier", F.lit(False)).alias("earlier"))
 
 
 # ---------------------------------------------------------------- §2.5 stream-only keys
@@ -1191,7 +1287,7 @@ def _split_event_files(spark, sf, base):
 @register("late_data_drop", O.with_ctes(O.RETAIL_EVENTS) + f""",
 late AS (SELECT * FROM revents WHERE ts >= TIMESTAMP '{MID}')
 SELECT date_trunc('day', ts) AS window_start, sessionId, count(*) AS events FROM late
-GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM late)""".replace("WITH ", "WITH ", 1))
+GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM late)""")
 def q_late_data_drop(spark, sf):
     """Watermark 0: after the second half of the month has been seen, every
     row of the first half is behind the watermark and its windows are

@@ -60,9 +60,25 @@ HOME_STEPS = ["In Process", "Ready for delivery", "Picked up from warehouse",
 BOPIS_STEPS = ["In Process", "Ready for pickup", "Customer In Store", "Completed"]
 UNKNOWN_ADDRESS = "Unknown address"
 PAGE_SIZE = 20
-BROWSE_CAP = 3000
+# Evidence sentences of the signals; {window} is "in the last <window>", %d a count.
+EVIDENCE = {
+    "exit-risk": {
+        "high": "Strong exit intent detected {window}.",
+        "medium": "Repeated exit signals detected {window}.",
+        "low": "Early exit signals detected {window}.",
+    },
+    "cart-abandonment": "Customer is dwelling on a cart with %d item(s) and has not checked out {window}.",
+    "search-friction": {
+        "high": "Explored many products (%d) {window} with no add-to-cart, suggesting "
+                "scattered attention and difficulty converging.",
+        "medium": "Explored several products (%d) {window} with no add-to-cart, "
+                  "suggesting choice overload.",
+        "low": "Explored a few products (%d) {window} with no add-to-cart, "
+               "suggesting early search friction.",
+    },
+    "high-intent": "add-to-cart occurred for product {window}",
+}
 VECTOR_LIMIT = 60
-VECTOR_CANDIDATES = 150
 # --------------------------------------------------------------------------
 
 TAGS = T.StructType([

@@ -61,8 +61,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder (HDFS/object store) in that setting and
-    it is used as is. Only when it is unset (local runs and tests) is a
-    fresh private folder created and registered.
+    it is used as is. Only when it is unset and the master is local (tests)
+    is a fresh private folder created and registered: other executors could
+    not see it, so on a cluster the call is refused.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -70,6 +71,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="retenza-ckpt-")
     try:
         spark.conf.set("spark.checkpoint.dir", path)

@@ -99,6 +99,21 @@ def q_all_signals(spark, sf):
     return S.flat_signals(S.all_signals(events(spark, sf), DAY))
 
 
+SIGNAL_WINDOW, STATE_WINDOW = "30 seconds", "10 seconds"       # the library's defaults
+
+
+def _windowed(sql: str, seconds: int) -> str:
+    """A one-day statement over windows of ``seconds``."""
+    return (sql.replace("date_trunc('day', ts)", f"time_bucket(INTERVAL {seconds} SECOND, ts)")
+            .replace("INTERVAL 1 DAY", f"INTERVAL {seconds} SECOND")
+            .replace("the last 1 day", f"the last {seconds} seconds").replace(str(O.DAY_MS), str(seconds * 1000)))
+
+
+@register("all_signals_30s", _windowed(SIG, 30) + "SELECT * FROM signals")
+def q_all_signals_30s(spark, sf):
+    return S.flat_signals(S.all_signals(events(spark, sf), SIGNAL_WINDOW))
+
+
 @register("exit_risk_signal", SIG + "SELECT * FROM sig_exit")
 def q_exit(spark, sf):
     return S.flat_signals(S.exit_risk_signal(events(spark, sf), DAY))
@@ -520,6 +535,21 @@ def q_session_window_agg(spark, sf):
         F.col("last10s.intent.dimensionTotals").alias("dimensionTotals")))
 
 
+@register("session_window_agg_10s", _windowed(SESS, 10) + "SELECT * FROM swin")
+def q_session_window_agg_10s(spark, sf):
+    return window_rows_flat(W.session_window_rows(valid_events(spark, sf), STATE_WINDOW))
+
+
+@register("session_state_10s", _windowed(SESS, 10) + """
+SELECT s.*, coalesce(h.searchCount, 0) AS searchCount
+FROM sstate s LEFT JOIN shist h ON s.sessionId = h.sessionId""")
+def q_session_state_10s(spark, sf):
+    """The flat form, which gathers no list, over the stream's windows."""
+    v = valid_events(spark, sf)
+    return W.flat_session_state(W.session_state_flat(
+        W.session_window_rows(v, STATE_WINDOW), W.search_history_long(v, STATE_WINDOW)))
+
+
 @register("event_counts", SESS + """
 SELECT window_start, sessionId, heartbeat_count, search_count, view_product_count,
   add_to_cart_count, exit_risk_count FROM swin""")
@@ -650,14 +680,15 @@ def q_unwind_signals(spark, sf):
     return S.unwind_signals(arrays)
 
 
-@register("filter_array", O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS) + """
+@register("filter_array", O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS) + _windowed("""
 SELECT date_trunc('day', ts) AS window_start, sessionId,
   row_number() OVER (PARTITION BY date_trunc('day', ts), sessionId ORDER BY ts, event_id) AS pos, query
-FROM valid WHERE event = 'search' AND query <> ''""")
+FROM valid WHERE event = 'search' AND query <> ''""", 10))
 def q_filter_array(spark, sf):
+    """A list holds the searches of one session in one 10 s window."""
     v = valid_events(spark, sf)
     raw = v.filter(F.col("tags.event") == "search").groupBy(
-        F.window("timestamp", DAY).alias("window"), F.col("tags.sessionId").alias("sessionId")) \
+        F.window("timestamp", STATE_WINDOW).alias("window"), F.col("tags.sessionId").alias("sessionId")) \
         .agg(F.array_sort(F.collect_list(F.struct("timestamp", "event_id",
                                                    F.col("metadata.query").alias("q")))).alias("a"))
     kept = raw.select("window", "sessionId",
@@ -970,6 +1001,67 @@ def q_product_recommendation(spark, sf):
     return r.withColumn("score", r6("score"))
 
 
+@register("nba_enriched", O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS, O.SIGNAL_STATS, O.NBAS, O.FEATURES,
+                                      RULE_SCORES).rstrip("\n") + INTENTS + ",\n" + O.bm25_sql(
+    "tq AS (SELECT signal_id AS query_id, intentSummary AS text FROM intents WHERE intentSummary IS NOT NULL)", 1)
+    + f""",
+buyers AS (SELECT productId, count(DISTINCT uid) AS buyers FROM signals WHERE signal = 'high-intent'
+           AND productId IN (SELECT CAST(p_partkey AS VARCHAR) FROM part) GROUP BY 1),
+rec AS (SELECT b.query_id, b._id, p.p_name, i.intentSummary FROM bm25 b
+        JOIN part p ON b._id = CAST(p.p_partkey AS VARCHAR) JOIN intents i ON i.signal_id = b.query_id),
+base AS (
+  SELECT s.*, {ROUTE_SQL} AS type,
+    CASE WHEN signal = 'exit-risk' THEN {EXIT_SQL} WHEN signal = 'cart-abandonment' THEN {CART_SQL} END AS b,
+    CASE WHEN signal = 'exit-risk' THEN ['15% off your order', '20% off your order', '25% off your order', '30% off your order']
+         ELSE ['10% off your order', '15% off your order', '20% off your order', '25% off your order'] END AS l
+  FROM signals s),
+scored AS (
+  SELECT n.*, CASE WHEN b IS NOT NULL THEN r.churn_risk_tier END AS tier,
+    CASE WHEN b IS NOT NULL THEN r.churn_probability END AS prob,
+    CASE WHEN b IS NOT NULL THEN r.top_risk_factor END AS factor
+  FROM base n LEFT JOIN rscores r ON n.uid = r.uid),
+offer AS (
+  SELECT *, CASE WHEN b IS NULL THEN NULL WHEN tier = 'High' THEN 'FREE shipping and 25% off your order'
+    WHEN tier = 'Medium' THEN CASE WHEN coalesce(list_position(l, b), 0) = 0 THEN b
+                                   ELSE l[least(list_position(l, b) + 1, 4)] END
+    ELSE b END AS e FROM scored)
+SELECT o._id AS signal_id, o.uid, o.sid, o.type, false AS redeemed,
+  CASE o.type WHEN 'shipping-discount' THEN 'Delivery on better terms' WHEN 'cart-rescue' THEN 'Still in your basket'
+    WHEN 'social-proof-notification' THEN 'Much wanted today' ELSE 'A deal picked for you' END AS title,
+  CASE o.type WHEN 'shipping-discount' THEN 'Wait! Enjoy ' || coalesce(e, b) || ' before you leave.'
+    WHEN 'cart-rescue' THEN 'Check out today with ' || coalesce(e, b) || '.'
+    WHEN 'social-proof-notification' THEN 'Shoppers are adding this to their carts right now.'
+    ELSE 'Take 10% off on ' || coalesce(rec.intentSummary, 'your picks') || ' today.' END AS message,
+  o.severity || '_' || o.signal AS triggeredBySignal, b AS baselineDecision, e AS enrichedDecision,
+  round(prob, 6) AS churnProbability, tier AS churnRiskTier, factor AS topRiskFactor,
+  CASE WHEN b IS NULL THEN NULL
+    WHEN tier = 'High' THEN 'Standard offer ' || b || '; raised because of a High churn risk (#, mostly '
+      || coalesce(replace(factor, '_', ' '), 'no single factor') || '): ' || e || '.'
+    WHEN tier = 'Medium' THEN 'Standard offer ' || b || '; one step up for a Medium churn risk (#, mostly '
+      || coalesce(replace(factor, '_', ' '), 'no single factor') || '): ' || e || '.'
+    WHEN tier IS NOT NULL THEN 'Churn risk ' || tier || ' (#): the standard offer ' || b || ' stands.'
+    ELSE 'No churn score: the standard offer ' || b || ' stands.' END AS reason,
+  CASE WHEN bu.buyers IS NOT NULL THEN o.productId END AS embedProductId,
+  CASE WHEN bu.buyers IS NOT NULL THEN CAST(bu.buyers AS VARCHAR) || ' people added this to their cart recently' END
+    AS embedMessage,
+  rec._id AS rec_productId, rec.p_name AS rec_name, '/img/' || rec._id || '.jpg' AS rec_imageUrl
+FROM offer o LEFT JOIN buyers bu ON o.signal = 'high-intent' AND o.productId = bu.productId
+LEFT JOIN rec ON rec.query_id = o._id""")
+def q_nba_enriched(spark, sf):
+    """The whole path: scores, reasons, product messages and recommendations."""
+    prods = X.products(spark, sf, with_embedding=False)
+    n = AC.nba_from_signals(signals(spark, sf), scores=rule_scores(features(spark, sf)), products=prods,
+                            recommendations=SR.product_recommendation(intents(spark, sf), prods, 1), enriched=True)
+    m = F.col("actionMetadata")
+    return AC.flat_nbas(n).join(n.select(
+        "signal_id", F.round(m["churnProbability"], 6).alias("churnProbability"),
+        m["topRiskFactor"].alias("topRiskFactor"),
+        F.regexp_replace(m["reason"], r"\(\d\.\d\d", "(#").alias("reason"),
+        m["productRecommendation"]["productId"].alias("rec_productId"),
+        m["productRecommendation"]["name"].alias("rec_name"),
+        m["productRecommendation"]["imageUrl"].alias("rec_imageUrl")), "signal_id")
+
+
 # ---------------------------------------------------------------- §2.7 search
 @register("text_search", O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS).rstrip("\n") + ",\n" + O.bm25_sql(
     "tq AS (SELECT DISTINCT query AS query_id, query AS text FROM valid WHERE event = 'search' AND query <> '')",

@@ -6,11 +6,11 @@ and reject the documents of which too little is left. Beside it stand the
 base rules, all computed inside the document's own row.
 
 Limits. A line is boilerplate of a host if at least ``min_docs`` distinct
-documents of the host hold it and these are at least ``min_share`` of the
-host's distinct documents. Copies of one text count as one document, so a
-page that was crawled often does not make its own lines boilerplate. A
-document is depleted if more than ``max_removed`` of its word characters
-are in such lines.
+documents of the host hold it and these are at least one in ``one_in`` of
+the host's distinct documents. Copies of one text count as one document, and
+the share is high enough that a group of near copies does not make its own
+lines boilerplate. A document is depleted if more than ``max_percent`` of
+its word characters are in such lines.
 
 Scale. Lines are first counted by row with map-side combining (one row per
 line and task, however hot the line or the host); only lines whose raw
@@ -90,14 +90,14 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 
 def boilerplate_hits(docs: DataFrame, host: str = "source", min_docs: int = 20,
-                     min_share: float = 0.02) -> DataFrame:
+                     one_in: int = 10) -> DataFrame:
     """(id, th, host, h1, h2, chars, n): the documents' lines above the host's
     limits, ``n`` times in the document, ``chars`` word characters each."""
     texts = _texts(docs, host)
     sizes = texts.filter(F.col("body").isNotNull()).groupBy("host") \
         .agg(F.count_distinct("th", F.octet_length("body")).alias("host_docs"))
     sizes = stored(sizes.select("host", F.greatest(
-        F.lit(min_docs), F.ceil(F.col("host_docs") * F.lit(min_share))).alias("limit")), "hosts")
+        F.lit(min_docs), F.ceil(F.col("host_docs") / one_in)).alias("limit")), "hosts")
     own = F.array_distinct(F.filter(F.transform(F.split("body", "\n", -1), line_key),
                                     lambda k: k != ""))
     raw = (texts.select("host", F.explode(own).alias("key"))
@@ -118,17 +118,17 @@ def boilerplate_hits(docs: DataFrame, host: str = "source", min_docs: int = 20,
     return hits.join(above, same(hits, above, "host", "h1", "h2"), "left_semi").drop("limit")
 
 
-def verdicts(docs: DataFrame, host: str = "source", min_docs: int = 20, min_share: float = 0.02,
-             max_removed: float = 0.7) -> DataFrame:
+def verdicts(docs: DataFrame, host: str = "source", min_docs: int = 20, one_in: int = 10,
+             max_percent: int = 70) -> DataFrame:
     """Row keys (id, th, host), the base counts ``b``, removed_chars, base_failed, depleted, kept."""
-    removed = boilerplate_hits(docs, host, min_docs, min_share) \
+    removed = boilerplate_hits(docs, host, min_docs, one_in) \
         .groupBy("id", "th", "host").agg(F.sum(F.col("n") * F.col("chars")).alias("removed"))
     texts = _texts(docs, host)
     base = texts.select("id", "th", "host", base_columns(F.col("body")).alias("b"))
     out = base.join(removed, same(base, removed, "id", "th", "host"), "left").select(
         base["id"], base["th"], base["host"], "b",
         F.coalesce("removed", F.lit(0)).alias("removed_chars"), base_failed("b").alias("base_failed"))
-    out = out.withColumn("depleted", F.col("removed_chars") > max_removed * F.col("b.word_chars"))
+    out = out.withColumn("depleted", 100 * F.col("removed_chars") > max_percent * F.col("b.word_chars"))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
@@ -176,7 +176,7 @@ k AS (
 d AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM k WHERE key <> '' GROUP BY doc_id),
 hosts AS (
-  SELECT source, greatest(20, ceil(count(DISTINCT text) * 0.02)) AS top FROM documents GROUP BY source),
+  SELECT source, greatest(20, ceil(count(DISTINCT text) / 10)) AS top FROM documents GROUP BY source),
 bad AS (
   SELECT k.source, k.key FROM k JOIN hosts ON hosts.source = k.source WHERE k.key <> ''
   GROUP BY k.source, k.key, hosts.top HAVING count(DISTINCT k.text) >= hosts.top),
@@ -191,8 +191,8 @@ b AS (
          CAST(coalesce(x.n, 0) AS BIGINT) AS removed_chars
   FROM w LEFT JOIN d USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       removed_chars > 0.7 * word_chars AS depleted,
+       100 * removed_chars > 70 * word_chars AS depleted,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
-         AND NOT removed_chars > 0.7 * word_chars AS kept
+         AND NOT 100 * removed_chars > 70 * word_chars AS kept
 FROM b
 """

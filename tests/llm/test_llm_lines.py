@@ -40,7 +40,7 @@ def brute_base(text):
             len(covered))
 
 
-def brute_quality(docs, min_docs, min_share, max_removed):
+def brute_quality(docs, min_docs=20, one_in=10, max_percent=70):
     hosts, seen = defaultdict(set), defaultdict(set)
     for d in docs:
         if d["text"] is not None:
@@ -49,12 +49,12 @@ def brute_quality(docs, min_docs, min_share, max_removed):
                 if key(x):
                     seen[d["source"], key(x)].add(d["text"])
     for d in docs:
-        top = max(min_docs, -(-len(hosts[d["source"]]) * min_share // 1))
+        top = max(min_docs, -(-len(hosts[d["source"]]) // one_in))
         base = brute_base(d["text"])
         removed = sum(len(re.sub(r"[\x20\x09-\x0D]", "", key(x))) for x in (d["text"] or "").split("\n")
                       if key(x) and len(seen[d["source"], key(x)]) >= top)
         failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
-        depleted = removed > max_removed * base[1]
+        depleted = 100 * removed > max_percent * base[1]
         yield (d["doc_id"], *base, removed, failed, depleted, not failed and not depleted)
 
 
@@ -86,8 +86,8 @@ def test_line_dedup_threshold_is_inclusive(docs_of, rows):
 
 def test_quality_equals_brute_force(edge, clashing, rows):
     docs = edge.collect()
-    for limits in ((3, 0.0, 0.7), (20, 0.02, 0.7), (2, 0.5, 0.05)):
-        args = dict(zip(("min_docs", "min_share", "max_removed"), limits))
+    for limits in ((3, 1000, 70), (20, 10, 70), (2, 2, 5)):
+        args = dict(zip(("min_docs", "one_in", "max_percent"), limits))
         want = Counter(brute_quality(docs, *limits))
         assert Counter(rows(line_quality.line_quality(edge, **args), *QUALITY)) == want
     assert Counter(rows(line_quality.line_quality(clashing.drop("host"), **args), *QUALITY)) == want
@@ -106,7 +106,7 @@ def test_quality_counts_copies_once_and_rejects_depleted(docs_of, rows):
 def test_drop_rejected_keeps_rows_as_they_are(clashing, edge, rows):
     out = line_quality.drop_rejected(clashing)
     assert out.columns == clashing.columns
-    want = [d["text"] for d, q in zip(edge.collect(), brute_quality(edge.collect(), 20, 0.02, 0.7)) if q[-1]]
+    want = [d["text"] for d, q in zip(edge.collect(), brute_quality(edge.collect())) if q[-1]]
     assert Counter(r[0] for r in rows(out, "text")) == Counter(want)
 
 

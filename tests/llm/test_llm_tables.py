@@ -231,7 +231,7 @@ def test_pipeline_rows(spark):
     from test_llm_texts import brute_classes, brute_hits
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    docs = [d for d, q in zip(docs, brute_quality(docs, 20, 0.02, 0.7)) if q[-1]]
+    docs = [d for d, q in zip(docs, brute_quality(docs)) if q[-1]]
     docs = [dict(d.asDict(), text=k[-1]) for d, k in zip(docs, brute_dedup(docs, 10))]
     least = {i for i, c in brute_classes(docs) if i == c}
     docs = [d for d in docs if d["doc_id"] in least]

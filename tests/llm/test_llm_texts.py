@@ -164,6 +164,28 @@ def test_groups_of_near_copies(docs_of, rows, size, group, edits):
     assert Counter(rows(near_dup.near_duplicates(docs), "doc_id", "class_id")) == brute_classes(docs.collect())
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_bound_keeps_every_similar_pair(spark, block):
+    """All members of a leader, in small blocks, none linked yet."""
+    rng = random.Random(8)
+    passage = words(rng, 120)
+    texts = near_copies(7, 150, 14, 12) + [" ".join(words(rng, 40) + passage + words(rng, 40)) for _ in range(6)]
+    texts += near_copies(9, 200, 6, 6)
+    fps = [f"{i:016d}".encode() for i in range(len(texts))]
+    table = spark.createDataFrame(list(zip(fps, texts)), "fp binary, text string")
+    pairs = spark.createDataFrame([(fps[0], f) for f in fps[1:]], "a binary, b binary")
+    seen = near_dup.verify(pairs, table, 0.8)
+    sh = [near_dup.shingles(near_dup.split_words(t)) for t in texts]
+    assert {bytes(r["b"]): r["similar"] for r in seen.collect()} == {
+        f: near_dup.similar(sh[0], s) for f, s in zip(fps[1:], sh[1:])}
+    labels = spark.createDataFrame([], "node binary, label binary")
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in near_dup.possible_pairs(seen, labels, 0.8, block).collect()}
+    want = {(fps[i], fps[j]) for j in range(2, len(texts)) for i in range(1, j) if near_dup.similar(sh[i], sh[j])}
+    assert want <= got and len(want) > 10
+    apart = {(fps[i], fps[j]) for j in range(2, 20) for i in range(1, j) if j >= 14}
+    assert len(got & apart) < 0.1 * len(apart)
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(200):

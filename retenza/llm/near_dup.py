@@ -12,22 +12,23 @@ lower-casing A-Z; a text with one to four words is one shingle.
 
 Sketches. 24 sketches of 5 shingles; a pair at 0.8 shares none with a chance
 of about 1e-4 and pairs at 0.2 rarely meet. Texts of up to 40 shingles
-have 12 sketches of 2, texts of 32 and more the 24 of 5, so two texts
+have 32 sketches of 4, texts of 32 and more the 24 of 5, so two texts
 that can reach 0.8 always have one kind in common.
 
-Classes are the connected components of the links, found in rounds. Texts
-with equal word sequences are one node from the start. In each round every
-bucket of candidates names leaders; a leader is compared with the bucket's
-members of other classes and then leaves the bucket, as all its pairs there
-are decided. Buckets with a single class are closed. The number of
-leaders doubles from round to round, so that the rounds are few, and they
-end when no bucket is open: no candidate pair of different classes goes
-unseen, though a group of copies costs about one comparison a member.
-
-Scale. Leaders come from a grouped minimum, or a ranked window whose limit
-Spark applies before the shuffle; buckets are joined to their leaders with
-plain equi-joins that AQE splits where they are skewed. Only texts in
-buckets are shuffled, once. Links, classes and sketches stay in tables.
+Classes are the connected components of the links. Texts with equal word
+sequences are one node from the start. In each bucket of candidates the
+member that meets most others leads; it is compared with all members, which
+joins the copies of a text in about one comparison each. What is still
+apart may be linked to other members: a bound on what two members can
+share, from what each shares with their leader, leaves few pairs, and these
+are compared too. So every pair of a bucket is linked by the leader, ruled
+out by the bound, or compared.
+
+Scale. Leaders come from a grouped maximum; buckets are joined to their
+leaders with plain equi-joins that AQE splits where they are skewed. Only
+texts in buckets are shuffled. The members of a leader are held against
+each other in blocks of fixed size and only pairs within the bound are
+emitted. Links, classes and sketches stay in tables.
 
 Defined cases. Texts without words (null, empty, only signs) are each a
 class of their own. Null ids never name a class that has another id. Repeated
@@ -43,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import same, stored, table, text_hash
@@ -52,7 +53,7 @@ from .decontaminate import split_words
 SHINGLE = 5
 _A_WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 LONG_SKETCHES, LONG_SIZE, LONG_FROM = 24, 5, 32
-SHORT_SKETCHES, SHORT_SIZE, SHORT_TO = 12, 2, 40
+SHORT_SKETCHES, SHORT_SIZE, SHORT_TO = 32, 4, 40
 _MULTIPLY = np.random.default_rng(20).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -164,24 +165,102 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> bool:
     return min(len(a), len(b)) > 0 and aligned(a, b, need) > 0
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of fps with both texts."""
+    one = texts.select(F.col("fp").alias("a"), F.col("text").alias("ta"))
+    two = texts.select(F.col("fp").alias("b"), F.col("text").alias("tb"))
+    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of fps whose texts are similar."""
+    """For each pair: ``similar``, the size ``n`` of b, which of a's shingles b has too
+    (``held``, one bit each in a's order), and b's other shingles, hashed to at
+    least four bits for each shingle of a (``extra``)."""
+
+    def has(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+        last, own, order, width = None, None, None, 0
         for batch in batches:
-            a, ta, tb = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            good = []
-            for fp, x, y in zip(a, ta, tb):
+            good, sizes, held, extra = [], [], [], []
+            for fp, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 if fp != last:
                     last, own = fp, shingles(split_words(x))
-                good.append(similar(own, shingles(split_words(y)), threshold))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    one = texts.select(F.col("fp").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("fp").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb") \
-        .mapInArrow(run, "a binary, b binary")
+                    order, width = np.sort(own), 1 << min(17, max(9, (4 * len(own)).bit_length()))
+                other = shingles(split_words(y))
+                good.append(similar(own, other, threshold))
+                sizes.append(len(other))
+                held.append(np.packbits(has(np.sort(other), own)).tobytes())
+                bits = np.zeros(width, bool)
+                bits[(other[~has(order, other)] & np.uint64(width - 1)).astype(np.int64)] = True
+                extra.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(good, pa.bool_()), pa.array(sizes, pa.int64()),
+                 pa.array(held, pa.binary()), pa.array(extra, pa.binary())],
+                ["a", "b", "similar", "n", "held", "extra"])
+
+    return _with_texts(pairs, texts).mapInArrow(
+        run, "a binary, b binary, similar boolean, n long, held binary, extra binary")
+
+
+def possible_pairs(seen: DataFrame, labels: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """Pairs (a, b) of a leader's members that may be similar though no link joins them yet.
+
+    ``seen``: what ``verify`` tells of each leader and member. Two members share the
+    leader's shingles that both hold, and of their other shingles at most the
+    bits that both have set and as many more as share a bit; only pairs for
+    which that reaches the threshold are kept, so texts that have a passage in
+    common, or are each too far from one original, fall away without a
+    comparison. At least one of a pair is in another class than the leader.
+    Groups are compared block by block, ``block`` members at a time.
+    """
+    of = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    to = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    rows = seen.join(of, "b", "left").join(to, "a", "left").select(
+        "a", "b", "n", "held", "extra", F.coalesce("lb", "b").alias("label"),
+        (F.coalesce("lb", "b") != F.coalesce("la", "a")).alias("apart"))
+    sizes = rows.groupBy("a").agg(F.count(F.lit(1)).alias("members"), F.count_if("apart").alias("others")) \
+        .filter("members > 1 and others > 0") \
+        .select("a", *[F.ceil(F.col(c) / block).cast("int").alias(d) for c, d in (("members", "y"), ("others", "x"))])
+    rows = rows.join(sizes, "a")
+    place = F.xxhash64("b")
+    left = rows.filter("apart").withColumn("i", F.pmod(place, "x").cast("int")) \
+        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("y") - 1))).withColumn("left", F.lit(True))
+    right = rows.withColumn("j", F.pmod(place, "y").cast("int")) \
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("x") - 1))).withColumn("left", F.lit(False))
+    cells = left.unionByName(right).select("a", "i", "j", "left", "b", "n", "held", "extra", "label")
+
+    def common(column: list[bytes], us: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits that rows us and xs both have, and the number of bits of each row."""
+        raw = [np.frombuffer(h, np.uint8) for h in column]
+        both, own = np.zeros((len(us), len(xs)), np.float32), np.zeros(len(raw))
+        for at in range(0, max(map(len, raw)), 512):             # 4096 bits at a time
+            part = np.unpackbits(np.array([x[at:at + 512] for x in raw]), axis=1).astype(np.float32)
+            both += part[us] @ part[xs].T
+            own += part.sum(1)
+        return both, own
+
+    def compare(cell: pa.Table) -> pa.Table:
+        side = cell.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        fp, label = (np.array(cell.column(c).to_pylist(), object) for c in ("b", "label"))
+        n = cell.column("n").to_numpy()
+        us, xs = np.flatnonzero(side), np.flatnonzero(~side)
+
+        def least(values):
+            return np.minimum(values[us][:, None], values[xs][None])
+        both, own = common(cell.column("held").to_pylist(), us, xs)
+        other, bits = common(cell.column("extra").to_pylist(), us, xs)
+        need = threshold * (n[us][:, None] + n[xs][None]) / (1 + threshold) - 1e-6
+        fits = both + np.minimum(least(n - own), other + least(n - own - bits)) >= need
+        fits &= np.minimum(n[us][:, None], n[xs][None]) >= need
+        i, j = np.nonzero(fits)
+        i, j = us[i], xs[j]
+        keep = label[i] != label[j]
+        low, high = np.minimum(fp[i][keep], fp[j][keep]), np.maximum(fp[i][keep], fp[j][keep])
+        return pa.table({"a": pa.array(low.tolist(), pa.binary()), "b": pa.array(high.tolist(), pa.binary())})
+
+    return cells.groupBy("a", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -203,8 +282,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(id, th, fp, n, class_id): one row per document; class_id is the smallest id of its class."""
+def classes(docs: DataFrame, threshold: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(id, th, fp, n, class_id): one row per document; class_id is the smallest id of its class.
+
+    The texts of candidates are picked by a broadcast of up to ``broadcast_rows``
+    row keys, and by a plain join beyond."""
     rows = stored(sketch_rows(docs), "sketches")
     nodes = rows.filter("n > 0").groupBy("fp").agg(
         F.min("id").alias("id"), F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"),
@@ -212,65 +294,32 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     nodes = stored(nodes, "nodes")
     slots = nodes.select("fp", "n", F.explode("keys").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = stored(slots.join(shared.select("bucket"), "bucket"), "members")
-    wanted = members.select("fp").distinct().join(nodes, "fp").select("fp", "first.id", "first.th")
+    members = stored(slots.join(shared, "bucket"), "members")
+    wanted = stored(members.groupBy("fp").agg(F.sum("size").alias("degree"))
+                    .join(nodes.select("fp", "first"), "fp").select("fp", "degree", "first.id", "first.th"), "wanted")
     texts = docs.select(docs["doc_id"].alias("id"), text_hash(docs["text"]).alias("th"), "text")
-    texts = wanted.join(texts, same(wanted, texts, "id", "th")).select("fp", "text").dropDuplicates(["fp"])
+    few = wanted.count() <= broadcast_rows
+    texts = (F.broadcast(wanted) if few else wanted).join(texts, same(wanted, texts, "id", "th")) \
+        .select("fp", "text").dropDuplicates(["fp"])
     texts = stored(texts, "candidate-texts")
-    labels, tested, leaders = None, None, 1
-    while True:
-        if labels is None:
-            open_ = members.withColumn("label", F.col("fp"))
-        else:
-            open_ = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left") \
-                .withColumn("label", F.coalesce("label", "fp"))
-            mixed = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")) \
-                .filter("lo < hi").select("bucket")
-            open_ = stored(open_.join(mixed, "bucket"), "open")
-            if open_.isEmpty():
-                break
-        if leaders == 1:
-            lead = open_.groupBy("bucket").agg(F.min(F.struct("fp", "label", "n")).alias("l")) \
-                .select("bucket", "l.*")
-        else:
-            lead = open_.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("fp"))) \
-                .filter(F.col("r") <= leaders).drop("r")
-        lead = stored(lead, "leaders")
-        near = lead.select("bucket", F.col("fp").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-        pairs = near.join(open_, "bucket").filter(
-            (F.col("label") != F.col("la"))
-            & (F.least("n", "na") + 1e-9 >= threshold * F.greatest("n", "na")))
-        pairs = pairs.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        links = stored(verify(pairs, texts, threshold), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        if not links.isEmpty():
-            if labels is None:
-                labels = components(links)
-            else:
-                def of(side: str) -> DataFrame:
-                    return labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-                merged = components(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
-                    F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-                old = labels.unionByName(merged.select("node", F.col("node").alias("label"))
-                                         .join(labels, "node", "left_anti"))
-                to = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
-                labels = stored(old.join(to, "label", "left").select(
-                    "node", F.coalesce("to", "label").alias("label")), "labels")
-        members = stored(open_.select("fp", "n", "bucket").join(
-            lead.select("bucket", "fp"), ["bucket", "fp"], "left_anti").select("fp", "n", "bucket"), "members")
-        leaders *= 2
-        if members.isEmpty():
-            break
-    if labels is None:
-        named = nodes.select("fp", F.col("id").alias("class_id"))
-    else:
-        own = nodes.select("fp", "id").join(labels.withColumnRenamed("node", "fp"), "fp", "left") \
-            .withColumn("label", F.coalesce("label", "fp"))
-        least = own.groupBy("label").agg(F.min("id").alias("class_id"))
-        named = own.join(least, "label").select("fp", "class_id")
+    ranked = members.join(wanted.select("fp", "degree"), "fp").select("bucket", "degree", "fp")
+    lead = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "fp")).alias("l")).select(
+        "bucket", F.col("l.fp").alias("a"))
+    pairs = members.join(lead, "bucket").filter(F.col("fp") != F.col("a")).select(
+        "a", F.col("fp").alias("b")).distinct()
+    seen = stored(verify(pairs, texts, threshold), "seen")
+    links = seen.filter("similar").select("a", "b")
+    labels = components(links)
+    rest = possible_pairs(seen, labels, threshold)
+    for a, b in (("a", "b"), ("b", "a")):
+        rest = rest.join(seen.select(F.col("a").alias(a), F.col("b").alias(b)), ["a", "b"], "left_anti")
+    more = stored(verify(rest, texts, threshold).filter("similar").select("a", "b"), "more-links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    own = nodes.select("fp", "id").join(labels.withColumnRenamed("node", "fp"), "fp", "left") \
+        .withColumn("label", F.coalesce("label", "fp"))
+    least = own.groupBy("label").agg(F.min("id").alias("class_id"))
+    named = own.join(least, "label").select("fp", "class_id")
     return rows.drop("keys").join(named, "fp", "left").select(
         "id", "th", "fp", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
 

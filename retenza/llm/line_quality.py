@@ -141,8 +141,10 @@ def line_quality(docs: DataFrame, **limits) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The documents that the rules keep, all columns as they came."""
-    kept = verdicts(docs, host, **limits).filter("kept").select("id", "th", "host").distinct()
+    """The documents that the rules keep, all columns as they came. The verdicts are
+    written first; as a filter on the join below they would be computed twice."""
+    kept = stored(verdicts(docs, host, **limits).select("id", "th", "host", "kept"), "verdicts")
+    kept = kept.filter("kept").select("id", "th", "host").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"])
                      & text_hash(docs["text"]).eqNullSafe(kept["th"])
                      & docs[host].eqNullSafe(kept["host"]), "left_semi")

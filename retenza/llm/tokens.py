@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-_ODD = re.compile("[^\\S \t\n\r]|[᠎​﻿]")
+_ODD = re.compile("[^\\S \t\n\r]|[\u180e\u200b\ufeff]")
 #: Bytes that a text with odd white space has at least one of.
 _ODD_BYTES = bytes([0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
 _BLANK, _STOP, _ALNUM = 1, 2, 3

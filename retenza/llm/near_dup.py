@@ -260,7 +260,9 @@ def possible_pairs(seen: DataFrame, labels: DataFrame, threshold: float, block:
         low, high = np.minimum(fp[i][keep], fp[j][keep]), np.maximum(fp[i][keep], fp[j][keep])
         return pa.table({"a": pa.array(low.tolist(), pa.binary()), "b": pa.array(high.tolist(), pa.binary())})
 
-    return cells.groupBy("a", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    # dealt by cell: else all cells of a leader would share the task of the join by leader
+    return cells.repartition("a", "i", "j").groupBy("a", "i", "j") \
+        .applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -285,7 +285,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(id, th, fp, n, class_id): one row per document; class_id is the smallest id of its class.
+    """(id, th, fp, n, class_id, label): one row per document; class_id is the smallest id of
+    its class. ``label``, the smallest fp, is the class itself, null without words: classes
+    share a class_id if an id is repeated, and have none if they hold null ids only.
 
     The texts of candidates are picked by a broadcast of up to ``broadcast_rows``
     row keys, and by a plain join beyond."""
@@ -321,9 +323,10 @@ def classes(docs: DataFrame, threshold: float = 0.8, broadcast_rows: int = 1_000
     own = nodes.select("fp", "id").join(labels.withColumnRenamed("node", "fp"), "fp", "left") \
         .withColumn("label", F.coalesce("label", "fp"))
     least = own.groupBy("label").agg(F.min("id").alias("class_id"))
-    named = own.join(least, "label").select("fp", "class_id")
+    named = own.join(least, "label").select("fp", "class_id", "label")
     return rows.drop("keys").join(named, "fp", "left").select(
-        "id", "th", "fp", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
+        "id", "th", "fp", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
+        "label")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -334,7 +337,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def drop_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One document of each class, the one with the smallest id; all columns."""
     found = stored(classes(docs, threshold), "classes")
-    groups = found.filter("n > 0").groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("fp")).alias("own")) \
+    groups = found.filter("n > 0").groupBy("label") \
         .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("k"))
     keep = groups.select("k.id", "k.th").union(found.filter("n = 0").select("id", "th").distinct())
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"),

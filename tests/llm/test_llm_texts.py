@@ -164,6 +164,17 @@ def test_groups_of_near_copies(docs_of, rows, size, group, edits):
     assert Counter(rows(near_dup.near_duplicates(docs), "doc_id", "class_id")) == brute_classes(docs.collect())
 
 
+def test_drop_copies_of_repeated_and_null_ids(docs_of, rows):
+    """One id on texts of two classes, and classes of null ids only: a row of each class stays."""
+    texts = [near_copies(20 + i, 200, 4, 2) for i in range(4)]
+    ids = [(5, 6, 7, 8), (5, 9, 10, 11), (None,) * 4, (None,) * 4]
+    group = {t: g for g, own in enumerate(texts) for t in own}
+    docs = docs_of([(i, t, "en", "a", 1) for own, ts in zip(ids, texts) for i, t in zip(own, ts)])
+    kept = rows(near_dup.drop_copies(docs), "doc_id", "text")
+    assert sorted((group[t], i) for i, t in kept[2:]) == [(0, 5), (1, 5)]
+    assert sorted(group[t] for i, t in kept[:2] if i is None) == [2, 3] and len(kept) == 4
+
+
 @pytest.mark.parametrize("block", [3, 1000])
 def test_bound_keeps_every_similar_pair(spark, block):
     """All members of a leader, in small blocks, none linked yet."""

@@ -104,17 +104,41 @@ def hilbert_shards(rows: DataFrame, dims: dict[str, Column], shards: int = 24, b
                          (F.col("rank") - first).cast("long").alias("slot"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows (k, ...) with ``nth``, from 1 among the rows of equal k: counted inside each part
+    and added up over the parts, so a hot k is not numbered in one task."""
+    rows = stored(rows.withColumn("at", F.monotonically_increasing_id()), "to-number") \
+        .withColumn("p", F.shiftright("at", 33))
+    sizes = rows.groupBy("k", "p").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("k", "p", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = rows.withColumn("inside", F.row_number().over(Window.partitionBy("k", "p").orderBy("at")))
+    return inside.join(sizes, ["k", "p"]).withColumn("nth", F.col("before") + F.col("inside")) \
+        .drop("p", "at", "before", "inside")
+
+
 def write_shards(placed: DataFrame, docs: DataFrame, path: str) -> None:
-    """The documents as one folder per shard, in slot order; ``placed`` has doc_id, shard, slot."""
-    rows = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
+    """The documents as one folder per shard, in slot order; ``placed`` is what
+    ``document_shards`` gives for them. Rows with equal metadata, which lie on one
+    place of the curve, take their slots by number, so each row is written once."""
+    def key(rows: DataFrame) -> Column:
+        # fields of a struct that is never null, so that null ids meet as equal
+        return F.struct(*[rows[c] for c in ("doc_id", "lang", "source", "size", "text_crc32")]).alias("k")
+    spots = _numbered(placed.select(key(placed), "shard", "slot"))
+    metadata = F.struct(docs["doc_id"], docs["lang"], docs["source"], *_text_columns(docs["text"])).alias("k")
+    rows = _numbered(docs.select(metadata, F.struct(*[docs[c] for c in docs.columns]).alias("row")))
+    rows = rows.join(spots, ["k", "nth"]).select("row.*", "shard", "slot")
     rows.repartition("shard").sortWithinPartitions("shard", "slot") \
         .write.partitionBy("shard").parquet(path)
 
 
+def _text_columns(text: Column) -> tuple[Column, Column]:
+    return ((F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
+            F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"))
+
+
 def document_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "lang", "source",
-                       (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
-                       F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    return docs.select("doc_id", "lang", "source", *_text_columns(docs["text"]))
 
 
 def document_shards(docs: DataFrame, shards: int = 24, bits: int = 6) -> DataFrame:

@@ -160,6 +160,19 @@ def test_shards(spark, edge, clashing, docs_of, rows):
     assert rows(spark.read.parquet(folder), "doc_id", "text") == rows(own, "doc_id", "text")
 
 
+def test_shards_hold_null_and_repeated_ids_once(spark, docs_of, edge, rows):
+    """Every row of the edge table, and many equal rows that differ in another column only."""
+    docs = edge.unionByName(docs_of([(3, "same", "en", "a", i) for i in range(40)])).cache()
+    placed = hilbert_shards.document_shards(docs, 4)
+    folder = work_path(spark, "shards")
+    hilbert_shards.write_shards(placed, docs, folder)
+    got, names = spark.read.parquet(folder), ("doc_id", "text", "lang", "source", "n_chars")
+    assert Counter(map(tuple, got.select(*names).collect())) == Counter(map(tuple, docs.select(*names).collect()))
+    assert Counter(rows(got, "shard", "slot")) == Counter(rows(placed, "shard", "slot"))
+    at = ("doc_id", "lang", "source", "shard", "slot")
+    assert rows(got, *at) == rows(placed, *at)
+
+
 URLS = [None, "", "no scheme/en/", "http://www.Example.COM/en/x?q#f", "https://example.com/en/", "https://a.example.com/en/1",
         "https://example.com", "https://x.com#/en/", "http://com/", "http://notcom/", "ftp://a.net/es/q", "ftp://a.net/es",
         "http://a.net/fr/?x", "http://b.org/fr/", "http://a.com?/x", "x://y://com/", "http://www.example.com/en/é\ny",

@@ -60,7 +60,8 @@ def landed(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFram
     """A derived table that several reports read, written once for the tables it
     comes from: its folder in the shared checkpoint folder is named by the
     application and by the input files' names, sizes and times, so changed
-    input is built anew."""
+    input is built anew. A mark beside the folder, made after the write has
+    ended, tells a whole table from one whose write failed half way."""
     from ..session import scratch_path
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(sf)
@@ -71,8 +72,11 @@ def landed(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFram
         seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
     state = hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:16]
     path = scratch_path(spark, f"landed/{spark.sparkContext.applicationId}-{state}/{name}")
-    if not SK.has_data(spark, path):
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}.whole")
+    marks = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not marks.exists(mark):
         build().write.mode("overwrite").parquet(path)
+        marks.create(mark, True).close()
     return spark.read.parquet(path)
 
 

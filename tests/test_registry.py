@@ -50,3 +50,15 @@ def test_rows_only_queries_run(spark, key):
 
 def test_entry_smoke(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_landed_table_of_a_failed_write_is_built_anew(spark, tmp_path):
+    """Part files without the mark of an ended write are no table; a whole one is not built again."""
+    from retenza.plans.registry import landed
+
+    (tmp_path / "input").write_text("x")
+    whole = landed(spark, str(tmp_path), "whole", lambda: spark.range(5))
+    half = os.path.dirname(os.path.dirname(whole.inputFiles()[0])) + "/half"
+    spark.range(2).write.parquet(half)
+    assert landed(spark, str(tmp_path), "half", lambda: spark.range(5)).count() == 5
+    assert landed(spark, str(tmp_path), "half", lambda: spark.range(9)).count() == 5

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from . import (
-    decontaminate, hilbert_shards, language_id, line_dedup, line_quality, near_dup, packing,
-    substring_dedup, token_files, url_filter)
+    decontaminate, filter_audit, hilbert_shards, language_id, level_packing, line_dedup, line_quality, near_dup,
+    packing, substring_dedup, token_files, url_filter)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_pack": packing.op9_pack,
     "op10_language_id": language_id.op10_language_id,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_level_packing": level_packing.op12_level_packing,
 }
 
 ORACLE = {
@@ -24,4 +26,5 @@ ORACLE = {
     "op3_quality_lines": line_quality.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }

@@ -68,18 +68,20 @@ def part_hashes(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
 
 
 class PartTokenizer:
-    """Encodes texts part by part; forgets all parts beyond ``most_parts``."""
+    """Encodes texts part by part; forgets all parts beyond ``most_parts`` (about 50 bytes
+    each). With ``plain`` the strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str, most_parts: int = 3_000_000):
+    def __init__(self, path: str, most_parts: int = 400_000, plain: bool = False):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.library, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
+        self.bare = Tokenizer(self.library.model)            # the same model, without the rest
         self.most_parts = most_parts
         self._forget()
         kind = json.loads(self.library.to_str())
         self.lower = "Lowercase" in json.dumps(kind["normalizer"])
-        self.bare.normalizer = None
         self.bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.suffix = kind["model"].get("end_of_word_suffix") or ""
         vocabulary = self.library.get_vocab()
@@ -171,9 +173,9 @@ class PartTokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> PartTokenizer:
+def tokenizer(path: str, plain: bool = False) -> PartTokenizer:
     """One for each worker process and file; kept from task to task."""
-    return PartTokenizer(path)
+    return PartTokenizer(path, plain=plain)
 
 
 def with_end(batches: Iterator[pa.RecordBatch], path: str, end_id: int, most: int = 1 << 20):

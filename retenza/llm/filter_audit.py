@@ -38,12 +38,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import UPPER, stored, table
 
 FILTERS = "ABCDE"
 SYMBOLS = b"#$%&*|"
-DOCS_PER_BLOCK = 16
+DOCS_PER_BLOCK = 4
 _UPPER = UPPER.encode()
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
@@ -180,7 +181,7 @@ def masks(docs: DataFrame, part: str = "source", broadcast_blocks: int = 1 << 20
         own = keyed.join(clash, keyed["_clash"] == clash["th"], "left_semi").select(
             docs["doc_id"].alias("doc_id"), docs[part].alias("part"), docs["text"].alias("text"))
         first = own.groupBy(F.coalesce("text", F.lit("")).alias("body")).agg(F.min("doc_id").alias("least"))
-        judged = own.mapInArrow(_with_masks, own.schema.add("mask", "int")).select(
+        judged = own.mapInArrow(_with_masks, StructType([*own.schema, StructField("mask", IntegerType())])).select(
             F.col("doc_id").alias("id"), F.coalesce(F.col("part").cast("string"), F.lit("")).alias("part"),
             F.coalesce("text", F.lit("")).alias("body"), "mask").join(first, "body")
         out = out.unionByName(judged.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import (
     decontaminate, filter_audit, hilbert_shards, language_id, level_packing, line_dedup, line_quality, near_dup,
-    packing, substring_dedup, token_files, url_filter)
+    packing, substring_dedup, token_align, token_files, url_filter)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_level_packing": level_packing.op12_level_packing,
+    "op13_token_align": token_align.op13_token_align,
 }
 
 ORACLE = {

@@ -71,7 +71,7 @@ class PartTokenizer:
     """Encodes texts part by part; forgets all parts beyond ``most_parts`` (about 50 bytes
     each). With ``plain`` the strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str, most_parts: int = 400_000, plain: bool = False):
+    def __init__(self, path: str, most_parts: int = 1_000_000, plain: bool = False):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -91,6 +91,9 @@ class PartTokenizer:
         slow, fast = self._encode_any(_PROBES), self._encode_plain(_PROBES)
         self.plain = fast is not None and all(np.array_equal(x, y) for x, y in zip(slow, fast))
 
+    odd = staticmethod(_odd)
+    part_starts = staticmethod(part_starts)
+
     def _forget(self) -> None:
         self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)     # by hash
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)       # by number
@@ -115,15 +118,23 @@ class PartTokenizer:
         edge = np.concatenate(([0], at + 1)) if self.suffix else np.append(at, len(ids))
         return (ids, np.diff(edge)) if len(at) == len(parts) and edge[0] == 0 and edge[-1] == len(ids) else None
 
-    def _learn(self, hashes: np.ndarray, parts: list[str]) -> None:
+    def _groups(self, parts: list[str]):
+        """(which of the parts, all their ids, the number of ids of each) until all are told."""
         plain = np.fromiter((self.plain and _PLAIN.fullmatch(p) is not None for p in parts), bool, len(parts))
         got = self._encode_plain([p for p, k in zip(parts, plain.tolist()) if k]) if plain.any() else None
         if got is None:
             plain[:] = False
-        first, count = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
         for mask, own in ((plain, got), (~plain, None)):
             if mask.any():
-                ids, n = own or self._encode_any([p for p, k in zip(parts, mask.tolist()) if k])
+                yield mask, *(own or self._encode_any([p for p, k in zip(parts, mask.tolist()) if k]))
+
+    def _encode_whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, hashes: np.ndarray, parts: list[str]) -> None:
+        first, count = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        for mask, ids, n in self._groups(parts):
+            if mask.any():
                 while self.used + len(ids) > len(self.ids):
                     self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
                 self.ids[self.used:self.used + len(ids)] = ids
@@ -150,13 +161,13 @@ class PartTokenizer:
         if len(self.known) > self.most_parts:
             self._forget()
         raws = [t.encode() if t else b"" for t in texts]
-        odd = [i for i, (t, r) in enumerate(zip(texts, raws)) if r and _odd(t, r)]
-        whole = {i: self.library.encode(texts[i], add_special_tokens=False).ids for i in odd}
+        odd = [i for i, (t, r) in enumerate(zip(texts, raws)) if r and self.odd(t, r)]
+        whole = {i: self._encode_whole(texts[i]) for i in odd}
         for i in odd:
             raws[i] = b""
         edge = np.cumsum([0, *map(len, raws)])
         raw = np.frombuffer(b"".join(raws), np.uint8)
-        starts = part_starts(raw, edge) if len(raw) else np.zeros(0, np.int64)
+        starts = self.part_starts(raw, edge) if len(raw) else np.zeros(0, np.int64)
         number = self._numbers(raw, starts) if len(raw) else starts
         count = self.count[number] if len(raw) else starts
         ends = np.cumsum(count)
@@ -172,6 +183,83 @@ class PartTokenizer:
         return ids, n
 
 
+class PieceTokenizer(PartTokenizer):
+    """The same for a sentencepiece model with blanks kept, for texts that begin with the blank
+    that the model would add. Parts begin at a blank that follows something else: no piece of the
+    model reaches over such a place (else texts are encoded whole)."""
+
+    def __init__(self, path: str, most_parts: int = 1_000_000):
+        from sentencepiece import SentencePieceProcessor
+
+        self.library = SentencePieceProcessor(model_file=path)
+        self.most_parts = most_parts
+        self.blank = [self.library.piece_to_id("\u2581")]
+        self.whole = any(re.search("[^\u2581]\u2581", self.library.id_to_piece(i))
+                         for i in range(self.library.get_piece_size()))
+        self._forget()
+
+    def odd(self, text: str, raw: bytes) -> bool:
+        return self.whole or text[0] != " " or b"\xe2\x96\x81" in raw
+
+    @staticmethod
+    def part_starts(raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[1:-1] = (raw[1:] == 32) & (raw[:-1] != 32)
+        cut[texts] = True
+        return np.flatnonzero(cut[:-1])
+
+    def _encode_whole(self, text: str) -> list[int]:
+        return self.library.encode(text[1:] if text[0] == " " else text) or self.blank
+
+    def _groups(self, parts: list[str]):
+        ids = self.library.encode([p[1:] for p in parts], num_threads=1)
+        ids = [x or self.blank for x in ids]             # a lone blank
+        yield (np.ones(len(parts), bool), np.fromiter((i for x in ids for i in x), np.uint32),
+               np.array([len(x) for x in ids], np.int64))
+
+
+class TokenBytes:
+    """The bytes that each token id stands for."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def joined(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The bytes of all ids (with their sizes), one after the other."""
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.first[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+@lru_cache(maxsize=2)
+def byte_level_bytes(path: str) -> TokenBytes:
+    """Of a byte-level vocabulary: printable Latin-1 bytes stand for themselves in it, the
+    others, in order, for the characters from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown}
+    byte_of |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    vocabulary = tokenizer(path, True).library.get_vocab()
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        out[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+    return TokenBytes(out)
+
+
+@lru_cache(maxsize=2)
+def piece_bytes(path: str) -> TokenBytes:
+    """Of a sentencepiece model: U+2581 is a blank, ``<0xHH>`` a byte."""
+    library = piece_tokenizer(path).library
+    return TokenBytes([bytes([int(library.id_to_piece(i)[3:5], 16)]) if library.is_byte(i)
+                       else library.id_to_piece(i).replace("\u2581", " ").encode()
+                       for i in range(library.get_piece_size())])
+
+
+@lru_cache(maxsize=2)
+def piece_tokenizer(path: str) -> PieceTokenizer:
+    return PieceTokenizer(path)
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str, plain: bool = False) -> PartTokenizer:
     """One for each worker process and file; kept from task to task."""

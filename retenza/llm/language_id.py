@@ -13,10 +13,11 @@ text once, in its own row, with no shuffle.
 
 Codes: up to five languages get the exhaustive code (all distinct
 two-way splits), more get 8 bits per doubling of languages, drawn from a
-fixed seed so that no two codewords or columns are equal.
+fixed seed. No two codewords are equal, and no two columns split the
+languages in the same two.
 
-Defined cases. A null text, or one without a letter, is ``und`` with score
-0 and not ambiguous. Rows with a null id are held out. Rows with a null
+Defined cases. A null text, or one without a letter (Unicode category L:
+numbers such as "½" or "Ⅷ" are none), is ``und`` with score 0 and not ambiguous. Rows with a null id are held out. Rows with a null
 label don't train. Without any training row all texts are ``und``; with one
 language all texts with a letter are that language, score 1. Ties go to
 the label that sorts first.
@@ -25,7 +26,6 @@ the label that sorts first.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-_LETTER = re.compile(r"[^\W\d_]")
 _TO_SPACE = bytes(32 if b < 0x80 and not 97 <= b <= 122 else b for b in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def trigrams(texts: list[str | None], bits: int, most: int = 1 << 20):
     """For groups of texts: hashed trigram numbers of all, and each text's first place."""
     i = 0
@@ -63,8 +66,13 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
         return np.array(columns, np.int8).T
     rng, width = np.random.default_rng(seed), 8 * int(np.ceil(np.log2(k)))
     while True:
-        m = rng.choice(np.array([-1, 1], np.int8), (k, width))
-        if len(np.unique(m, axis=0)) == k and (np.abs(m.sum(0)) < k).all():
+        columns: dict[bytes, np.ndarray] = {}
+        while len(columns) < width:                          # a split and its complement are one
+            c = rng.choice(np.array([-1, 1], np.int8), k)
+            if abs(int(c.sum())) < k:
+                columns.setdefault((c * c[0]).tobytes(), c * c[0])
+        m = np.stack(list(columns.values()), 1)
+        if len(np.unique(m, axis=0)) == k:
             return m
 
 
@@ -121,8 +129,7 @@ def identify(docs: DataFrame, model, bits: int = 14, lead: float = 0.5) -> DataF
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            known = np.array([t is not None and bool(langs) and _LETTER.search(t) is not None
-                              for t in texts], bool)
+            known = np.array([bool(langs) and has_letter(t) for t in texts], bool)
             if code.shape[1]:
                 m = margins(texts, shared.value, bits)
                 loss = np.logaddexp(0, -m[:, None, :] * code[None]).sum(2)

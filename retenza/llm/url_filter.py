@@ -11,7 +11,8 @@ map without a shuffle.
 
 Training takes at most ``max_rows`` labelled urls (by hash order, so the
 same ones on every run); only these reach the driver. Weights are
-``2**bits`` floats.
+``2**bits`` floats. The labelled table is an argument; the default one is made of
+words of public filter categories (``labelled_rows``).
 
 Defined cases. A null url, or one without ``://``, has empty host and path
 and is judged by the classifier's intercept alone. Labelled rows with null
@@ -21,6 +22,7 @@ none at all urls are allowed. Repeated labelled urls count once per label.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -125,35 +127,75 @@ def judge(pages: DataFrame, weights: np.ndarray, rules: Sequence[tuple[str, str,
         score, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
 
 
-#: A small labelled table of host names, our own choice; the rest of its urls is filled in by rule.
-BLOCK_NAMES = (
-    "adult-video", "x-adult", "ads-click", "tracking-ads", "free-bets-now", "sports-bets", "best-casino",
-    "casino-win-big", "online-casino", "cheap-loans", "cheap-pills-shop", "buy-pills", "diet-pills", "hot-dating",
-    "keygen-crack", "link-farm", "spam-mail", "farm-spam", "payday-loans", "poker-bonus", "porn-tube",
-    "replica-watches", "seo-spam", "slots-jackpot", "torrent-crack", "warez-free", "win-prizes", "xxx-cams")
-ALLOW_NAMES = (
-    "anatomy", "archive", "astronomy", "bakery", "bibliothek", "biology", "bridges", "chemistry", "ciencia",
-    "cocina", "cooking", "culture", "cycling", "economy", "escuela", "events", "farming", "forest", "garden",
-    "geografia", "geschichte", "handwerk", "harbour", "health", "history", "jardin", "journal", "kitchen",
-    "knitting", "language", "library", "libros", "literature", "mathematik", "medicine", "mountain", "museum",
-    "musique", "nachrichten", "nature", "news", "noticias", "nutrition", "painting", "pharmacy", "philosophie",
-    "photography", "physics", "poetry", "politics", "radio", "railway", "recherche", "recipes", "research",
-    "rezepte", "science", "schule", "sports", "teaching", "the-others", "theatre", "tourism", "train-station",
-    "travel", "university", "village", "voyage", "wandern", "weather", "winter", "with-the-nation", "zeitung")
+#: Plain words of the categories that public web filters name, our own choice: the default
+#: labelled table is made of them, without regard to any table that is judged.
+BLOCK_WORDS = {
+    "gambling": "casino poker roulette slots jackpot betting bet bingo lottery bookmaker blackjack wager wetten apuestas",
+    "adult": "adult porn sex nude erotic escort xxx camgirl striptease fetish hentai",
+    "dating": "hookup singles dating flirt swinger affair seitensprung",
+    "drugs": "pills viagra cialis steroids opioid weedshop slimming erection potency",
+    "malware": "malware trojan keylogger exploit ransom botnet stealer cracked keygen warez nulled",
+    "phishing": "phishing verify-account login-secure password-reset account-update wallet-unlock",
+    "advertising": "adserver ads banner popup popunder clickbait tracker tracking pixel affiliate adclick",
+    "lending": "payday loans quickcash debt-relief credit-fix easymoney",
+    "counterfeit": "replica fakewatch outlet-bags knockoff imitation",
+    "spam": "spam bulkmail linkfarm backlinks seoboost mailblast followers-buy"}
+ALLOW_WORDS = {
+    "education": "school university college lecture course student academy schule escuela lycee thesis campus",
+    "news": "news daily times herald gazette tribune journal zeitung noticias journalisme weekly",
+    "government": "government ministry council senate embassy customs rathaus mairie ayuntamiento parliament",
+    "science": "physics biology chemistry astronomy geology genetics research institute observatory laboratory",
+    "health": "hospital clinic medicine nursing dentist surgery vaccine therapy gesundheit salud",
+    "arts": "museum gallery theatre opera painting sculpture poetry cinema orchestra kunst musique",
+    "reference": "library encyclopedia dictionary archive atlas glossary manual handbook bibliothek",
+    "sport": "football tennis cycling swimming athletics rowing hockey marathon climbing",
+    "travel": "travel hotel railway airport hiking island tourism harbour camping reisen viaje",
+    "cooking": "recipes kitchen bakery baking vegetarian soup dessert cocina rezepte cuisine",
+    "technology": "software compiler database network robotics hardware opensource developer engineering",
+    "nature": "garden forest mountain river wildlife botany weather climate ocean birds"}
+BLOCK_PATHS = ("bonus", "free-spins", "win-now", "xxx", "hot-girls", "cheap-meds", "crack-download", "verify-login",
+               "click.php", "adframe", "get-rich", "no-credit-check")
+ALLOW_PATHS = ("articles", "about", "wiki", "docs", "events", "history", "contact", "blog", "lessons", "reports",
+               "gallery", "catalogue", "index.html")
+_PREFIXES, _ENDINGS = ("", "www.", "blog.", "en.", "static."), ("com", "net", "org", "info", "biz", "de", "fr", "es", "eu",
+                                                                "co.uk", "io", "xyz")
+
+
+def labelled_rows(each: int = 20, unknown: int = 1500, seed: int = 3) -> list[tuple[str, str]]:
+    """The default labelled table: (url, label). Every word names ``each`` hosts, alone, with
+    another word of its category, a common one or a number, under paths of either kind or none;
+    every blocked path also stands under hosts of syllables, and ``unknown`` hosts of
+    syllables under ordinary paths are allowed, as most hosts of the web are harmless."""
+    rng, out = random.Random(seed), []
+
+    def syllables() -> str:
+        return "".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice(("a", "e", "i", "o", "u", "an", "er", "ion", "or"))
+                       for _ in range(rng.randint(2, 4)))
+
+    def url(host: str, path: str) -> str:
+        tail = rng.choice(("", f"/{rng.randint(1, 9999)}", f"/{syllables()}"))
+        return f"http{rng.choice(('', 's'))}://{rng.choice(_PREFIXES)}{host}.{rng.choice(_ENDINGS)}/{path}{tail if path else ''}"
+
+    for label, table_, paths in (("block", BLOCK_WORDS, BLOCK_PATHS), ("allow", ALLOW_WORDS, ALLOW_PATHS)):
+        for words in (w.split() for w in table_.values()):
+            for word in words:
+                for k in range(each):
+                    other = rng.choice((rng.choice(words), rng.choice(("my", "the", "best", "online", "world", "center")),
+                                        str(rng.randint(1, 999)), syllables()))
+                    pair = [word, other] if rng.random() < 0.5 else [other, word]
+                    host = word if k % 4 == 0 else rng.choice(("", "-")).join(pair)
+                    out.append((url(host, rng.choice((rng.choice(paths), rng.choice(ALLOW_PATHS), ""))), label))
+    out += [(url(syllables(), path), "block") for path in BLOCK_PATHS for _ in range(each)]
+    out += [(url(syllables(), rng.choice((*ALLOW_PATHS, ""))), "allow") for _ in range(unknown)]
+    return out
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): every name of the table under each prefix, ending and language."""
-    names = [(n, label) for label, own in (("block", BLOCK_NAMES), ("allow", ALLOW_NAMES)) for n in own]
-    out = spark.createDataFrame(names, "name string, label string")
-    for column, values in (("prefix", ["", "www.", "m.", "blog."]), ("ending", ["com", "net", "org"]),
-                           ("lang", ["en", "de", "fr", "es"])):
-        out = out.withColumn(column, F.explode(F.array(*[F.lit(v) for v in values])))
-    number = F.pmod(F.xxhash64("name", "prefix", "ending", "lang"), F.lit(1000))
-    return out.select(F.concat(F.lit("https://"), "prefix", "name", F.lit(".example."), "ending", F.lit("/"),
-                               "lang", F.lit("/"), number.cast("string")).alias("url"), "label")
-
-
-def op8_url_filter(spark, sf_dir: str) -> DataFrame:
+    """``labelled_rows`` as a table (url, label), some 5,500 rows."""
+    return spark.createDataFrame(labelled_rows(), "url string, label string")
+
+
+def op8_url_filter(spark, sf_dir: str, labelled: DataFrame | None = None) -> DataFrame:
+    """``labelled``: rows (url, label "allow" or "block") to learn from, ``labelled_urls`` unless given."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, fit(labelled_urls(spark)))
+    return judge(pages, fit(labelled_urls(spark) if labelled is None else labelled))

@@ -207,13 +207,12 @@ def test_url_rules_and_classifier(spark, rows):
 
 
 def test_url_classifier_on_held_out_names(spark):
-    labelled = url_filter.labelled_urls(spark).withColumn("name", url_filter.F.regexp_extract(
-        "url", "//(?:www.|m.|blog.)?([a-z-]+)", 1))
-    test = url_filter.F.crc32("name") % 4 == 0
+    labelled = url_filter.labelled_urls(spark)
+    test = url_filter.F.crc32("url") % 4 == 0
     weights = url_filter.fit(labelled.filter(~test))
     own = labelled.filter(test).collect()
     p = url_filter.logits([r["url"].split("://")[1] for r in own], weights, 16) >= 0
-    assert np.mean([(r["label"] == "allow") == x for r, x in zip(own, p)]) >= 0.75
+    assert sum(x == (r["label"] == "allow") for x, r in zip(p, own)) >= 0.9 * len(own)
     none = url_filter.fit(labelled.limit(0))
     assert url_filter.logits(["a.b/c", ""], none, 16).min() > 0
     one = url_filter.fit(labelled.filter("label = 'block'"))
@@ -252,3 +251,44 @@ def test_pipeline_rows(spark):
     docs = [d for d, h in zip(docs, brute_hits(docs, items)) if not h[-1]]
     used, bound = check_packing(corpus_pipeline.run(spark, SF).collect(), docs, 1024)
     assert used <= 1.03 * bound + 2
+
+
+OTHER_BLOCK = """https://grand-poker-room.bet/lobby http://www.roulettewheel77.com/play https://m.bingo-palace.net
+http://nudephotos.org/tour https://pornvideos.biz/watch/12 http://erotic-stories.info/ https://escorts-berlin.de/anzeigen
+http://viagra-express.net/order https://buycialis.co/cart http://dietpillshop.com/checkout https://keygens.to/files
+http://warezworld.org/apps https://phishing-kit.io/a http://adservers.example/frame https://clicktrackers.net/p
+http://paydayloans24.com/apply https://replicawatches.biz/rolex http://seobacklinks.info/ https://bulkmailer.xyz/send
+http://lotterywinner.org/claim"""
+OTHER_ALLOW = """https://universityofoslo.no/english http://dailyherald.example/sports/2020 https://sciencemuseum.org.uk/visit
+https://www.cityhospital.org/patients http://mountainweather.net/forecast https://railwayhistory.info/lines
+http://frenchcuisine.fr/desserts https://oceanresearch.edu/papers https://publiclibrary.gov/catalogue
+http://openhardware.io/docs https://poetryarchive.org/poets http://swimmingclub.de/training
+https://botanygarden.eu/plants https://www.theatrejournal.com/reviews http://citycouncil.gov.uk/meetings
+https://compilerengineering.net/blog http://gazette-online.fr/ https://vegetarianrecipes.es/soups
+https://astronomyclub.org/events http://dictionaryproject.info/words"""
+
+
+def test_urls_of_another_make(spark):
+    """Hosts written by hand, none of the default table's patterns; and no host of the judged tables in it."""
+    weights = url_filter.fit(url_filter.labelled_urls(spark))
+    right = 0
+    for urls, allow in ((OTHER_BLOCK.split(), True), (OTHER_ALLOW.split(), False)):
+        p = url_filter.logits([u.split("://")[1] for u in urls], weights, 16)
+        right += int(((p < 0) == allow).sum())
+    assert right >= 0.85 * len(OTHER_BLOCK.split() + OTHER_ALLOW.split())
+
+
+def test_scores_equal_a_plain_sum(spark):
+    """The score of a url from its n-grams one by one."""
+    weights = np.random.default_rng(2).normal(size=(1 << 10) + 1)
+    for url in ("a.b/c", "casino.example.org/en/1?x", "é/ß"):
+        raw = b"^^" + url.encode() + b"$$"
+        grams = []
+        for k in (3, 4, 5):
+            for i in range(len(raw) - k + 1):
+                h = 0
+                for b in raw[i:i + k]:
+                    h = (h * 0x100000001B3 + b + 1) % 2 ** 64
+                grams.append((h + k - 1) * 0x9E3779B97F4A7C15 % 2 ** 64 >> 54)
+        want = weights[-1] + sum(weights[g] for g in grams) / len(grams) ** 0.5
+        assert abs(url_filter.logits([url], weights, 10)[0] - want) < 1e-9

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,46 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_BYTES = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+_FACTOR = np.random.default_rng(31).integers(1, 1 << 63, 1 << 10, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def text_groups(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a batch in groups of about ``most`` bytes, each with the place of its first,
+    so that a large batch is never held as Python strings as a whole."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < len(column):
+        before = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield i, column.slice(i, j - i).to_pylist()
+        i = j
+
+
+def word_bytes(text: str | None) -> bytes:
+    """The text in UTF-8, A-Z lower-cased, a blank for every byte that is in no word."""
+    return text.encode().lower().translate(WORD_BYTES) if text else b""
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``raw`` (apart by blanks) begin, and a 64-bit hash of each: the sum of
+    its bytes times fixed random odd factors by place."""
+    data = np.frombuffer(raw, np.uint8)
+    word = data != 32
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    at = np.arange(len(data))
+    place = at - np.maximum.accumulate(np.where(first, at, 0))
+    value = (data + np.uint64(1)) * _FACTOR[place & (len(_FACTOR) - 1)]
+    if place.max() >= len(_FACTOR):
+        value *= (place >> 10).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    value[~word] = 0
+    h = np.add.reduceat(value, starts)
+    return starts, h ^ (h >> np.uint64(32))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import UPPER, stored, table
+from .common import UPPER, stored, table, text_groups
 
 FILTERS = "ABCDE"
 SYMBOLS = b"#$%&*|"
@@ -69,7 +69,7 @@ def facts(docs: DataFrame, part: str, hashed: Callable[[Column], Column] = _hash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            masks = pa.array([text_mask(t) for t in b.column(3).to_pylist()], pa.int32())
+            masks = pa.array([text_mask(t) for _, g in text_groups(b.column(3)) for t in g], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], masks], ["id", "part", "th", "mask"])
 
     rows = docs.select(docs["doc_id"].alias("id"), F.coalesce(docs[part].cast("string"), F.lit("")).alias("part"),

@@ -43,11 +43,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import same, stored, table, text_hash
+from .common import same, stored, table, text_groups, text_hash, word_bytes, word_hashes
 from .decontaminate import split_words
 
 SHINGLE = 5
@@ -58,27 +57,17 @@ _MULTIPLY = np.random.default_rng(20).integers(1, 1 << 63, 64, np.uint64) * np.u
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_words = _WordHash()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _P
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """Hashes of the occurrence-labelled shingles, in text order; all different."""
-    if not words:
+def shingles(words: list[bytes] | np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the occurrence-labelled shingles of words (or of their hashes), in text
+    order; all different."""
+    w = words if isinstance(words, np.ndarray) else word_hashes(b" ".join(words))[1]
+    if not len(w):
         return np.zeros(0, np.uint64)
-    if len(_words) > 400_000:
-        _words.clear()
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     size = min(size, len(w))
     h = np.full(len(w) - size + 1, size, np.uint64)
     for j in range(size):
@@ -109,16 +98,24 @@ def sketches(h: np.ndarray, count: int, size: int, salt: int) -> list[int]:
     return key.view(np.int64).tolist()
 
 
+def shingled(column: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
+    """The words of each text, apart by blanks, and its shingles."""
+    for _, texts in text_groups(column):
+        raws = [word_bytes(t) for t in texts]
+        starts, words = word_hashes(b" ".join(raws))
+        edges = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)])).tolist()
+        for raw, i, j in zip(raws, edges, edges[1:]):
+            yield raw, shingles(words[i:j])
+
+
 def sketch_rows(docs: DataFrame) -> DataFrame:
     """(id, th, fp, n, keys): fp stands for the sequence of words, n shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, sizes, keys = [], [], []
-            for t in b.column(2).to_pylist():
-                words = split_words(t)
-                h = shingles(words)
-                fps.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+            for raw, h in shingled(b.column(2)):
+                fps.append(hashlib.blake2b(b" ".join(raw.split()), digest_size=16).digest() if len(h) else None)
                 sizes.append(len(h))
                 own = []
                 if 0 < len(h) <= SHORT_TO:
@@ -184,11 +181,10 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         last, own, order, width = None, None, None, 0
         for batch in batches:
             good, sizes, held, extra = [], [], [], []
-            for fp, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+            for i, (fp, (_, other)) in enumerate(zip(batch.column(0).to_pylist(), shingled(batch.column(3)))):
                 if fp != last:
-                    last, own = fp, shingles(split_words(x))
+                    last, own = fp, shingles(split_words(batch.column(2)[i].as_py()))
                     order, width = np.sort(own), 1 << min(17, max(9, (4 * len(own)).bit_length()))
-                other = shingles(split_words(y))
                 good.append(similar(own, other, threshold))
                 sizes.append(len(other))
                 held.append(np.packbits(has(np.sort(other), own)).tobytes())

@@ -40,13 +40,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, stored, table, text_hash
-from .near_dup import _mix, _Q, _WordHash
+from .near_dup import _mix, _Q
 
 WINDOW, PREFIX = 13, 8
+
+
+class _WordHash(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
 _hashes = _WordHash()
 
 

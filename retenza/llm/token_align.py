@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, text_groups
 from .packing import tokenizer_path
 from .tokens import TokenBytes, byte_level_bytes, piece_bytes, piece_tokenizer, tokenizer
 
@@ -213,13 +213,10 @@ def aligned_docs(docs: DataFrame, path_a: str, path_b: str, most: int = 2_000_00
         wide = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         types = {c.split()[0]: wide[c.split()[1]] for c in ALIGNED.split(", ")}
         for b in batches:
-            kind, texts, i = b.schema.field(0).type, b.column(1).to_pylist(), 0
-            while i < len(texts):
-                j, chars = i, 0
-                while j < len(texts) and (j == i or chars < group):
-                    chars += len(texts[j] or "")
-                    j += 1
-                counts, sha, (doc, a, other) = align(texts[i:j])
+            kind = b.schema.field(0).type
+            for i, texts in text_groups(b.column(1), group):
+                j = i + len(texts)
+                counts, sha, (doc, a, other) = align(texts)
                 pair = (a * _SPREAD & _SIDE) << SIDE_BITS | other
                 key, n = np.unique(pair.astype(np.uint64) << np.uint64(DOC_BITS) | (doc + no).astype(np.uint64),
                                    return_counts=True)
@@ -229,8 +226,8 @@ def aligned_docs(docs: DataFrame, path_a: str, path_b: str, most: int = 2_000_00
                 yield batch(b.column(0).slice(i, j - i), part=np.full(j - i, part, np.int32),
                             chunk=np.full(j - i, chunk, np.int32), no=np.arange(no, no + j - i, dtype=np.int32),
                             groups_sha256=sha, **dict(zip(DOC_COLUMNS, counts)))
-                no, i = no + j - i, j
-                if size >= most or no + len(texts) > _DOC:
+                no += j - i
+                if size >= most or no > _DOC >> 1:
                     yield from flush()
                     keys, times, chunk, no, size = [], [], chunk + 1, 0, 0
         if types is not None:

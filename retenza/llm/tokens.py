@@ -26,6 +26,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from .common import text_groups
+
 _ODD = re.compile("[^\\S \t\n\r]|[\u180e\u200b\ufeff]")
 #: Bytes that a text with odd white space has at least one of.
 _ODD_BYTES = bytes([0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
@@ -271,12 +273,6 @@ def with_end(batches: Iterator[pa.RecordBatch], path: str, end_id: int, most: in
     text's number of ids with it. The text is the last column."""
     own = tokenizer(path)
     for b in batches:
-        texts, i = b.column(b.num_columns - 1).to_pylist(), 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size < most):
-                size += len(texts[j] or "")
-                j += 1
-            ids, n = own.encode(texts[i:j])
-            yield b.slice(i, j - i), np.insert(ids, np.cumsum(n), end_id), n + 1
-            i = j
+        for i, texts in text_groups(b.column(b.num_columns - 1), most):
+            ids, n = own.encode(texts)
+            yield b.slice(i, len(texts)), np.insert(ids, np.cumsum(n), end_id), n + 1

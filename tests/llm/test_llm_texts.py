@@ -56,18 +56,43 @@ def test_contamination_equals_brute_force(spark, edge, clashing, rows, small_bat
     assert Counter(r[0] for r in rows(free, "doc_id")) == Counter(r[0] for r in want.elements() if not r[-1])
 
 
-def test_spans_are_cut_and_large_benchmarks_refused(spark, docs_of, rows):
-    bench = spark.createDataFrame([(1, "bad words here")], "item_id long, text string")
+@pytest.mark.parametrize("block_bytes", [1, 1 << 24])
+def test_spans_are_cut(spark, docs_of, rows, block_bytes):
+    bench = spark.createDataFrame([(1, "bad words here"), (2, "other")], "item_id long, text string")
     docs = docs_of([(1, "Keep this, BAD words; here! and that", "en", "a", 1), (2, "bad words", "en", "a", 1)])
-    out = decontaminate.decontaminate(docs, bench, remove="spans")
+    out = decontaminate.decontaminate(docs, bench, remove="spans", block_bytes=block_bytes)
     assert rows(out, "doc_id", "text") == [(1, "Keep this, ! and that"), (2, "bad words")]
-    with pytest.raises(ValueError):
-        decontaminate.contamination(docs, bench, max_bytes=5)
     none = docs.limit(0)
-    assert decontaminate.contamination(none, bench).count() == 0
+    assert decontaminate.contamination(none, bench, block_bytes=block_bytes).count() == 0
+    assert decontaminate.decontaminate(none, bench, block_bytes=block_bytes).count() == 0
     assert not any(r[0] for r in rows(decontaminate.contamination(docs, bench.limit(0)), "contaminated"))
 
 
+def test_window_sets_stay_within_their_cost():
+    """Bytes of a built set by word of the benchmark, at a few megabytes of text."""
+    rng = random.Random(6)
+    vocabulary = words(rng, 30_000)
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 300)))) for i in range(3000)]
+    own = decontaminate.WindowSet(items, 13)
+    n = sum(len(t.split()) for _, t in items)
+    assert own.size() <= decontaminate.WORD_COST * n + (1 << 16)
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """With a hash of few values all windows collide; the verification and the items still hold."""
+    real = decontaminate._window_hashes
+    monkeypatch.setattr(decontaminate, "_window_hashes", lambda w, k: real(w, k) & np.uint64(3))
+    rng = random.Random(7)
+    items = [(i, " ".join(words(rng, 40))) for i in range(12)]
+    own = decontaminate.WindowSet(items, 13)
+    import pyarrow as pa
+
+    texts = [t for _, t in items] + [" ".join(words(rng, 50)), None]
+    got = list(decontaminate._scan(pa.array(texts), own))
+    assert [(k, int(h.sum()), s) for k, h, s in got] == \
+        [(40, 40, {str(i)}) for i, _ in items] + [(50, 0, set()), (0, 0, set())]
+
+
 def brute_passages(docs, k=13):
     first = {}
     split = [(d["doc_id"], (d["text"] or "").encode().split()) for d in docs]
@@ -245,9 +270,12 @@ def test_held_out_languages(docs_of, spark, count):
     assert all(0 <= r["score"] <= 1 for r in got)
     mixed = " ".join(x * 3 for _ in range(10) for x in (SYLLABLES[langs[0]][0], SYLLABLES[langs[1]][0]))
     odd = docs_of([(1, mixed, None, None, None), (2, None, None, None, None), (3, "12 !", "xx", "s", 1),
-                   (4, "", "xx", "s", 1), (None, "kalomi", None, None, None)]).withColumn("held_out", F.lit(True))
+                   (4, "", "xx", "s", 1), (None, "kalomi", None, None, None), (5, "½", "xx", "s", 1),
+                   (6, "² ①", "xx", "s", 1), (7, "Ⅷ _", "xx", "s", 1), (8, "ª", "xx", "s", 1)]) \
+        .withColumn("held_out", F.lit(True))
     by = {r["doc_id"]: r for r in language_id.identify(odd, model).collect()}
-    assert all((by[i]["lang_pred"], by[i]["score"], by[i]["ambiguous"]) == ("und", 0, False) for i in (2, 3, 4))
+    assert all((by[i]["lang_pred"], by[i]["score"], by[i]["ambiguous"]) == ("und", 0, False) for i in (2, 3, 4, 5, 6, 7))
+    assert by[8]["lang_pred"] in langs
     assert by[1]["lang_pred"] in langs[:2] and by[None]["lang_pred"] in langs
 
 
@@ -263,6 +291,48 @@ def test_languages_without_training_rows(docs_of):
 
 
 def test_codewords_differ():
-    for k in (2, 3, 5, 6, 40):
+    for k in (2, 3, 5, 6, 7, 40):
         code = language_id.codewords(k)
         assert len({tuple(c) for c in code.tolist()}) == k and (abs(code.sum(0)) < k).all()
+        splits = {frozenset((tuple(np.flatnonzero(c > 0)), tuple(np.flatnonzero(c < 0)))) for c in code.T}
+        assert len(splits) == code.shape[1]
+
+
+def test_decoding_equals_brute_force(docs_of):
+    """Counts, log-odds, margins and the loss-weighted choice, trigram by trigram."""
+    from math import exp, log, log1p, sqrt
+
+    from pyspark.sql import functions as F
+
+    bits, langs = 10, list(SYLLABLES)[:4]
+    rows_ = language_rows(langs, 6) + [(900, "ka", "xx", "s", 1), (901, "str ä ka", None, "s", 1), (902, "zz", "yy", "s", 1)]
+    docs = docs_of(rows_).withColumn("held_out", F.col("doc_id") % 5 == 0)
+
+    def grams(t):
+        raw = b"  " + bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in t.lower().encode()) + b"  "
+        raw += b"  "                    # the blanks that follow every text
+        return [(((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761) % 2 ** 32) >> (32 - bits)
+                for i in range(len(raw) - 2)]
+    names = sorted({r[2] for r in rows_ if r[2] and r[0] % 5})
+    code = language_id.codewords(len(names))
+    n = {x: Counter(g for r in rows_ if r[2] == x and r[0] % 5 for g in grams(r[1])) for x in names}
+    sides = [{s: sum((n[x] for x, c in zip(names, code[:, j]) if c == s), Counter()) for s in (1, -1)}
+             for j in range(code.shape[1])]
+
+    def weight(side, g):
+        return log((side[1][g] + 1) / (sum(side[1].values()) + 2 ** bits)) \
+            - log((side[-1][g] + 1) / (sum(side[-1].values()) + 2 ** bits))
+    got = {r["doc_id"]: r for r in language_id.identify(docs, language_id.train(docs.filter("not held_out"), bits),
+                                                        bits).collect()}
+    close = 0
+    for i, t, *_ in rows_:
+        own = grams(t)
+        m = [sum(weight(s, g) for g in own) / len(own) * min(sqrt(len(own)), 4) for s in sides]
+        loss = [sum(log1p(exp(-x * c)) for x, c in zip(m, code[k])) for k in range(len(names))]
+        p = [exp(min(loss) - x) for x in loss]
+        best = max(p) / sum(p)
+        if abs(got[i]["score"] - best) < 0.02:
+            close += 1
+        if sorted(p)[-2] < 0.8 * max(p):
+            assert got[i]["lang_pred"] == names[p.index(max(p))]
+    assert close >= 0.95 * len(rows_)

@@ -140,18 +140,20 @@ def cart_state(edits: DataFrame) -> DataFrame:
         F.col("product.price.amount").alias("unit_price"))
 
 
-def array_push(carts: DataFrame, items: DataFrame) -> DataFrame:
-    """Append items (user, product struct) to each cart's products array."""
-    add = items.groupBy("user").agg(F.collect_list("product").alias("_add"))
+def array_push(carts: DataFrame, items: DataFrame, order: str = "seq") -> DataFrame:
+    """Append items (user, ``order``, product struct) to each cart's products array, in
+    the order of the edits; edits of one order value by the product's fields."""
+    edit = F.struct(F.col(order).alias("at"), "product")
+    add = items.groupBy("user").agg(F.array_sort(F.collect_list(edit)).alias("_add"))
     return carts.join(add, "user", "left").withColumn(
-        "products", F.concat(F.coalesce("products", F.array()),
-                             F.coalesce("_add", F.array()))).drop("_add")
+        "products", F.concat(F.coalesce("products", F.array()), F.coalesce(
+            F.transform("_add", lambda x: x.getField("product")), F.array()))).drop("_add")
 
 
 def array_pull(carts: DataFrame, product_id: str) -> DataFrame:
-    """Remove every line of one product id."""
+    """Remove every line of one product id; lines without an id stay."""
     return carts.withColumn("products", F.filter(
-        "products", lambda p: p.getField("_id") != F.lit(product_id)))
+        "products", lambda p: ~p.getField("_id").eqNullSafe(F.lit(product_id))))
 
 
 def array_clear(carts: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import FEATURE_COLUMNS
 from ..session import cut_lineage
-from ..sources.sinks import append_table, upsert_scores_to
+from ..sources.keyed import upsert_scores_to
+from ..sources.sinks import append_table, read_if_exists
 from .features import churn_features, churn_label, new_users, tier_of, top_factor_expr
 
 LABEL_META = {"ml_attr": {"type": "nominal", "num_vals": 2, "name": "label"}}
@@ -133,10 +134,12 @@ def score_on_demand(uids: DataFrame, signals: DataFrame, nbas: DataFrame,
 def incremental_scoring(signals: DataFrame, nbas: DataFrame, predictions: DataFrame,
                         model: PipelineModel, path: str | None = None) -> DataFrame:
     """Score only users not yet in ``predictions``; with ``path`` the rows are
-    appended to that table. Returns them either way."""
+    appended to that table, of their columns those that it has. Returns them either way."""
     fresh = new_users(signals, predictions)
     scored = score_users(churn_features(signals, nbas, fresh), model)
     if path is not None:
         scored = cut_lineage(scored)
-        append_table(scored, path)
+        known = read_if_exists(scored.sparkSession, path)
+        rows = scored if known is None else scored.select(*[c for c in known.columns if c in scored.columns])
+        append_table(rows, path)
     return scored

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.events import (EV, SID, TS, UID, blank_to_null, event_priority,
                                 event_weight, md, present, validate_event)
 from ..schemas import SESSION_EVENTS
+from ..session import cut_lineage
 
 DEFAULT_WINDOW = "10 seconds"
 DIMENSIONS = {"products": "productId", "articleTypes": "articleType",
@@ -119,37 +120,119 @@ def search_history_long(valid: DataFrame, window: str = DEFAULT_WINDOW) -> DataF
         TS().alias("ts"), "event_id", md("query").alias("query"))
 
 
+def session_facts(valid: DataFrame, window: str) -> DataFrame:
+    """Per (window, session, event, product, articleType, subCategory, search
+    event id): counts and extremes. Search events keep their own row (their
+    id is part of the key) so the search history keeps every query in order;
+    all other events are combined."""
+    w = event_weight()
+    search_id = F.when(EV() == "search", F.col("event_id"))
+    return valid.groupBy(
+        F.window(TS(), window).alias("window"), SID().alias("sessionId"), EV().alias("event"),
+        blank_to_null(md("productId")).alias("productId"),
+        blank_to_null(md("articleType")).alias("articleType"),
+        blank_to_null(md("subCategory")).alias("subCategory"),
+        search_id.alias("search_id"),
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(w).alias("weight"),
+        F.min(F.struct(TS().alias("ts"), F.col("event_id").alias("eid"),
+                       UID().alias("uid"))).alias("first"),
+        F.min(TS()).alias("firstSeen"),
+        F.max(TS()).alias("lastSeen"),
+        F.max(F.struct(event_priority().alias("p"), TS().alias("ts"),
+                       F.col("event_id").alias("eid"), EV().alias("event"))).alias("last"),
+        F.max(md("query")).alias("query"),
+    )
+
+
+def window_rows_from_facts(facts: DataFrame) -> DataFrame:
+    """``windows.session_window_rows`` rebuilt from the streaming facts."""
+    def total(key: str):
+        return F.sum(F.when(F.col(key).isNotNull() & (F.col("weight") > 0), F.col("weight"))
+                     .otherwise(F.lit(0))).cast("int")
+    counts = F.struct(*[F.sum(F.when(F.col("event") == e, F.col("n")).otherwise(F.lit(0)))
+                        .cast("long").alias(e) for e in SESSION_EVENTS])
+    return facts.groupBy("window", "sessionId").agg(
+        F.min("first").getField("uid").alias("userId"),
+        F.min("firstSeen").alias("firstSeen"),
+        F.max("lastSeen").alias("lastSeen"),
+        F.max("last").alias("_last"),
+        counts.alias("eventCounts"),
+        F.struct(total("productId").alias("productWeightTotal"),
+                 total("articleType").alias("articleTypeWeightTotal"),
+                 total("subCategory").alias("subCategoryWeightTotal")).alias("dimensionTotals"),
+    ).withColumn("lastEvent", F.struct(F.col("_last.event").alias("event"),
+                                       F.col("_last.ts").alias("ts"))).drop("_last")
+
+
+def intent_counts(facts: DataFrame) -> DataFrame:
+    """(window, sessionId, dimension, key) of all three dimensions with search/view/cart counts
+    and weight, in one aggregate; keys null or '' and weights <= 0 are skipped."""
+    dims = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("key"))
+                               for d in DIMENSIONS.values()]))
+    keyed = facts.filter(F.col("weight") > 0).select("window", "sessionId", "event", "n", "weight", dims.alias("d")) \
+        .filter(F.col("d.key").isNotNull())
+    return keyed.groupBy("window", "sessionId", F.col("d.dimension").alias("dimension"), F.col("d.key").alias("key")).agg(
+        *[F.sum(F.when(F.col("event") == e, F.col("n")).otherwise(F.lit(0))).cast("int").alias(a)
+          for e, a in (("search", "searchCount"), ("view-product", "viewCount"), ("add-to-cart", "addToCartCount"))],
+        F.sum("weight").cast("int").alias("weight"))
+
+
+def intent_from_facts(facts: DataFrame) -> DataFrame:
+    """Long intent rows of all three dimensions from closed windows' facts:
+    (window, sessionId, dimension, key, search/view/cart counts, weight,
+    focus). Same numbers as ``intent_long`` per dimension."""
+    out = intent_counts(facts)
+    totals = out.groupBy("window", "sessionId", "dimension").agg(F.sum("weight").alias("_t"))
+    return (out.join(totals, ["window", "sessionId", "dimension"])
+            .withColumn("focus", F.when(F.col("_t") > 0, F.col("weight") / F.col("_t"))
+                        .otherwise(F.lit(0.0))).drop("_t"))
+
+
+def history_from_facts(facts: DataFrame) -> DataFrame:
+    return facts.filter((F.col("event") == "search") & present(F.col("query"))).select(
+        "window", "sessionId", F.col("first.uid").alias("userId"), F.col("first.ts").alias("ts"),
+        F.col("search_id").alias("event_id"), "query")
+
+
 def session_window_agg(valid: DataFrame, window: str = DEFAULT_WINDOW) -> DataFrame:
     """Nested per-window session documents (the reference's window output):
     sessionId, userId, firstSeen, lastSeen, lastEvent,
     last10s{intent{products, articleTypes, subCategories, dimensionTotals},
-    lastEvent, window}, searchHistory, sessionTotals{eventCounts, windowCount=1}."""
-    rows = session_window_rows(valid, window)
+    lastEvent, window}, searchHistory, sessionTotals{eventCounts, windowCount=1}.
+
+    One pass over the events makes the facts, which are written once
+    (reliable checkpoint); all parts of a document are aggregates of them."""
+    return session_docs(cut_lineage(session_facts(valid, window)))
+
+
+def session_docs(facts: DataFrame) -> DataFrame:
+    """The documents of ``session_window_agg`` from the facts of their windows."""
     keys = ["window", "sessionId"]
-    nested = rows
-    for name, key in DIMENSIONS.items():
-        lg = intent_long(valid, key, window)
-        arr = lg.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-            key, "searchCount", "viewCount", "addToCartCount", "weight", "focus"))).alias(name))
-        nested = nested.join(arr, keys, "left")
-    hist = search_history_long(valid, window).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("ts", "event_id", "query"))).alias("_h"))
-    nested = nested.join(hist, keys, "left")
-
-    def arr_or_empty(c):
-        return F.coalesce(F.col(c), F.array())
-
-    return nested.select(
+    found = (F.col("event") == "search") & present(F.col("query"))
+    searches = facts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(found, F.struct(
+        F.col("first.ts").alias("ts"), F.col("search_id").alias("eid"), F.col("query").alias("query"),
+        F.col("n").cast("int").alias("n"))))).alias("_h"))
+    intent = intent_counts(facts).groupBy(*keys).agg(F.collect_list(F.struct(
+        "dimension", "key", "searchCount", "viewCount", "addToCartCount", "weight")).alias("_i"))
+    docs = window_rows_from_facts(facts).join(searches, keys).join(intent, keys, "left")
+
+    def array_of(dimension: str):
+        total = F.col(f"dimensionTotals.{TOTAL_NAMES[dimension]}")
+        own = F.filter(F.col("_i"), lambda x: x["dimension"] == dimension)
+        return F.coalesce(F.array_sort(F.transform(own, lambda x: F.struct(
+            x["key"].alias(dimension), x["searchCount"].alias("searchCount"), x["viewCount"].alias("viewCount"),
+            x["addToCartCount"].alias("addToCartCount"), x["weight"].alias("weight"),
+            (x["weight"] / total).alias("focus")))), F.array())
+
+    return docs.select(
         "sessionId", "userId", "firstSeen", "lastSeen", "lastEvent",
         F.struct(
-            F.struct(arr_or_empty("products").alias("products"),
-                     arr_or_empty("articleTypes").alias("articleTypes"),
-                     arr_or_empty("subCategories").alias("subCategories"),
-                     F.col("dimensionTotals")).alias("intent"),
+            F.struct(*[array_of(d).alias(name) for name, d in DIMENSIONS.items()], F.col("dimensionTotals")).alias("intent"),
             F.col("lastEvent"),
             F.col("window")).alias("last10s"),
-        F.coalesce(F.transform("_h", lambda x: x.getField("query")),
-                   F.array().cast("array<string>")).alias("searchHistory"),
+        F.flatten(F.transform("_h", lambda x: F.array_repeat(x["query"], x["n"]))).alias("searchHistory"),
         F.struct(F.col("eventCounts"), F.lit(1).alias("windowCount")).alias("sessionTotals"),
     )
 
@@ -200,8 +283,8 @@ def session_state(window_docs: DataFrame) -> DataFrame:
     )
 
 
-def flat_session_state(state: DataFrame) -> DataFrame:
-    """Tabular projection of ``session_state_flat`` for reports."""
+def flat_session_state(state: DataFrame, *more: str) -> DataFrame:
+    """Tabular projection of ``session_state_flat`` for reports, with ``more`` columns."""
     return state.select(
         "sessionId", "userId", "firstSeen", "lastSeen",
         F.col("lastEvent.event").alias("lastEvent_event"),
@@ -211,4 +294,4 @@ def flat_session_state(state: DataFrame) -> DataFrame:
           for e in SESSION_EVENTS],
         F.col("windowCount").cast("long").alias("windowCount"),
         *([F.col("searchCount").cast("long").alias("searchCount")]
-          if "searchCount" in state.columns else []))
+          if "searchCount" in state.columns else []), *more)

@@ -194,6 +194,35 @@ FROM vwin WHERE {key} <> '' AND weight > 0
 GROUP BY 1, 2, 3"""
 
 
+def _intent_text(key: str, name: str) -> str:
+    return f"""{name} AS (
+  SELECT window_start, sessionId, string_agg({key} || ':' || searchCount || ':' || viewCount || ':' || addToCartCount
+    || ':' || weight || ':' || CAST(floor(focus * 1000000 + 0.5) AS BIGINT), ';' ORDER BY {key}) AS {name}
+  FROM ({intent_sql(key)}) GROUP BY 1, 2)"""
+
+
+#: The nested parts of the session documents as texts, per one-day window.
+SESSION_ARRAYS = ",\n".join([
+    _intent_text("productId", "products"), _intent_text("articleType", "articleTypes"),
+    _intent_text("subCategory", "subCategories"),
+    """searches AS (
+  SELECT date_trunc('day', ts) AS window_start, sessionId, string_agg(query, '|' ORDER BY ts, event_id) AS searchHistory
+  FROM valid WHERE event = 'search' AND query <> '' GROUP BY 1, 2)""",
+    """sdocs AS (
+  SELECT w.*, coalesce(products, '') AS products, coalesce(articleTypes, '') AS articleTypes,
+    coalesce(subCategories, '') AS subCategories, coalesce(searchHistory, '') AS searchHistory
+  FROM swin w LEFT JOIN products USING (window_start, sessionId) LEFT JOIN articleTypes USING (window_start, sessionId)
+  LEFT JOIN subCategories USING (window_start, sessionId) LEFT JOIN searches USING (window_start, sessionId))"""])
+#: Session state with the newest window's arrays and all searches in order.
+SESSION_STATE_DOCS = """
+SELECT s.*, coalesce(h.searchCount, 0) AS searchCount, d.products, d.articleTypes, d.subCategories,
+  coalesce(a.searchHistory, '') AS searchHistory
+FROM sstate s LEFT JOIN shist h ON s.sessionId = h.sessionId
+JOIN sdocs d ON d.sessionId = s.sessionId AND d.window_start = s.lastWindow_start
+LEFT JOIN (SELECT sessionId, string_agg(query, '|' ORDER BY ts, event_id) AS searchHistory
+           FROM valid WHERE event = 'search' AND query <> '' GROUP BY 1) a ON a.sessionId = s.sessionId"""
+
+
 FEATURES = """
 feat_sig AS (
   SELECT uid, count(*) AS total_signals,

@@ -21,9 +21,12 @@ from ..operators import signals as S
 from ..operators import windows as W
 from ..schemas import FEATURE_COLUMNS
 from ..sources import fixtures as X
+from ..sources.keyed import KeyedTable, read_scores, redeem_to, upsert_scores_to
 from . import oracle as O
 
 DAY = "1 day"
+#: Buckets of the keyed tables that registered queries write.
+BUCKETS = 8
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -181,7 +184,7 @@ def rule_scores(feats: DataFrame) -> DataFrame:
         "total_signals", "engagement_rate")
 
 
-def window_rows_flat(rows: DataFrame) -> DataFrame:
+def window_rows_flat(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
         "sessionId", "userId", "firstSeen", "lastSeen",
@@ -190,12 +193,13 @@ def window_rows_flat(rows: DataFrame) -> DataFrame:
         *[F.col(f"eventCounts.`{e}`").cast("long").alias(e.replace("-", "_") + "_count")
           for e in ["heartbeat", "search", "view-product", "add-to-cart", "exit-risk"]],
         *[F.col(f"dimensionTotals.{n}").cast("long").alias(n)
-          for n in ["productWeightTotal", "articleTypeWeightTotal", "subCategoryWeightTotal"]])
+          for n in ["productWeightTotal", "articleTypeWeightTotal", "subCategoryWeightTotal"]], *more)
 
 
 SIGN = O.with_ctes(O.RETAIL_EVENTS, O.SIGNAL_STATS, O.NBAS)
 FEAT = O.with_ctes(O.RETAIL_EVENTS, O.SIGNAL_STATS, O.NBAS, O.FEATURES)
 SESS = O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS, O.SESSION_WINDOWS)
+SESS_DOCS = O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS, O.SESSION_WINDOWS, O.SESSION_ARRAYS)
 RULE_SCORES = f"""rscores AS (
   SELECT uid, exit_risk_ratio AS churn_probability, {O.tier_sql('exit_risk_ratio')} AS churn_risk_tier,
     {O.top_factor_sql(REPORT_IMPORTANCES)} AS top_risk_factor, total_signals, engagement_rate
@@ -530,18 +534,34 @@ def q_dead_letter_split(spark, sf):
                       F.col("tags.sessionId").alias("sessionId"), F.col("tags.event").alias("event"))
 
 
-@register("session_window_agg", SESS + "SELECT * FROM swin")
-def q_session_window_agg(spark, sf):
-    docs = W.session_window_agg(valid_events(spark, sf), DAY)
-    return window_rows_flat(docs.select(
+def _intent_text(intent: str) -> list:
+    """The three intent arrays as texts, element by element in their order."""
+    def text(dimension: str):
+        return lambda x: F.concat_ws(":", x[dimension], x["searchCount"], x["viewCount"], x["addToCartCount"],
+                                     x["weight"], F.floor(x["focus"] * 1000000 + 0.5))
+    return [F.array_join(F.transform(F.col(f"{intent}.{name}"), text(d)), ";").alias(name)
+            for name, d in W.DIMENSIONS.items()]
+
+
+def _docs_flat(docs: DataFrame) -> DataFrame:
+    flat = docs.select(
         F.col("last10s.window").alias("window"), "sessionId", "userId", "firstSeen", "lastSeen", "lastEvent",
         F.col("sessionTotals.eventCounts").alias("eventCounts"),
-        F.col("last10s.intent.dimensionTotals").alias("dimensionTotals")))
+        F.col("last10s.intent.dimensionTotals").alias("dimensionTotals"), *_intent_text("last10s.intent"),
+        F.array_join("searchHistory", "|").alias("searchHistory"))
+    texts = [*W.DIMENSIONS, "searchHistory"]
+    return window_rows_flat(flat, *texts)
 
 
-@register("session_window_agg_10s", _windowed(SESS, 10) + "SELECT * FROM swin")
+@register("session_window_agg", SESS_DOCS + "SELECT * FROM sdocs")
+def q_session_window_agg(spark, sf):
+    """The nested documents, their arrays as texts."""
+    return _docs_flat(W.session_window_agg(valid_events(spark, sf), DAY))
+
+
+@register("session_window_agg_10s", _windowed(SESS_DOCS, 10) + "SELECT * FROM sdocs")
 def q_session_window_agg_10s(spark, sf):
-    return window_rows_flat(W.session_window_rows(valid_events(spark, sf), STATE_WINDOW))
+    return _docs_flat(W.session_window_agg(valid_events(spark, sf), STATE_WINDOW))
 
 
 @register("session_state_10s", _windowed(SESS, 10) + """
@@ -586,15 +606,16 @@ register("intent_article_types", SESS + O.intent_sql("articleType"))(_intent(W.i
 register("intent_sub_categories", SESS + O.intent_sql("subCategory"))(_intent(W.intent_sub_categories))
 
 
-@register("session_state", SESS + """
-SELECT s.*, coalesce(h.searchCount, 0) AS searchCount
-FROM sstate s LEFT JOIN shist h ON s.sessionId = h.sessionId""")
+@register("session_state", SESS_DOCS + O.SESSION_STATE_DOCS)
 def q_session_state(spark, sf):
+    """The nested state: the newest window's intent arrays and all searches, as texts."""
     state = W.session_state(W.session_window_agg(valid_events(spark, sf), DAY))
     return W.flat_session_state(state.select(
         "sessionId", "userId", "firstSeen", "lastSeen", "lastEvent", F.col("last10s.window").alias("lastWindow"),
         F.col("sessionTotals.eventCounts").alias("eventCounts"),
-        F.col("sessionTotals.windowCount").alias("windowCount"), F.size("searchHistory").alias("searchCount")))
+        F.col("sessionTotals.windowCount").alias("windowCount"), F.size("searchHistory").alias("searchCount"),
+        *_intent_text("last10s.intent"), F.array_join("searchHistory", "|").alias("searchHistory")),
+        *W.DIMENSIONS, "searchHistory")
 
 
 # ---------------------------------------------------------------- §2.4 joins, arrays
@@ -769,17 +790,19 @@ def _carts(spark, sf):
 
 
 def _cart_rows(carts: DataFrame) -> DataFrame:
-    return carts.select("user", F.explode("products").alias("p")).groupBy(
-        "user", F.col("p._id").alias("product_id"), F.col("p.amount").alias("amount")) \
-        .agg(F.count(F.lit(1)).alias("lines"))
+    """Each line of the products arrays with its place."""
+    return carts.select("user", F.posexplode("products").alias("pos", "p")).select(
+        "user", F.col("pos").cast("long").alias("pos"), F.col("p._id").alias("product_id"), F.col("p.amount").alias("amount"))
 
 
 SPLIT = 3                  # lines of an order already in the cart
 PULLED = "7"               # product that array_pull removes from all carts
-CART_SQL_ROWS = O.with_ctes(ORDERS_CTE, """pushes AS (
-  SELECT CAST(o.o_custkey AS VARCHAR) AS user, l.product_id, l.amount
+CART_SQL_ROWS = O.with_ctes(ORDERS_CTE, f"""pushes AS (
+  SELECT CAST(o.o_custkey AS VARCHAR) AS user, l.product_id, l.amount, l.okey * 16 + l.pos AS seq,
+    (l.okey * 16 + l.pos) % 16 > {SPLIT} AS added
   FROM olines l JOIN orders o ON l.okey = o.o_orderkey WHERE o.o_orderstatus = 'O')""") + """
-SELECT user, product_id, amount, count(*) AS lines FROM pushes {where} GROUP BY 1, 2, 3"""
+SELECT user, row_number() OVER (PARTITION BY user ORDER BY added, seq, product_id, amount) - 1 AS pos, product_id, amount
+FROM pushes {where}"""
 
 
 @register("array_push", CART_SQL_ROWS.format(where=""))
@@ -879,9 +902,14 @@ def q_last_bought(spark, sf):
 @register("latest_by_key", ORD + """
 SELECT _id, status, status_ms AS timestamp FROM olast""")
 def q_latest_by_key(spark, sf):
+    """The feed comes in two parts, in no order of time; the keyed table keeps the newest rows."""
     feed = X.orders_headers(spark, sf).select("_id", F.explode("status_history").alias("h")) \
         .select("_id", "h.status", "h.timestamp")
-    return CM.latest_by_key(feed, "_id", "timestamp")
+    table = KeyedTable(spark, _scratch(spark, "latest"), "_id", BUCKETS)
+    first = F.pmod(F.xxhash64("_id", "status"), F.lit(2)) == 0
+    table.merge(feed.filter(first), "latest", "timestamp")
+    table.merge(feed.filter(~first), "latest", "timestamp")
+    return table.read()
 
 
 @register("product_notifications", SIGN + """,
@@ -990,7 +1018,11 @@ def q_nba_from_signals(spark, sf):
 
 @register("redeem", SIGN + "SELECT signal_id, uid, type, redeemed FROM nbas")
 def q_redeem(spark, sf):
-    return nbas(spark, sf).select("signal_id", "uid", "type", "redeemed")
+    """Unredeemed actions land in a keyed table; the redemption log then updates it."""
+    sig = signals(spark, sf)
+    table = KeyedTable(spark, _scratch(spark, "redeem"), "signal_id", BUCKETS)
+    table.merge(AC.nba_from_signals(sig).select("signal_id", "uid", "type", "redeemed"), "insert")
+    return redeem_to(spark, X.redemption_log(sig, events(spark, sf)), table.path)
 
 
 @register("product_recommendation", INT.rstrip("\n") + ",\n" + O.bm25_sql(
@@ -1197,7 +1229,9 @@ def q_upsert_scores(spark, sf):
                                         nb.filter(F.col("ts") < cut))).select(*cols)
     who = sig.filter(F.col("signal") == "search-friction").select("uid").distinct()
     new = rule_scores(FT.churn_features(sig, nb, who)).select(*cols)
-    return SK.upsert_scores(old, new, "uid")
+    path = _scratch(spark, "upsert")
+    upsert_scores_to(spark, old, path, buckets=BUCKETS)
+    return upsert_scores_to(spark, new, path)
 
 
 @register("append_table", SIG + "SELECT * FROM signals")
@@ -1349,7 +1383,7 @@ def q_score_on_demand(spark, sf):
     customers = X.read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("uid"))
     path = _scratch(spark, "scores")
     out = ML.score_on_demand(customers, signals(spark, sf), nbas(spark, sf), trained(spark, sf)[0], path=path)
-    stored = SK.read_scores(spark, path).select("uid", F.col("churn_probability").alias("kept"))
+    stored = read_scores(spark, path).select("uid", F.col("churn_probability").alias("kept"))
     none = (F.col("churn_probability") == 0) & (F.col("churn_risk_tier") == "Low") & F.col("top_risk_factor").isNull()
     return out.join(stored, "uid", "left").select(
         "uid", F.col("features.total_signals").alias("total_signals"),

@@ -12,6 +12,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Column of the folders that micro-batches write to.
 BATCH = "_batch"
@@ -58,45 +59,6 @@ def upsert_scores(target: DataFrame | None, batch: DataFrame, key: str = "uid",
     return j.select(key, *out, *extra)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The table versions under ``path`` that hold data, oldest first."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in fs.listStatus(hpath)] if fs.exists(hpath) else []
-    found = [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()]
-    return sorted(v for v in found if has_data(spark, f"{path}/v={v}"))
-
-
-def read_scores(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of a score table (older than ``before``); None if there is none."""
-    versions = [v for v in _versions(spark, path) if before is None or v < before]
-    return spark.read.parquet(f"{path}/v={versions[-1]}") if versions else None
-
-
-def upsert_scores_to(spark: SparkSession, batch: DataFrame, path: str, key: str = "uid",
-                     version: int | None = None) -> DataFrame:
-    """Store the upserted table as the next version under ``path`` and return it.
-
-    Readers keep the version they opened. With ``version`` (a micro-batch id)
-    a replay writes its own version again from the one before, so it changes
-    nothing; of older versions the last one stays for readers and replays.
-    """
-    if version is None:
-        known = _versions(spark, path)
-        version = known[-1] + 1 if known else 0
-    store_version(upsert_scores(read_scores(spark, path, version), batch, key), path, version)
-    return spark.read.parquet(f"{path}/v={version}")
-
-
-def store_version(df: DataFrame, path: str, version: int) -> None:
-    """Write ``df`` as a version of the table at ``path``; only the one before it is kept."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}/v={version}")
-    for v in [v for v in _versions(spark, path) if v < version][:-1]:
-        remove(spark, f"{path}/v={v}")
-
-
 def merge_session_state(target_rows: DataFrame | None, batch_rows: DataFrame,
                         key: str = "sessionId") -> DataFrame:
     """Idempotent session merge: window rows are stored keyed by
@@ -137,10 +99,29 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path`` without the column of its batch folders; None if it has no data."""
     if not has_data(spark, path):
         return None
-    return spark.read.parquet(path).drop(BATCH)
+    return spark.read.option("mergeSchema", "true").parquet(path).drop(BATCH)
 
 
-def append_table(df: DataFrame, path: str) -> None:
+def fitted(df: DataFrame, schema: StructType, new_columns: bool = False) -> DataFrame:
+    """``df`` with the columns of ``schema``, by name, in its order and types; missing ones are
+    null. Columns that the schema lacks are refused, or follow at the end with ``new_columns``."""
+    own = {c.lower(): c for c in df.columns}
+    extra = [c for c in df.columns if c.lower() not in {f.name.lower() for f in schema}]
+    if extra and not new_columns:
+        raise ValueError(f"the table has no column {', '.join(extra)}")
+    cols = [(df[own[f.name.lower()]] if f.name.lower() in own else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema]
+    return df.select(*cols, *[df[c] for c in extra])
+
+
+def append_table(df: DataFrame, path: str, new_columns: bool = False) -> None:
+    """Append rows to the Parquet table at ``path`` in the table's own schema (``fitted``), so
+    that all its files are alike: a reader takes the schema of any one of them. With
+    ``new_columns`` a batch may bring columns; such a table is read with ``read_if_exists``."""
+    spark = df.sparkSession
+    if has_data(spark, path):
+        known = spark.read.option("mergeSchema", "true").parquet(path)
+        df = fitted(df, known.schema, new_columns)
     df.write.mode("append").parquet(path)
 
 

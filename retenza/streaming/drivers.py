@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.events import (EV, SID, TS, UID, blank_to_null, event_priority, event_weight,
-                                match_identified_events, md, present, validate_event)
+from ..functions.events import validate_event
 from ..operators import signals as S
-from ..schemas import SESSION_EVENTS
+from ..operators.windows import history_from_facts, intent_from_facts, session_facts, window_rows_from_facts
 from ..sources import sinks as SK
+from ..sources.keyed import KeyedTable, stream_name
 
 
 def plain_window(batch: DataFrame) -> DataFrame:
@@ -98,78 +98,6 @@ def signal_stream(events: DataFrame, signals_path: str, checkpoint: str,
 
 
 # ------------------------------------------------------------------ session state
-def session_facts_stream(valid: DataFrame, window: str) -> DataFrame:
-    """Per (window, session, event, product, articleType, subCategory, search
-    event id): counts and extremes. Search events keep their own row (their
-    id is part of the key) so the search history keeps every query in order;
-    all other events are combined."""
-    w = event_weight()
-    search_id = F.when(EV() == "search", F.col("event_id"))
-    return valid.groupBy(
-        F.window(TS(), window).alias("window"), SID().alias("sessionId"), EV().alias("event"),
-        blank_to_null(md("productId")).alias("productId"),
-        blank_to_null(md("articleType")).alias("articleType"),
-        blank_to_null(md("subCategory")).alias("subCategory"),
-        search_id.alias("search_id"),
-    ).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(w).alias("weight"),
-        F.min(F.struct(TS().alias("ts"), F.col("event_id").alias("eid"),
-                       UID().alias("uid"))).alias("first"),
-        F.min(TS()).alias("firstSeen"),
-        F.max(TS()).alias("lastSeen"),
-        F.max(F.struct(event_priority().alias("p"), TS().alias("ts"),
-                       F.col("event_id").alias("eid"), EV().alias("event"))).alias("last"),
-        F.max(md("query")).alias("query"),
-    )
-
-
-def window_rows_from_facts(facts: DataFrame) -> DataFrame:
-    """``windows.session_window_rows`` rebuilt from the streaming facts."""
-    def total(key: str):
-        return F.sum(F.when(F.col(key).isNotNull() & (F.col("weight") > 0), F.col("weight"))
-                     .otherwise(F.lit(0))).cast("int")
-    counts = F.struct(*[F.sum(F.when(F.col("event") == e, F.col("n")).otherwise(F.lit(0)))
-                        .cast("long").alias(e) for e in SESSION_EVENTS])
-    return facts.groupBy("window", "sessionId").agg(
-        F.min("first").getField("uid").alias("userId"),
-        F.min("firstSeen").alias("firstSeen"),
-        F.max("lastSeen").alias("lastSeen"),
-        F.max("last").alias("_last"),
-        counts.alias("eventCounts"),
-        F.struct(total("productId").alias("productWeightTotal"),
-                 total("articleType").alias("articleTypeWeightTotal"),
-                 total("subCategory").alias("subCategoryWeightTotal")).alias("dimensionTotals"),
-    ).withColumn("lastEvent", F.struct(F.col("_last.event").alias("event"),
-                                       F.col("_last.ts").alias("ts"))).drop("_last")
-
-
-def intent_from_facts(facts: DataFrame) -> DataFrame:
-    """Long intent rows of all three dimensions from one closed window's facts:
-    (window, sessionId, dimension, key, search/view/cart counts, weight,
-    focus). Same numbers as ``windows.intent_long`` per dimension."""
-    parts = []
-    for dim in ("productId", "articleType", "subCategory"):
-        f = facts.filter(F.col(dim).isNotNull() & (F.col("weight") > 0))
-        keyed = f.groupBy("window", "sessionId", F.col(dim).alias("key")).agg(
-            *[F.sum(F.when(F.col("event") == e, F.col("n")).otherwise(F.lit(0))).cast("int")
-              .alias(a) for e, a in (("search", "searchCount"), ("view-product", "viewCount"),
-                                     ("add-to-cart", "addToCartCount"))],
-            F.sum("weight").cast("int").alias("weight"))
-        parts.append(keyed.withColumn("dimension", F.lit(dim)))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    totals = out.groupBy("window", "sessionId", "dimension").agg(F.sum("weight").alias("_t"))
-    return (out.join(totals, ["window", "sessionId", "dimension"])
-            .withColumn("focus", F.when(F.col("_t") > 0, F.col("weight") / F.col("_t"))
-                        .otherwise(F.lit(0.0))).drop("_t"))
-
-
-def history_from_facts(facts: DataFrame) -> DataFrame:
-    return facts.filter((F.col("event") == "search") & present(F.col("query"))).select(
-        "window", "sessionId", F.col("first.uid").alias("userId"), F.col("first.ts").alias("ts"),
-        F.col("search_id").alias("event_id"), "query")
-
-
 def session_state_stream(events: DataFrame, rows_path: str, history_path: str,
                          dlq_path: str, checkpoint: str, window: str = "10 seconds",
                          trigger: dict | None = None,
@@ -184,7 +112,7 @@ def session_state_stream(events: DataFrame, rows_path: str, history_path: str,
     dlq_q = (dlq.writeStream.format("parquet").option("path", dlq_path)
              .option("checkpointLocation", checkpoint + "/dlq")
              .trigger(**(trigger or {"availableNow": True})).start())
-    facts = session_facts_stream(flagged.filter("_valid").drop("_valid"), window)
+    facts = session_facts(flagged.filter("_valid").drop("_valid"), window)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch = materialize_batch(batch, work_folder(checkpoint), batch_id)
@@ -225,18 +153,16 @@ def signal_feed(spark: SparkSession, path: str, handler: Callable[[DataFrame, in
 
 
 def latest_feed(feed: DataFrame, path: str, checkpoint: str, key: str, version: str,
-                trigger: dict | None = None) -> StreamingQuery:
-    """Keyed upsert of a feed: the table at ``path`` (``sinks.read_scores``) holds
+                trigger: dict | None = None, buckets: int = 64) -> StreamingQuery:
+    """Keyed upsert of a feed: the keyed table at ``path`` (``keyed.read_scores``) holds
     the newest row of each key seen so far, as ``commerce.latest_by_key`` does
-    for a whole feed. Each micro-batch stores the next version of the table;
-    a replayed one stores its own again."""
-    from ..operators.commerce import latest_by_key
+    for a whole feed. A micro-batch rewrites the buckets of its keys only; a replayed
+    one is skipped."""
     spark = feed.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        old = SK.read_scores(spark, path, batch_id)
-        both = batch if old is None else old.unionByName(batch)
-        SK.store_version(latest_by_key(both, key, version), path, batch_id)
+        KeyedTable(spark, path, key, buckets).merge(batch, "latest", version, stream=stream_name(spark, checkpoint),
+                                                    batch_id=batch_id)
 
     return _start(feed, sink, checkpoint, trigger)
 

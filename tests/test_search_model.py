@@ -9,7 +9,7 @@ from retenza.operators import features as FT
 from retenza.operators import model as ML
 from retenza.operators import search as SR
 from retenza.schemas import FEATURE_COLUMNS
-from retenza.sources import sinks as SK
+from retenza.sources import keyed as KT
 
 
 def test_knn_grid_equals_brute_force(spark):
@@ -105,7 +105,7 @@ def test_score_on_demand_unknown_user(spark, model_and_feats, tmp_path):
     uids = spark.createDataFrame([("u1",), ("ghost",)], "uid string")
     path = str(tmp_path / "scores")
     out = {r["uid"]: r for r in ML.score_on_demand(uids, sig, nb, model, path=path).collect()}
-    assert {r["uid"] for r in SK.read_scores(spark, path).collect()} == {"u1"}
+    assert {r["uid"] for r in KT.read_scores(spark, path).collect()} == {"u1"}
     assert not any(r["written"] for r in ML.score_on_demand(uids, sig, nb, model).collect())
     assert out["ghost"]["churn_probability"] == 0.0 and out["ghost"]["churn_risk_tier"] == "Low"
     assert out["ghost"]["top_risk_factor"] is None and out["ghost"]["written"] is False

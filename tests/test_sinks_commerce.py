@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from retenza.functions import commerce as FC
 from retenza.operators import commerce as CM
+from retenza.sources import keyed as KT
+from retenza.sources import keyed as KT
 from retenza.sources import sinks as SK
 
 
@@ -117,13 +119,56 @@ def test_upsert_scores_to_keeps_versions_and_replays(spark, tmp_path):
     schema = "uid string, p double"
     one = spark.createDataFrame([("a", 0.1), ("b", 0.2)], schema)
     two = spark.createDataFrame([("b", 0.5), ("c", 0.6)], schema)
-    SK.upsert_scores_to(spark, one, path, version=0)
+    KT.upsert_scores_to(spark, one, path, stream="s", batch_id=0)
     for _ in range(2):                                          # the second is a replay
-        SK.upsert_scores_to(spark, two, path, version=1)
-    SK.upsert_scores_to(spark, spark.createDataFrame([("a", 0.9)], schema), path)
-    got = {r["uid"]: r["p"] for r in SK.read_scores(spark, path).collect()}
+        KT.upsert_scores_to(spark, two, path, stream="s", batch_id=1)
+    KT.upsert_scores_to(spark, spark.createDataFrame([("a", 0.9)], schema), path)
+    got = {r["uid"]: r["p"] for r in KT.read_scores(spark, path).collect()}
     assert got == {"a": 0.9, "b": 0.5, "c": 0.6}
-    assert sorted(os.listdir(path)) == ["v=1", "v=2"]
+    assert KT.KeyedTable(spark, path, "uid").versions() == [1, 2]
+
+
+def test_redeem_to_updates_known_ids(spark, tmp_path):
+    path = str(tmp_path / "nbas")
+    KT.KeyedTable(spark, path, "signal_id", 4).merge(spark.createDataFrame(
+        [("1", "u", False), ("2", "v", False)], "signal_id string, uid string, redeemed boolean"))
+    log = spark.createDataFrame([("2",), ("2",), ("9",), (None,)], "signal_id string")
+    for _ in range(2):
+        out = KT.redeem_to(spark, log, path, stream="log", batch_id=0)
+        assert sorted(map(tuple, out.collect())) == [("1", "u", False), ("2", "v", True)]
+
+
+def test_append_keeps_the_tables_schema(spark, tmp_path):
+    """Reordered, missing, narrower and unknown columns; every file has the table's schema."""
+    import pytest
+
+    path = str(tmp_path / "t")
+    SK.append_table(spark.createDataFrame([("a", 1, True)], "uid string, n long, old boolean"), path)
+    SK.append_table(spark.createDataFrame([(2, "b")], "n int, UID string"), path)
+    more = spark.createDataFrame([("c", 3, 0.5)], "uid string, n long, p double")
+    with pytest.raises(ValueError):
+        SK.append_table(more, path)
+    rows = sorted(map(tuple, spark.read.parquet(path).collect()))
+    assert rows == [("a", 1, True), ("b", 2, None)]
+    kinds = {spark.read.parquet(os.path.join(path, f)).schema.simpleString()
+             for f in os.listdir(path) if f.endswith(".parquet")}
+    assert kinds == {"struct<uid:string,n:bigint,old:boolean>"}
+    SK.append_table(more, path, new_columns=True)
+    SK.append_table(spark.createDataFrame([("d",)], "uid string"), path)
+    got = SK.read_if_exists(spark, path)
+    assert sorted(map(tuple, got.select("uid", "n", "old", "p").collect())) == [
+        ("a", 1, True, None), ("b", 2, None, None), ("c", 3, None, 0.5), ("d", None, None, None)]
+
+
+def test_push_keeps_the_order_of_edits_and_pull_keeps_lines_without_id(spark):
+    kind = "user string, products array<struct<_id:string,amount:int>>"
+    carts = spark.createDataFrame([("u", [("p", 1), (None, 2)]), ("v", None)], kind)
+    items = spark.createDataFrame([("u", i, (f"p{i}", i)) for i in (5, 1, 9, 3)] + [("v", 1, ("p", 7))],
+                                  "user string, seq int, product struct<_id:string,amount:int>").repartition(4)
+    out = {r["user"]: [p["_id"] for p in r["products"]] for r in CM.array_push(carts, items).collect()}
+    assert out == {"u": ["p", None, "p1", "p3", "p5", "p9"], "v": ["p"]}
+    pulled = {r["user"]: r["products"] for r in CM.array_pull(carts, "p").collect()}
+    assert [p["_id"] for p in pulled["u"]] == [None] and pulled["v"] is None
 
 
 def test_replay_without_marker_and_after_a_half_written_batch(spark, tmp_path):

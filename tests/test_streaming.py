@@ -140,8 +140,8 @@ def test_feed_of_one_session_and_latest_feed(spark, tmp_path):
         spark.createDataFrame(rows, feed).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
         src = spark.readStream.schema(feed).parquet(str(tmp_path / "feed"))
         DR.run_to_completion(DR.latest_feed(src, str(tmp_path / "out"), str(tmp_path / "ck2"), "key", "v"))
-    from retenza.sources import sinks as SK
-    table = sorted(map(tuple, SK.read_scores(spark, str(tmp_path / "out")).collect()))
+    from retenza.sources.keyed import read_scores
+    table = sorted(map(tuple, read_scores(spark, str(tmp_path / "out")).collect()))
     assert table == [("a", 3, "r"), ("b", 5, "q"), ("c", 1, "t")]
 
 

@@ -534,12 +534,13 @@ def q_dead_letter_split(spark, sf):
                       F.col("tags.sessionId").alias("sessionId"), F.col("tags.event").alias("event"))
 
 
-def _intent_text(intent: str) -> list:
-    """The three intent arrays as texts, element by element in their order."""
+def _intent_text(intent: str, key: str | None = None) -> list:
+    """The three intent arrays as texts, element by element in their order; ``key`` names the
+    field of the key if it isn't the dimension's name."""
     def text(dimension: str):
         return lambda x: F.concat_ws(":", x[dimension], x["searchCount"], x["viewCount"], x["addToCartCount"],
                                      x["weight"], F.floor(x["focus"] * 1000000 + 0.5))
-    return [F.array_join(F.transform(F.col(f"{intent}.{name}"), text(d)), ";").alias(name)
+    return [F.array_join(F.transform(F.col(f"{intent}.{name}"), text(key or d)), ";").alias(name)
             for name, d in W.DIMENSIONS.items()]
 
 
@@ -1151,6 +1152,7 @@ import uuid  # noqa: E402
 
 from ..session import scratch_path  # noqa: E402
 from ..streaming import drivers as DR  # noqa: E402
+from ..streaming import live_state as LS  # noqa: E402
 
 MID = "2024-01-16 00:00:00"   # a day boundary inside the fixture month
 
@@ -1301,6 +1303,44 @@ def q_signal_feed(spark, sf):
     return spark.read.parquet(base + "/nbas")
 
 
+END_SESSION = "~end"       # a last heartbeat, a year on, that closes every window of a stream
+
+
+def _closing(ev: DataFrame) -> DataFrame:
+    """One heartbeat of a session of its own, late enough to close all windows."""
+    last = ev.agg(F.max("timestamp").alias("t")).select(
+        F.lit(-1).cast("long").alias("event_id"),
+        F.struct(F.lit(END_SESSION).alias("userId"), F.lit(END_SESSION).alias("sessionId"),
+                 F.lit("heartbeat").alias("event")).alias("tags"),
+        (F.col("t") + F.expr("INTERVAL 1 YEAR")).alias("timestamp"))
+    kinds = {f.name: f.dataType for f in ev.schema}
+    return last.select(*[(F.col(c) if c in last.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in ev.columns])
+
+
+def _event_files(spark, sf, base: str) -> str:
+    """The events as stream input in two files, in order of time, and the closing one."""
+    ev = X.retail_events(spark, sf)
+    cut = F.lit(MID).cast("timestamp")
+    for name, part in (("a", ev.filter(F.col("timestamp") < cut)), ("b", ev.filter(F.col("timestamp") >= cut)),
+                       ("c", _closing(ev))):
+        part.coalesce(1).write.parquet(f"{base}/in/{name}")
+    return f"{base}/in/*"
+
+
+@register("session_state_live", SESS_DOCS + O.SESSION_STATE_DOCS)
+def q_session_state_live(spark, sf):
+    """The state that the stream keeps, over the same windows as ``session_state``."""
+    base = _scratch(spark, "live")
+    stream = TB.event_source(spark, _event_files(spark, sf, base), watermark="0 seconds")
+    DR.run_to_completion(LS.live_session_state(stream, base + "/state", base + "/ck", DAY, expiry_ms=14 * 86_400_000,
+                                               buckets=BUCKETS))
+    state = LS.read_live_state(spark, base + "/state").filter(F.col("sessionId") != END_SESSION)
+    return W.flat_session_state(
+        state.select("*", F.struct(*W.DIMENSIONS).alias("intent")).drop(*W.DIMENSIONS).select(
+            "*", *_intent_text("intent", "key"), F.array_join("searchHistory", "|").alias("h")).drop("searchHistory")
+        .withColumnRenamed("h", "searchHistory"), *W.DIMENSIONS, "searchHistory")
+
+
 # ---------------------------------------------------------------- §2.8 model
 from ..operators import model as ML  # noqa: E402
 

@@ -294,11 +294,16 @@ def text_search(products: DataFrame, queries: DataFrame, k: int = 3,
     return ids.join(top, "text").select("query_id", "_id", "score", "rank")
 
 
-def product_recommendation(intents: DataFrame, products: DataFrame, k: int = 1) -> DataFrame:
-    """Top product for each signal's intent text (signal_id, intentSummary)."""
+def product_recommendation(intents: DataFrame, products: DataFrame, k: int = 1, index=None) -> DataFrame:
+    """Top product for each signal's intent text (signal_id, intentSummary); from a stored
+    ``text_index`` of the products if one is given, else by ``text_search``."""
     q = intents.filter(F.col("intentSummary").isNotNull()).select(
         F.col("signal_id").alias("query_id"), F.col("intentSummary").alias("text"))
-    top = text_search(products, q, k)
+    if index is None:
+        top = text_search(products, q, k)
+    else:
+        from .text_index import index_search
+        top = index_search(index, q, k)
     info = products.select("_id", "name", F.col("image.url").alias("imageUrl"))
     return top.join(info, "_id").select(
         F.col("query_id").alias("signal_id"), "rank",

@@ -59,28 +59,33 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
-def landed(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table that several reports read, written once for the tables it
-    comes from: its folder in the shared checkpoint folder is named by the
-    application and by the input files' names, sizes and times, so changed
-    input is built anew. A mark beside the folder, made after the write has
-    ended, tells a whole table from one whose write failed half way."""
+def landed_folder(spark: SparkSession, sf: str, name: str, build: Callable[[str], None]) -> str:
+    """A folder that several queries read, filled once for the tables it comes from: it lies in
+    the shared checkpoint folder, named by the application and by the input files'
+    names, sizes and times, so changed input is built anew. A mark beside the folder, made after
+    the build has ended, tells a whole one from one that failed half way."""
     from ..session import scratch_path
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(sf)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files, seen = fs.listFiles(root, True), []
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files, seen = root.getFileSystem(conf).listFiles(root, True), []
     while files.hasNext():
         f = files.next()
         seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
     state = hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:16]
     path = scratch_path(spark, f"landed/{spark.sparkContext.applicationId}-{state}/{name}")
     mark = jvm.org.apache.hadoop.fs.Path(f"{path}.whole")
-    marks = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    marks = mark.getFileSystem(conf)
     if not marks.exists(mark):
-        build().write.mode("overwrite").parquet(path)
+        marks.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+        build(path)
         marks.create(mark, True).close()
-    return spark.read.parquet(path)
+    return path
+
+
+def landed(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that several reports read, written once (``landed_folder``)."""
+    return spark.read.parquet(landed_folder(spark, sf, name, lambda path: build().write.mode("overwrite").parquet(path)))
 
 
 # ---------------------------------------------------------------- shared inputs
@@ -155,6 +160,7 @@ from ..functions import events as FE  # noqa: E402
 from ..operators import actions as AC  # noqa: E402
 from ..operators import commerce as CM  # noqa: E402
 from ..operators import features as FT  # noqa: E402
+from ..operators import text_index as TX  # noqa: E402
 from ..operators import search as SR  # noqa: E402
 from ..sources import sinks as SK  # noqa: E402
 from ..sources import tables as TB  # noqa: E402
@@ -1033,8 +1039,9 @@ SELECT b.query_id AS signal_id, b.rank, b._id AS rec_productId, p.p_name AS rec_
   '/img/' || b._id || '.jpg' AS rec_imageUrl, round(b.score, 6) AS score, i.intentSummary
 FROM bm25 b JOIN part p ON b._id = CAST(p.p_partkey AS VARCHAR) JOIN intents i ON i.signal_id = b.query_id""")
 def q_product_recommendation(spark, sf):
-    r = SR.product_recommendation(intents(spark, sf),
-                                  X.products(spark, sf, with_embedding=False), 1)
+    """From the stored index; ``nba_enriched`` searches the products themselves."""
+    r = SR.product_recommendation(intents(spark, sf), X.products(spark, sf, with_embedding=False), 1,
+                                  index=text_index(spark, sf))
     return r.withColumn("score", r6("score"))
 
 
@@ -1112,6 +1119,21 @@ def q_text_search(spark, sf):
         .select("query_id", "_id", r6("score"), "rank")
 
 
+def text_index(spark, sf) -> TX.TextIndex:
+    """The index of the products, built once for the tables it comes from."""
+    def build(path):
+        TX.build_text_index(X.products(spark, sf, with_embedding=False), path)
+    return TX.TextIndex(spark, landed_folder(spark, sf, "text_index", build))
+
+
+@register("text_search_index", ORACLE["text_search"])
+def q_text_search_index(spark, sf):
+    """The same rows from the stored index, with pruning."""
+    q = valid_events(spark, sf).filter((F.col("tags.event") == "search") & FE.present(F.col("metadata.query"))) \
+        .select(F.col("metadata.query").alias("query_id"), F.col("metadata.query").alias("text")).distinct()
+    return TX.index_search(text_index(spark, sf), q, 3).select("query_id", "_id", r6("score"), "rank")
+
+
 VECTOR_FACETS = ["ECONOMY", "SMALL", "STANDARD", "MEDIUM"]
 
 
@@ -1152,6 +1174,7 @@ import uuid  # noqa: E402
 
 from ..session import scratch_path  # noqa: E402
 from ..streaming import drivers as DR  # noqa: E402
+from ..streaming import friction as FR  # noqa: E402
 from ..streaming import live_state as LS  # noqa: E402
 
 MID = "2024-01-16 00:00:00"   # a day boundary inside the fixture month
@@ -1341,6 +1364,40 @@ def q_session_state_live(spark, sf):
         .withColumnRenamed("h", "searchHistory"), *W.DIMENSIONS, "searchHistory")
 
 
+FRICTION_DAYS = 2
+ASOF_SQL = f""",
+led AS (
+  SELECT s._id AS signal_id, s.sid, s.uid, CASE WHEN count(v.event_id) > 0 THEN last(v.query ORDER BY v.ts, v.event_id)
+    ELSE any_value(s.topic_value) END AS intentSummary
+  FROM signals s LEFT JOIN valid v ON v.userId = s.uid AND v.sessionId = s.sid AND v.event = 'search' AND v.query <> ''
+    AND v.ts < s.ts AND v.ts >= s.ts - INTERVAL {FRICTION_DAYS} DAY
+  WHERE s.signal = 'search-friction' GROUP BY 1, 2, 3)"""
+
+
+@register("nba_friction_stream", O.with_ctes(O.RETAIL_EVENTS, O.VALID_EVENTS, O.SIGNAL_STATS).rstrip("\n") + ASOF_SQL
+          + ",\n" + O.bm25_sql(
+    "tq AS (SELECT signal_id AS query_id, intentSummary AS text FROM led WHERE intentSummary IS NOT NULL)", 1) + """
+SELECT a.signal_id, a.uid, a.sid, 'discount-product-recommendation' AS type,
+  'Take 10% off on ' || CASE WHEN b._id IS NULL THEN 'your picks' ELSE a.intentSummary END || ' today.' AS message,
+  b._id AS rec_productId
+FROM led a LEFT JOIN bm25 b ON b.query_id = a.signal_id""")
+def q_nba_friction_stream(spark, sf):
+    """Friction signals joined, as a stream, with the searches of the two days before them."""
+    base = _scratch(spark, "friction")
+    sig = signals(spark, sf)
+    last = sig.orderBy(F.desc("ts"), "_id").limit(1).withColumns(
+        {"_id": F.lit(END_SESSION), "uid": F.lit(END_SESSION), "sid": F.lit(END_SESSION), "signal": F.lit("exit-risk"),
+         "ts": F.col("ts") + F.expr("INTERVAL 1 YEAR")})
+    sig.unionByName(last).write.parquet(f"{base}/signals")
+    searches = FR.searches_of(TB.event_source(spark, _event_files(spark, sf, base), watermark="0 seconds"))
+    DR.run_to_completion(FR.friction_stream(
+        spark, FR.signal_source(spark, f"{base}/signals", sig.schema), searches, X.products(spark, sf, with_embedding=False),
+        f"{base}/nbas", f"{base}/ck", f"{FRICTION_DAYS} days", index=text_index(spark, sf)))
+    return spark.read.parquet(f"{base}/nbas").select(
+        "signal_id", "uid", "sid", "type", F.col("actionMetadata.message").alias("message"),
+        F.col("actionMetadata.productRecommendation.productId").alias("rec_productId"))
+
+
 # ---------------------------------------------------------------- §2.8 model
 from ..operators import model as ML  # noqa: E402
 

@@ -169,14 +169,17 @@ def latest_feed(feed: DataFrame, path: str, checkpoint: str, key: str, version:
 
 def nba_stream(spark: SparkSession, signals_path: str, nbas_path: str, checkpoint: str,
                scores: DataFrame | None = None, products: DataFrame | None = None,
-               trigger: dict | None = None) -> StreamingQuery:
-    """Signal feed -> one next best action per new signal, inserted only when
+               trigger: dict | None = None, skip: tuple[str, ...] = ()) -> StreamingQuery:
+    """Signal feed -> one next best action per new signal, but for the kinds in ``skip``
+    (``friction.nba_enriched_stream`` answers these itself), inserted only when
     its ``signal_id`` is absent (a replayed batch adds nothing). ``scores``
     enables the churn-enriched offers. A product's buyers are counted over
     the whole signal table as it is when the batch runs."""
     from ..operators.actions import nba_from_signals, product_buyers
 
     def handler(batch: DataFrame, batch_id: int) -> None:
+        if skip:
+            batch = batch.filter(~F.col("signal").isin(*skip))
         lowest = batch.agg(F.min("ts").alias("lo")).first()["lo"]
         if lowest is None:
             return

@@ -11,7 +11,7 @@ doesn't count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,10 +24,16 @@ from .drivers import _start, work_folder
 HORIZON = "30 minutes"
 
 
+def _timed(ts: str, cond: Column) -> Column:
+    """``cond``, but in need of the event time, so that Spark leaves the filter above the
+    watermark: all rows of a stream move it on, not only those that pass."""
+    return F.when(F.col(ts).isNotNull(), cond).otherwise(F.lit(False))
+
+
 def searches_of(events: DataFrame) -> DataFrame:
     """Search events with a query from an event stream with a watermark:
     (userId, sessionId, searchTs, searchId, query)."""
-    return events.filter(validate_event() & (EV() == "search") & present(md("query"))).select(
+    return events.filter(_timed("timestamp", validate_event() & (EV() == "search") & present(md("query")))).select(
         UID().alias("userId"), SID().alias("sessionId"), F.col("timestamp").alias("searchTs"),
         F.col("event_id").alias("searchId"), md("query").alias("query"))
 
@@ -42,7 +48,7 @@ def friction_intents(signals: DataFrame, searches: DataFrame, horizon: str = HOR
     """Stream of search-friction signals, each once, with ``historyLength`` (its session's
     searches in the ``horizon`` before it), ``lastQuery`` (the last of them) and
     ``intentSummary`` (that query, else the signal's topic)."""
-    friction = signals.filter(F.col("signal") == "search-friction")
+    friction = signals.filter(_timed("ts", F.col("signal") == "search-friction"))
     near = F.expr(f"uid = userId AND sid = sessionId AND searchTs < ts AND searchTs >= ts - INTERVAL {horizon}")
     pairs = friction.withColumn("_row", F.struct(*[F.col(c) for c in signals.columns if c not in ("_id", "ts")])) \
         .join(searches, near, "left_outer")

@@ -31,7 +31,8 @@ def search(i, secs, query, uid="u", sid="s"):
     return ev(i, secs, "search", uid=uid, sid=sid, pid="p1", at="A", sc="S", brand="b", query=query)
 
 
-CLOSE_EVENT, CLOSE_SIGNAL = search(99_999, 90_000, "end", "~", "~"), sig(99_999, 90_000, uid="~", sid="~")
+#: Neither a search nor friction: all rows of a stream move its watermark.
+CLOSE_EVENT, CLOSE_SIGNAL = ev(99_999, 90_000, "heartbeat", uid="~", sid="~"), sig(99_999, 90_000, "exit-risk", "~", "~")
 
 
 def write(spark, path, rows, schema=None):

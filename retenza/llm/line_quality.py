@@ -20,7 +20,8 @@ a second time for the exact count. Neither pass shuffles texts. Repeated
 the length of the text.
 
 Defined cases. Null and empty texts have no words, fail the base rules and
-are not kept. A null host is a host of its own. Lines without a word are
+are not kept. ``drop_rejected`` takes all copies of a line above the limits out of a kept
+document; line ends between the other lines stay as they are. A null host is a host of its own. Lines without a word are
 never boilerplate. Repeated rows each get the same verdict. Lines are
 known by 96 bits, windows inside one text by 64 bits.
 """
@@ -120,13 +121,14 @@ def boilerplate_hits(docs: DataFrame, host: str = "source", min_docs: int = 20,
 
 def verdicts(docs: DataFrame, host: str = "source", min_docs: int = 20, one_in: int = 10,
              max_percent: int = 70) -> DataFrame:
-    """Row keys (id, th, host), the base counts ``b``, removed_chars, base_failed, depleted, kept."""
-    removed = boilerplate_hits(docs, host, min_docs, one_in) \
-        .groupBy("id", "th", "host").agg(F.sum(F.col("n") * F.col("chars")).alias("removed"))
+    """Row keys (id, th, host), the base counts ``b``, removed_chars, base_failed, depleted, kept,
+    and ``bad``, the hashes (h1, h2) of the document's lines above the limits."""
+    removed = boilerplate_hits(docs, host, min_docs, one_in).groupBy("id", "th", "host").agg(
+        F.sum(F.col("n") * F.col("chars")).alias("removed"), F.collect_list(F.struct("h1", "h2")).alias("bad"))
     texts = _texts(docs, host)
     base = texts.select("id", "th", "host", base_columns(F.col("body")).alias("b"))
     out = base.join(removed, same(base, removed, "id", "th", "host"), "left").select(
-        base["id"], base["th"], base["host"], "b",
+        base["id"], base["th"], base["host"], "b", "bad",
         F.coalesce("removed", F.lit(0)).alias("removed_chars"), base_failed("b").alias("base_failed"))
     out = out.withColumn("depleted", 100 * F.col("removed_chars") > max_percent * F.col("b.word_chars"))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
@@ -140,14 +142,29 @@ def line_quality(docs: DataFrame, **limits) -> DataFrame:
                                            "base_failed", "depleted", "kept")
 
 
-def drop_rejected(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The documents that the rules keep, all columns as they came. The verdicts are
-    written first; as a filter on the join below they would be computed twice."""
-    kept = stored(verdicts(docs, host, **limits).select("id", "th", "host", "kept"), "verdicts")
-    kept = kept.filter("kept").select("id", "th", "host").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"])
+def without_lines(text: Column, bad: Column) -> Column:
+    """The text without the lines whose hashes (h1, h2) are in ``bad``."""
+    def stays(line: Column) -> Column:
+        return let(line_key(line), lambda k: (k == "") | ~F.array_contains(
+            bad, F.struct(F.xxhash64(k).alias("h1"), F.hash(k).alias("h2"))))
+    return F.array_join(F.filter(F.split(text, "\n", -1), stays), "\n")
+
+
+def drop_rejected(docs: DataFrame, host: str = "source", length: str | None = None, **limits) -> DataFrame:
+    """The documents that the rules keep, without their lines above the limits. All columns
+    pass through; ``length`` names one that holds the number of characters, and follows. The
+    verdicts are written first; as a filter on the join below they would be computed twice."""
+    kept = stored(verdicts(docs, host, **limits).select("id", "th", "host", "kept", "bad"), "verdicts")
+    kept = kept.filter("kept").groupBy("id", "th", "host").agg(F.first("bad").alias("bad"))
+    both = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"])
                      & text_hash(docs["text"]).eqNullSafe(kept["th"])
-                     & docs[host].eqNullSafe(kept["host"]), "left_semi")
+                     & docs[host].eqNullSafe(kept["host"]))
+    text = F.when(kept["bad"].isNull(), docs["text"]).otherwise(without_lines(docs["text"], kept["bad"]))
+    if length is None:
+        return both.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    size = F.when(kept["bad"].isNull(), docs[length]).otherwise(F.char_length(text).cast(docs.schema[length].dataType))
+    return both.select(*[text.alias(c) if c == "text" else size.alias(c) if c == length else docs[c]
+                         for c in docs.columns])
 
 
 def op3_quality_lines(spark, sf_dir: str) -> DataFrame:

@@ -40,6 +40,20 @@ def brute_base(text):
             len(covered))
 
 
+def brute_removed(docs, min_docs=20, one_in=10):
+    """Each text without the lines above its host's limits."""
+    hosts, seen = defaultdict(set), defaultdict(set)
+    for d in docs:
+        if d["text"] is not None:
+            hosts[d["source"]].add(d["text"])
+            for x in d["text"].split("\n"):
+                seen[d["source"], key(x)].add(d["text"])
+    for d in docs:
+        top = max(min_docs, -(-len(hosts[d["source"]]) // one_in))
+        yield None if d["text"] is None else "\n".join(
+            x for x in d["text"].split("\n") if not key(x) or len(seen[d["source"], key(x)]) < top)
+
+
 def brute_quality(docs, min_docs=20, one_in=10, max_percent=70):
     hosts, seen = defaultdict(set), defaultdict(set)
     for d in docs:
@@ -103,11 +117,28 @@ def test_quality_counts_copies_once_and_rejects_depleted(docs_of, rows):
     assert not any(kept[i] for i in range(30)) and all(kept[100 + i] for i in range(40))
 
 
-def test_drop_rejected_keeps_rows_as_they_are(clashing, edge, rows):
-    out = line_quality.drop_rejected(clashing)
-    assert out.columns == clashing.columns
-    want = [d["text"] for d, q in zip(edge.collect(), brute_quality(edge.collect())) if q[-1]]
-    assert Counter(r[0] for r in rows(out, "text")) == Counter(want)
+def test_drop_rejected_takes_the_lines_out(clashing, edge, rows):
+    """Kept rows, with all columns, without lines above the limits; n_chars follows the text."""
+    docs = edge.collect()
+    for args in ({}, {"min_docs": 3, "one_in": 1000}):
+        out = line_quality.drop_rejected(clashing, length="n_chars", **args)
+        assert out.columns == clashing.columns and out.dtypes == clashing.dtypes
+        want = [(d["doc_id"], t, d["n_chars"] if t == d["text"] else len(t)) for d, t, q in
+                zip(docs, brute_removed(docs, **args), brute_quality(docs, **args)) if q[-1]]
+        assert Counter(rows(out, "doc_id", "text", "n_chars")) == Counter(want)
+        assert {r[0] for r in rows(out, "kept")} == {"x-kept"}
+    assert any(n != d["n_chars"] for (_, _, n), d in zip(want, docs))
+    plain = line_quality.drop_rejected(edge, min_docs=3, one_in=1000)
+    assert Counter(r[0] for r in rows(plain, "text")) == Counter(t for _, t, _ in want)
+
+
+def test_footers_of_a_host_go(docs_of, rows):
+    rng = random.Random(5)
+    docs = [(i, "\n".join(" ".join(words(rng, 12)) for _ in range(4)) + "\n\n Subscribe NOW to our letter ", "en", "shop", 0)
+            for i in range(60)] + [(100, " ".join(words(rng, 40)) + "\nsubscribe now to our letter", "en", "blog", 0)]
+    out = dict(rows(line_quality.drop_rejected(docs_of(docs)), "doc_id", "text"))
+    assert len(out) == 61 and all(out[d[0]] == "\n".join(d[1].split("\n")[:-1]) for d in docs[:60])
+    assert out[100] == docs[60][1]
 
 
 def test_empty_table(docs_of):

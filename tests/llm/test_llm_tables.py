@@ -160,6 +160,40 @@ def test_shards(spark, edge, clashing, docs_of, rows):
     assert rows(spark.read.parquet(folder), "doc_id", "text") == rows(own, "doc_id", "text")
 
 
+def test_filters_skip_shards(spark, docs_of):
+    """Shards that a filter on one dimension opens, by the min and max of their rows."""
+    rng = random.Random(11)
+    sources = [f"site{i}" for i in range(20)]
+    rows_ = [(i, "x" * min(20_000, int(rng.lognormvariate(6, 1.2))), rng.choice(["en", "de", "fr", "es"]),
+              rng.choice(sources), 1) for i in range(12_000)]
+    got = hilbert_shards.document_shards(docs_of(rows_)).toPandas()
+    box = got.groupby("shard").agg(size_lo=("size", "min"), size_hi=("size", "max"), langs=("lang", set), sites=("source", set))
+    lang = [sum(v in x for x in box["langs"]) for v in ("en", "de", "fr", "es")]
+    assert max(lang) <= 8                                        # of 24; each language has a quarter of the rows
+    assert sum(sum(s in x for x in box["sites"]) for s in sources) / 20 <= 12
+    tenth = got["size"].quantile(0.1)
+    assert (box["size_lo"] <= tenth).sum() <= 12
+    cells = hilbert_shards.rank_cells(docs_of(rows_), {"s": hilbert_shards.F.length("text")}, {"s": 3})["s"]
+    assert all(1000 < r["count"] < 2000 for r in docs_of(rows_).groupBy(cells.alias("c")).count().collect())
+
+
+def test_a_shard_is_written_by_several_tasks(spark, docs_of):
+    import os
+
+    docs = docs_of([(i, f"text {i} " * 50, "en", "a", 1) for i in range(2000)])
+    folder = work_path(spark, "shards")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hilbert_shards.write_shards(hilbert_shards.document_shards(docs, 2), docs, folder)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    files = [f for f in os.listdir(f"{folder}/shard=0") if f.endswith(".parquet")]
+    assert len(files) > 1
+    for f in files:                                              # each file is a run of slots in order
+        slots = [r["slot"] for r in spark.read.parquet(f"{folder}/shard=0/{f}").collect()]
+        assert slots == list(range(slots[0], slots[0] + len(slots)))
+
+
 def test_shards_hold_null_and_repeated_ids_once(spark, docs_of, edge, rows):
     """Every row of the edge table, and many equal rows that differ in another column only."""
     docs = edge.unionByName(docs_of([(3, "same", "en", "a", i) for i in range(40)])).cache()
@@ -239,12 +273,12 @@ def test_pipeline_stages(spark, edge, clashing, docs_of):
 
 def test_pipeline_rows(spark):
     """Against each operator's own brute force, stage by stage, on the smallest tables."""
-    from test_llm_lines import brute_dedup, brute_quality
+    from test_llm_lines import brute_dedup, brute_quality, brute_removed
     from test_llm_texts import brute_classes, brute_hits
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    docs = [d for d, q in zip(docs, brute_quality(docs)) if q[-1]]
-    docs = [dict(d.asDict(), text=k[-1]) for d, k in zip(docs, brute_dedup(docs, 10))]
+    docs = [dict(d.asDict(), text=t) for d, q, t in zip(docs, brute_quality(docs), brute_removed(docs)) if q[-1]]
+    docs = [dict(d, text=k[-1]) for d, k in zip(docs, brute_dedup(docs, 10))]
     least = {i for i, c in brute_classes(docs) if i == c}
     docs = [d for d in docs if d["doc_id"] in least]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]

@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor
 kept, and is written before the next one reads it. All stages but the last
 return the columns of ``documents``; extra columns pass through.
 
-1. quality_rules   documents that the base rules or the line rules reject go
+1. quality_rules   documents that the base rules or the line rules reject go, and with them the
+                   lines above their host's limits; n_chars follows
 2. line_dedup      lines found in 10 documents or more go; n_chars follows
 3. near_dedup      of each class of near-duplicates the smallest id stays
 4. decontaminate   documents with benchmark passages in 5 % of their words go
@@ -21,7 +22,7 @@ from retenza.llm.common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_quality.drop_rejected(docs)
+    return line_quality.drop_rejected(docs, length="n_chars")
 
 
 def frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

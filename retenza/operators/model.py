@@ -13,7 +13,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FEATURE_COLUMNS
@@ -43,10 +43,28 @@ def churn_pipeline(trees: int = 50, depth: int = 3, seed: int = 42) -> Pipeline:
     return Pipeline(stages=[assembler, rf])
 
 
+def stratified_folds(data: DataFrame, folds: int, label: str = "label", key: str = "uid", seed: int = 42) -> DataFrame:
+    """Add ``fold``, 0 to ``folds - 1``: rows are dealt out class after class, in a seeded order, so
+    a class's counts in any two folds differ by one at most, and so do the folds' sizes.
+
+    A row's number in its class is counted inside its part and added up over the
+    parts, so no class is ordered in one task."""
+    parts = data.withColumn("_h", F.xxhash64(key, F.lit(seed))).repartitionByRange("_h", key) \
+        .sortWithinPartitions("_h", key).withColumn("_at", F.monotonically_increasing_id())
+    parts = cut_lineage(parts).withColumn("_p", F.shiftright("_at", 33))
+    sizes = parts.groupBy(F.col(label).alias("_l"), "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_l", "_p").rowsBetween(Window.unboundedPreceding, -1))   # a row per part
+    sizes = sizes.select("_l", "_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p", label).orderBy("_at")))
+    return inside.join(F.broadcast(sizes), (inside[label] == sizes["_l"]) & (inside["_p"] == sizes["_p"])).select(
+        *[inside[c] for c in data.columns],
+        F.pmod(F.col("_before") + F.col("_i") - 1, F.lit(folds)).cast("int").alias("fold"))
+
+
 def train_churn_model(features: DataFrame, trees: int = 50, depth: int = 3, folds: int = 5,
                       seed: int = 42) -> tuple[PipelineModel, float | None, float | None]:
-    """Fit the forest; mean and standard deviation of the k-fold accuracy with
-    k = min(folds, n) when n >= 5 (``folds`` 0: none).
+    """Fit the forest; mean and standard deviation of the accuracy over k stratified
+    folds with k = min(folds, n) when n >= 5 (``folds`` 0: none).
 
     The training frame is checkpointed first: cross-validation reads it
     k + 1 times, and a reliable checkpoint survives executor loss.
@@ -57,9 +75,10 @@ def train_churn_model(features: DataFrame, trees: int = 50, depth: int = 3, fold
     accuracy = spread = None
     if n >= 5 and folds > 1:
         evaluator = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label")
+        k = min(folds, n)
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(),
-                            evaluator=evaluator, numFolds=min(folds, n), seed=seed)
-        cv_model = cv.fit(data)
+                            evaluator=evaluator, numFolds=k, foldCol="fold", seed=seed)
+        cv_model = cv.fit(cut_lineage(stratified_folds(data, k, seed=seed)))
         accuracy, spread = float(cv_model.avgMetrics[0]), float(cv_model.stdMetrics[0])
     model = pipe.fit(data)
     return model, accuracy, spread

@@ -181,24 +181,72 @@ def cart_abandonment_signal(events: DataFrame, window: str = DEFAULT_WINDOW) ->
     return cart_abandonment_from_stats(window_stats(window_facts(events, window)), window)
 
 
-def all_signals(events: DataFrame, window: str = DEFAULT_WINDOW,
-                materialize: bool = True) -> DataFrame:
-    """The four signal kinds from one shared window aggregate.
-
-    Catalyst prunes columns per union branch, so the branches would not
-    share the event scan and the first shuffle (each would rescan and
-    re-aggregate all events). With ``materialize`` (default) the window
-    aggregate is written once as a reliable checkpoint in the shared
-    checkpoint folder and every rule reads it: one pass over the events
-    instead of four, and a lineage cut that survives executor loss. Calling
-    it runs that one job.
-    """
-    facts = _shared_facts(events, window, materialize)
-    stats = window_stats(facts)
-    return (exit_risk_from_stats(stats, window)
-            .unionByName(high_intent_from_facts(facts, stats, window))
-            .unionByName(search_friction_from_stats(stats, dominant_article_type(facts), window))
-            .unionByName(cart_abandonment_from_stats(stats, window)))
+def session_windows(facts: DataFrame) -> DataFrame:
+    """Per (window, sid) all that the four rules ask for, in one pass over the facts, which
+    are dealt by (window, sid) once: first by articleType, then as a whole. The sets hold the
+    distinct products of one session in one window."""
+    viewed, carted = F.col("event").isin("view-product", "search"), F.col("event") == "add-to-cart"
+    counts = [_count_of(e).alias(c) for e, c in (("exit-risk", "exitCount"), ("add-to-cart", "cartCount"),
+                                                 ("view-cart", "viewCartCount"))]
+    by_type = facts.repartition("window", "sid").groupBy("window", "sid", "articleType").agg(
+        F.min(F.struct("first_pos", "uid")).alias("first"), F.max("lastTs").alias("lastTs"), *counts,
+        F.max(F.when(F.col("event") == "view-cart", F.col("maxItem"))).alias("maxItem"),
+        F.sum(F.when(viewed, F.col("n"))).alias("cnt"), F.max(F.when(viewed, F.col("last_pos"))).alias("last_pos"),
+        F.collect_set(F.when(viewed, F.col("productId"))).alias("seen"),
+        F.collect_set(F.when(carted, F.col("productId"))).alias("bought"))
+    top = F.max(F.when((F.col("cnt") > 0) & F.col("articleType").isNotNull(), F.struct(
+        F.col("cnt"), (-F.col("last_pos")).alias("earlier"), F.col("articleType").alias("value"))))
+    return by_type.groupBy("window", "sid").agg(
+        F.min("first")["uid"].alias("uid"), F.max("lastTs").alias("lastTs"),
+        *[F.sum(c).alias(c) for c in ("exitCount", "cartCount", "viewCartCount")],
+        F.greatest(F.max("maxItem"), F.lit(0)).alias("maxItemCount"), top["value"].alias("topArticleType"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("distinctProducts"),
+        F.array_distinct(F.flatten(F.collect_list("bought"))).alias("bought"))
+
+
+def signals_from_facts(facts: DataFrame, window: str = DEFAULT_WINDOW) -> DataFrame:
+    """The signals of all four rules: each row of ``session_windows`` is exploded into its signals."""
+    def signal(kind: str, name: str, severity: Column, evidence: Column, product: Column | None = None,
+               distinct: Column | None = None, topic: Column | None = None) -> Column:
+        return F.struct(
+            signal_id(F.col("sid"), kind, F.col("lastTs"), window, product=product).alias("_id"),
+            F.lit(name).alias("signal"), severity.alias("severity"), evidence.alias("evidence"),
+            (F.lit(None) if product is None else product).cast("string").alias("productId"),
+            (F.lit(None) if distinct is None else distinct).cast("int").alias("distinctProducts"),
+            (F.lit(None) if topic is None else topic).cast(TOPIC).alias("topic"))
+
+    def one(cond: Column, value: Column) -> Column:
+        return F.when(cond, F.array(value))
+
+    n, d = F.col("exitCount"), F.col("distinctProducts")
+    items = F.when(F.col("maxItemCount") > 0, F.col("maxItemCount")).otherwise(F.lit(1))
+
+    def level(value: Column, high: int, medium: int, said: dict) -> Column:
+        return F.when(value >= high, said["high"]).when(value >= medium, said["medium"]).otherwise(said["low"])
+    names = {x: F.lit(x) for x in ("high", "medium", "low")}
+    found = {x: F.format_string(_evidence("search-friction", window, x), d) for x in names}
+    left = {x: F.lit(_evidence("exit-risk", window, x)) for x in names}
+    topic = F.when(F.col("topArticleType").isNotNull(), F.struct(F.lit("articleType").alias("dimension"),
+                                                                 F.col("topArticleType").alias("value")))
+    rules = [
+        one(n > 0, signal("exitrisk", "exit-risk", severity_by_count(n), level(n, 3, 2, left))),
+        F.transform("bought", lambda p: signal("highintent", "high-intent", F.lit("high"),
+                                               F.lit(_evidence("high-intent", window)), product=p)),
+        one((F.col("cartCount") == 0) & (d >= 3), signal(
+            "searchfriction", "search-friction", level(d, 7, 5, names), level(d, 7, 5, found), distinct=d, topic=topic)),
+        one(F.col("viewCartCount") > 0, signal(
+            "cartabandon", "cart-abandonment", severity_by_count(items),
+            F.format_string(_evidence("cart-abandonment", window), items)))]
+    none = F.filter(rules[1], lambda x: F.lit(False))
+    out = session_windows(facts).select("window", "sid", "uid", "lastTs", F.explode(
+        F.concat(*[F.coalesce(r, none) for r in rules])).alias("s"))
+    return _finish(out.select("window", "sid", "uid", "lastTs", "s.*"))
+
+
+def all_signals(events: DataFrame, window: str = DEFAULT_WINDOW) -> DataFrame:
+    """The four signal kinds in one pass: one scan and one aggregate of the events, one
+    exchange of their facts by (window, sid), and the rules on rows of ``session_windows``."""
+    return signals_from_facts(window_facts(events, window), window)
 
 
 def flat_signals(signals: DataFrame) -> DataFrame:

@@ -71,12 +71,7 @@ def signal_facts_stream(events: DataFrame, window: str) -> DataFrame:
 
 def finish_signals(facts: DataFrame, window: str) -> DataFrame:
     """All four signal kinds from the facts of closed windows."""
-    stats = S.window_stats(facts)
-    return (S.exit_risk_from_stats(stats, window)
-            .unionByName(S.high_intent_from_facts(facts, stats, window))
-            .unionByName(S.search_friction_from_stats(stats, S.dominant_article_type(facts),
-                                                      window))
-            .unionByName(S.cart_abandonment_from_stats(stats, window)))
+    return S.signals_from_facts(facts, window)
 
 
 def signal_stream(events: DataFrame, signals_path: str, checkpoint: str,

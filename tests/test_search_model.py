@@ -162,3 +162,21 @@ def test_text_search_scores_bags_once(spark):
     got = sorted((r["query_id"], r["rank"], r["_id"]) for r in df.collect())
     assert got == [("a", 1, "0000"), ("a", 2, "0001"), ("a", 3, "0002"),
                    ("b", 1, "0003"), ("b", 2, "0008"), ("b", 3, "0013")]
+
+
+def test_folds_are_stratified(spark):
+    """5 % positives, fewer positives than folds, one class: counts differ by one at most."""
+    from collections import Counter
+
+    for n, positives, folds in ((400, 20, 5), (50, 3, 5), (7, 2, 5), (40, 0, 5)):
+        data = spark.createDataFrame([(f"u{i}", float(i < positives)) for i in range(n)], "uid string, label double") \
+            .repartition(6)
+        rows = ML.stratified_folds(data, folds).collect()
+        assert sorted(r["uid"] for r in rows) == sorted(f"u{i}" for i in range(n))
+        for label in (0.0, 1.0):
+            own = Counter(r["fold"] for r in rows if r["label"] == label)
+            counts = [own[f] for f in range(folds)]
+            assert max(counts) - min(counts) <= 1
+        sizes = Counter(r["fold"] for r in rows)
+        assert set(sizes) == set(range(folds)) and max(sizes.values()) - min(sizes.values()) <= 1
+        assert {r["fold"] for r in ML.stratified_folds(data, folds).collect()} == set(range(folds))

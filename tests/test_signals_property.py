@@ -78,6 +78,6 @@ def test_all_signals_matches_brute_force(spark, evs):
             for i, (e, secs, s, u, p, a, n) in enumerate(evs)]
     got = {(r["_id"], r["signal"], r["severity"], r["uid"], r["productId"],
             r["distinctProducts"], r["topic"]["value"] if r["topic"] else None)
-           for r in S.all_signals(events_df(spark, rows), "30 seconds", materialize=False).collect()}
+           for r in S.all_signals(events_df(spark, rows), "30 seconds").collect()}
     assert got == brute(rows)
     assert BASE.second == 0

@@ -105,8 +105,7 @@ def test_session_state_stream_equals_batch(spark):
 
 def test_nba_stream_is_idempotent(spark):
     tmp = tempfile.mkdtemp(prefix="retenza-nba-")
-    sig = S.all_signals(events_df(spark, [r for c in _rows() for r in c]), "30 seconds",
-                        materialize=False)
+    sig = S.all_signals(events_df(spark, [r for c in _rows() for r in c]), "30 seconds")
     sig.write.parquet(os.path.join(tmp, "signals"))
     out = os.path.join(tmp, "nbas")
     DR.run_to_completion(DR.nba_stream(spark, os.path.join(tmp, "signals"), out,
@@ -151,7 +150,7 @@ def test_product_message_is_the_same_in_stream_and_batch(spark, tmp_path):
 
     evs = [ev(1, 0, "add-to-cart", uid="u1", sid="s1", pid="p1", at="A", sc="S", brand="b"),
            ev(2, 1, "add-to-cart", uid="u2", sid="s2", pid="p1", at="A", sc="S", brand="b")]
-    sig = S.all_signals(events_df(spark, evs), "30 seconds", materialize=False)
+    sig = S.all_signals(events_df(spark, evs), "30 seconds")
     products = spark.createDataFrame([("p1",)], "_id string")
     path, out, ck = (str(tmp_path / x) for x in ("signals", "nbas", "ck"))
     for user in ("u1", "u2"):                                   # both are there before the stream runs

@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 def _mix(df: DataFrame, key: str, out_key: str, uid: str | None) -> DataFrame:
     if uid is not None:
         df = df.filter(F.col("uid") == F.lit(uid))
-    counts = df.groupBy("uid", F.col(key).alias(out_key)).agg(F.count(F.lit(1)).alias("count"))
+    return shares(df.groupBy("uid", F.col(key).alias(out_key)).agg(F.count(F.lit(1)).alias("count")), out_key)
+
+
+def shares(counts: DataFrame, out_key: str) -> DataFrame:
+    """Counts per user and category with the category's whole-percent share of the user's."""
     total = F.sum("count").over(Window.partitionBy("uid"))
     return (counts.withColumn("percentage",
                               F.bround(F.col("count") / total * 100, 0).cast("long"))
@@ -40,10 +44,14 @@ def engaged_mix(nbas: DataFrame, uid: str | None = None) -> DataFrame:
 
 def most_responsive_action(nbas: DataFrame) -> DataFrame:
     """First row of ``engaged_mix`` per user (share desc, then name)."""
+    return first_of_mix(engaged_mix(nbas))
+
+
+def first_of_mix(mix: DataFrame) -> DataFrame:
     # The mix holds at most one row per (user, action type): the window
     # partition per user is bounded by the number of action types.
     w = Window.partitionBy("uid").orderBy(F.desc("percentage"), "actionType")
-    return (engaged_mix(nbas).withColumn("_rn", F.row_number().over(w))
+    return (mix.withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") == 1).drop("_rn"))
 
 

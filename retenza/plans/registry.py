@@ -10,6 +10,7 @@ compare with DuckDB's naive timestamps.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import analytics as A
+from ..operators import maintained as MR
 from ..operators import signals as S
 from ..operators import windows as W
 from ..schemas import FEATURE_COLUMNS
 from ..sources import fixtures as X
 from ..sources.keyed import KeyedTable, read_scores, redeem_to, upsert_scores_to
+from ..session import cut_lineage, scratch_path
 from . import oracle as O
 
 DAY = "1 day"
@@ -405,6 +408,33 @@ def q_engaged_mix(spark, sf):
     return A.engaged_mix(nbas(spark, sf))
 
 
+def _halves(df: DataFrame, key: str) -> list[DataFrame]:
+    half = F.pmod(F.xxhash64(key), F.lit(2)) == 0
+    return [df.filter(half), df.filter(~half)]
+
+
+@register("behavior_mix_maintained", ORACLE["behavior_mix"])
+def q_behavior_mix_maintained(spark, sf):
+    """The report that two batches of signals have added up to."""
+    reports = MR.SignalReports(spark, scratch_path(spark, f"signal-reports-{uuid.uuid4().hex}"), BUCKETS)
+    for i, batch in enumerate(_halves(signals(spark, sf), "_id")):
+        reports.add(batch, "signals", i)
+    return reports.behavior_mix()
+
+
+@register("engaged_mix_maintained", ORACLE["engaged_mix"])
+def q_engaged_mix_maintained(spark, sf):
+    """Actions in two batches, each followed by half of the redemptions; the first half again at the end."""
+    sig = signals(spark, sf)
+    log = _halves(X.redemption_log(sig, events(spark, sf)), "signal_id")
+    reports = MR.ActionReports(spark, scratch_path(spark, f"action-reports-{uuid.uuid4().hex}"), BUCKETS)
+    for i, batch in enumerate(_halves(AC.nba_from_signals(sig), "signal_id")):
+        reports.add(batch, "nbas", i)
+        reports.redeem(log[i], "log", i)
+    reports.redeem(log[0], "log", 2)
+    return reports.engaged_mix()
+
+
 @register("most_responsive_action", SIGN + f"""
 SELECT uid, actionType, count, percentage FROM (
   SELECT *, row_number() OVER (PARTITION BY uid ORDER BY percentage DESC, actionType) AS rn
@@ -1219,12 +1249,12 @@ def q_merge_insert_if_absent(spark, sf):
 SELECT s.*, coalesce(h.searchCount, 0) AS searchCount
 FROM sstate s LEFT JOIN shist h ON s.sessionId = h.sessionId""")
 def q_merge_session_state(spark, sf):
-    v = valid_events(spark, sf)
-    early = v.filter(F.col("timestamp") < F.lit(MID).cast("timestamp"))
-    first = SK.merge_session_state(None, W.session_window_rows(early, DAY))
-    merged = first.unionByName(SK.merge_session_state(first, W.session_window_rows(v, DAY)))
+    """Window rows of the first half of the month are stored; then all rows are merged in."""
+    rows = cut_lineage(W.session_window_rows(valid_events(spark, sf), DAY))
+    first = SK.merge_session_state(None, rows.filter(F.col("window.start") < F.lit(MID).cast("timestamp")), unique=True)
+    merged = first.unionByName(SK.merge_session_state(first, rows, unique=True))
     return W.flat_session_state(W.session_state_flat(merged.drop("_wkey"),
-                                                     W.search_history_long(v, DAY)))
+                                                     W.search_history_long(valid_events(spark, sf), DAY)))
 
 
 UPSERT_SQL = O.with_ctes(

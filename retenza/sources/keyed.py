@@ -34,7 +34,7 @@ from . import sinks as SK
 
 KEEP = 2
 BUCKET = "_bucket"
-MERGES = ("upsert", "update", "insert", "latest")
+MERGES = ("upsert", "update", "insert", "latest", "add")
 
 
 class ConcurrentWrite(RuntimeError):
@@ -154,12 +154,19 @@ class KeyedTable:
         if how == "latest":
             from ..operators.commerce import latest_by_key
             return latest_by_key(batch, self.key, order)
+        if how == "add":
+            return self._added(batch, order)
         return SK.latest_rows(batch, self.key, order)
 
+    def _added(self, rows: DataFrame, number: str) -> DataFrame:
+        """One row per key with the sum of ``number``; the other columns belong to the key."""
+        rest = [F.first(c).alias(c) for c in rows.columns if c not in (self.key, number)]
+        return rows.groupBy(self.key).agg(F.sum(number).alias(number), *rest)
+
     def _merged(self, old: DataFrame, new: DataFrame, how: str, order: str | None) -> DataFrame:
         if how == "insert":
             return SK.merge_insert_if_absent(old, new, self.key)
-        if how == "latest":
+        if how in ("latest", "add"):
             return self._reduced(old.unionByName(new, allowMissingColumns=True), how, order)
         if how == "update":
             new = new.join(old.select(self.key), self.key, "left_semi")
@@ -177,7 +184,7 @@ class KeyedTable:
         ``upsert``: the batch's columns replace the old ones, also with null; other columns
         stay; unseen keys are inserted. ``update``: the same for known keys only.
         ``insert``: unseen keys only. ``latest``: of old and new rows the one with the
-        largest ``order``. Of several rows of a key in a batch the one with the
+        largest ``order``. ``add``: the number in column ``order`` is added to the old one. Of several rows of a key in a batch the one with the
         largest ``order`` counts. A batch of ``stream`` that is in the table
         already changes nothing.
         """

@@ -18,10 +18,12 @@ from pyspark.sql.types import StructType
 BATCH = "_batch"
 
 
-def new_rows_if_absent(target: DataFrame | None, batch: DataFrame, key: str = "_id") -> DataFrame:
+def new_rows_if_absent(target: DataFrame | None, batch: DataFrame, key: str = "_id",
+                       unique: bool = False) -> DataFrame:
     """Rows of ``batch`` whose key the target lacks; duplicates in the batch
-    collapse to one (whenMatched keepExisting, whenNotMatched insert)."""
-    fresh = batch.dropDuplicates([key])
+    collapse to one (whenMatched keepExisting, whenNotMatched insert), unless the batch is
+    ``unique`` by its key."""
+    fresh = batch if unique else batch.dropDuplicates([key])
     if target is None:
         return fresh
     return fresh.join(target.select(key), key, "left_anti")
@@ -60,15 +62,14 @@ def upsert_scores(target: DataFrame | None, batch: DataFrame, key: str = "uid",
 
 
 def merge_session_state(target_rows: DataFrame | None, batch_rows: DataFrame,
-                        key: str = "sessionId") -> DataFrame:
+                        key: str = "sessionId", unique: bool = False) -> DataFrame:
     """Idempotent session merge: window rows are stored keyed by
     (session, window start) and combined on read (``session_state_flat``),
-    so a replayed window is a no-op instead of a double count."""
+    so a replayed window is a no-op instead of a double count. ``unique``: the batch has each
+    key once, as a window aggregate does."""
     keyed = batch_rows.withColumn("_wkey", F.concat_ws("|", F.col(key),
                                                        F.col("window.start").cast("string")))
-    if target_rows is None:
-        return keyed.dropDuplicates(["_wkey"])
-    return new_rows_if_absent(target_rows, keyed, "_wkey")
+    return new_rows_if_absent(target_rows, keyed, "_wkey", unique)
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -116,7 +116,7 @@ def session_state_stream(events: DataFrame, rows_path: str, history_path: str,
             return
         own = {"batch_id": SK.batch_name(checkpoint, batch_id), "lowest": lo}
         rows = SK.merge_session_state(None, window_rows_from_facts(batch).withColumn(
-            "_wstart", F.col("window.start")))
+            "_wstart", F.col("window.start")), unique=True)
         # a replayed window can only match its own start
         SK.insert_if_absent_to(spark, rows, rows_path, "_wkey", since="_wstart", **own)
         hist = history_from_facts(batch).withColumn(

@@ -21,8 +21,9 @@ from ..operators import analytics as A
 from ..operators import maintained as MR
 from ..operators import signals as S
 from ..operators import windows as W
-from ..schemas import FEATURE_COLUMNS
+from ..schemas import EVENTS, FEATURE_COLUMNS
 from ..sources import fixtures as X
+from ..sources.derived import DayTable
 from ..sources.keyed import KeyedTable, read_scores, redeem_to, upsert_scores_to
 from ..session import cut_lineage, scratch_path
 from . import oracle as O
@@ -1307,6 +1308,23 @@ def q_overwrite_table(spark, sf):
     return spark.read.parquet(path)
 
 
+@register("all_signals_by_day", SIG + "SELECT * FROM signals")
+def q_all_signals_by_day(spark, sf):
+    """The signals as a table by day: first without the rows after ``MID``'s noon, then the rest
+    arrives and the days it belongs to are derived again."""
+    base = _scratch(spark, "by-day")
+    ev = events(spark, sf).withColumn("day", F.to_date("timestamp"))
+    late = F.col("timestamp") >= F.lit(MID).cast("timestamp") + F.expr("INTERVAL 12 HOURS")
+    table = DayTable(spark, f"{base}/signals")
+
+    def derive(rows):
+        return S.flat_signals(S.all_signals(rows, DAY)).withColumn("day", F.date_sub(F.to_date("ts"), 1))   # ts: window end
+    for part in (ev.filter(~late), ev.filter(late)):
+        part.repartition("day").write.mode("append").partitionBy("day").parquet(f"{base}/events")
+        table.refresh(f"{base}/events", EVENTS, derive)
+    return table.read().drop("day")
+
+
 @register("row_count_reconcile", SIGN + """
 SELECT 'events' AS table_name, count(*) AS total FROM revents
 UNION ALL SELECT 'session_signals', count(*) FROM signals

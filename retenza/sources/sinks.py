@@ -126,8 +126,17 @@ def append_table(df: DataFrame, path: str, new_columns: bool = False) -> None:
     df.write.mode("append").parquet(path)
 
 
-def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
+                    lookup_key: str | None = None, row_group_bytes: int = 8 << 20) -> None:
+    """Replace the table. With ``lookup_key`` it is laid out for ``tables.lookup_by_key``: rows in
+    ranges of the key, sorted, in row groups of about ``row_group_bytes`` with a bloom filter each,
+    so an equality on the key skips nearly all of them by min and max, and an absent key
+    that lies between them by the filter."""
+    if lookup_key:
+        df = df.repartitionByRange(lookup_key).sortWithinPartitions(*(partition_by or []), lookup_key)
     w = df.write.mode("overwrite")
+    if lookup_key:
+        w = w.option(f"parquet.bloom.filter.enabled#{lookup_key}", "true").option("parquet.block.size", row_group_bytes)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

@@ -221,3 +221,42 @@ def test_sized_join_counts_decoded_bytes(spark, tmp_path):
     raw = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert joins.estimated_bytes(df) == joins.DECODED * raw
     assert joins.fits_broadcast(df, joins.DECODED * raw) and not joins.fits_broadcast(df, raw)
+
+
+def _rows_scanned(df):
+    """Rows that the Parquet scan of a collected query gave on."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    todo, found = [plan], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif node.nodeName().startswith("Scan parquet"):
+            found += node.metrics().apply("numOutputRows").value()
+        else:
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_lookup_layout_skips_row_groups(spark, tmp_path):
+    """Few rows are read for a key that is there, none or few for one that isn't."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from retenza.sources import tables as TB
+
+    keys = list(range(0, 120_000, 2))
+    random.Random(1).shuffle(keys)
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").withColumn("v", F.sha2(F.col("k").cast("string"), 256))
+    plain, path = str(tmp_path / "plain"), str(tmp_path / "sorted")
+    SK.overwrite_table(rows, plain)
+    SK.overwrite_table(rows, path, lookup_key="k", row_group_bytes=64 << 10)
+    for key, n in ((60_000, 1), (60_001, 0), (-5, 0)):
+        found = TB.lookup_by_key(spark.read.parquet(path), "k", key)
+        assert found.count() == n
+        assert _rows_scanned(TB.lookup_by_key(spark.read.parquet(path), "k", key)) <= 0.1 * len(keys)
+    assert _rows_scanned(TB.lookup_by_key(spark.read.parquet(plain), "k", 60_000)) >= 0.5 * len(keys)
+    assert sorted(r["k"] for r in spark.read.parquet(path).select("k").collect()) == sorted(keys)

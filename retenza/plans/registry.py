@@ -1238,6 +1238,15 @@ def q_lookup_by_key(spark, sf):
         "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
 
 
+@register("lookup_by_key_sorted", ORACLE["lookup_by_key"])
+def q_lookup_by_key_sorted(spark, sf):
+    """The same lookup on a copy of the orders that is laid out for it."""
+    path = landed_folder(spark, sf, "orders_by_customer", lambda p: SK.overwrite_table(
+        spark.read.parquet(f"{sf}/orders.parquet"), p, lookup_key="o_custkey"))
+    return TB.lookup_by_key(spark.read.parquet(path), "o_custkey", LOOKUP_CUSTOMER).select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+
+
 @register("merge_insert_if_absent", SIG + "SELECT * FROM signals")
 def q_merge_insert_if_absent(spark, sf):
     sig = S.flat_signals(signals(spark, sf))
@@ -1335,6 +1344,14 @@ def q_row_count_reconcile(spark, sf):
                                   "next_best_actions": nbas(spark, sf)})
 
 
+COUNTED = ("customer", "events", "lineitem", "orders", "part")
+
+
+@register("row_count_footers", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS total FROM {t}" for t in COUNTED))
+def q_row_count_footers(spark, sf):
+    return TB.footer_counts(spark, {t: f"{sf}/{t}.parquet" for t in COUNTED})
+
+
 @register("event_source", O.with_ctes(O.RETAIL_EVENTS) + """
 SELECT event_id, userId, sessionId, event, ts AS timestamp, productId FROM revents""")
 def q_event_source(spark, sf):

@@ -260,3 +260,18 @@ def test_lookup_layout_skips_row_groups(spark, tmp_path):
         assert _rows_scanned(TB.lookup_by_key(spark.read.parquet(path), "k", key)) <= 0.1 * len(keys)
     assert _rows_scanned(TB.lookup_by_key(spark.read.parquet(plain), "k", 60_000)) >= 0.5 * len(keys)
     assert sorted(r["k"] for r in spark.read.parquet(path).select("k").collect()) == sorted(keys)
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    from retenza.sources import tables as TB
+
+    paths = {n: str(tmp_path / n) for n in ("a", "b", "none")}
+    for (name, path), n in zip(paths.items(), (1234, 7, 0)):
+        spark.range(n).withColumnRenamed("id", "x").repartition(3).write.parquet(path)
+    assert dict(map(tuple, TB.footer_counts(spark, paths).collect())) == {"a": 1234, "b": 7, "none": 0}
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    plan = TB.count_of_footers(own, paths["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(1)]" in plan or "PushedAggregation: [COUNT(*)]" in plan
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") != ""

@@ -50,10 +50,16 @@ class TextIndex:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def all_postings(self) -> DataFrame:
+        """With their types given, as without any product there is no file to tell them."""
+        low = self.table("held").schema["_id"].dataType.simpleString()
+        return self.spark.read.schema(f"term string, impact double, bag binary, low {low}, b int").parquet(
+            f"{self.path}/postings")
+
     def postings(self, terms: DataFrame) -> DataFrame:
         """The postings in the buckets of some terms."""
         own = [r["b"] for r in terms.select(_bucket(F.col("term")).alias("b")).distinct().collect()]   # ``BUCKETS`` at most
-        return self.table("postings").filter(F.col("b").isin(own)).drop("b")
+        return self.all_postings().filter(F.col("b").isin(own)).drop("b")
 
 
 def build_text_index(products: DataFrame, path: str, fields=FIELDS, k1: float = 1.2, b: float = 0.75) -> TextIndex:
@@ -80,7 +86,7 @@ def build_text_index(products: DataFrame, path: str, fields=FIELDS, k1: float =
     # ranges, not hashes, of (term, impact): the postings of a common term are split
     post.repartitionByRange("b", "term", F.desc("impact")).sortWithinPartitions("b", "term", F.desc("impact")) \
         .write.partitionBy("b").parquet(f"{path}/postings")
-    post = index.table("postings")
+    post = index.all_postings()
     best = Window.partitionBy("term").orderBy(F.desc(F.round("impact", SCORE_DIGITS)), "low")
     post.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= HEAD).select("term", "impact", "low", "bag") \
         .write.parquet(f"{path}/heads")

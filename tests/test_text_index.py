@@ -75,5 +75,5 @@ def test_impact_groups_are_few(spark, tmp_path):
     """Postings of one count and length share an impact, so groups don't grow with the products."""
     rows = [(f"p{i}", "same words here", "A", "B", f"brand{i}") for i in range(1000)]
     index = TX.build_text_index(catalogue(spark, rows), str(tmp_path / "ix"))
-    groups = index.table("postings").filter(F.col("term") == "words").select(F.round("impact", 9)).distinct()
+    groups = index.all_postings().filter(F.col("term") == "words").select(F.round("impact", 9)).distinct()
     assert groups.count() == 1

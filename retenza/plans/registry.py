@@ -1070,9 +1070,8 @@ SELECT b.query_id AS signal_id, b.rank, b._id AS rec_productId, p.p_name AS rec_
   '/img/' || b._id || '.jpg' AS rec_imageUrl, round(b.score, 6) AS score, i.intentSummary
 FROM bm25 b JOIN part p ON b._id = CAST(p.p_partkey AS VARCHAR) JOIN intents i ON i.signal_id = b.query_id""")
 def q_product_recommendation(spark, sf):
-    """From the stored index; ``nba_enriched`` searches the products themselves."""
-    r = SR.product_recommendation(intents(spark, sf), X.products(spark, sf, with_embedding=False), 1,
-                                  index=text_index(spark, sf))
+    """Searches the products themselves; ``nba_friction_stream`` uses the stored index."""
+    r = SR.product_recommendation(intents(spark, sf), X.products(spark, sf, with_embedding=False), 1)
     return r.withColumn("score", r6("score"))
 
 

@@ -19,9 +19,12 @@ sessions only, reading one session opens one bucket, and a replayed batch is ski
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,9 +34,14 @@ from pyspark.sql.types import StructType
 from ..functions.events import validate_event
 from ..operators.windows import DIMENSIONS, session_facts
 from ..schemas import SESSION_EVENTS
+from ..session import DEFAULT_CONF
 from ..sources.keyed import KeyedTable, stream_name
 from .drivers import _start
 
+# the processor is also read by a worker beside the driver, which may not find this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _INTENT = "array<struct<key:string,searchCount:int,viewCount:int,addToCartCount:int,weight:int,focus:double>>"
 #: The merged document of one part of a session.
 DOCUMENT = ("partId string, sessionId string, part timestamp, userId string, firstSeen timestamp, lastSeen timestamp, "
@@ -145,18 +153,34 @@ def live_documents(events: DataFrame, window: str = "10 seconds", expiry_ms: int
         timeMode="EventTime")
 
 
+@contextmanager
+def _state_store(spark: SparkSession):
+    """The state store that the processor needs (several kinds of state for a key), for the query
+    that starts here: it takes the setting over, and the session gets its own one back."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, DEFAULT_CONF[_PROVIDER])
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
 def live_session_state(events: DataFrame, path: str, checkpoint: str, window: str = "10 seconds",
                        expiry_ms: int = 30 * 60 * 1000, trigger: dict | None = None,
                        buckets: int = 64) -> StreamingQuery:
-    """Keep the documents of all sessions in the keyed table at ``path``. Needs the RocksDB
-    state store (as ``session.get_spark`` sets it)."""
+    """Keep the documents of all sessions in the keyed table at ``path``. The query runs on the
+    RocksDB state store, whichever one the session names."""
     spark = events.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         KeyedTable(spark, path, "partId", buckets).merge(
             batch, "latest", "windowCount", stream=stream_name(spark, checkpoint), batch_id=batch_id)
 
-    return _start(live_documents(events, window, expiry_ms), sink, checkpoint, trigger)
+    with _state_store(spark):
+        return _start(live_documents(events, window, expiry_ms), sink, checkpoint, trigger)
 
 
 def read_live_state(spark: SparkSession, path: str) -> DataFrame | None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import random
+import subprocess
+import sys
 import time
 
 import pytest
@@ -122,6 +124,32 @@ def test_intent_of_a_window():
     assert L.window_intent(rows[3:], "productId") == []
 
 
+def test_runs_in_a_session_of_spark_defaults(spark, tmp_path):
+    """A session that names no state store: the query brings its own, and leaves the setting."""
+    rows, base = some_events(7, 40), str(tmp_path)
+    rows.sort(key=lambda r: r[2])
+    files(spark, base + "/in", [rows, CLOSING])
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.shuffle.partitions", 4)
+    plain.conf.set("spark.sql.session.timeZone", "UTC")
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    plain.conf.set(L._PROVIDER, default)
+    run(plain, base)
+    assert flat(L.read_live_state(spark, base + "/out")) == batch_state(spark, rows)
+    assert plain.conf.get(L._PROVIDER) == default
+
+
+def test_the_processor_needs_no_package(tmp_path):
+    """A worker that doesn't find this package can still read the processor."""
+    from pyspark import cloudpickle
+    (tmp_path / "p").write_bytes(cloudpickle.dumps(L.SessionStateProcessor))
+    code = "import pickle, sys; print(pickle.load(open(sys.argv[1], 'rb')).__name__)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path / "p")], cwd=tmp_path, env=env,
+                          capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip() == "SessionStateProcessor", done.stderr
+
+
 @pytest.mark.parametrize("path", ["none"])
 def test_no_table_yet(spark, tmp_path, path):
     assert L.read_live_state(spark, str(tmp_path / path)) is None

@@ -75,7 +75,11 @@ def browse_page(products: DataFrame, brands=(), categories=(), page: int = 0,
 def _topk_cell(k: int, exclude_self: bool):
     """Top k of a query block in a catalogue block. The catalogue is walked in
     slices of ``SLICE`` rows with a running top k, so no array is larger than
-    ``QUERY_ROWS`` x (``SLICE`` + k) numbers, whatever the block sizes."""
+    ``QUERY_ROWS`` x (``SLICE`` + k) numbers, whatever the block sizes.
+
+    Cosines in single precision tell which pairs can beat a query's k-th best so
+    far; these few alone are scored in double precision and ranked. Where they
+    aren't few (the first slice, or many equal vectors) the whole slice is."""
     empty = pd.DataFrame({"query_id": pd.Series(dtype=str), "_id": pd.Series(dtype=str),
                           "score": pd.Series(dtype=float)})
 
@@ -95,21 +99,63 @@ def _topk_cell(k: int, exclude_self: bool):
         take = order[(first[:, None] + np.arange(kk)).reshape(-1)]
         return scores[at[take], col[take]].reshape(-1, kk), cols[at[take], col[take]].reshape(-1, kk)
 
+    def better(q, c, score, a, own) -> tuple[np.ndarray, np.ndarray] | None:
+        """(row, place in the slice at ``a``) of the pairs that may come into the best; None: too many."""
+        dim = q.shape[1]
+        if score.shape[1] < k or not np.isfinite(score).all() or np.isinf(q).any() or np.isinf(c).any():
+            return None
+        least = np.round(score.min(axis=1), SCORE_DIGITS) - (dim + 8) * 2.0 ** -23     # what single precision may miss
+        near = q.astype(np.float32) @ c.astype(np.float32).T
+        flat = np.flatnonzero(near >= least.astype(np.float32)[:, None])     # NaN: a vector without a direction
+        if len(flat) > QUERY_ROWS * SLICE // (dim + 16):
+            return None
+        at, col = np.divmod(flat, len(c))
+        if exclude_self:
+            stay = (col + a < own[0][at]) | (col + a >= own[1][at])
+            at, col = at[stay], col[stay]
+        return at, col
+
+    def same_id(ids, qids) -> tuple[np.ndarray, np.ndarray]:
+        """From where to where the sorted ``ids`` (nulls last) equal each query's id."""
+        known, null = len(ids) - int(pd.isna(ids).sum()), pd.isna(qids)
+        first, end = np.full(len(qids), known), np.full(len(qids), len(ids))
+        first[~null] = np.searchsorted(ids[:known], qids[~null], "left")
+        end[~null] = np.searchsorted(ids[:known], qids[~null], "right")
+        return first, end
+
+    def merge(score, col, at, place, found) -> tuple[np.ndarray, np.ndarray]:
+        """``best`` of the running top k and some single pairs."""
+        rows, n = np.unique(at, return_counts=True)
+        wide_s = np.full((len(rows), n.max()), -np.inf)
+        wide_c = np.full(wide_s.shape, np.iinfo(np.int64).max)
+        r = np.repeat(np.arange(len(rows)), n)
+        i = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        wide_s[r, i], wide_c[r, i] = found, place
+        score[rows], col[rows] = best(np.hstack([score[rows], wide_s]), np.hstack([col[rows], wide_c]))
+        return score, col
+
     def run(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or cpdf.empty:
             return empty
         cpdf = cpdf.sort_values("_id", kind="stable")
-        ids, out = cpdf["_id"].to_numpy(), [empty]
+        ids, vecs, out = cpdf["_id"].to_numpy(), unit(cpdf["vec"]), [empty]
         for lo in range(0, len(qpdf), QUERY_ROWS):
-            own = qpdf.iloc[lo:lo + QUERY_ROWS]
-            q, qids = unit(own["qvec"]), own["query_id"].to_numpy()
+            part = qpdf.iloc[lo:lo + QUERY_ROWS]
+            q, qids = unit(part["qvec"]), part["query_id"].to_numpy()
+            own = same_id(ids, qids) if exclude_self else None
             score, col = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
-            for a in range(0, len(cpdf), SLICE):
-                part = cpdf.iloc[a:a + SLICE]
-                s = np.nan_to_num(q @ unit(part["vec"]).T, nan=-np.inf)
-                if exclude_self:
-                    s[qids[:, None] == ids[None, a:a + SLICE]] = -np.inf
-                here = np.broadcast_to(np.arange(a, a + len(part)), s.shape)
+            for a in range(0, len(ids), SLICE):
+                c = vecs[a:a + SLICE]
+                few = better(q, c, score, a, own)
+                if few is not None:
+                    at, place = few
+                    if len(at):
+                        score, col = merge(score, col, at, place + a, np.einsum("ij,ij->i", q[at], c[place]))
+                    continue
+                s = np.nan_to_num(q @ c.T, nan=-np.inf)
+                for i in np.flatnonzero((own[1] > a) & (own[0] < a + len(c))) if exclude_self else ():
+                    s[i, max(own[0][i] - a, 0):own[1][i] - a] = -np.inf
+                here = np.broadcast_to(np.arange(a, a + len(c)), s.shape)
                 score, col = best(np.hstack([score, s]), np.hstack([col, here]))
             kk = score.shape[1]
             out.append(pd.DataFrame({"query_id": np.repeat(qids, kk), "_id": ids[col.reshape(-1)],

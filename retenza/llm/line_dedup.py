@@ -50,7 +50,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
         F.transform(F.split("body", "\n", -1), line_key)).alias("pos", "key")))
     drops = (at.join(frequent, ["h1", "h2"]).groupBy("id", "th")
              .agg(F.collect_set("pos").alias("drop")))
-    d = base.alias("d").join(drops.alias("x"), same(base, drops, "id", "th"), "left")
+    # the positions are hashed, not sorted, so that the whole texts of a partition are never held
+    d = base.alias("d").join(drops.hint("shuffle_hash").alias("x"), same(base, drops, "id", "th"), "left")
     lines = F.split("d.body", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("x.drop"))
     d = d.select("d.row", lines.alias("lines"), left.alias("left"), F.col("d.body").alias("body"))

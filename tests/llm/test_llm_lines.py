@@ -158,3 +158,22 @@ def test_hash_of_kept_text(edge):
 
     for r in line_dedup.line_dedup(edge).select("kept_text", F.sha2("kept_text", 256).alias("s")).collect():
         assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["s"]
+
+
+def test_line_dedup_sorts_no_texts(spark):
+    """The dropped positions are hashed; the texts of a partition are not sorted, so not held."""
+    from retenza.llm.line_dedup import line_dedup
+    shared = "\n".join(f"line {i}" for i in range(3))
+    docs = spark.createDataFrame([(i, f"{shared}\nown {i}") for i in range(12)] + [(None, None)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = line_dedup(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and plan.index("ShuffledHashJoin") < plan.find("SortMergeJoin") % (len(plan) + 1)
+        rows = {r["row"]["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", before[0] or "64MB")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+    assert rows == {None: (1, 0, ""), **{i: (4, 3, f"own {i}") for i in range(12)}}

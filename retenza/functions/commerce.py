@@ -32,8 +32,7 @@ def epoch_ms_to_ts(ms: Column) -> Column:
 
 def pretty_date(ts: Column) -> Column:
     """'Jan 1, 2000 at 12:00:00 AM' (session time zone)."""
-    return F.concat(F.date_format(ts, "MMM d, yyyy"), F.lit(" at "),
-                    F.date_format(ts, "h:mm:ss a"))
+    return F.date_format(ts, "MMM d, yyyy 'at' h:mm:ss a")
 
 
 def embedding_text(*fields: Column) -> Column:

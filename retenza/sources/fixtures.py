@@ -9,6 +9,8 @@ scans, so all downstream work grows with the input tables.
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,14 +135,18 @@ def product_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").cast("string").alias("_id"), F.col("embedding"))
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line: order id, line number, product fields."""
+def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their part's name and brand, as read."""
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
         "l_returnflag")
     dims = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    j = sized_join(li, dims, li.l_partkey == dims.p_partkey, "left")
-    return j.select(
+    return sized_join(li, dims, li.l_partkey == dims.p_partkey, "left")
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """``_line_rows`` -> order lines."""
+    return rows.select(
         F.col("l_orderkey").cast("string").alias("order_id"),
         F.col("l_orderkey").alias("okey"),
         F.col("l_linenumber").alias("pos"),
@@ -154,31 +160,41 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order line: order id, line number, product fields."""
+    return _lines(_line_rows(spark, sf_dir))
+
+
 def order_type(okey: Column) -> Column:
     return F.when(okey % 2 == 1, F.lit(HOME_LABEL)).otherwise(F.lit(BOPIS_LABEL))
 
 
 def status_history(okey: Column, status: Column, orderdate: Column) -> Column:
     """O: first step; P: two steps; F: all steps of the order's method."""
-    steps = F.when(okey % 2 == 1, F.array(*[F.lit(s) for s in HOME_STEPS])) \
-             .otherwise(F.array(*[F.lit(s) for s in BOPIS_STEPS]))
-    n = (F.when(status == "O", F.lit(1)).when(status == "P", F.lit(2))
-          .otherwise(F.size(steps)))
+    home = okey % 2 == 1
     start = F.unix_millis(orderdate.cast("timestamp"))
-    return F.transform(F.slice(steps, 1, n),
-                       lambda s, i: F.struct(s.alias("status"),
-                                             (start + i * F.lit(STEP_MS)).alias("timestamp")))
+    # one array of plain expressions: a lambda per step would be interpreted for every order
+    steps = F.array(*[F.struct(F.when(home, F.lit(h)).otherwise(F.lit(b)).alias("status"),
+                               (start + F.lit(i * STEP_MS)).alias("timestamp"))
+                      for i, (h, b) in enumerate(zip_longest(HOME_STEPS, BOPIS_STEPS))])
+    n = (F.when(status == "O", F.lit(1)).when(status == "P", F.lit(2))
+          .when(home, F.lit(len(HOME_STEPS))).otherwise(F.lit(len(BOPIS_STEPS))))
+    return F.slice(steps, 1, n)
 
 
-def orders_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order documents without the product array (one row per order)."""
+def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer's name and nation, as read."""
     o = read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    j = sized_join(o, c, o.o_custkey == c.c_custkey, "left")
+    return sized_join(o, c, o.o_custkey == c.c_custkey, "left")
+
+
+def _header(rows: DataFrame, *more: str) -> DataFrame:
+    """``_order_rows`` -> order documents without the product array (and the columns ``more``)."""
     user_addr = F.concat_ws(", ", F.col("c_name"),
                             F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")))
-    return j.select(
+    return rows.select(
         F.col("o_orderkey").cast("string").alias("_id"),
         F.col("o_orderkey").alias("okey"),
         F.col("o_custkey").cast("string").alias("user"),
@@ -190,32 +206,39 @@ def orders_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(STORE_ADDRESS).alias("store_address"),
         status_history(F.col("o_orderkey"), F.col("o_orderstatus"),
                        F.col("o_orderdate")).alias("status_history"),
+        *more,
     )
 
 
+def orders_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order documents without the product array (one row per order)."""
+    return _header(_order_rows(spark, sf_dir))
+
+
 def orders_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full order documents (products array ordered by line number).
 
     An order's lines are few (bounded by the order size), so gathering
     them per order is safe; work that does not need the document shape
-    uses ``order_lines`` directly.
+    uses ``order_lines`` directly. The lines of an order are scattered over
+    the table, so gathering before the shuffle merges next to nothing and only
+    makes the rows wider: lines and orders are shuffled as read, and what is
+    constant or follows from other columns is made behind the shuffles.
     """
     from ..functions.commerce import order_address
-    lines = order_lines(spark, sf_dir)
-    prod = (lines.groupBy("okey")
-            .agg(F.array_sort(F.collect_list(F.struct(
-                F.col("pos"), F.col("_id"), F.col("name"),
-                F.lit(None).cast("string").alias("description"), F.col("brand"), F.col("code"),
-                F.col("amount"),
-                F.struct(F.col("unit_price").alias("amount"),
-                         F.lit(CURRENCY).alias("currency")).alias("price")))).alias("p")))
-    prod = prod.select("okey", F.transform("p", lambda x: x.dropFields("pos")).alias("products"))
-    h = orders_headers(spark, sf_dir)
-    return h.join(prod, "okey", "left").select(
+    product = F.struct(
+        "_id", "name", F.lit(None).cast("string").alias("description"), "brand", "code", "amount",
+        F.struct(F.col("unit_price").alias("amount"), F.lit(CURRENCY).alias("currency")).alias("price"))
+    lines = _lines(_line_rows(spark, sf_dir).repartition("l_orderkey")) \
+        .select(F.col("okey").alias("line_okey"), F.struct("pos", product.alias("product")).alias("p"))
+    prod = lines.groupBy("line_okey").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    rows = _order_rows(spark, sf_dir)
+    h = _header(rows.join(prod, rows.o_orderkey == prod.line_okey, "left"), "p")
+    return h.select(
         "_id", "okey", "user", "type",
         order_address(F.col("type"), F.col("user_address"), F.col("store_address"))
         .alias("shipping_address"),
-        F.coalesce(F.col("products"), F.array()).alias("products"),
+        F.coalesce(F.col("p.product"), F.array()).alias("products"),
         "status_history", "orderdate")
 
 

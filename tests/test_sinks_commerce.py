@@ -1,5 +1,6 @@
 """Idempotent sinks, order and cart operators."""
 
+import datetime as dt
 import os
 import tempfile
 
@@ -275,3 +276,64 @@ def test_counts_come_from_footers(spark, tmp_path):
     plan = TB.count_of_footers(own, paths["a"])._jdf.queryExecution().executedPlan().toString()
     assert "PushedAggregation: [COUNT(1)]" in plan or "PushedAggregation: [COUNT(*)]" in plan
     assert spark.conf.get("spark.sql.sources.useV1SourceList") != ""
+
+
+def _order_tables(spark, path):
+    """Five orders: one twice, one of no customer and no date, one without a line; lines of equal position."""
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(path / f"{name}.parquet"))
+
+    day = dt.datetime(1998, 2, 6)
+    put("customer", [(7, "Ann", 3), (8, None, None)], "c_custkey long, c_name string, c_nationkey int")
+    put("orders", [(1, 7, "F", day, "1-URGENT"), (1, 7, "P", day, "5-LOW"), (2, 8, "F", day, "5-LOW"),
+                   (3, None, None, None, "5-LOW"), (4, 7, "O", day, "5-LOW")],
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string")
+    put("part", [(10, "red bolt", "Brand#1"), (11, "hot ring", None)], "p_partkey long, p_name string, p_brand string")
+    put("lineitem", [(1, 2, 11, 2.0, 9.0, "N"), (1, 1, 10, 1.0, 900.0, "R"), (1, 2, 10, 4.0, 10.0, "N"),
+                     (1, None, 99, 1.0, None, "N"), (3, 1, None, 1.0, 5.0, "N"), (2, 1, 11, 3.0, 37.5, "N"), (None, 1, 10, 1.0, 1.0, "N")],
+        "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string")
+    return str(path)
+
+
+def test_order_docs_of_odd_rows(spark, tmp_path):
+    from retenza.sources import fixtures as X
+
+    docs = X.orders_docs(spark, _order_tables(spark, tmp_path)).collect()
+    assert sorted(d["_id"] for d in docs) == ["1", "1", "2", "3", "4"]
+    by = {d["_id"]: d for d in docs}
+    ids = [["99", "10", "10", "11"]] * 2                # a null position first, ties by product id
+    assert [[p["_id"] for p in d["products"]] for d in docs if d["_id"] == "1"] == ids
+    assert by["4"]["products"] == [] and by["3"]["products"][0]["code"] is None
+    assert by["2"]["products"][0].asDict(True) == {
+        "_id": "11", "name": "hot ring", "description": None, "brand": None, "code": "P11", "amount": 3,
+        "price": {"amount": 12.5, "currency": X.CURRENCY}}
+    assert sorted(len(d["status_history"]) for d in docs if d["_id"] == "1") == [2, len(X.HOME_STEPS)]
+    assert [h["status"] for h in by["2"]["status_history"]] == X.BOPIS_STEPS
+    assert {h["timestamp"] for h in by["3"]["status_history"]} == {None} and len(by["3"]["status_history"]) == len(X.HOME_STEPS)
+    s = {r["id"]: r for r in CM.order_summary(X.orders_docs(spark, str(tmp_path))).collect()}
+    assert s["4"]["status_date"] == "Feb 6, 1998 at 12:00:00 AM" and s["3"]["status_date"] is None
+    assert s["2"]["products"][0]["price"] == "$12.5"
+
+
+def test_order_docs_shuffle_flat_rows(spark, tmp_path):
+    """Lines and orders are shuffled as read: no gathered buffers, histories or documents."""
+    from retenza.sources import fixtures as X
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = CM.order_summary(X.orders_docs(spark, _order_tables(spark, tmp_path)))._jdf.queryExecution().executedPlan()
+        todo, carried = [plan], []
+        while todo:
+            node = todo.pop()
+            if node.nodeName().startswith("AdaptiveSparkPlan"):
+                todo.append(node.executedPlan())
+                continue
+            if node.nodeName() == "Exchange":
+                carried.append(node.schema().simpleString())
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(carried) == 2
+    assert not [c for c in carried if "array<" in c or "binary" in c or c.count("struct<") > 1], carried

@@ -1,16 +1,20 @@
-"""Session state kept live: a keyed state store per session, documents as windows close.
+"""Session state kept live: a state store of the live sessions, documents as windows close.
 
 Events are first combined at window grain (``windows.session_facts``, append mode
 behind the watermark), so a hot session reaches its state as a few rows per window. The
-facts of closed windows go to ``transformWithStateInPandas``, which holds for each
-session a value (user, first and last seen, last event, newest window and its intent),
-a map of event counts, and a list of its searches, and emits the merged document of
-every session that closed a window.
+facts of closed windows go to ``transformWithStateInPandas``, which holds each live
+session's merged document (user, first and last seen, last event, event counts, newest window
+and its intent, searches) and emits it for every session that closed a window.
 
-State leaves ``expiry`` after a session's newest window, by an event-time timer that each
-window moves. Should the session come back later, it begins a new part: documents
-are keyed by (session, start of the part's first window), and ``read_live_state``
-merges the few parts of a session, so an expired state loses nothing.
+A call to the state store costs more than the merge of a session. So sessions are dealt by a
+hash of their id into ``groups``, and a micro-batch reads and writes the state of a
+group, one list element per session, in a few calls; it rewrites the groups of its sessions only.
+Facts and documents cross between Spark and Python as one text each, times as microseconds.
+
+State leaves ``expiry`` after a session's newest window, by an event-time timer of its group,
+set to the first of the group's sessions that is due. Should the session come back later, it
+begins a new part: documents are keyed by (session, start of the part's first window), and
+``read_live_state`` merges the few parts of a session, so an expired state loses nothing.
 
 The documents are stored in a ``KeyedTable``: a micro-batch rewrites the buckets of its
 sessions only, reading one session opens one bucket, and a replayed batch is skipped.
@@ -18,14 +22,14 @@ sessions only, reading one session opens one bucket, and a replayed batch is ski
 
 from __future__ import annotations
 
-import datetime as dt
+import json
 import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -42,27 +46,26 @@ from .drivers import _start
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: What the query's state store is set to: RocksDB, which looks up each key before a write only to count the rows.
+_STORE = {_PROVIDER: DEFAULT_CONF[_PROVIDER], "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
 _INTENT = "array<struct<key:string,searchCount:int,viewCount:int,addToCartCount:int,weight:int,focus:double>>"
+_INTENT_NAMES = ("key", "searchCount", "viewCount", "addToCartCount", "weight", "focus")
+_COUNT_OF = {"search": "searchCount", "view-product": "viewCount", "add-to-cart": "addToCartCount"}
 #: The merged document of one part of a session.
 DOCUMENT = ("partId string, sessionId string, part timestamp, userId string, firstSeen timestamp, lastSeen timestamp, "
             "lastEvent struct<event:string,ts:timestamp>, lastWindow struct<start:timestamp,end:timestamp>, "
             f"eventCounts struct<{', '.join(f'`{e}`:bigint' for e in SESSION_EVENTS)}>, windowCount int, "
             + ", ".join(f"{name} {_INTENT}" for name in DIMENSIONS) + ", searchHistory array<string>")
-_VALUE = ("part timestamp, userId string, firstSeen timestamp, lastSeen timestamp, event string, eventTs timestamp, "
-          "start timestamp, end timestamp, windowCount int, timer long, " + ", ".join(f"{n} {_INTENT}" for n in DIMENSIONS))
-_COUNT_OF = {"search": "searchCount", "view-product": "viewCount", "add-to-cart": "addToCartCount"}
-
+#: The document as the processor writes it: times are microseconds.
+_WRITTEN = DOCUMENT.replace("timestamp", "bigint")
+#: Groups of sessions; sessions whose group changes begin a new part.
+GROUPS = 4096
+#: A session's state: when it is due (milliseconds), and its document.
+_STATE = "sessionId string, due long, document string"
 
-def _ms(t: pd.Timestamp | dt.datetime) -> int:
-    return int(pd.Timestamp(t).value // 1_000_000)
 
-
-def _time(t) -> dt.datetime:
-    return pd.Timestamp(t).to_pydatetime()
-
-
-def window_intent(rows: pd.DataFrame, column: str) -> list[tuple]:
-    """The intent array of one dimension from one window's facts, by key."""
+def window_intent(rows, column: str) -> list[tuple]:
+    """The intent array of one dimension from the columns of one window's facts, by key."""
     own: dict[str, dict] = {}
     total = 0
     for event, key, n, weight in zip(rows["event"], rows[column], rows["n"], rows["weight"]):
@@ -75,102 +78,145 @@ def window_intent(rows: pd.DataFrame, column: str) -> list[tuple]:
             for key, r in sorted(own.items(), key=lambda x: x[0].encode())]
 
 
+def _first(fact: dict) -> tuple:
+    x = fact["first"]                                        # a null id comes first, as in Spark
+    return x["ts"], "eid" in x, x.get("eid", 0), x["uid"]
+
+
+def _last(fact: dict) -> tuple:
+    x = fact["last"]
+    return x["p"], x["ts"], "eid" in x, x.get("eid", 0), x["event"]
+
+
+def merged(session: str, before: dict | None, facts: list[dict]) -> dict:
+    """A session's document (as in ``_WRITTEN``) with the facts of newly closed windows."""
+    starts = {f["start"] for f in facts}
+    newest = max(starts)
+    own = [f for f in facts if f["start"] == newest]
+    last = max(map(_last, own))
+    old = before or {"part": min(starts), "firstSeen": facts[0]["firstSeen"], "lastSeen": facts[0]["lastSeen"],
+                     "eventCounts": dict.fromkeys(SESSION_EVENTS, 0), "windowCount": 0, "searchHistory": []}
+    counts = dict(old["eventCounts"])
+    for f in facts:
+        counts[f["event"]] += f["n"]
+    columns = {c: [f.get(c) for f in own] for c in ("event", "n", "weight", *DIMENSIONS.values())}
+    found = sorted((*_first(f)[:3], f["query"], f["n"]) for f in facts if f["event"] == "search" and f.get("query"))
+    return {
+        "partId": f"{session}|{old['part'] // 1000}", "sessionId": session, "part": old["part"],
+        "userId": min(map(_first, own))[-1],
+        "firstSeen": min(old["firstSeen"], min(f["firstSeen"] for f in facts)),
+        "lastSeen": max(old["lastSeen"], max(f["lastSeen"] for f in facts)),
+        "lastEvent": {"event": last[-1], "ts": last[1]}, "lastWindow": {"start": newest, "end": own[0]["end"]},
+        "eventCounts": counts, "windowCount": old["windowCount"] + len(starts),
+        **{name: [dict(zip(_INTENT_NAMES, x)) for x in window_intent(columns, column)]
+           for name, column in DIMENSIONS.items()},
+        "searchHistory": old["searchHistory"] + [q for *_, q, n in found for _ in range(n)]}
+
+
 class SessionStateProcessor(StatefulProcessor):
-    """Merges the facts of closed windows into a session's state (see the module)."""
+    """Merges the facts of closed windows into the sessions of a group (see the module)."""
 
     def __init__(self, expiry_ms: int):
         self.expiry_ms = expiry_ms
         # texts of types are only understood on the driver, where this runs
-        self.value, self.event, self.number, self.query = (
-            StructType.fromDDL(x) for x in (_VALUE, "event string", "n long", "query string"))
+        self.state = StructType.fromDDL(_STATE)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.summary = handle.getValueState("summary", self.value)
-        self.counts = handle.getMapState("counts", self.event, self.number)
-        self.searches = handle.getListState("searches", self.query)
+        self.summary = handle.getListState("summary", self.state)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        facts = pd.concat(list(rows), ignore_index=True)        # one session's windows that closed in this batch
-        facts["start"] = [_time(w["start"]) for w in facts["window"]]
-        facts["end"] = [_time(w["end"]) for w in facts["window"]]
-        value = self.summary.get() if self.summary.exists() else None
-        names = self.value.names
-        state = dict(zip(names, value)) if value is not None else {"windowCount": 0, "timer": None}
-        for start, own in facts.groupby("start", sort=True):
-            self._window(state, _time(start), own)
-        if state["timer"] is not None:
-            self.handle.deleteTimer(state["timer"])
-        state["timer"] = _ms(state["end"]) + self.expiry_ms
-        self.handle.registerTimer(state["timer"])
-        self.summary.update(tuple(state[n] for n in names))
-        yield self._document(key[0], state)
-
-    def _window(self, state: dict, start: dt.datetime, own: pd.DataFrame) -> None:
-        first = min(own["first"], key=lambda x: (x["ts"], x["eid"], x["uid"]))
-        last = max(own["last"], key=lambda x: (x["p"], x["ts"], x["eid"], x["event"]))
-        state.setdefault("part", start)
-        state["firstSeen"] = min(_time(own["firstSeen"].min()), state.get("firstSeen") or dt.datetime.max)
-        state["lastSeen"] = max(_time(own["lastSeen"].max()), state.get("lastSeen") or dt.datetime.min)
-        state |= {"userId": first["uid"], "event": last["event"], "eventTs": _time(last["ts"]), "start": start,
-                  "end": own["end"].iloc[0], "windowCount": state["windowCount"] + 1}
-        for name, column in DIMENSIONS.items():
-            state[name] = window_intent(own, column)
-        for event, n in own.groupby("event")["n"].sum().items():
-            before = self.counts.getValue((event,)) if self.counts.containsKey((event,)) else None
-            self.counts.updateValue((event,), ((before[0] if before else 0) + int(n),))
-        found = sorted((x["ts"], x["eid"], q, int(n)) for e, x, q, n in
-                       zip(own["event"], own["first"], own["query"], own["n"]) if e == "search" and q)
-        if found:
-            self.searches.appendList([(q,) for _, _, q, n in found for _ in range(n)])
-
-    def _document(self, session: str, state: dict) -> pd.DataFrame:
-        counts = {k[0]: v[0] for k, v in self.counts.iterator()}
-        return pd.DataFrame([{
-            "partId": f"{session}|{_ms(state['part'])}", "sessionId": session, "part": state["part"],
-            "userId": state["userId"], "firstSeen": state["firstSeen"], "lastSeen": state["lastSeen"],
-            "lastEvent": {"event": state["event"], "ts": state["eventTs"]},
-            "lastWindow": {"start": state["start"], "end": state["end"]},
-            "eventCounts": {e: counts.get(e, 0) for e in SESSION_EVENTS}, "windowCount": state["windowCount"],
-            **{n: [dict(zip(("key", "searchCount", "viewCount", "addToCartCount", "weight", "focus"), x))
-                   for x in state[n]] for n in DIMENSIONS},
-            "searchHistory": [q[0] for q in self.searches.get()]}])
+        facts: dict[str, list[dict]] = {}                   # of the group's windows that closed in this batch
+        for part in rows:
+            for session, fact in zip(part["sessionId"], json.loads(f"[{','.join(part['fact'])}]")):
+                facts.setdefault(session, []).append(fact)
+        states = self._states()
+        timer = self._first_due(states)
+        for session, own in facts.items():
+            before = states.get(session)
+            document = merged(session, before and json.loads(before[1]), own)
+            states[session] = document["lastWindow"]["end"] // 1000 + self.expiry_ms, json.dumps(document)
+        self._put(states)
+        if timer != self._first_due(states):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(self._first_due(states))
+        yield pd.DataFrame({"document": [states[session][1] for session in facts]})
+
+    def _states(self) -> dict[str, tuple[int, str]]:
+        return {session: (due, document) for session, due, document in self.summary.get()}
+
+    def _put(self, states: dict[str, tuple[int, str]]) -> None:
+        self.summary.put([(session, *state) for session, state in states.items()])
+
+    @staticmethod
+    def _first_due(states: dict[str, tuple[int, str]]) -> int | None:
+        return min((due for due, _ in states.values()), default=None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The session's document is stored already; its state goes."""
-        self.summary.clear()
-        self.counts.clear()
-        self.searches.clear()
+        """The documents of the sessions that are due are stored already; their state goes."""
+        now = timerValues.getCurrentWatermarkInMs()
+        states = {session: state for session, state in self._states().items() if state[0] >= now}
+        if states:
+            self._put(states)
+            self.handle.registerTimer(self._first_due(states))
+        else:
+            self.summary.clear()
         yield from ()
 
 
-def live_documents(events: DataFrame, window: str = "10 seconds", expiry_ms: int = 30 * 60 * 1000) -> DataFrame:
-    """Stream of merged documents (``DOCUMENT``) from an event stream with a watermark."""
+def _with_micros(c: Column, kind) -> Column:
+    """A column of type ``kind`` with microseconds in place of its times."""
+    if isinstance(kind, StructType):
+        return F.struct(*[_with_micros(c[f.name], f.dataType).alias(f.name) for f in kind])
+    return F.unix_micros(c) if kind.typeName() == "timestamp" else c
+
+
+def _with_times(c: Column, kind) -> Column:
+    """A column of type ``kind``, where its times are microseconds as yet."""
+    if isinstance(kind, StructType):
+        return F.struct(*[_with_times(c[f.name], f.dataType).alias(f.name) for f in kind])
+    return F.timestamp_micros(c) if kind.typeName() == "timestamp" else c
+
+
+def live_documents(events: DataFrame, window: str = "10 seconds", expiry_ms: int = 30 * 60 * 1000,
+                   groups: int = GROUPS) -> DataFrame:
+    """Stream of merged documents (``DOCUMENT``) from an event stream with a watermark. ``groups``:
+    some hundred live sessions in each are few enough."""
     valid = events.withColumn("_valid", validate_event()).filter("_valid").drop("_valid")
     facts = session_facts(valid, window)
-    return facts.groupBy("sessionId").transformWithStateInPandas(
-        SessionStateProcessor(expiry_ms), outputStructType=StructType.fromDDL(DOCUMENT), outputMode="Append",
-        timeMode="EventTime")
+    fact = F.struct(F.unix_micros("window.start").alias("start"), F.unix_micros("window.end").alias("end"),
+                    *[_with_micros(F.col(c), facts.schema[c].dataType).alias(c)
+                      for c in facts.columns if c not in ("window", "sessionId", "search_id")])
+    group = F.pmod(F.xxhash64("sessionId"), F.lit(groups)).cast("int").alias("group")
+    written = facts.select(group, "sessionId", F.to_json(fact).alias("fact")).groupBy("group").transformWithStateInPandas(
+        SessionStateProcessor(expiry_ms), outputStructType="document string", outputMode="Append", timeMode="EventTime")
+    read = F.from_json("document", _WRITTEN, {"mode": "FAILFAST"})
+    kinds = StructType.fromDDL(DOCUMENT)
+    return written.select(read.alias("d")).select(
+        *[_with_times(F.col("d")[f.name], f.dataType).alias(f.name) for f in kinds])
 
 
 @contextmanager
 def _state_store(spark: SparkSession):
     """The state store that the processor needs (several kinds of state for a key), for the query
-    that starts here: it takes the setting over, and the session gets its own one back."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, DEFAULT_CONF[_PROVIDER])
+    that starts here: it takes the settings over, and the session gets its own ones back."""
+    before = {name: spark.conf.get(name, None) for name in _STORE}
+    for name, value in _STORE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def live_session_state(events: DataFrame, path: str, checkpoint: str, window: str = "10 seconds",
                        expiry_ms: int = 30 * 60 * 1000, trigger: dict | None = None,
-                       buckets: int = 64) -> StreamingQuery:
+                       buckets: int = 64, groups: int = GROUPS) -> StreamingQuery:
     """Keep the documents of all sessions in the keyed table at ``path``. The query runs on the
     RocksDB state store, whichever one the session names."""
     spark = events.sparkSession
@@ -180,7 +226,7 @@ def live_session_state(events: DataFrame, path: str, checkpoint: str, window: st
             batch, "latest", "windowCount", stream=stream_name(spark, checkpoint), batch_id=batch_id)
 
     with _state_store(spark):
-        return _start(live_documents(events, window, expiry_ms), sink, checkpoint, trigger)
+        return _start(live_documents(events, window, expiry_ms, groups), sink, checkpoint, trigger)
 
 
 def read_live_state(spark: SparkSession, path: str) -> DataFrame | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import random
 import subprocess
@@ -115,6 +116,102 @@ def test_state_leaves_after_its_expiry(spark, tmp_path):
     assert left.count() <= 1                             # all but perhaps the closing session have expired
 
 
+class Store:
+    """A group's list state and timers, counting the calls."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], [], 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, rows
+
+    def clear(self):
+        self.calls, self.rows = self.calls + 1, []
+
+    def registerTimer(self, ms):
+        self.calls, self.timers = self.calls + 1, [*self.timers, ms]
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.remove(ms)
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def fact(session, start, event="heartbeat", eid=1, uid="u", **more):
+    """A row for the processor; times are seconds."""
+    first = {"ts": start * 10**6, "uid": uid} | ({} if eid is None else {"eid": eid})
+    last = {"p": 0, "ts": start * 10**6, "event": event} | ({} if eid is None else {"eid": eid})
+    return session, json.dumps({"start": start * 10**6, "end": (start + 10) * 10**6, "event": event, "n": 1, "weight": 0,
+                                "first": first, "last": last, "firstSeen": start * 10**6, "lastSeen": start * 10**6} | more)
+
+
+def processor(expiry_ms=60_000):
+    import pandas as pd
+
+    store, p = Store(), L.SessionStateProcessor(expiry_ms)
+    p.init(store)
+    return store, lambda *facts: [json.loads(x) for frame in p.handleInputRows(
+        (0,), iter([pd.DataFrame([f], columns=["sessionId", "fact"]) for f in facts]), At(0)) for x in frame["document"]], p
+
+
+def test_calls_to_the_state_do_not_grow_with_the_sessions():
+    """A call costs more than a session's merge: a group of 500 takes a few, at each batch."""
+    store, feed, _ = processor()
+    for start in (0, 10):
+        store.calls = 0
+        got = feed(*[fact(f"s{i}", start) for i in range(500)])
+        assert store.calls <= 5 and sorted(d["sessionId"] for d in got) == sorted(f"s{i}" for i in range(500))
+    assert {d["windowCount"] for d in got} == {2} and {d["eventCounts"]["heartbeat"] for d in got} == {2}
+    assert len(store.rows) == 500 and store.timers == [20_000 + 60_000]
+
+
+def test_sessions_of_a_group_expire_one_by_one():
+    store, feed, p = processor()
+    feed(fact("old", 0))
+    feed(fact("young", 30), fact("new", 50))
+    assert store.timers == [70_000]
+    store.timers.clear()                                  # Spark takes a timer that has fired
+    assert list(p.handleExpiredTimer((0,), At(70_001), None)) == []
+    assert sorted(r[0] for r in store.rows) == ["new", "young"] and store.timers == [100_000]
+    store.timers.clear()
+    list(p.handleExpiredTimer((0,), At(100_000), None))   # due then, not before
+    assert sorted(r[0] for r in store.rows) == ["new", "young"] and store.timers == [100_000]
+    store.timers.clear()
+    list(p.handleExpiredTimer((0,), At(10**6), None))
+    assert store.rows == [] and store.timers == []
+
+
+def test_events_without_an_id_come_first():
+    _, feed, _ = processor()
+    got, = feed(fact("s", 0, "search", 2, "b", query="two"), fact("s", 0, "search", None, "a", query="none"))
+    assert got["userId"] == "a" and got["searchHistory"] == ["none", "two"]
+
+
+def test_texts_and_all_sessions_in_one_group(spark, tmp_path):
+    """Quotes, controls and wide characters pass; the sessions of one group don't mix."""
+    base, text = str(tmp_path), 'a "b" \\ \n\t\x01 é 漢 😀 {"sessionId": 1}, [null]'
+    rows = some_events(9, 60) + [ev(900 + i, 3 * i, "search", uid="u", sid=s, pid=text, at=text, sc="S", query=text)
+                                 for i, s in enumerate(["s1", text, text + "'"])]
+    rows.sort(key=lambda r: r[2])
+    files(spark, base + "/in", [rows[:30], rows[30:], CLOSING])
+    run(spark, base, groups=1)
+    assert flat(L.read_live_state(spark, base + "/out")) == batch_state(spark, rows)
+
+
 def test_intent_of_a_window():
     import pandas as pd
 
